@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, packing, quality, sharding
+from gridloom.llm import chat, neardup, packing, quality, sharding
 from gridloom.llm.common import table
 
 SHARDS = 24
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return placed.select(
@@ -60,7 +64,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op8_histogram_sharding, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.stop_forms())
 ORACLE = {
