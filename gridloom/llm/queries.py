@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, neardup, packing, quality, sharding
+from gridloom.llm import chat, neardup, packing, quality, repeats, sharding
 from gridloom.llm.common import table
 
 SHARDS = 24
@@ -64,7 +64,19 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
+    return done.select(
+        "doc_id",
+        (F.octet_length("kept_bytes") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting, op10_suffix_array_dedup)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.stop_forms())
 ORACLE = {
