@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, neardup, packing, quality, repeats, sharding
+from gridloom.llm import bpe, chat, langid, neardup, packing, quality, repeats, sharding
 from gridloom.llm.common import table
 
 SHARDS = 24
@@ -22,6 +22,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    predicted = langid.predict(docs, model)
+    return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -81,7 +88,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_best_fit_packing, op5_quality_rules, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op4_best_fit_packing, op5_quality_rules, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting, op10_suffix_array_dedup)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.stop_forms())
 ORACLE = {
