@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, langid, mtree, neardup, packing, quality, repeats, sharding
+from gridloom.llm import bpe, chat, html, langid, mtree, neardup, packing, quality, repeats, sharding
 from gridloom.llm.common import table
 
 SHARDS = 24
@@ -44,6 +44,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html.main_text(pages, html.train(pages))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -92,7 +98,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_mtree_top_k, op4_best_fit_packing, op5_quality_rules, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_mtree_top_k, op4_best_fit_packing, op5_quality_rules, op6_html_extraction, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting, op10_suffix_array_dedup)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.stop_forms())
 ORACLE = {
