@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import CHUNK, encode_words, load
+from gridloom.llm.words import BARE, CHUNK, encode_words, load
 
 #: Characters of text in a block, about.
 BLOCK_CHARS = 6_000_000
@@ -55,37 +55,39 @@ def _key(rows) -> int:
     return int(np.uint64(h.intdigest()).astype(np.int64))
 
 
-def _cut(rows) -> tuple[pa.DictionaryArray, list[int]]:
-    cut = [CHUNK.findall(text) for _, text in rows]
+def _cut(rows, lead: bool) -> tuple[pa.DictionaryArray, list[int]]:
+    find = CHUNK.findall if lead else BARE.findall
+    cut = [find(text) for _, text in rows]
     words = pa.chunked_array([pa.array(w, pa.string()) for w in cut], pa.string())
     coded = pc.dictionary_encode(words).combine_chunks() if len(words) else pa.array([], pa.string()).dictionary_encode()
     return coded, [len(w) for w in cut]
 
 
-def _word_lists(batches):
-    for rows in _blocks(batches):
-        key, words = _key(rows), _cut(rows)[0].dictionary
-        for at in range(0, len(words), 20_000):
-            part = words.slice(at, 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], ["block", "no", "word"])
+def _word_lists(lead: bool):
+    def run(batches):
+        for rows in _blocks(batches):
+            key, words = _key(rows), _cut(rows, lead)[0].dictionary
+            for at in range(0, len(words), 20_000):
+                part = words.slice(at, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], ["block", "no", "word"])
 
+    return run
 
-def _positions(batches):
-    import zstandard
 
-    pack = zstandard.ZstdCompressor(level=1)
-    for rows in _blocks(batches):
-        coded, sizes = _cut(rows)
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype("<u4")
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([_key(rows)], pa.int64()),
-                pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
-                pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([pack.compress(codes.tobytes())], pa.binary()),
-            ],
-            ["block", "doc_ids", "sizes", "codes"],
-        )
+def _positions(lead: bool):
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for rows in _blocks(batches):
+            coded, sizes = _cut(rows, lead)
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_key(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack.compress(codes.tobytes())], pa.binary())],
+                ["block", "doc_ids", "sizes", "codes"],
+            )
+
+    return run
 
 
 def _encode(path: str):
@@ -117,37 +119,41 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.nd
     return flat[np.repeat(starts[codes], n) + at]
 
 
-def _assemble(path: str):
-    def run(batches):
-        import zstandard
+def texts_of(batches):
+    """doc_id and ids of every text, block by block, from positions and word lists."""
+    import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        for row in range(b.num_rows):
+            doc_ids, sizes, codes, nos, words = (b.column(k)[row] for k in range(1, 6))
+            codes = np.frombuffer(unpack.decompress(codes.as_py()), "<u4").astype(np.int64)
+            no = np.array(nos.values.to_numpy(zero_copy_only=False)) if nos.is_valid else np.empty(0, np.int64)
+            if len(codes) and (not len(no) or no.max() < codes.max()):
+                raise ValueError("a block of texts found no word list: its scan did not repeat")
+            by_no = np.empty(int(no.max()) + 1 if len(no) else 0, dtype=object)
+            if len(no):
+                by_no[no] = words.values.to_pylist()
+            width = np.array([len(w) // 4 for w in by_no], np.int64)
+            flat = np.frombuffer(b"".join(by_no), "<u4")
+            starts = np.cumsum(width) - width
+            at = 0
+            for ident, n in zip(doc_ids.as_py(), sizes.as_py(), strict=True):
+                yield ident, ragged(flat, starts, width, codes[at : at + n])
+                at += n
+
+
+def _decode(path: str):
+    def run(batches):
         pieces = piece_table(path)
-        for b in batches:
-            for row in range(b.num_rows):
-                doc_ids, sizes, codes, nos, words = (b.column(k)[row] for k in range(1, 6))
-                codes = np.frombuffer(unpack.decompress(codes.as_py()), "<u4").astype(np.int64)
-                no = np.array(nos.values.to_numpy(zero_copy_only=False)) if nos.is_valid else np.empty(0, np.int64)
-                if len(codes) and (not len(no) or no.max() < codes.max()):
-                    raise ValueError("a block of texts found no word list: its scan did not repeat")
-                by_no = np.empty(int(no.max()) + 1 if len(no) else 0, dtype=object)
-                if len(no):
-                    by_no[no] = words.values.to_pylist()
-                width = np.array([len(w) // 4 for w in by_no], np.int64)
-                flat = np.frombuffer(b"".join(by_no), "<u4")
-                starts = np.cumsum(width) - width
-                at, out = 0, [[], [], []]
-                for ident, n in zip(doc_ids.as_py(), sizes.as_py(), strict=True):
-                    ids = ragged(flat, starts, width, codes[at : at + n])
-                    at += n
-                    text = b"".join(pieces[ids].tolist()).decode("utf-8", "replace")
-                    for column, value in zip(out, (ident, ids.tobytes(), text), strict=True):
-                        column.append(value)
-                    if len(out[0]) == 500:
-                        yield _out(out)
-                        out = [[], [], []]
-                if out[0]:
-                    yield _out(out)
+        out = [[], [], []]
+        for ident, ids in texts_of(batches):
+            for column, value in zip(out, (ident, ids.tobytes(), b"".join(pieces[ids].tolist()).decode("utf-8", "replace")), strict=True):
+                column.append(value)
+            if len(out[0]) == 500:
+                yield _out(out)
+                out = [[], [], []]
+        yield _out(out)
 
     return run
 
@@ -161,11 +167,15 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
     return words.select("word").distinct().mapInArrow(_encode(path), "word string, ids binary")
 
 
-def encode_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, ids (binary: little-endian unsigned 32-bit), decoded."""
+def coded_blocks(docs: DataFrame, tokenizer_file: str, text: str, doc_id: str, lead: bool) -> DataFrame:
+    """Blocks of texts with the ids of their distinct words, for :func:`texts_of`.  ``lead``: white space before a word counts."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lists = rows.mapInArrow(_word_lists, "block long, no int, word string")
+    lists = rows.mapInArrow(_word_lists(lead), "block long, no int, word string")
     coded = lists.join(word_table(lists, tokenizer_file), "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("coded"))
-    positions = rows.mapInArrow(_positions, "block long, doc_ids array<long>, sizes array<int>, codes binary")
-    whole = positions.join(coded, "block", "left").select("block", "doc_ids", "sizes", "codes", F.col("coded.no").alias("nos"), F.col("coded.ids").alias("ids"))
-    return whole.mapInArrow(_assemble(tokenizer_file), "doc_id long, ids binary, decoded string")
+    positions = rows.mapInArrow(_positions(lead), "block long, doc_ids array<long>, sizes array<int>, codes binary")
+    return positions.join(coded, "block", "left").select("block", "doc_ids", "sizes", "codes", F.col("coded.no").alias("nos"), F.col("coded.ids").alias("ids"))
+
+
+def encode_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, ids (binary: little-endian unsigned 32-bit), decoded."""
+    return coded_blocks(docs, tokenizer_file, text, doc_id, True).mapInArrow(_decode(tokenizer_file), "doc_id long, ids binary, decoded string")

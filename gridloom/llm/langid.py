@@ -128,11 +128,13 @@ def mixtures(texts: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def _predict(model: Model):
+def _predict(model: Model, names: list[str]):
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+    size = max(1000, SLICE_CHARS // max(1, len(model.languages)))
+
     def run(batches):
-        size = max(1000, SLICE_CHARS // max(1, len(model.languages)))
         for b in batches:
-            idents, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(0).to_pylist()]
             at = 0
             while at < len(texts):
                 end, chars = at, 0
@@ -140,25 +142,28 @@ def _predict(model: Model):
                     chars += len(texts[end])
                     end += 1
                 part = texts[at:end]
-                share = mixtures(part, model)
-                names, scores, tops = [], [], []
-                for t, s in zip(part, share, strict=True):
+                langs, scores, tops = [], [], []
+                for t, s in zip(part, mixtures(part, model), strict=True):
                     if not s.any() or not _LETTER.search(t):
-                        names.append(UNKNOWN), scores.append(0.0), tops.append([])
+                        langs.append(UNKNOWN), scores.append(0.0), tops.append([])
                         continue
                     k = int(np.argmax(s))
-                    names.append(model.languages[k]), scores.append(float(min(1.0, s[k])))
+                    langs.append(model.languages[k]), scores.append(float(min(1.0, s[k])))
                     tops.append([{"lang": model.languages[j], "share": float(s[j])} for j in np.argsort(-s, kind="stable") if s[j] > 0])
-                kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(idents[at:end], pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(tops, kind)], ["doc_id", "lang_pred", "score", "mixture"])
+                kept = [b.column(k + 1).slice(at, end - at) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(tops, kind)], [*names, "lang_pred", "score", "mixture"])
                 at = end
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, lang_pred, score, mixture (languages of the selected set and their shares)."""
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) with lang_pred, score and mixture (languages of the selected set and their shares)."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "mixture")]
+    types = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names)
+    rows = docs.select(F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(_predict(model, names), f"{schema}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -260,7 +260,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return whole.unionByName(twice).unionByName(indexed).unionByName(hot)
 
 
-def _remove(batches):
+def _remove(batches, as_text):
     for b in batches:
         texts, spans = b.column(b.schema.get_field_index("_text")).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist()
         kept, merged = [], []
@@ -274,17 +274,19 @@ def _remove(batches):
             for s, e in joined:
                 rest.append(data[at:s])
                 at = e
-            kept.append(b"".join([*rest, data[at:]]))
+            left = b"".join([*rest, data[at:]])
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             merged.append([{"start": s, "stop": e} for s, e in joined])
         names = [n for n in b.schema.names if n not in ("_text", "_spans")]
         columns = [b.column(b.schema.get_field_index(n)) for n in names]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(merged, kind)], [*names, "kept_bytes", "removed"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(merged, kind)], [*names, "kept_text" if as_text else "kept_bytes", "removed"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with kept_bytes (binary) and removed (array of start, stop in bytes) for the text column."""
-    mine = {"kept_bytes", "removed", "_doc", "_text", "_spans"}
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", as_text: bool = False) -> DataFrame:
+    """``docs`` with kept_bytes (binary) and removed (array of start, stop in bytes) in place of the text column; with
+    ``as_text`` kept_text, without the characters of which only a part is left."""
+    mine = {"kept_bytes", "kept_text", "removed", "_doc", "_text", "_spans"}
     key = F.xxhash64(F.col(doc_id), F.col(text)).alias("doc")
     spans = repeated_spans(docs.select(key, F.col(text).alias("text")))
     per_doc = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
@@ -292,6 +294,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = docs.select(*[F.col(f"`{c}`") for c in names if c != text], F.col(text).alias("_text"), key)
     joined = rows.join(per_doc, "doc", "left").drop("doc")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names and c != text)
-    return joined.mapInArrow(_remove, f"{schema}, kept_bytes binary, removed array<struct<start:long,stop:long>>")
+    kept = "kept_text string" if as_text else "kept_bytes binary"
+    return joined.mapInArrow(lambda batches: _remove(batches, as_text), f"{schema}, {kept}, removed array<struct<start:long,stop:long>>")
 
 
