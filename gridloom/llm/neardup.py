@@ -30,6 +30,8 @@ BANDS, BAND_ROWS = 25, 5
 #: Parts of a signature that must agree: at similarity 0.85 agreement falls below with probability under 1e-7.
 AGREE = 0.68
 LEADER_ROUNDS = 2
+#: Bits of the filter that picks the texts whose sets are needed (4 MB).
+FILTER_BITS = 1 << 25
 _MULTIPLIERS = np.random.default_rng(20240501).integers(1, 2**63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
 _PLACES = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
@@ -104,15 +106,33 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_sketch, SCHEMA)
 
 
-def _sets(batches):
-    """Sets as 40-bit hashes: the upper 32 bits of all, then the next 8."""
-    make = shingler()
-    for b in batches:
-        out = []
-        for text in b.column(1).to_pylist():
-            s = make(text)
-            out.append((s >> np.uint64(32)).astype("<u4").tobytes() + (s >> np.uint64(24)).astype("u1").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "set"])
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the hashes of all ids: a Bloom filter of fixed size, so it may go to every task; more ids only let more rows pass."""
+    bits = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("bit"))
+    words = bits.select(F.floor(F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = words.toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    return out
+
+
+def _sets(in_a, in_b):
+    """Sets as 40-bit hashes (the upper 32 bits of all, then the next 8) of the texts that pass one of the filters; an id goes out once a task."""
+
+    def run(batches):
+        make, seen = shingler(), set()
+        for b in batches:
+            bit = b.column(2).to_numpy()
+            word, place = bit // 64, bit % 64
+            a, z = ((bits.value[word] >> place) & 1 == 1 for bits in (in_a, in_b))
+            rows = [k for k, i in zip(np.flatnonzero(a | z).tolist(), b.column(0).take(np.flatnonzero(a | z)).to_pylist(), strict=True) if i not in seen and not seen.add(i)]
+            out = []
+            for text in b.column(1).take(pa.array(rows, pa.int64())).to_pylist():
+                s = make(text)
+                out.append((s >> np.uint64(32)).astype("<u4").tobytes() + (s >> np.uint64(24)).astype("u1").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary()), pa.array(a[rows]), pa.array(z[rows])], ["id", "set", "in_a", "in_b"])
+
+    return run
 
 
 def _unpack(x: bytes) -> np.ndarray:
@@ -142,25 +162,52 @@ def _confirm(percent: int):
     return check
 
 
+def _linked(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that agree in their signatures and then on the full sets, as edges u, v."""
+    sc = docs.sparkSession.sparkContext
+    sides = [signatures.select(F.col("id").alias(c), F.col("signature").alias("s" + c)) for c in "ab"]
+    signed = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
+    likely = cut(signed.mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= AGREE))
+    filters = [sc.broadcast(id_filter(likely, c)) for c in "ab"]
+    keyed = docs.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    sets = cut(keyed.mapInArrow(_sets(*filters), "id long, set binary, in_a boolean, in_b boolean"))
+    right = likely.select("a", "b").join(sets.where("in_b").select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    full = right.join(sets.where("in_a").select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
+    return cut(full.mapInArrow(_confirm(percent), "u long, v long"))
+
+
 def _candidates(rows: DataFrame, exhaustive: bool, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to try from open buckets, and the bucket rows that stay.  ``rows``: key, id, n, comp."""
+    """Pairs a, b with the number of buckets they share, from open buckets, and the bucket rows that stay.  ``rows``: key, id, n, comp."""
     near = (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")) & (F.col("comp") != F.col("lcomp"))
     if exhaustive:
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
         largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        small = rows.join(largest, "key").where("comp <> main").select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
-        both = rows.join(largest, "key").join(small, "key").where((F.col("comp") == F.col("main")) | (F.col("id") < F.col("lid"))).where(near)
-        return both.select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct(), rows.limit(0)
-    leader = rows.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("lead"))
-    met = rows.join(leader, "key").where(F.col("id") != F.col("lead.id")).select("key", "id", "n", "comp", F.col("lead.id").alias("lid"), F.col("lead.n").alias("ln"), F.col("lead.comp").alias("lcomp"))
-    return met.where(near).select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct(), met.select("key", "id", "n")
+        named = rows.join(largest, "key")
+        small = named.where("comp <> main").select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
+        met = named.join(small, "key").where((F.col("comp") == F.col("main")) | (F.col("id") < F.col("lid")))
+        stay = rows.limit(0)
+    else:
+        leader = rows.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("lead"))
+        met = rows.join(leader, "key").where(F.col("id") != F.col("lead.id")).select("key", "id", "n", "comp", F.col("lead.id").alias("lid"), F.col("lead.n").alias("ln"), F.col("lead.comp").alias("lcomp"))
+        stay = met.select("key", "id", "n")
+    return met.where(near).groupBy(F.col("lid").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), stay
+
+
+def _apart(rows: DataFrame, comps: DataFrame | None, *ids: str) -> DataFrame:
+    """``rows`` with the component of each id column as comp_<column>."""
+    for c in ids:
+        if comps is None:
+            rows = rows.withColumn("comp_" + c, F.col(c))
+        else:
+            rows = rows.join(comps.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn("comp_" + c, F.coalesce("_c", c)).drop("_c")
+    return rows
 
 
 def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Bucket rows (key, id, n) with their component, of the buckets with two or more components."""
-    named = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    named = _apart(rows, comps, "id").withColumnRenamed("comp_id", "comp")
     split = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return named.join(split, "key", "left_semi")
+    return named.join(split, "key", "left_semi").select("key", "id", "n", "comp")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -172,7 +219,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     banded = rep.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = banded.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
     rows = cut(banded.join(shared, "key", "left_semi"))
-    signatures = rep.select(F.col("doc_id").alias("id"), "signature").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    signatures = cut(rep.select(F.col("doc_id").alias("id"), "signature").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     edges, comps = None, None
     for turn in range(LEADER_ROUNDS + 1):
@@ -180,27 +228,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
         if live.isEmpty():
             break
         pairs, rows = _candidates(live, turn == LEADER_ROUNDS, percent)
-        signed = pairs.join(signatures.withColumnRenamed("id", "a").withColumnRenamed("signature", "sa"), "a").join(signatures.withColumnRenamed("id", "b").withColumnRenamed("signature", "sb"), "b")
-        likely = cut(signed.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= AGREE))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-        sets = cut(texts.mapInArrow(_sets, "id long, set binary"))
-        best = likely.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-        for step in ("best", "rest"):
-            tried = best
-            if step == "rest":
-                named = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-                if comps is not None:
-                    ca, cb = (comps.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
-                    named = named.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-                tried = cut(named)
+        pairs = cut(pairs)
+        # First each text's leader with most buckets in common; then the others, where they would still join two components.
+        tried = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+        for last in (False, True):
+            if last:
+                rest = _apart(pairs.join(tried, ["a", "b"], "left_anti"), comps, "a", "b").where("comp_a <> comp_b").select("a", "b")
+                tried = cut(rest)
                 if tried.isEmpty():
                     continue
-            right = tried.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-            full = right.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-            linked = cut(full.mapInArrow(_confirm(percent), "u long, v long"))
+            linked = _linked(tried, texts, signatures, percent)
             edges = linked if edges is None else edges.unionByName(linked)
-            comps = cut(components(edges))
+            comps = components(edges)
             edges = comps.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
     placed = all_rows.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.withColumnRenamed("id", "rep"), ["set_a", "set_b"], "left")
     placed = placed.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
