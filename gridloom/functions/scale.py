@@ -25,7 +25,7 @@ def finite(v: Column) -> Column:
 
 
 def clamp(v: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+    return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))  # greatest and least pass nulls over
 
 
 def scale(v: Column, low: float, high: float, kind: int = LINEAR, param: float = 0.0) -> Column:

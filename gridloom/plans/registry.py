@@ -1,4 +1,650 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the array engine, each with the SQL it must agree with."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from gridloom.functions import fmt, healpix, scale
+from gridloom.operators import catalog, coords, pyramid, reduce, select, vectors
+from gridloom.operators.select import Index, Range
+from gridloom.plans import views
+from gridloom.plans.views import sql
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+#: Bounds that the scaling queries use for the embedding matrix, and those of the volume.
+LOW, HIGH, VLOW, VHIGH = -0.25, 0.25, 0.0, 400.0
+FLOOR = 0.02  # cells under it are clipped in projections
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if oracle is not None:
+            ORACLE[key] = oracle
+        return f
+
+    return add
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# --- selection and projection ---------------------------------------------------------------------------------------
+
+
+@query(sql("E", "SELECT y, x, v FROM E WHERE x = 7"))
+def sel_index(spark, d):
+    return select.select(views.matrix(spark, d, Range(7, 8)), x=Index(7))
+
+
+@query(sql("E", "SELECT y, x, v FROM E WHERE y >= 40 AND x >= 8 AND x < 24"))
+def sel_range(spark, d):
+    return views.matrix(spark, d, Range(8, 24)).where(F.col("y") >= 40)
+
+
+@query(sql("E", "SELECT y, x, v FROM E"))
+def sel_full(spark, d):
+    return views.matrix(spark, d)
+
+
+@query(sql("E", "SELECT y, x, v FROM E WHERE x >= 63"))
+def sel_clamped(spark, d):
+    return select.select(views.matrix(spark, d), x=select.clamp_request(Range(90, 120), 64))
+
+
+@query(sql("V", "SELECT d AS y, h AS x, v FROM V WHERE k = 2"))
+def plane_yx(spark, d):
+    return select.select(views.volume(spark, d), k=Index(2)).select(F.col("d").alias("y"), F.col("h").alias("x"), "v")
+
+
+@query(sql("E", "SELECT x AS y, y AS x, v FROM E"))
+def plane_transposed(spark, d):
+    return select.transpose(views.matrix(spark, d))
+
+
+@query(sql("V", "SELECT 29 - d AS y, h AS x, v FROM V WHERE k = 2"))
+def plane_flip_y(spark, d):
+    return select.flip(plane_yx(spark, d), "y", views.DAYS)
+
+
+@query(sql("E", "SELECT y, 63 - x AS x, v FROM E"))
+def plane_flip_x(spark, d):
+    return select.flip(views.matrix(spark, d), "x", 64)
+
+
+@query(sql("V", "SELECT d, h, k, v FROM V WHERE d >= 5 AND d < 25"))
+def volume_dhk(spark, d):
+    return select.select(views.volume(spark, d), d=Range(5, 25))
+
+
+@query(sql("V", "SELECT d, (h + 7) % 24 AS h, k, v FROM V"))
+def volume_shifted(spark, d):
+    return select.shift(views.volume(spark, d), "h", 7, 24)
+
+
+@query(sql("L", "SELECT s, l, v FROM L WHERE s = 3 AND l = 4"))
+def point_lookup(spark, d):
+    items = views.table(spark, d, "lineitem").where("l_suppkey = 3 AND l_linenumber = 4")
+    return items.groupBy(F.col("l_suppkey").alias("s"), F.col("l_linenumber").cast("long").alias("l")).agg(F.sum("l_quantity").alias("v"))
+
+
+@query(sql("V", "SELECT h AS x, sum(v) AS v FROM V WHERE d = 11 GROUP BY h"))
+def profile_row(spark, d):
+    return select.select(views.volume(spark, d), d=Index(11)).groupBy(F.col("h").alias("x")).agg(F.sum("v").alias("v")).select("x", _r("v", 4).alias("v"))
+
+
+ORACLE["profile_row"] = sql("V", "SELECT h AS x, round(sum(v), 4) AS v FROM V WHERE d = 11 GROUP BY h")
+
+
+@query(sql("E", "SELECT y, v FROM E WHERE x = 63"))
+def profile_col(spark, d):
+    return views.matrix(spark, d, Range(63, 64)).select("y", "v")
+
+
+@query(sql("L", "SELECT s, list(v ORDER BY l) AS profile FROM L GROUP BY s"))
+def profiles_all(spark, d):
+    lines = views.lines(spark, d)
+    return lines.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "v"))), lambda p: p["v"]).alias("profile"))
+
+
+@query(sql("V", "SELECT h, k, count(v) AS n, round(avg(v), 6) AS mean FROM V GROUP BY h, k HAVING count(v) > 0"))
+def series_nonempty(spark, d):
+    out = views.volume(spark, d).groupBy("h", "k").agg(F.count("v").alias("n"), _r(F.avg("v")).alias("mean"))
+    return out.where("n > 0")
+
+
+@query(
+    "SELECT l_orderkey AS o, l_linenumber::BIGINT AS l, l_partkey AS p, l_suppkey AS s, l_quantity AS q, CASE WHEN l_quantity <> 13 AND l_quantity BETWEEN 2 AND 45 THEN round(l_quantity * 0.25 + 10, 6) END AS v FROM lineitem"
+)
+def calibrated(spark, d):
+    raw = F.col("l_quantity")
+    return views.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("l"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), raw.alias("q"), _r(select.calibrate(raw, 0.25, 10.0, 13.0, 2.0, 45.0)).alias("v")
+    )
+
+
+@query(sql("V", "SELECT d, h, k, CASE WHEN v IS NULL THEN false WHEN v < 20 THEN false WHEN v > 300 THEN true ELSE true END AS shown FROM V"))
+def visible_mask(spark, d):
+    return views.volume(spark, d).select("d", "h", "k", select.visible(F.col("v"), 20.0, 300.0, show_high=True).alias("shown"))
+
+
+@query(sql("V", "SELECT d - 3 AS y, h - 6 AS x, v FROM V WHERE k = 2 AND h >= 6 AND h < 18 AND d >= 3 AND d < 27"))
+def roi_crop(spark, d):
+    return select.crop(plane_yx(spark, d), 24, 30, 0.25, 0.1, 0.75, 0.9)
+
+
+@query(sql("E", "SELECT y, x, v FROM E WHERE y >= 100 AND y < 180 AND x >= 16 AND x < 48"))
+def chunk_pruned(spark, d):
+    """Rows of the matrix are its chunks: the row range reaches the scan, the column range slices each array before it unfolds."""
+    rows = views.table(spark, d, "embeddings").where("vec_id >= 100 AND vec_id < 180")
+    return select.rows_to_cells(rows, "vec_id", "embedding", Range(16, 48))
+
+
+@query(sql("V", "SELECT d AS y, h AS x, b0::BIGINT | (b1::BIGINT << 8) | (b2::BIGINT << 16) AS rgb FROM (SELECT d, h, max(floor(least(v, 255))) FILTER (k = 0) AS b0, max(floor(least(v, 255))) FILTER (k = 1) AS b1, max(floor(least(v, 255))) FILTER (k = 2) AS b2 FROM V GROUP BY d, h)"))
+def rgb_pack(spark, d):
+    cells = views.volume(spark, d).withColumn("v", F.floor(F.least("v", F.lit(255.0))))
+    b = select.bands_to_columns(cells, "k", 3, ["d", "h"])
+    return b.select(F.col("d").alias("y"), F.col("h").alias("x"), scale.pack_rgb(F.col("b0"), F.col("b1"), F.col("b2")).alias("rgb"))
+
+
+_SRGB = "round(255 * CASE WHEN {0} <= 0.0031308 THEN 12.92 * ({0}) ELSE 1.055 * pow({0}, 1 / 2.4) - 0.055 END)::BIGINT"
+
+
+@query(sql("V", "SELECT d AS y, h AS x, " + ", ".join(f"{_SRGB.format(f'((1 - b{i}) * (1 - b3))')} AS c{i}" for i in range(3)) + " FROM (SELECT d, h, " + ", ".join(f"least(1, max(v) FILTER (k = {i}) / 400) AS b{i}" for i in range(4)) + " FROM V GROUP BY d, h)"))
+def cmyk_channels(spark, d):
+    b = select.bands_to_columns(views.volume(spark, d).withColumn("v", F.least(F.lit(1.0), F.col("v") / 400)), "k", 4, ["d", "h"])
+    return b.select(F.col("d").alias("y"), F.col("h").alias("x"), *[c.cast("long").alias(f"c{i}") for i, c in enumerate(scale.cmyk_to_rgb(*[F.col(f"b{i}") for i in range(4)]))])
+
+
+# --- reductions ------------------------------------------------------------------------------------------------------
+
+
+@query(sql("V", "SELECT k, coalesce(min(v), 0) AS lo, coalesce(max(v), 1) AS hi FROM V GROUP BY k"))
+def finite_bounds(spark, d):
+    return reduce.bounds(views.volume(spark, d), "k")
+
+
+@query(sql("V", "SELECT d, lo, hi, min(lo) OVER w AS run_lo, max(hi) OVER w AS run_hi FROM (SELECT d, coalesce(min(v), 0) AS lo, coalesce(max(v), 1) AS hi FROM V GROUP BY d) WINDOW w AS (ORDER BY d)"))
+def running_bounds(spark, d):
+    return reduce.running_bounds(reduce.bounds(views.volume(spark, d), "d"), "d")
+
+
+for _how, _agg in (("mean", "avg"), ("max", "max"), ("min", "min")):
+
+    def _down(spark, d, how=_how):
+        return pyramid.halve(views.matrix(spark, d), how).withColumn("v", _r("v"))
+
+    query(sql("E", f"SELECT y // 2 AS y, x // 2 AS x, round({_agg}(v), 6) AS v FROM E GROUP BY 1, 2"), f"down2_{_how}")(_down)
+
+
+@query(sql("E", "SELECT y // 2 AS y, x // 2 AS x, v FROM E WHERE y % 2 = 0 AND x % 2 = 0"))
+def down2_nearest(spark, d):
+    return pyramid.halve(views.matrix(spark, d), "nearest")
+
+
+_L2 = "A AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM E GROUP BY 1, 2), B2 AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM A GROUP BY 1, 2)"
+
+
+@query(sql("E", "").rstrip() + f", {_L2} SELECT y, x, round(v, 6) AS v FROM B2")
+def pyramid_l2(spark, d):
+    return pyramid.halve(pyramid.halve(views.matrix(spark, d))).withColumn("v", _r("v"))
+
+
+@query(
+    sql("V", "").rstrip()
+    + """, A AS (SELECT d AS y, h AS x, v FROM V WHERE k = 2), A1 AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM A GROUP BY 1, 2), A2 AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM A1 GROUP BY 1, 2), A3 AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM A2 GROUP BY 1, 2)
+SELECT level, count(*) AS n, count(v) AS filled, round(avg(v), 6) AS mean FROM (SELECT 0 AS level, * FROM A UNION ALL SELECT 1, * FROM A1 UNION ALL SELECT 2, * FROM A2 UNION ALL SELECT 3, * FROM A3) GROUP BY level"""
+)
+def pyramid_all_counts(spark, d):
+    levels = pyramid.build(plane_yx(spark, d), 24, 30, 4)
+    return levels.groupBy("level").agg(F.count("*").alias("n"), F.count("v").alias("filled"), _r(F.avg("v")).alias("mean"))
+
+
+@query(
+    sql("E", "").rstrip()
+    + f""", {_L2}, S AS (SELECT -(-count(*) // 4) AS hh FROM embeddings),
+PX AS (SELECT px, least(floor((0.25 + (px + 0.5) / 10 * 0.5) * 16), 15)::BIGINT AS x FROM (SELECT unnest(range(0, 10)) AS px)), PY AS (SELECT py, least(floor((0.1 + (py + 0.5) / 40 * (0.9 - 0.1)) * hh), hh - 1)::BIGINT AS y FROM (SELECT unnest(range(0, 40)) AS py), S)
+SELECT py, px, round(v, 6) AS v FROM PY JOIN PX ON true JOIN B2 USING (y, x)"""
+)
+def viewport_nearest(spark, d):
+    rows = views.table(spark, d, "embeddings").count()
+    assert pyramid.level_for(32, 10, 3) == 2
+    level = pyramid.halve(pyramid.halve(views.matrix(spark, d)))
+    return pyramid.viewport(level, 16, -(-rows // 4), 0.25, 0.75, 0.1, 0.9, 10, 40).withColumn("v", _r("v"))
+
+
+for _name, _how, _sql in (("mip", "max", "max(v)"), ("minip", "min", "min(v)")):
+
+    def _proj(spark, d, how=_how):
+        return reduce.project(views.volume(spark, d), how, ["h", "k"], high=350.0)
+
+    query(sql("V", f"SELECT h, k, {_sql} FILTER (v <= 350) AS v FROM V GROUP BY h, k"), _name)(_proj)
+
+
+@query(sql("V", "SELECT h, k, round(avg(v) FILTER (v BETWEEN 10 AND 350), 6) AS v FROM V GROUP BY h, k"))
+def avgip(spark, d):
+    return reduce.project(views.volume(spark, d), "mean", ["h", "k"], 10.0, 350.0).withColumn("v", _r("v"))
+
+
+@query(sql("V", "SELECT h, k, min(d) AS at, arg_min(v, d) AS v FROM V WHERE abs(v - 100) < 40 GROUP BY h, k"))
+def first_hit(spark, d):
+    return reduce.first_hit(views.volume(spark, d), "d", ["h", "k"], F.abs(F.col("v") - 100) < 40)
+
+
+@query(
+    sql("V", "").rstrip()
+    + """, W AS (SELECT h, k, d, v, v * exp(-2.0 * sum(least(greatest(v / 400, 0), 1)) OVER (PARTITION BY h, k ORDER BY d) / 30) AS w FROM V WHERE v IS NOT NULL)
+SELECT h, k, arg_max(v, (round(w, 9), -d)) AS v FROM W GROUP BY h, k"""
+)
+def mip_attenuated(spark, d):
+    return reduce.attenuated_max(views.volume(spark, d), "d", ["h", "k"], scale.scale(F.col("v"), VLOW, VHIGH), 2.0, 30)
+
+
+@query(sql("V", "SELECT d, h, k, round(t, 6) AS through, round(t * a, 6) AS light FROM (SELECT d, h, k, a, exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY h, k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM (SELECT *, coalesce(least(greatest(v / 400, 0), 1), 0) * 0.3 AS a FROM V))"))
+def transmittance(spark, d):
+    lit = reduce.transmittance(views.volume(spark, d), "d", ["h", "k"], F.coalesce(scale.scale(F.col("v"), VLOW, VHIGH), F.lit(0.0)) * 0.3)
+    return lit.select("d", "h", "k", _r("through").alias("through"), _r("light").alias("light"))
+
+
+@query("SELECT v, sum(n)::BIGINT AS n FROM (SELECT p_size::DOUBLE % 7 AS v, count(*) AS n FROM part GROUP BY 1) GROUP BY v")
+def categories(spark, d):
+    """Category values found on a stride sample, and the cells of each over the whole array."""
+    cells = views.table(spark, d, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") % 7).cast("double").alias("v"))
+    found = reduce.categories(cells, F.col("i"), cells.count())
+    return cells.where(F.col("v").isin(found)).groupBy("v").agg(F.count("*").alias("n"))
+
+
+@query(sql("E", f"SELECT b, round({LOW} + (b + 0.5) * 0.05, 6) AS centre, count(*) AS n FROM (SELECT least(greatest(floor((v - {LOW}) / 0.05), 0), 9)::BIGINT AS b FROM E) GROUP BY b"))
+def category_bins(spark, d):
+    centres = F.array(*[F.lit(c) for c in reduce.bins(LOW, HIGH)])
+    b = scale.clamp(F.floor((F.col("v") - LOW) / 0.05), 0, 9).cast("long")
+    return views.matrix(spark, d).groupBy(b.alias("b")).agg(F.count("*").alias("n")).select("b", _r(F.element_at(centres, (F.col("b") + 1).cast("int"))).alias("centre"), "n")
+
+
+@query("SELECT k, n, bytes, steps FROM (SELECT p_brand AS k, count(*) AS n, sum(p_size::BIGINT * 16 * CASE WHEN p_size % 2 = 0 THEN 8 ELSE 4 END)::BIGINT AS bytes, max(ceil(p_size / 4))::BIGINT AS steps FROM part GROUP BY 1)")
+def size_estimates(spark, d):
+    shape = F.array(F.col("p_size").cast("long"), F.lit(16).cast("long"))
+    elements = F.aggregate(shape, F.lit(1).cast("long"), lambda acc, n: acc * n)
+    kind = F.when(F.col("p_size") % 2 == 0, "float64").otherwise("float32")
+    return views.table(spark, d, "part").groupBy(F.col("p_brand").alias("k")).agg(F.count("*").alias("n"), F.sum(elements * fmt.type_bytes(kind)).alias("bytes"), F.max(F.ceil(F.col("p_size") / 4)).cast("long").alias("steps"))
+
+
+# --- coordinates and grids -------------------------------------------------------------------------------------------
+
+
+@query(sql("L", "SELECT s, l, v, s_acctbal AS coordinate, round(-180 + (l - 1) * (360.0 / 6), 6) AS lon FROM L LEFT JOIN supplier ON s = s_suppkey"))
+def coord_join(spark, d):
+    axis = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("value"))
+    joined = coords.attach(views.lines(spark, d), axis, "s")
+    return joined.select("s", "l", "v", "coordinate", _r(coords.interpolated(F.col("l") - 1, 7, -180.0, 180.0)).alias("lon"))
+
+
+_AXIS = "AX AS (SELECT s_suppkey AS idx, s_suppkey * 0.5 + (s_suppkey % 7) * 0.0625 AS value FROM supplier)"
+
+
+def _axis(spark, d):
+    return views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), (F.col("s_suppkey") * 0.5 + F.col("s_suppkey") % 7 * 0.0625).alias("value"))
+
+
+@query(f"WITH {_AXIS} SELECT o_orderkey AS id, arg_min(idx, (abs(value - p), idx)) AS idx FROM (SELECT o_orderkey, o_totalprice / 10000 AS p FROM orders) CROSS JOIN AX GROUP BY 1")
+def nearest_coord(spark, d):
+    at = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 10000).alias("p"))
+    return coords.nearest(at, "p", _axis(spark, d)).select("id", "idx")
+
+
+@query(sql("V", "SELECT d, h, k, round(-180 + h * (360.0 / 23), 6) AS lon, round(90 - d * (180.0 / 29), 6) AS lat FROM V"))
+def interp_coord(spark, d):
+    return views.volume(spark, d).select("d", "h", "k", _r(coords.interpolated(F.col("h"), 24, -180.0, 180.0)).alias("lon"), _r(coords.interpolated(F.col("d"), 30, 90.0, -90.0)).alias("lat"))
+
+
+@query("WITH A AS (SELECT c_nationkey::BIGINT AS g, c_custkey AS idx, c_custkey * 1.0 + (c_custkey % 3) * 0.01 AS value FROM customer), S AS (SELECT g, abs(value - lag(value) OVER (PARTITION BY g ORDER BY idx)) AS s FROM A) SELECT g, round((max(s) - min(s)) / avg(s), 6) AS spread, (max(s) - min(s)) / avg(s) > 0.0005 AS irregular FROM S WHERE s > 1e-7 GROUP BY g")
+def irregular_axis(spark, d):
+    c = F.col("c_custkey")
+    axis = views.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("g"), c.alias("idx"), (c * 1.0 + c % 3 * 0.01).alias("value"))
+    return coords.irregularity(axis, "g").withColumn("spread", _r("spread"))
+
+
+@query("WITH A AS (SELECT c_nationkey::BIGINT AS g, c_custkey AS idx, c_acctbal AS value, lag(c_acctbal) OVER w AS p, lead(c_acctbal) OVER w AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)) SELECT g, idx, value, round(coalesce((p + value) / 2, value - (n - value) / 2, value), 6) AS lo, round(coalesce((value + n) / 2, value + (value - p) / 2, value), 6) AS hi FROM A")
+def cell_bounds(spark, d):
+    axis = views.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("g"), F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("value"))
+    return coords.cell_bounds(axis, "g").withColumns({"lo": _r("lo"), "hi": _r("hi")})
+
+
+NSIDE = 16
+_NPIX, _NCAP = 12 * NSIDE * NSIDE, 2 * NSIDE * (NSIDE - 1)
+_RING = f"""Q AS (SELECT id, pix, CASE WHEN pix < {_NCAP} THEN floor((1 + sqrt(1 + 2 * pix)) / 2)::BIGINT WHEN pix < {_NPIX - _NCAP} THEN {NSIDE} + (pix - {_NCAP}) // {4 * NSIDE} ELSE {4 * NSIDE} - floor((1 + sqrt(1 + 2 * ({_NPIX - 1} - pix))) / 2)::BIGINT END AS ring FROM H),
+Q2 AS (SELECT *, least(ring, {4 * NSIDE} - ring) AS cap, CASE WHEN pix < {_NCAP} THEN pix - 2 * ring * (ring - 1) WHEN pix < {_NPIX - _NCAP} THEN (pix - {_NCAP}) % {4 * NSIDE} ELSE pix - ({_NPIX} - 2 * ({4 * NSIDE} - ring) * ({4 * NSIDE} - ring + 1)) END AS i FROM Q)"""
+_H = f"H AS (SELECT event_id AS id, event_id * 7 % {_NPIX} AS pix FROM events)"
+_A2P = f"""Z AS (SELECT id, sin(radians(lat)) AS z, radians(lon) / (0.5 * pi()) AS tt FROM P),
+Z2 AS (SELECT *, floor({NSIDE} * (0.5 + tt) - {NSIDE} * (0.75 * z))::BIGINT AS jp, floor({NSIDE} * (0.5 + tt) + {NSIDE} * (0.75 * z))::BIGINT AS jm, floor((tt - floor(tt)) * {NSIDE} * sqrt(greatest(3 * (1 - abs(z)), 0)))::BIGINT + floor((1 - tt + floor(tt)) * {NSIDE} * sqrt(greatest(3 * (1 - abs(z)), 0)))::BIGINT + 1 AS ir FROM Z),
+HP AS (SELECT id, CASE WHEN abs(z) <= 2.0 / 3 THEN {_NCAP} + ({NSIDE} + jp - jm) * {4 * NSIDE} + (((floor((jp + jm - {NSIDE} + (1 - ((({NSIDE} + 1 + jp - jm) % 2 + 2) % 2)) + 1) / 2.0)::BIGINT) % {4 * NSIDE} + {4 * NSIDE}) % {4 * NSIDE}) WHEN z > 0 THEN 2 * ir * (ir - 1) + floor(tt * ir)::BIGINT % (4 * ir) ELSE {_NPIX} - 2 * ir * (ir + 1) + floor(tt * ir)::BIGINT % (4 * ir) END AS pix FROM Z2)"""
+
+
+def _pixels(spark, d):
+    return views.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7 % _NPIX).alias("pix"))
+
+
+@query(sql("P", "").rstrip() + f", {_A2P} SELECT id, pix FROM HP")
+def healpix_ang2pix(spark, d):
+    p = views.points(spark, d)
+    return p.select("id", healpix.ang2pix(NSIDE, F.radians("lon"), F.radians("lat")).alias("pix"))
+
+
+@query(f"WITH {_H}, {_RING} SELECT id, pix, round(CASE WHEN cap < {NSIDE} THEN (i + 0.5) * pi() / (2 * cap) ELSE (i + CASE WHEN (ring - {NSIDE}) % 2 = 0 THEN 0.5 ELSE 0 END) * pi() / {2 * NSIDE} END, 6) AS lon, round(asin(CASE WHEN cap < {NSIDE} THEN CASE WHEN ring < {NSIDE} THEN 1 ELSE -1 END * (1 - cap * cap / {3.0 * NSIDE * NSIDE}) ELSE 2 * ({2 * NSIDE} - ring) / {3.0 * NSIDE} END), 6) AS lat FROM Q2")
+def healpix_pix2ang(spark, d):
+    p = _pixels(spark, d).withColumn("a", healpix.pix2ang(NSIDE, F.col("pix")))
+    return p.select("id", "pix", _r("a.lon").alias("lon"), _r("a.lat").alias("lat"))
+
+
+@query(f"WITH {_H}, {_RING} SELECT id, pix, ring, i AS place FROM Q2")
+def healpix_ring_of(spark, d):
+    p = _pixels(spark, d).withColumn("a", healpix.pix2ring(NSIDE, F.col("pix")))
+    return p.select("id", "pix", F.col("a.ring").alias("ring"), F.col("a.index").alias("place"))
+
+
+_BITS = range(NSIDE.bit_length() - 1)
+_N2R = f"""N0 AS (SELECT id, pix, pix // {NSIDE * NSIDE} AS f, {' + '.join(f'(((pix % {NSIDE * NSIDE}) >> {2 * k}) & 1) * {1 << k}' for k in _BITS)} AS ix, {' + '.join(f'(((pix % {NSIDE * NSIDE}) >> {2 * k + 1}) & 1) * {1 << k}' for k in _BITS)} AS iy FROM {{source}}),
+N1 AS (SELECT *, {healpix.FACE_RING}[f + 1] * {NSIDE} - ix - iy - 1 AS jr, {healpix.FACE_PHI}[f + 1] AS jp FROM N0),
+N2 AS (SELECT *, least(jr, {4 * NSIDE} - jr, {NSIDE}) AS nr, CASE WHEN jr < {NSIDE} OR jr > {3 * NSIDE} THEN 0 ELSE (jr - {NSIDE}) % 2 END AS ks FROM N1),
+N3 AS (SELECT *, (jp * nr + ix - iy + 1 + ks) // 2 AS ip FROM N2),
+NR AS (SELECT id, pix AS nest, ((ip - 1) % (4 * nr) + 4 * nr) % (4 * nr) + CASE WHEN jr < {NSIDE} THEN 2 * jr * (jr - 1) WHEN jr <= {3 * NSIDE} THEN {_NCAP} + (jr - {NSIDE}) * {4 * NSIDE} ELSE {_NPIX} - 2 * nr * (nr + 1) END AS ring FROM N3)"""
+
+
+@query(f"WITH {_H}, {_N2R.format(source='H')} SELECT id, nest, ring FROM NR")
+def healpix_nest2ring(spark, d):
+    return _pixels(spark, d).select("id", F.col("pix").alias("nest"), healpix.nest2ring(NSIDE, F.col("pix")).alias("ring"))
+
+
+@query(f"WITH {_H}, AL AS (SELECT 0 AS id, unnest(range(0, {_NPIX})) AS pix), {_N2R.format(source='AL')} SELECT H.id, H.pix AS ring, NR.nest FROM H JOIN NR ON NR.ring = H.pix")
+def healpix_ring2nest(spark, d):
+    return _pixels(spark, d).select("id", F.col("pix").alias("ring"), healpix.ring2nest(NSIDE, F.col("pix")).alias("nest"))
+
+
+@query("SELECT l_orderkey AS o, l_partkey AS p, " + " + ".join(f"((l_orderkey >> {k}) & 1) * {1 << 2 * k} + ((l_partkey >> {k}) & 1) * {1 << 2 * k + 1}" for k in range(20)) + " AS m FROM lineitem")
+def morton(spark, d):
+    return views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), healpix.interleave(F.col("l_orderkey"), F.col("l_partkey"), 20).alias("m"))
+
+
+@query(sql("P", "SELECT id, least(floor(((lon + 180.0) % 360.0) / 360.0 * 72), 71)::BIGINT AS x, least(floor((90.0 - lat) / 180.0 * 36), 35)::BIGINT AS y FROM P"))
+def cell_regular(spark, d):
+    return views.points(spark, d).select("id", coords.regular_cell(F.col("lon"), F.col("lat"), 72, 36).alias("c")).select("id", "c.x", "c.y")
+
+
+_SL = math.degrees(0.05)
+
+
+@query(sql("P", f"SELECT id, greatest(least(floor((lon - 5) / 35 * 70), 69), 0)::BIGINT AS x, 39 - greatest(least(floor((lat - 30) / 40 * 40), 39), 0)::BIGINT AS y FROM P WHERE lon BETWEEN 5 - {_SL} AND 40 + {_SL} AND lat BETWEEN 30 - {_SL} AND 70 + {_SL}"))
+def cell_regional(spark, d):
+    c = coords.regional_cell(F.col("lon"), F.col("lat"), 70, 40, 5.0, 40.0, 30.0, 70.0)
+    return views.points(spark, d).select("id", c.alias("c")).where("c IS NOT NULL").select("id", "c.x", "c.y")
+
+
+@query(sql("L", "SELECT s, l, round(-180 + (l - 0.5) / 7 * 360, 6) AS lon, round(90 - (s % 36 + 0.5) / 36 * 180, 6) AS lat FROM L"))
+def cell_center(spark, d):
+    c = coords.cell_centre(F.col("l") - 1, F.col("s") % 36, 7, 36)
+    return views.lines(spark, d).select("s", "l", c.alias("c")).select("s", "l", _r("c.lon").alias("lon"), _r("c.lat").alias("lat"))
+
+
+@query(sql("P", "SELECT id, round(cos(radians(lat)) * sin(radians(lon)), 6) AS px, round(sin(radians(lat)), 6) AS py, round(cos(radians(lat)) * cos(radians(lon)), 6) AS pz FROM P"))
+def lonlat_xyz(spark, d):
+    c = views.points(spark, d).select("id", coords.unit_sphere(F.col("lon"), F.col("lat")).alias("c"))
+    return c.select("id", *[_r(f"c.{n}").alias(n) for n in ("px", "py", "pz")])
+
+
+@query(sql("P", "").rstrip() + f", {_A2P} SELECT pix, count(*) AS n, round(avg(value), 6) AS mean FROM HP JOIN events ON id = event_id GROUP BY pix")
+def healpix_bin_mean(spark, d):
+    e = F.col("event_id")
+    at = views.table(spark, d, "events").select(healpix.ang2pix(NSIDE, F.radians(e * 37 % 3600 / 10.0), F.radians(e * 53 % 1799 / 10.0 - 89.9)).alias("pix"), "value")
+    return at.groupBy("pix").agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"))
+
+
+# --- scalars ---------------------------------------------------------------------------------------------------------
+
+_U = f"least(greatest((v - {VLOW}) / {VHIGH - VLOW}, 0), 1)"
+_S0 = max(VHIGH * 0.001, 1e-12)
+_SCALES = {
+    "linear": (scale.LINEAR, _U),
+    "log": (scale.LOG, f"CASE WHEN v <= {_S0} THEN 0 ELSE least(greatest((ln(greatest(v, {_S0})) - ln({_S0})) / (ln({VHIGH}) - ln({_S0})), 0), 1) END"),
+    "symlog": (scale.SYMLOG, f"ln(1 + {_U} * {VHIGH}) / ln(1 + {VHIGH})"),
+    "sqrt": (scale.SQRT, f"0.5 + 0.5 * sign(2 * {_U} - 1) * sqrt(abs(2 * {_U} - 1))"),
+    "exp": (scale.EXP, f"(exp({_U} * 3) - 1) / (exp(3) - 1)"),
+}
+_T = "(least(greatest(v / 400, 0), 1))"
+_UNSCALES = {
+    "linear": f"400 * {_T}",
+    "log": f"exp(ln({_S0}) + {_T} * (ln(400) - ln({_S0})))",
+    "symlog": f"least(greatest((pow(401, {_T}) - 1) / 400, 0), 1) * 400",
+    "sqrt": f"(0.5 + 0.5 * sign(2 * {_T} - 1) * pow(2 * {_T} - 1, 2)) * 400",
+    "exp": f"ln(1 + {_T} * (exp(3) - 1)) / 3 * 400",
+}
+for _n, (_kind, _expr) in _SCALES.items():
+
+    def _scale(spark, d, kind=_kind):
+        return views.volume(spark, d).where("v IS NOT NULL").select("d", "h", "k", _r(scale.scale(F.col("v"), VLOW, VHIGH, kind)).alias("t"))
+
+    def _unscale(spark, d, kind=_kind):
+        return views.volume(spark, d).where("v IS NOT NULL").select("d", "h", "k", _r(scale.unscale(F.col("v") / 400, VLOW, VHIGH, kind), 5).alias("u"))
+
+    query(sql("V", f"SELECT d, h, k, round({_expr}, 6) AS t FROM V WHERE v IS NOT NULL"), f"scale_{_n}")(_scale)
+    query(sql("V", f"SELECT d, h, k, round({_UNSCALES[_n]}, 5) AS u FROM V WHERE v IS NOT NULL"), f"unscale_{_n}")(_unscale)
+
+
+def _ramp(t: str, name: str, channel: int) -> str:
+    stops = [c[channel] for c in scale.COLORMAPS[name]]
+    n = len(stops) - 1
+    seg = f"least(floor({t} * {n}), {n - 1})::INT"
+    ramp = f"{stops}::DOUBLE[]"
+    return f"({ramp})[{seg} + 1] + (({ramp})[{seg} + 2] - ({ramp})[{seg} + 1]) * ({t} * {n} - {seg})"
+
+
+@query(sql("V", "SELECT d, h, k, " + ", ".join(f"round({_ramp(_U, m, i)}, 6) AS {m}_{c}" for m in ("viridis", "coolwarm") for i, c in enumerate("rgb")) + " FROM V WHERE v IS NOT NULL"))
+def colormap_rgb(spark, d):
+    t = scale.scale(F.col("v"), VLOW, VHIGH)
+    out = views.volume(spark, d).where("v IS NOT NULL").select("d", "h", "k", *[scale.colormap(t, m).alias(m) for m in ("viridis", "coolwarm")])
+    return out.select("d", "h", "k", *[_r(f"{m}.{c}").alias(f"{m}_{c}") for m in ("viridis", "coolwarm") for c in "rgb"])
+
+
+_UC = "((floor(least(greatest((v - 20) / 280, 0), 0.999999) * 5) + 0.5) / 5)"
+
+
+@query(sql("V", "SELECT d, h, k, " + ", ".join(f"round(CASE WHEN v IS NULL THEN 0.5 WHEN v < 20 THEN {lo} WHEN v > 300 THEN {hi} ELSE {_ramp(_UC, 'turbo', i)} END, 6) AS {c}" for i, (c, lo, hi) in enumerate(zip("rgb", (0.0, 0.0, 1.0), (1.0, 0.0, 0.0)))) + " FROM V"))
+def colour_policy(spark, d):
+    out = views.volume(spark, d).select("d", "h", "k", scale.colour_policy(F.col("v"), 20.0, 300.0, "turbo", categories=5).alias("c"))
+    return out.select("d", "h", "k", *[_r(f"c.{c}").alias(c) for c in "rgb"])
+
+
+@query(sql("E", f"SELECT y, x, round(least(greatest(v / 0.25, -1), 1) * 0.8, 6) AS height, round(least(greatest((v - 0.01) / 0.24, 0), 1) * 0.6, 6) AS step FROM E"))
+def surface_height(spark, d):
+    v = F.col("v")
+    return views.matrix(spark, d).select("y", "x", _r(scale.surface_height(v, LOW, HIGH)).alias("height"), _r(scale.surface_height(v, 0.01, 0.25, steps=True)).alias("step"))
+
+
+_FB = "CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN f(b / 1024.0) || ' KB' WHEN b < 1073741824 THEN f(b / 1048576.0) || ' MB' ELSE f(b / 1073741824.0) || ' GB' END"
+
+
+def _sized(x: str) -> str:
+    return f"CASE WHEN round((({x}) - floor({x})) * 10) = 0 THEN printf('%.0f', {x}) ELSE printf('%.1f', round({x}, 1)) END"
+
+
+@query(
+    "SELECT o_orderkey AS id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN " + _sized("b / 1024.0::DOUBLE") + " || ' KB' WHEN b < 1073741824 THEN " + _sized("b / 1048576.0::DOUBLE") + " || ' MB' ELSE " + _sized("b / 1073741824.0::DOUBLE") + " || ' GB' END AS size, "
+    "CASE WHEN b >= 1000000 THEN CASE WHEN round((b / 1e6 - floor(b / 1e6)) * 100) = 0 THEN printf('%.0f', b / 1e6) ELSE printf('%.2f', round(b / 1e6, 2)) END || 'M' WHEN b >= 1000 THEN " + _sized("b / 1e3") + " || 'K' ELSE b::VARCHAR END AS metric "
+    "FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 16 + o_orderkey * 3) AS b FROM orders)"
+)
+def fmt_bytes(spark, d):
+    k = F.col("o_orderkey")
+    b = views.table(spark, d, "orders").select(k.alias("id"), (k * k * 16 + k * 3).alias("b"))
+    return b.select("id", fmt.byte_size(F.col("b")).alias("size"), fmt.count_metric(F.col("b")).alias("metric"))
+
+
+@query(
+    "SELECT id, CASE WHEN v = 0 THEN '0' WHEN v < 0.001 OR v >= 10000 THEN regexp_replace(regexp_replace(printf('%.2f', m), '0+$', ''), '\\.$', '') || 'e' || p WHEN v - floor(v) < 1e-5 THEN printf('%.0f', v) WHEN v * 10 - floor(v * 10) < 1e-5 THEN printf('%.1f', v) ELSE printf('%.2f', round(v, 2)) END AS label "
+    "FROM (SELECT *, CASE WHEN r >= 10 THEN r / 10 ELSE r END AS m, (CASE WHEN r >= 10 THEN e + 1 ELSE e END)::INT AS p FROM (SELECT *, round(v / pow(10, e), 2) AS r FROM (SELECT *, CASE WHEN v > 0 THEN floor(log10(v)) END AS e FROM (SELECT o_orderkey AS id, (o_orderkey % 4001) * 0.25 * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 64 ELSE 0.0009765625 END AS v FROM orders))))"
+)
+def fmt_tick(spark, d):
+    k = F.col("o_orderkey")
+    v = (k % 4001) * 0.25 * F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 64.0).otherwise(0.0009765625)
+    return views.table(spark, d, "orders").select(k.alias("id"), fmt.tick(v).alias("label"))
+
+
+@query(
+    "SELECT event_id AS id, strftime(DATE '2024-01-01' + (t // 24)::INT, '%m-%d-%Y') || ' ' || lpad((t % 24)::VARCHAR, 2, '0') || ':00' AS stamp, CASE WHEN s = 0 THEN '0 h' WHEN s % 3600 = 0 THEN s // 3600 || ' h' WHEN s % 60 = 0 THEN s // 60 || ' min' ELSE s || ' s' END AS span, printf('%.2f', round(event_id / 8.0::DOUBLE, 2)) || '°' AS angle FROM (SELECT event_id, event_id * 5 AS t, event_id * 20 AS s FROM events)"
+)
+def cf_time(spark, d):
+    e = F.col("event_id").cast("double")
+    return views.table(spark, d, "events").select(
+        F.col("event_id").alias("id"), fmt.cf_time(e * 5, F.lit("hours since 2024-01-01")).alias("stamp"), fmt.cf_time(e * 20, F.lit("seconds")).alias("span"), fmt.cf_time(e / 8, F.lit("degrees_north")).alias("angle")
+    )
+
+
+@query("SELECT o_orderkey AS id, strftime(DATE '1979-01-01' + (o_orderkey % 4000 * 8)::INT, '%Y-%m-%d') AS label, date_diff('day', DATE '1979-01-01', o_orderdate::DATE)::BIGINT // 8 AS step FROM orders")
+def axis_dates(spark, d):
+    o = views.table(spark, d, "orders")
+    start = F.lit("1979-01-01").cast("date")
+    return o.select(F.col("o_orderkey").alias("id"), F.date_format(F.date_add(start, (F.col("o_orderkey") % 4000 * 8).cast("int")), "yyyy-MM-dd").alias("label"), F.floor(F.datediff(F.col("o_orderdate").cast("date"), start) / 8).cast("long").alias("step"))
+
+
+@query(sql("V", "").rstrip() + ", B0 AS (SELECT k, coalesce(min(v), 0) AS lo, coalesce(max(v), 1) AS hi FROM V GROUP BY k) SELECT k, i, round(lo + i * (hi - lo) / 6, 6) AS at FROM B0, (SELECT unnest(range(0, 7)) AS i)")
+def ticks7(spark, d):
+    b = reduce.bounds(views.volume(spark, d), "k").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    return b.select("k", "i", _r(F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / 6).alias("at"))
+
+
+# --- metadata, residency, windows ------------------------------------------------------------------------------------
+
+
+@query(sql("VAR", "SELECT name, pos FROM VAR WHERE contains(lower(name), 'ring') OR contains(lower(long_name), 'ring') OR contains(lower(coalesce(units, '')), 'ring') OR contains(split_part(grp, '/', 2), 'ring')"))
+def var_search(spark, d):
+    return catalog.search_variables(views.variables(spark, d), "Ring").select("name", "pos")
+
+
+@query(sql("VAR", "SELECT grp, count(*) AS n FROM (SELECT unnest([grp, split_part(grp, '/', 1), '']) AS grp FROM VAR) GROUP BY grp"))
+def var_tree_counts(spark, d):
+    return catalog.group_counts(views.variables(spark, d))
+
+
+@query(sql("VAR", "SELECT grp, name, pos2 AS pos, total FROM (SELECT grp, name, row_number() OVER (PARTITION BY grp ORDER BY name) AS pos2, count(*) OVER (PARTITION BY grp) AS total FROM VAR) WHERE pos2 <= 100"))
+def var_top100(spark, d):
+    return catalog.first_per_group(views.variables(spark, d).drop("pos"), "name").select("grp", "name", F.col("pos").cast("long").alias("pos"), "total")
+
+
+@query(
+    sql("VAR", "").rstrip()
+    + """, GR AS (SELECT grp, CASE WHEN n % 2 = 0 THEN 'unit_' || n END AS value FROM (SELECT grp, count(*) AS n FROM VAR GROUP BY grp) UNION ALL SELECT split_part(grp, '/', 1), 'of_type' FROM VAR GROUP BY 1)
+SELECT name, coalesce(units, g.value, t.value) AS units FROM VAR LEFT JOIN GR g ON g.grp = VAR.grp LEFT JOIN GR t ON t.grp = split_part(VAR.grp, '/', 1)"""
+)
+def attr_inherit(spark, d):
+    v = views.variables(spark, d)
+    grp = fmt.group_path(F.col("name"))
+    sizes = v.groupBy(grp.alias("grp")).agg(F.count("*").alias("n")).select("grp", F.when(F.col("n") % 2 == 0, F.concat(F.lit("unit_"), F.col("n").cast("string"))).alias("value"))
+    types = v.select(F.substring_index("name", "/", 1).alias("grp")).distinct().withColumn("value", F.lit("of_type"))
+    return catalog.inherit(v, sizes.unionByName(types), "units").select("name", "units")
+
+
+@query("SELECT c_custkey AS id, c_name AS label FROM customer WHERE (contains(lower(c_name), '00012') OR contains(lower(c_mktsegment), '00012')) AND c_mktsegment = 'BUILDING'")
+def catalog_filter(spark, d):
+    c = views.table(spark, d, "customer")
+    return catalog.filter_catalog(c, "00012", ["c_name", "c_mktsegment"], ("c_mktsegment", "BUILDING")).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
+
+
+@query(sql("B", "SELECT source, variable, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM B GROUP BY 1, 2"))
+def cache_summary(spark, d):
+    return catalog.cache_summary(views.blocks(spark, d))
+
+
+@query(sql("B", "SELECT source, variable, block, held FROM (SELECT source, variable, block, sum(bytes) OVER (PARTITION BY source, variable ORDER BY last_access DESC, block DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS held FROM B) WHERE held <= 20000000"))
+def lru_survivors(spark, d):
+    return catalog.lru_survivors(views.blocks(spark, d), 20_000_000, "source", "variable").select("source", "variable", "block", "held")
+
+
+@query(sql("B R", "SELECT request, source, variable, step FROM R WHERE NOT EXISTS (SELECT 1 FROM B WHERE B.source = R.source AND B.variable = R.variable)"))
+def uncached_requests(spark, d):
+    return catalog.uncached(views.requests(spark, d), views.blocks(spark, d), ["source", "variable"]).select("request", "source", "variable", "step")
+
+
+@query(sql("B R", "SELECT request, source, variable, step FROM R WHERE EXISTS (SELECT 1 FROM B WHERE B.source = R.source AND B.variable = R.variable AND R.step >= B.start AND R.step < B.stop)"))
+def covering_blocks(spark, d):
+    return catalog.covered(views.requests(spark, d), views.blocks(spark, d), ["source", "variable"], chunk=8)
+
+
+@query("SELECT user_id, day // 7 * 7 AS start, least(day // 7 * 7 + 7, 30) AS stop, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT user_id, value, floor((epoch(ts)::DOUBLE - 1704067200) / 86400)::BIGINT AS day FROM events) GROUP BY 1, 2, 3")
+def window_tumbling(spark, d):
+    day = F.floor((views.seconds("ts") - views.EPOCH) / 86400)
+    e = views.table(spark, d, "events").select("user_id", "value", catalog.tumbling(day, 7, 30).alias("w"))
+    return e.groupBy("user_id", F.col("w.start").alias("start"), F.col("w.stop").alias("stop")).agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_id AS id, list_transform([1, 2, 3], lambda i: (event_id % 97 // 10 + i) % 10) AS looped, list_filter(list_transform([1, 2, 3], lambda i: event_id % 97 // 10 + i), lambda c: c < 10) AS once FROM events")
+def window_lookahead(spark, d):
+    t = F.col("event_id") % 97
+    return views.table(spark, d, "events").select(F.col("event_id").alias("id"), catalog.lookahead(t, 10, 97, 3, True).alias("looped"), catalog.lookahead(t, 10, 97, 3, False).alias("once"))
+
+
+@query("SELECT round(1 - (count(*) FILTER (hit = 0)) / count(*)::DOUBLE, 6) AS rate, user_id FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS hit FROM events) GROUP BY user_id")
+def hit_rate(spark, d):
+    e = views.table(spark, d, "events")
+    return e.groupBy("user_id").agg(_r(F.count_if(F.col("event_type") != "error") / F.count("*")).alias("rate"))
+
+
+# --- closed-form fields and polylines ----------------------------------------------------------------------------------
+
+from gridloom.sources import procedural  # noqa: E402
+
+_CELLS = "C AS (SELECT event_id AS id, event_id % 20 AS t, event_id // 20 % 32 AS z, event_id // 640 % 32 AS y, event_id * 13 % 32 AS x FROM events)"
+_PACKET = """C1 AS (SELECT *, 2 * pi() * (t / 19.0::DOUBLE) AS phi, t / 19.0::DOUBLE AS ft FROM C),
+C2 AS (SELECT *, 5 + (50 + 30 * sin(phi)) * exp(-(pow(x / 31.0::DOUBLE - 0.5 - 0.3 * cos(phi), 2) + pow(y / 31.0::DOUBLE - 0.5 - 0.3 * sin(phi), 2) + pow(z / 31.0::DOUBLE - 0.2 - 0.6 * ft, 2)) / 0.045) AS v FROM C1)"""
+
+
+@query(f"WITH {_CELLS}, {_PACKET} SELECT id, round(v, 6) AS v FROM C2")
+def packet_4d(spark, d):
+    e = F.col("event_id")
+    at = views.table(spark, d, "events").select(e.alias("id"), (e % 20).alias("t"), F.floor(e / 20).alias("_a"), F.floor(e / 640).alias("_b"), (e * 13 % 32).alias("x"))
+    v = procedural.packet(F.col("t"), F.col("_a") % 32, F.col("_b") % 32, F.col("x"), (20, 32, 32, 32))
+    return at.select("id", _r(v).alias("v"))
+
+
+@query(f"WITH {_CELLS}, {_PACKET} SELECT t, round(max(v), 6) AS peak, count(*) AS n FROM C2 GROUP BY t")
+def packet_peak(spark, d):
+    e = F.col("event_id")
+    v = procedural.packet(e % 20, F.floor(e / 20) % 32, F.floor(e / 640) % 32, e * 13 % 32, (20, 32, 32, 32))
+    return views.table(spark, d, "events").groupBy((e % 20).alias("t")).agg(_r(F.max(v)).alias("peak"), F.count("*").alias("n"))
+
+
+_VERT = "VX AS (SELECT user_id AS line, event_id AS i, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id * 97 % 3600) / 10.0::DOUBLE - 180 END AS lon, (event_id * 31 % 1700) / 10.0::DOUBLE - 85 AS lat FROM events), SG AS (SELECT * FROM (SELECT line, i, lon AS lon1, lat AS lat1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM VX WINDOW w AS (PARTITION BY line ORDER BY i)) WHERE lon1 IS NOT NULL AND lon2 IS NOT NULL)"
+
+
+def _vertices(spark, d):
+    e = F.col("event_id")
+    return views.table(spark, d, "events").select(F.col("user_id").alias("line"), e.alias("i"), F.when(e % 11 != 0, e * 97 % 3600 / 10.0 - 180).alias("lon"), (e * 31 % 1700 / 10.0 - 85).alias("lat"))
+
+
+def _rounded(df):
+    return df.withColumns({c: _r(c) for c in ("lon1", "lat1", "lon2", "lat2")})
+
+
+@query(f"WITH {_VERT} SELECT line, i, round(lon1, 6) AS lon1, round(lat1, 6) AS lat1, round(lon2, 6) AS lon2, round(lat2, 6) AS lat2 FROM SG")
+def polyline_segments(spark, d):
+    return _rounded(vectors.segments(_vertices(spark, d), "line", "i"))
+
+
+@query(
+    f"""WITH {_VERT}, F AS (SELECT *, abs(lon1 - lon2) > 180 AND abs(side - lon1) + abs(side + lon2) > 0 AS far, lat1 + abs(side - lon1) / nullif(abs(side - lon1) + abs(side + lon2), 0) * (lat2 - lat1) AS lat FROM (SELECT *, CASE WHEN lon1 > 0 THEN 180.0::DOUBLE ELSE -180.0::DOUBLE END AS side FROM SG))
+SELECT line, i, 0 AS part, round(lon1, 6) AS lon1, round(lat1, 6) AS lat1, round(CASE WHEN far THEN side ELSE lon2 END, 6) AS lon2, round(CASE WHEN far THEN lat ELSE lat2 END, 6) AS lat2 FROM F UNION ALL SELECT line, i, 1, round(-side, 6), round(lat, 6), round(lon2, 6), round(lat2, 6) FROM F WHERE far"""
+)
+def antimeridian_split(spark, d):
+    return _rounded(vectors.split_antimeridian(vectors.segments(_vertices(spark, d), "line", "i")))
+
+
+@query(sql("E", "").rstrip() + ", K AS (SELECT 2 * max(y // 2) + 1 AS h FROM E), F2 AS (SELECT h // 2 - y // 2 AS y, x // 2 AS x, avg(v) AS v FROM E, K WHERE x >= 8 AND x < 56 GROUP BY 1, 2) SELECT y, round(min(v), 6) AS lo, round(max(v), 6) AS hi, count(*) AS n FROM F2 GROUP BY y")
+def flagship(spark, d):
+    """Range selection, flip, 2 x 2 mean and row bounds of the embedding matrix; boxes keep their rows together when flipped."""
+    last = views.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0]
+    size = 2 * (last // 2) + 2
+    half = pyramid.halve(select.flip(views.matrix(spark, d, Range(8, 56)), "y", size))
+    return half.groupBy("y").agg(_r(F.min("v")).alias("lo"), _r(F.max("v")).alias("hi"), F.count("*").alias("n"))
