@@ -2,13 +2,14 @@
 
 (1) Blocks.  Each task cuts its texts into words (a run of white space and the run of other characters after it, where the
 byte-level vocabulary always cuts too) and keeps, for a block of texts, its distinct words and each text as positions in that
-list.  (2) Word table.  The distinct words of all blocks are made unique by Spark and each is encoded once.  (3) Join.  The
-table is joined back to the blocks' word lists, one row per block and distinct word, never per occurrence, and each block's
-list of ids meets the block's positions.  (4) Ids of a text are its words' ids in order of position.  Decoding looks every
-id up in the id-to-piece table, whose size is that of the vocabulary file, and joins the pieces.
+list.  (2) Word table.  A block's distinct words go to buckets by their hash, packed into one row per block and bucket, so
+that equal words of all blocks meet in one place, where each is encoded once.  (3) Join.  The ids go back, packed the same
+way, to the block they came from and meet its positions: a join of one row per block and bucket, never of occurrences.  Ids
+of a text are its words' ids in order of position.  Decoding looks every id up in the id-to-piece table, whose size is that of
+the vocabulary file, and joins the pieces.
 
 The blocks are derived twice from the same scan, once for their words and once for their positions, because that costs less
-disk than keeping them; a block's key is a hash of its texts, and a block that finds no word list fails loudly.
+disk than keeping them; a block's key is a hash of its texts, and a block that does not find its words fails loudly.
 
 Defined results: a null text is an empty one (no ids, empty text); an empty text likewise; very long texts are one row of one
 block; repeated rows are encoded row by row; control strings of the vocabulary inside texts become their special ids, as in
@@ -20,11 +21,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import width
 from gridloom.llm.words import BARE, CHUNK, encode_words, load
 
 #: Characters of text in a block, about.
@@ -55,45 +57,83 @@ def _key(rows) -> int:
     return int(np.uint64(h.intdigest()).astype(np.int64))
 
 
-def _cut(rows, lead: bool) -> tuple[pa.DictionaryArray, list[int]]:
-    find = CHUNK.findall if lead else BARE.findall
-    cut = [find(text) for _, text in rows]
-    words = pa.chunked_array([pa.array(w, pa.string()) for w in cut], pa.string())
-    coded = pc.dictionary_encode(words).combine_chunks() if len(words) else pa.array([], pa.string()).dictionary_encode()
-    return coded, [len(w) for w in cut]
+def _pack(*arrays) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(bytes(x) if isinstance(x, pa.Buffer) else x for x in arrays))
 
-def _word_lists(lead: bool):
+
+def _unpack(x: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
+def _cut(rows, lead: bool, buckets: int):
+    """Distinct words in order of their bucket, the first of each bucket, and the texts as positions in that order."""
+    find = CHUNK.findall if lead else BARE.findall
+    cut = [find(text) for _, text in rows]
+    sizes = [len(w) for w in cut]
+    words = pa.chunked_array([pa.array(w, pa.string()) for w in cut], pa.string()).combine_chunks()
+    coded = words.dictionary_encode()
+    bucket = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.arange(len(order), dtype="<u4")
+    starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return coded.dictionary.take(pa.array(order)), starts, rank[coded.indices.to_numpy(zero_copy_only=False)], sizes
+
+
+def _word_lists(lead: bool, buckets: int):
     def run(batches):
         for rows in _blocks(batches):
-            key, words = _key(rows), _cut(rows, lead)[0].dictionary
-            for at in range(0, len(words), 20_000):
-                part = words.slice(at, 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], ["block", "no", "word"])
+            key = _key(rows)
+            words, starts, _, _ = _cut(rows, lead, buckets)
+            if not len(words):
+                continue
+            ends = np.frombuffer(words.buffers()[1], "<i4")[: len(words) + 1]
+            data, sizes = words.buffers()[2], np.diff(ends).astype("<u4")
+            full = [k for k in range(buckets) if starts[k + 1] > starts[k]]
+            packed = [_pack(sizes[starts[k] : starts[k + 1]].tobytes(), data.slice(int(ends[starts[k]]), int(ends[starts[k + 1]] - ends[starts[k]]))) for k in full]
+            counts = [int(starts[k + 1] - starts[k]) for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([key] * len(full), pa.int64()), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block", "n", "words"])
 
     return run
 
 
-def _positions(lead: bool):
+def _positions(lead: bool, buckets: int):
     def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1)
         for rows in _blocks(batches):
-            coded, sizes = _cut(rows, lead)
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype("<u4")
+            words, _, codes, sizes = _cut(rows, lead, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack.compress(codes.tobytes())], pa.binary())],
-                ["block", "doc_ids", "sizes", "codes"],
+                [pa.array([_key(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([_pack(codes.tobytes())], pa.binary())],
+                ["block", "doc_ids", "sizes", "n", "codes"],
             )
 
     return run
 
 
+#: Words that a task of the word table remembers at once; a bucket holds fewer unless partitions are far too few.
+TABLE_WORDS = 1_500_000
+
+
 def _encode(path: str):
+    """Rows of one bucket stand together: every distinct word of a bucket is encoded once."""
+
     def run(batches):
+        known: dict[str, bytes] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode_words(path, b.column(0).to_pylist()), pa.binary())], ["word", "ids"])
+            for at in range(b.num_rows):
+                n, raw = b.column(2)[at].as_py(), _unpack(b.column(3)[at].as_py())
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n))]).astype("<i4")
+                words = pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 * n :])).to_pylist()
+                if len(known) > TABLE_WORDS:
+                    known = {}
+                new = list(set(words).difference(known))
+                known.update(zip(new, encode_words(path, new), strict=True))
+                ids = [known[w] for w in words]
+                sizes = np.fromiter(map(len, ids), "<u4", n) // 4
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1), b.column(1).slice(at, 1), b.column(2).slice(at, 1), pa.array([_pack(sizes.astype("<u4").tobytes(), *ids)], pa.binary())], ["bucket", "block", "n", "ids"])
 
     return run
 
@@ -120,25 +160,19 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.nd
 
 
 def texts_of(batches):
-    """doc_id and ids of every text, block by block, from positions and word lists."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor()
+    """doc_id and ids of every text, block by block, from positions and packed ids (in order of their buckets)."""
     for b in batches:
-        for row in range(b.num_rows):
-            doc_ids, sizes, codes, nos, words = (b.column(k)[row] for k in range(1, 6))
-            codes = np.frombuffer(unpack.decompress(codes.as_py()), "<u4").astype(np.int64)
-            no = np.array(nos.values.to_numpy(zero_copy_only=False)) if nos.is_valid else np.empty(0, np.int64)
-            if len(codes) and (not len(no) or no.max() < codes.max()):
-                raise ValueError("a block of texts found no word list: its scan did not repeat")
-            by_no = np.empty(int(no.max()) + 1 if len(no) else 0, dtype=object)
-            if len(no):
-                by_no[no] = words.values.to_pylist()
-            width = np.array([len(w) // 4 for w in by_no], np.int64)
-            flat = np.frombuffer(b"".join(by_no), "<u4")
+        for row in b.to_pylist():
+            codes = np.frombuffer(_unpack(row["codes"]), "<u4").astype(np.int64)
+            parts = row["coded"] or []
+            if sum(p["n"] for p in parts) != row["n"]:
+                raise ValueError("a block of texts did not find its words: its scan did not repeat")
+            raw = [_unpack(p["ids"]) for p in parts]
+            width = np.concatenate([np.frombuffer(x, "<u4", p["n"]) for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")]).astype(np.int64)
+            flat = np.concatenate([np.frombuffer(x, "<u4", -1, 4 * p["n"]) if len(x) > 4 * p["n"] else np.empty(0, "<u4") for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")])
             starts = np.cumsum(width) - width
             at = 0
-            for ident, n in zip(doc_ids.as_py(), sizes.as_py(), strict=True):
+            for ident, n in zip(row["doc_ids"], row["sizes"], strict=True):
                 yield ident, ragged(flat, starts, width, codes[at : at + n])
                 at += n
 
@@ -162,18 +196,15 @@ def _out(columns):
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.string())], ["doc_id", "ids", "decoded"])
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """Distinct ``word`` to its ids (binary: little-endian unsigned 32-bit)."""
-    return words.select("word").distinct().mapInArrow(_encode(path), "word string, ids binary")
-
-
 def coded_blocks(docs: DataFrame, tokenizer_file: str, text: str, doc_id: str, lead: bool) -> DataFrame:
     """Blocks of texts with the ids of their distinct words, for :func:`texts_of`.  ``lead``: white space before a word counts."""
+    buckets = width(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lists = rows.mapInArrow(_word_lists(lead), "block long, no int, word string")
-    coded = lists.join(word_table(lists, tokenizer_file), "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("coded"))
-    positions = rows.mapInArrow(_positions(lead), "block long, doc_ids array<long>, sizes array<int>, codes binary")
-    return positions.join(coded, "block", "left").select("block", "doc_ids", "sizes", "codes", F.col("coded.no").alias("nos"), F.col("coded.ids").alias("ids"))
+    lists = rows.mapInArrow(_word_lists(lead, buckets), "bucket int, block long, n int, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    table = lists.mapInArrow(_encode(tokenizer_file), "bucket int, block long, n int, ids binary")
+    coded = table.groupBy("block").agg(F.array_sort(F.collect_set(F.struct("bucket", "n", "ids"))).alias("coded"))
+    positions = rows.mapInArrow(_positions(lead, buckets), "block long, doc_ids array<long>, sizes array<int>, n int, codes binary")
+    return positions.join(coded, "block", "left")
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
