@@ -36,24 +36,5 @@ def encode_words(path: str, words: list[str]) -> list[bytes]:
     return [np.array(e.ids, dtype="<u4").tobytes() for e in batch(words, add_special_tokens=False)]
 
 
-class word_encoder:
-    """Encodes texts of one task; every distinct chunk is encoded once as long as the cache holds it."""
-
-    def __init__(self, path: str, most: int, lead: bool = False):
-        self.path, self.most, self.known = path, most, {}
-        #: Without leading white space fewer chunks are distinct; only vocabularies that drop white space allow it.
-        self.split = CHUNK.findall if lead else _bare
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(t) for t in texts]
-        new = list({w for words in cut for w in words} - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list({w for words in cut for w in words})
-        self.known.update(zip(new, encode_words(self.path, new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
-
-
+#: Words without the white space before them, for vocabularies that drop it.
 BARE = re.compile(f"[^{WHITE}]+")
-_bare = BARE.findall
