@@ -136,9 +136,9 @@ def _stop(at="at"):
     return F.shiftright(at, 20) + F.shiftright(F.col(at).bitwiseAND(0xFFC00), 10) + LENGTH
 
 
-def suffix_ranks(x: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order of the suffixes by their first 448 letters, and ranks by their first 7, 14, ... 448.  ``x``: letters 1 to 256, and 0 at
-    ``apart``; a string that meets such a mark equals no other."""
+def suffix_ranks(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Order of the suffixes, and their ranks by the first 7, 14, 28, ... letters until all differ.  ``x``: letters 1 to 256, and
+    0 after each text; a string that meets such a mark equals no other."""
     n, span = len(x), 7
     key = np.zeros(n, np.int64)
     open_ = np.ones(n, bool)
@@ -156,7 +156,7 @@ def suffix_ranks(x: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, list[tup
         ranks = np.empty(n, np.int64)
         ranks[order] = np.cumsum(new)
         levels.append((span, ranks))
-        if span >= LENGTH:
+        if ranks[order[-1]] == n - 1:
             return order, levels
         after = np.zeros(n, np.int64)
         after[: n - span] = ranks[span:] + 1
@@ -185,7 +185,7 @@ def mark_repeats(texts: list[bytes]) -> list[list[tuple[int, int]]]:
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     apart = starts + sizes
     x[apart] = 0
-    order, levels = suffix_ranks(x, apart)
+    order, levels = suffix_ranks(x)
     before = x[order - 1]  # the transform; position 0 wraps to the last mark
     edge = (before[1:] != before[:-1]) | (before[1:] == 0)
     i = np.flatnonzero(edge)
