@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom import ship
 from gridloom.llm import langid, neardup, packing, quality, repeats
-from gridloom.llm.common import cut, table
+from gridloom.llm.common import cut, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose main language has less than this share is rejected.
@@ -21,12 +20,13 @@ LEAST_SHARE = 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the quality rules."""
+    prepare(spark)
     return quality.quality_rules(docs).where("kept").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts with a language that makes up at least half of them; learns from the stage's own labelled documents."""
-    ship(spark)
+    prepare(spark)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
@@ -34,7 +34,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, and documents without an id."""
-    ship(spark)
+    prepare(spark)
     kept = neardup.near_duplicates(docs, 85).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
@@ -42,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated strings out of the texts; every document stays.  A character of which a byte went goes too."""
-    ship(spark)
+    prepare(spark)
     done = repeats.remove_repeats(docs, as_text=True)
     return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -51,7 +51,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Packs the texts into sequences."""
     import public_tokenizers
 
-    ship(spark)
+    prepare(spark)
     packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

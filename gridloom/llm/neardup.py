@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class shingler:
     """Distinct shingle hashes of texts; word hashes are remembered within a task."""
 
-    def __init__(self, n_words: int = WORDS, most: int = 400_000):
+    def __init__(self, n_words: int = WORDS, most: int = 150_000):
         import xxhash
 
         self.n, self.most, self.hash, self.known = n_words, most, xxhash.xxh3_64_intdigest, {}
