@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Every element is a binary variable, content or not.  Parent-child potentials tie each element to its parent, by the kind of
-its tag, and node potentials score its tag, its class and id words, and the length, link share and punctuation of its text.
+Every element is a binary variable, content or not.  Parent-child potentials tie each element to its parent, by its tag
+and what its class and id say, and node potentials score these words, those of the elements around it, and the length, link share and punctuation of its text.
 Sum-product messages go upward and then downward, which gives the exact marginal of every element; text of elements with a
 marginal of one half or more is the main text.
 
@@ -141,7 +141,7 @@ class Page:
             chars[p] += chars[k]
             marks[p] += marks[k]
             linked[p] += chars[k] if self.tags[k] == "a" else linked[k]
-        out = []
+        out, hints = [], ["none"] * n
         for k in range(n):
             tag, words = self.tags[k], self.words[k]
             hint = "out" if words & OUTSIDE_WORDS else "in" if words & INSIDE_WORDS else "none"
@@ -151,12 +151,15 @@ class Page:
                 text = ("empty",)
             else:
                 text = (min(chars[k].bit_length(), 11), min(int(4 * linked[k] / chars[k]), 3), min(int(60 * marks[k] / chars[k]), 3))
-            out.append((("tag", tag), ("hint", hint), ("text", *text), ("own", min(own[k].bit_length(), 9))))
+            above = hints[self.parents[k]] if k else "none"
+            hints[k] = "out" if "out" in (hint, above) else hint if hint == "in" else above
+            out.append((("tag", tag), ("hint", hint), ("above", above), ("text", *text), ("own", min(own[k].bit_length(), 9))))
         return out
 
 
 def _kind(feature: tuple) -> str:
-    return feature[0][1]
+    """What the pair potential of an element with its parent depends on: its tag, and what its class and id say."""
+    return f"{feature[0][1]} {feature[1][1]}"
 
 
 def _count(batches):
