@@ -30,7 +30,7 @@ from gridloom.llm.common import width
 from gridloom.llm.words import BARE, CHUNK, encode_words, load
 
 #: Characters of text in a block, about.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 10_000_000
 
 
 def _blocks(batches):
@@ -60,7 +60,7 @@ def _key(rows) -> int:
 def _pack(*arrays) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(bytes(x) if isinstance(x, pa.Buffer) else x for x in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(bytes(x) if isinstance(x, pa.Buffer) else x for x in arrays))
 
 
 def _unpack(x: bytes) -> bytes:
@@ -106,7 +106,7 @@ def _positions(lead: bool, buckets: int):
         for rows in _blocks(batches):
             words, _, codes, sizes = _cut(rows, lead, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([_pack(codes.tobytes())], pa.binary())],
+                [pa.array([_key(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([_pack(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())], pa.binary())],
                 ["block", "doc_ids", "sizes", "n", "codes"],
             )
 
@@ -163,7 +163,8 @@ def texts_of(batches):
     """doc_id and ids of every text, block by block, from positions and packed ids (in order of their buckets)."""
     for b in batches:
         for row in b.to_pylist():
-            codes = np.frombuffer(_unpack(row["codes"]), "<u4").astype(np.int64)
+            planes = np.frombuffer(_unpack(row["codes"]), np.uint8).reshape(4, -1)  # the bytes of equal weight stand together
+            codes = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
             parts = row["coded"] or []
             if sum(p["n"] for p in parts) != row["n"]:
                 raise ValueError("a block of texts did not find its words: its scan did not repeat")
