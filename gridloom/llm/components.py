@@ -22,16 +22,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _is_final(state: DataFrame) -> bool:
-    """Whether every node has one neighbour above it and those have none themselves."""
-    if not state.join(state.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-        return False
-    return state.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    """Whether every node has one neighbour above it and those have none themselves: one pass over the nodes."""
+    ends = state.select(F.col("u").alias("x"), F.lit(1).alias("lower")).unionByName(state.select(F.col("v").alias("x"), F.lit(0).alias("lower")))
+    nodes = ends.groupBy("x").agg(F.sum("lower").alias("up"), F.min("lower").alias("least"))
+    return nodes.where("up > 1 OR (up = 1 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long, u <> v) to ``id``, ``component`` (smallest id reachable); ids without an edge have no row.
     The steps end when all trees are stars."""
-    state = cut(_small_star(edges))
+    state = cut(_small_star(_large_star(edges)))
     while not _is_final(state):
         state = cut(_small_star(_large_star(state)))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -3,8 +3,8 @@
 Steps.  (1) Every text becomes its set of word shingles, a signature of minima and the keys of its bands.  (2) Equal sets
 form a class and only its smallest id goes on.  (3) Texts that share a band bucket are candidates.  A bucket is searched by
 leaders, not by pairs: its smallest member meets all others, and a bucket is left as soon as all its members are in one
-component; what two leader rounds leave open is searched in full between its components, the members of all but the largest
-against the others.  So a bucket of thousands of near copies costs about one comparison a member.  (4) A candidate must
+component; what two leader rounds leave open is searched in full between its components, block by block, and only links
+leave a task.  So a bucket of thousands of linked near copies costs about one comparison a member.  (4) A candidate must
 first agree in its signature, then on the full sets; for each text the most similar leader is confirmed first, and others
 only if they still would join two components.  (5) Components by alternating large-star and small-star.
 
@@ -18,6 +18,7 @@ long texts are used whole; an empty table gives an empty result; other columns d
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ BANDS, BAND_ROWS = 25, 5
 #: Parts of a signature that must agree: at similarity 0.85 agreement falls below with probability under 1e-7.
 AGREE = 0.68
 LEADER_ROUNDS = 2
+#: Rows of a bucket that are compared with each other, or with another block, in one task.
+BLOCK_ROWS = 1000
 #: Bits of the filter that picks the texts whose sets are needed (4 MB).
 FILTER_BITS = 1 << 25
 _MULTIPLIERS = np.random.default_rng(20240501).integers(1, 2**63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
@@ -106,13 +109,15 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_sketch, SCHEMA)
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits set at the hashes of all ids: a Bloom filter of fixed size, so it may go to every task; more ids only let more rows pass."""
-    bits = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("bit"))
-    words = bits.select(F.floor(F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    found = words.toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["w"].to_numpy()] = found["b"].to_numpy()
+def id_filters(pairs: DataFrame, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """For each column, bits set at the hashes of its ids: Bloom filters of fixed size, so they may go to every task; more ids only let more rows pass."""
+    ids = pairs.select(F.posexplode(F.array(*columns)).alias("side", "id")).select("side", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    words = ids.select("side", F.floor(F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b")).groupBy("side", "w").agg(F.bit_or("b").alias("b"))
+    found, out = words.toPandas(), []
+    for k in range(len(columns)):
+        own, bits = found[found["side"] == k], np.zeros(FILTER_BITS // 64, np.int64)
+        bits[own["w"].to_numpy()] = own["b"].to_numpy()
+        out.append(bits)
     return out
 
 
@@ -168,29 +173,74 @@ def _linked(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, percent: i
     sides = [signatures.select(F.col("id").alias(c), F.col("signature").alias("s" + c)) for c in "ab"]
     signed = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
     likely = cut(signed.mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= AGREE))
-    filters = [sc.broadcast(id_filter(likely, c)) for c in "ab"]
-    keyed = docs.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    sets = cut(keyed.mapInArrow(_sets(*filters), "id long, set binary, in_a boolean, in_b boolean"))
+    filters = [sc.broadcast(bits) for bits in id_filters(likely, ("a", "b"))]
+    sets = _sets_of(docs, *filters)
     right = likely.select("a", "b").join(sets.where("in_b").select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     full = right.join(sets.where("in_a").select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-    return cut(full.mapInArrow(_confirm(percent), "u long, v long"))
+    return full.mapInArrow(_confirm(percent), "u long, v long")
+
+
+def _compare(percent: int):
+    """Links between different components in a block, or between two blocks of a bucket: signatures first, then full sets through
+    the block's own index of shingles.  For each text one link to each other component leaves the task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        pdf = pdf.sort_values("id")
+        left, right = (pdf, pdf) if same else (pdf[pdf["block"] == pdf["lo"]], pdf[pdf["block"] == pdf["hi"]])
+        # The lower 16 bits of each minimum can only agree more often than the whole.
+        s, t = (np.frombuffer(b"".join(x["signature"]), "<u4").reshape(len(x), -1).astype(np.uint16) for x in (left, right))
+        i_id, j_id, i_comp, j_comp, i_n, j_n = (x[c].to_numpy() for c in ("id", "comp", "n") for x in (left, right))
+        sets = [_unpack(x) for x in right["set"]]
+        owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owners = shingles[order], owners[order]
+        found = set()
+        for at in range(0, len(s), 32):
+            rows = slice(at, at + 32)
+            near = (i_comp[rows, None] != j_comp[None, :]) & (100 * np.minimum(i_n[rows, None], j_n[None, :]) >= percent * np.maximum(i_n[rows, None], j_n[None, :]))
+            if same:
+                near &= i_id[rows, None] < j_id[None, :]
+            some = np.flatnonzero(near.any(axis=0))
+            likely = near[:, some] & ((s[rows][:, None, :] == t[some][None, :, :]).mean(axis=2) >= AGREE)
+            for i in np.flatnonzero(likely.any(axis=1)):
+                mine = _unpack(left["set"].iloc[at + i])
+                lo, hi = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
+                size = hi - lo
+                places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+                j = some[likely[i]]
+                both = np.bincount(owners[places], minlength=len(sets))[j]
+                linked = j[100 * both >= percent * (i_n[at + i] + j_n[j] - both)]
+                _, first = np.unique(j_comp[linked], return_index=True)
+                found.update((int(i_id[at + i]), int(j_id[k])) for k in linked[first])
+        return pd.DataFrame(sorted(found), columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _between(rows: DataFrame, texts: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between different components over whole buckets (key, id, n, comp), in blocks of BLOCK_ROWS rows."""
+    wanted = texts.sparkSession.sparkContext.broadcast(id_filters(rows, ("id",))[0])
+    sets = _sets_of(texts, wanted, wanted).select("id", "set").join(signatures, "id").dropDuplicates(["id"])
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "id")
+    paired = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "comp", "signature", "set")
+    return paired.groupBy("key", "lo", "hi").applyInPandas(_compare(percent), "u long, v long").distinct()
 
 
-def _candidates(rows: DataFrame, exhaustive: bool, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b with the number of buckets they share, from open buckets, and the bucket rows that stay.  ``rows``: key, id, n, comp."""
+def _sets_of(texts: DataFrame, in_a, in_b) -> DataFrame:
+    keyed = texts.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    return cut(keyed.mapInArrow(_sets(in_a, in_b), "id long, set binary, in_a boolean, in_b boolean"))
+
+
+def _candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a leader a and a member b with the number of buckets they share, from open buckets (key, id, n, comp), and the bucket rows without the leaders."""
     near = (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")) & (F.col("comp") != F.col("lcomp"))
-    if exhaustive:
-        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        named = rows.join(largest, "key")
-        small = named.where("comp <> main").select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
-        met = named.join(small, "key").where((F.col("comp") == F.col("main")) | (F.col("id") < F.col("lid")))
-        stay = rows.limit(0)
-    else:
-        leader = rows.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("lead"))
-        met = rows.join(leader, "key").where(F.col("id") != F.col("lead.id")).select("key", "id", "n", "comp", F.col("lead.id").alias("lid"), F.col("lead.n").alias("ln"), F.col("lead.comp").alias("lcomp"))
-        stay = met.select("key", "id", "n")
-    return met.where(near).groupBy(F.col("lid").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), stay
+    leader = rows.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("lead"))
+    met = rows.join(leader, "key").where(F.col("id") != F.col("lead.id")).select("key", "id", "n", "comp", F.col("lead.id").alias("lid"), F.col("lead.n").alias("ln"), F.col("lead.comp").alias("lcomp"))
+    return met.where(near).groupBy(F.col("lid").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), met.select("key", "id", "n")
 
 
 def _apart(rows: DataFrame, comps: DataFrame | None, *ids: str) -> DataFrame:
@@ -227,10 +277,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
         live = cut(_open(rows, comps))
         if live.isEmpty():
             break
-        pairs, rows = _candidates(live, turn == LEADER_ROUNDS, percent)
+        if turn == LEADER_ROUNDS:
+            edges = edges.unionByName(_between(live, texts, signatures, percent))
+            comps = components(edges)
+            break
+        pairs, rows = _candidates(live, percent)
         pairs = cut(pairs)
         # First each text's leader with most buckets in common; then the others, where they would still join two components.
-        tried = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+        tried = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
         for last in (False, True):
             if last:
                 rest = _apart(pairs.join(tried, ["a", "b"], "left_anti"), comps, "a", "b").where("comp_a <> comp_b").select("a", "b")
