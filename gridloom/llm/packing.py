@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gridloom.llm.bpe import coded_blocks, texts_of
 from gridloom.llm.common import bin_starts, cut, salt, width
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces in a batch of a task.
-ROWS = 1000
+#: Texts that a task encodes at once.
+ROWS = 2000
 
 
 def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -84,23 +83,24 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
 
 
 def tokenise_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit).  Every distinct word of the corpus is encoded once."""
+    """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit).  Every distinct word of a task is encoded once."""
 
     def pieces(batches):
-        end = np.array([END_ID], dtype="<u4")
-        out = [[], [], [], [], []]
-        for ident, ids in texts_of(batches):
-            ids = np.concatenate([ids, end])
-            for k, at in enumerate(range(0, len(ids), capacity)):
-                part = ids[at : at + capacity]
-                for column, value in zip(out, (ident, k, at, len(part), part.tobytes()), strict=True):
-                    column.append(value)
-            if len(out[0]) >= ROWS:
-                yield _pieces(out)
-                out = [[], [], [], [], []]
-        yield _pieces(out)
-
-    return coded_blocks(docs, tokenizer_file, text, doc_id, False).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary")
+        from gridloom.llm.words import lower_encoder
+
+        encoder, end = lower_encoder(tokenizer_file), np.array([END_ID], dtype="<u4").tobytes()
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
+            out = [[], [], [], [], []]
+            for ident, ids in zip(b.column(0).to_pylist(), encoder.batch([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for k, at in enumerate(range(0, n, capacity)):
+                    part = ids[4 * at : 4 * (at + capacity)]
+                    for column, value in zip(out, (ident, k, at, len(part) // 4, part), strict=True):
+                        column.append(value)
+            yield _pieces(out)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _pieces(out) -> pa.RecordBatch:

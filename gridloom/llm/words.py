@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -38,3 +39,60 @@ def encode_words(path: str, words: list[str]) -> list[bytes]:
 
 #: Words without the white space before them, for vocabularies that drop it.
 BARE = re.compile(f"[^{WHITE}]+")
+
+#: A word of small ASCII and Latin-1 letters and the punctuation after it.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,!?;:]*)")
+
+
+class lower_encoder:
+    """Encodes the texts of one task with a vocabulary that lowers letters and drops white space.
+
+    Every distinct word is encoded once as long as the cache holds it.  Plain words, lower case already and unchanged by
+    normalisation, go to the vocabulary's merges at once, without the passes before them; all others go through the library whole."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        self.path, self.most, self.known, self.stems = path, most, {}, {}
+        self.model = load(path).model
+        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letter = {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in keep)}
+
+    def _cut(self, text: str) -> list[str]:
+        if "<|" not in text:  # control strings are told by their case
+            if text.isascii():
+                return text.lower().replace("\n", " ").split(" ")
+            try:
+                text.encode("latin-1")
+                return text.lower().replace("\n", " ").split(" ")
+            except UnicodeEncodeError:
+                pass
+        return BARE.findall(text)
+
+    def _stem(self, word: str) -> bytes:
+        found = self.stems.get(word)
+        if found is None:
+            spelled = word if word.isascii() else "".join(map(self.letter.__getitem__, word.encode()))
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            found = self.stems[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
+        new = set().union(*cut)
+        if len(self.known) + len(new) > self.most:
+            self.known, self.stems = {}, {}
+        else:
+            new.difference_update(self.known)
+        rest, plain = [], []
+        for w in new:
+            m = PLAIN.fullmatch(w)
+            if m is None:
+                rest.append(w)
+            else:
+                plain.append((w, *m.groups()))
+        ends = list({end for _, _, end in plain})
+        end_ids = dict(zip(ends, encode_words(self.path, ends), strict=True))
+        for w, stem, end in plain:
+            self.known[w] = self._stem(stem) + end_ids[end]
+        self.known.update(zip(rest, encode_words(self.path, rest), strict=True))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
