@@ -246,10 +246,10 @@ def mip_attenuated(spark, d):
     return reduce.attenuated_max(views.volume(spark, d), "d", ["h", "k"], scale.scale(F.col("v"), VLOW, VHIGH), 2.0, 30)
 
 
-@query(sql("V", "SELECT d, h, k, round(t, 5) AS through, round(t * a, 5) AS light FROM (SELECT d, h, k, a, exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY h, k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM (SELECT *, coalesce(least(greatest(v / 400, 0), 1), 0) * 0.3 AS a FROM V))"))
+@query(sql("V", "SELECT d, h, k, round(t, 9) AS through, round(t * a, 9) AS light FROM (SELECT d, h, k, a, exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY h, k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM (SELECT *, coalesce(least(greatest(v / 400, 0), 1), 0) * 0.3 AS a FROM V))"))
 def transmittance(spark, d):
     lit = reduce.transmittance(views.volume(spark, d), "d", ["h", "k"], F.coalesce(scale.scale(F.col("v"), VLOW, VHIGH), F.lit(0.0)) * 0.3)
-    return lit.select("d", "h", "k", _r("through", 5).alias("through"), _r("light", 5).alias("light"))
+    return lit.select("d", "h", "k", _r("through", 9).alias("through"), _r("light", 9).alias("light"))
 
 
 @query("SELECT v, sum(n)::BIGINT AS n FROM (SELECT p_size::DOUBLE % 7 AS v, count(*) AS n FROM part GROUP BY 1) GROUP BY v")
@@ -443,11 +443,11 @@ def _ramp(t: str, name: str, channel: int) -> str:
     return f"({ramp})[{seg} + 1] + (({ramp})[{seg} + 2] - ({ramp})[{seg} + 1]) * ({t} * {n} - {seg})"
 
 
-@query(sql("V", "SELECT d, h, k, " + ", ".join(f"round({_ramp(_U, m, i)}, 5) AS {m}_{c}" for m in ("viridis", "coolwarm") for i, c in enumerate("rgb")) + " FROM V WHERE v IS NOT NULL"))
+@query(sql("V", "SELECT d, h, k, " + ", ".join(f"round({_ramp(_U, m, i)}, 9) AS {m}_{c}" for m in ("viridis", "coolwarm") for i, c in enumerate("rgb")) + " FROM V WHERE v IS NOT NULL"))
 def colormap_rgb(spark, d):
     t = scale.scale(F.col("v"), VLOW, VHIGH)
     out = views.volume(spark, d).where("v IS NOT NULL").select("d", "h", "k", *[scale.colormap(t, m).alias(m) for m in ("viridis", "coolwarm")])
-    return out.select("d", "h", "k", *[_r(f"{m}.{c}", 5).alias(f"{m}_{c}") for m in ("viridis", "coolwarm") for c in "rgb"])
+    return out.select("d", "h", "k", *[_r(f"{m}.{c}", 9).alias(f"{m}_{c}") for m in ("viridis", "coolwarm") for c in "rgb"])
 
 
 _UC = "((floor(least(greatest((v - 20) / 280, 0), 0.999999) * 5) + 0.5) / 5)"
