@@ -21,7 +21,7 @@ LEAST_SHARE = 0.5
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the quality rules."""
     prepare(spark)
-    return quality.quality_rules(docs).where("kept").select(*COLUMNS)
+    return quality.keep(docs).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,3 +128,11 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = measures(docs, text).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows that pass, with their own columns.  The verdict goes through a generator and not a filter: the optimizer would
+    push a filter below the projections and copy all measures, and what they are made of, into it."""
+    judged = quality_rules(docs, text, rules)
+    names = [c for c in docs.columns if c in judged.columns]
+    return judged.select(*[F.col(f"`{c}`") for c in names], F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_kept")).select(*[F.col(f"`{c}`") for c in names])
