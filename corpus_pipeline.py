@@ -16,6 +16,8 @@ from gridloom.llm.common import cut, prepare, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose main language has less than this share is rejected.
 LEAST_SHARE = 0.5
+#: Passages of over 50 words that repeat are cut out.
+PASSAGE_WORDS = 51
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +43,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings out of the texts; every document stays.  A character of which a byte went goes too."""
+    """Cuts repeated strings and passages out of the texts; every document stays.  A character of which a byte went goes too."""
     prepare(spark)
-    done = repeats.remove_repeats(docs, as_text=True)
+    done = repeats.remove_repeats(docs, as_text=True, words=PASSAGE_WORDS)
     return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -15,6 +15,10 @@ falls by one a step, so every position whose longest match is at least LENGTH is
 the hashes of their single windows, which Spark aggregates before the shuffle.
 (5) Spans are united per document and cut out.
 
+On request passages of a number of words that also start anywhere else go too, whatever white space is between their words
+and however few bytes they have.  The same steps run on words in place of bytes; runs that are not repeated as a whole are
+all settled by their single windows, which are several times fewer than those of bytes.
+
 Defined results: a null text is an empty one; texts shorter than LENGTH lose nothing; very long texts are scanned in
 overlapping pieces, so no window is missed; repeated rows are repeats of each other; an empty table gives an empty result;
 other columns pass through, and ours replace clashing ones.
@@ -38,6 +42,8 @@ GROUP_MAX = 4000
 #: Bytes of run texts in a bucket, about.
 BUCKET_BYTES = 1_000_000
 _PIECE = 1 << 20
+#: Words of a piece; they take eight bytes each.
+_WORD_PIECE = 1 << 18
 _BITS = 21
 _rng = np.random.default_rng(4711)
 _LETTERS = _rng.integers(0, 2**64, size=256, dtype=np.uint64)
@@ -56,12 +62,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class rolling:
-    """Hashes of any substring of a byte array from running sums."""
+    """Hashes of any substring of an array of bytes, or of 64-bit hashes of words, from running sums."""
 
     def __init__(self, x: np.ndarray):
         up, self.down = powers(len(x) + 1)
         self.sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(_LETTERS[x] * up[:-1], out=self.sums[1:])
+        np.cumsum((_LETTERS[x] if x.dtype == np.uint8 else x) * up[:-1], out=self.sums[1:])
 
     def __call__(self, start, stop):
         return mix((self.sums[stop] - self.sums[start]) * self.down[start])
@@ -80,49 +86,70 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def _pieces(keys, texts):
-    """Blocks of about 1 MB: the bytes, and per piece its key, its start in the text and its place in the block."""
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after it."""
+    inside = np.diff(np.concatenate([[0], (~_SPACE[data]).astype(np.int8), [0]]))
+    return np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+
+
+def _units(text: str | None, words: int | None) -> np.ndarray:
+    """The bytes of a text, or with ``words`` the hashes of its words."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return data if words is None else rolling(data)(*word_places(data))
+
+
+def _pieces(keys, texts, words):
+    """Blocks of about 1 MB: the units, and per piece its key, its start in the text and its place in the block."""
+    length, most = (LENGTH, _PIECE) if words is None else (words, _WORD_PIECE)
     block, size = [], 0
     for key, text in zip(keys, texts, strict=True):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        for at in range(0, max(1, len(data) - LENGTH + 1), _PIECE - LENGTH + 1):
-            part = data[at : at + _PIECE]
-            if len(part) < LENGTH:
+        data = _units(text, words)
+        for at in range(0, max(1, len(data) - length + 1), most - length + 1):
+            part = data[at : at + most]
+            if len(part) < length:
                 continue
             block.append((key, at, part))
             size += len(part)
-            if size >= _PIECE:
+            if size >= most:
                 yield block
                 block, size = [], 0
     if block:
         yield block
 
 
-def _anchors(batches):
+def _anchors(words: int | None):
     """Rows h, sup, doc, at: anchor hash, run hash, document key, and the anchor's place with the run's first and last window."""
-    for b in batches:
-        for block in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(b"".join(p[2] for p in block), np.uint8)
-            roll = rolling(x)
-            h = roll.every(K)
-            packed = (h >> np.uint64(_BITS) << np.uint64(_BITS)) | np.arange(len(h), dtype=np.uint64)
-            place = (window_minima(packed, LENGTH - K + 1) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-            sizes = np.array([len(p[2]) for p in block])
-            starts = np.cumsum(sizes) - sizes
-            valid = np.zeros(len(x) + 1, np.int32)
-            np.add.at(valid, starts, 1)
-            np.add.at(valid, starts + sizes - LENGTH + 1, -1)
-            at = np.flatnonzero(np.cumsum(valid[: len(place)]) > 0)
-            p = place[at]
-            new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1)]))
-            lo, p = at[new], p[new]
-            hi = at[np.concatenate([new[1:], [len(at)]]) - 1]
-            piece = np.searchsorted(starts, lo, side="right") - 1
-            keys = np.array([q[0] for q in block], np.int64)[piece]
-            offset = np.array([q[1] for q in block], np.int64)[piece] - starts[piece]
-            sup = mix(roll(lo, hi + LENGTH) + ((p - lo) * 1024 + (hi - lo)).astype(np.uint64))
-            where = ((lo + offset) << 20) | ((hi - lo) << 10) | (p - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(sup.view(np.int64)), pa.array(keys), pa.array(where)], ["h", "sup", "doc", "at"])
+    length, k = (LENGTH, K) if words is None else (words, (words + 1) // 2)
+
+    def run(batches):
+        for b in batches:
+            for block in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist(), words):
+                x = np.concatenate([p[2] for p in block])
+                roll = rolling(x)
+                h = roll.every(k)
+                packed = (h >> np.uint64(_BITS) << np.uint64(_BITS)) | np.arange(len(h), dtype=np.uint64)
+                place = (window_minima(packed, length - k + 1) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+                sizes = np.array([len(p[2]) for p in block])
+                starts = np.cumsum(sizes) - sizes
+                valid = np.zeros(len(x) + 1, np.int32)
+                np.add.at(valid, starts, 1)
+                np.add.at(valid, starts + sizes - length + 1, -1)
+                at = np.flatnonzero(np.cumsum(valid[: len(place)]) > 0)
+                p = place[at]
+                new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1)]))
+                lo, p = at[new], p[new]
+                hi = at[np.concatenate([new[1:], [len(at)]]) - 1]
+                piece = np.searchsorted(starts, lo, side="right") - 1
+                keys = np.array([q[0] for q in block], np.int64)[piece]
+                offset = np.array([q[1] for q in block], np.int64)[piece] - starts[piece]
+                sup = mix(roll(lo, hi + length) + ((p - lo) * 1024 + (hi - lo)).astype(np.uint64))
+                where = ((lo + offset) << 20) | ((hi - lo) << 10) | (p - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(sup.view(np.int64)), pa.array(keys), pa.array(where)], ["h", "sup", "doc", "at"])
+
+    return run
 
 
 ANCHORS = "h long, sup long, doc long, at long"
@@ -132,8 +159,8 @@ def _start(at="at"):
     return F.shiftright(at, 20)
 
 
-def _stop(at="at"):
-    return F.shiftright(at, 20) + F.shiftright(F.col(at).bitwiseAND(0xFFC00), 10) + LENGTH
+def _stop(length, at="at"):
+    return F.shiftright(at, 20) + F.shiftright(F.col(at).bitwiseAND(0xFFC00), 10) + length
 
 
 def suffix_ranks(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -212,61 +239,84 @@ def _index_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc", "start", "stop"]).astype("int64")
 
 
-def _cut_runs(batches):
-    """Run texts out of documents: doc, text, runs (array of h, at, single, hot)."""
-    for b in batches:
-        rows = [[], [], [], [], [], []]
-        for doc, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for r in runs:
-                start = r["at"] >> 20
-                stop = start + ((r["at"] >> 10) & 1023) + LENGTH
-                for column, value in zip(rows, (r["h"], doc, start, r["single"], r["hot"], data[start:stop]), strict=True):
-                    column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["h", "doc", "start", "single", "hot", "run"])
-
-
-def _single_windows(batches):
-    for b in batches:
-        for h, doc, start, run in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            w = rolling(np.frombuffer(run, np.uint8)).every(LENGTH)
-            n = len(w)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, h, np.int64)), pa.array(w.view(np.int64)), pa.array(np.full(n, doc, np.int64)), pa.array(start + np.arange(n, dtype=np.int64))], ["h", "w", "doc", "start"]
-            )
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc: long key of the text's row, text) to spans doc, start, stop (bytes; they may overlap)."""
-    anchors = docs.where("text IS NOT NULL").select("doc", "text").mapInArrow(_anchors, ANCHORS)
+def _cut_runs(words: int | None):
+    """Runs out of documents: doc, text, runs (array of h, at, single, hot)."""
+    length = LENGTH if words is None else words
+
+    def run(batches):
+        for b in batches:
+            rows = [[], [], [], [], [], []]
+            for doc, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                data = _units(text, words)
+                for r in runs:
+                    start = r["at"] >> 20
+                    stop = start + ((r["at"] >> 10) & 1023) + length
+                    for column, value in zip(rows, (r["h"], doc, start, r["single"], r["hot"], data[start:stop].tobytes()), strict=True):
+                        column.append(value)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["h", "doc", "start", "single", "hot", "run"])
+
+    return run
+
+
+def _single_windows(words: int | None):
+    length, kind = (LENGTH, np.uint8) if words is None else (words, np.uint64)
+
+    def run(batches):
+        for b in batches:
+            columns = [[], [], [], []]
+            for h, doc, start, units in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                w = rolling(np.frombuffer(units, kind)).every(length)
+                n = len(w)
+                for column, values in zip(columns, (np.full(n, h, np.int64), w.view(np.int64), np.full(n, doc, np.int64), start + np.arange(n, dtype=np.int64)), strict=True):
+                    column.append(values)
+                if len(columns[0]) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "w", "doc", "start"])
+                    columns = [[], [], [], []]
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "w", "doc", "start"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """``docs`` (doc: long key of the text's row, text) to spans doc, start, stop (bytes; they may overlap), or with ``words``
+    to spans of so many words, counted in words."""
+    length = LENGTH if words is None else words
+    anchors = docs.where("text IS NOT NULL").select("doc", "text").mapInArrow(_anchors(words), ANCHORS)
     seen = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("sup").alias("x"), F.max("sup").alias("y")).where("n > 1").select("h", (F.col("x") < F.col("y")).alias("mixed"))
     again = cut(anchors.join(seen, "h"))
-    whole = again.where("NOT mixed").select("doc", _start().alias("start"), _stop().alias("stop"))
+    whole = again.where("NOT mixed").select("doc", _start().alias("start"), _stop(length).alias("stop"))
     mixed = again.where("mixed")
     per_run = cut(mixed.groupBy("h", "sup").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("one")))
-    twice = mixed.join(per_run.where("n > 1").select("h", "sup"), ["h", "sup"], "left_semi").select("doc", _start().alias("start"), _stop().alias("stop"))
+    twice = mixed.join(per_run.where("n > 1").select("h", "sup"), ["h", "sup"], "left_semi").select("doc", _start().alias("start"), _stop(length).alias("stop"))
     groups = per_run.groupBy("h").agg(F.count("*").alias("runs"), F.min("n").alias("least")).where("least = 1")
-    wanted = per_run.join(groups, "h").select("h", F.col("one.doc").alias("doc"), F.col("one.at").alias("at"), (F.col("n") == 1).alias("single"), (F.col("runs") > GROUP_MAX).alias("hot"))
+    wanted = per_run.join(groups, "h").select("h", F.col("one.doc").alias("doc"), F.col("one.at").alias("at"), (F.col("n") == 1).alias("single"), (F.lit(words is not None) | (F.col("runs") > GROUP_MAX)).alias("hot"))
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "single", "hot")).alias("runs"))
-    runs = cut(docs.select("doc", "text").join(per_doc, "doc").mapInArrow(_cut_runs, "h long, doc long, start long, single boolean, hot boolean, run binary"))
+    runs = cut(docs.select("doc", "text").join(per_doc, "doc").mapInArrow(_cut_runs(words), "h long, doc long, start long, single boolean, hot boolean, run binary"))
+    windows = runs.where("hot").select("h", "doc", "start", "run").mapInArrow(_single_windows(words), "h long, w long, doc long, start long")
+    common = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
+    hot = windows.join(common, ["h", "w"], "left_semi").select("doc", "start", (F.col("start") + length).alias("stop"))
+    if words is not None:
+        return whole.unionByName(twice).unionByName(hot)
     size = runs.where("NOT hot").agg(F.sum(F.octet_length("run"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
     bucketed = runs.where("NOT hot").select("doc", "start", "single", "run", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
     indexed = bucketed.groupBy("bucket").applyInPandas(_index_bucket, "doc long, start long, stop long")
-    windows = runs.where("hot").select("h", "doc", "start", "run").mapInArrow(_single_windows, "h long, w long, doc long, start long")
-    common = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    hot = windows.join(common, ["h", "w"], "left_semi").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
     return whole.unionByName(twice).unionByName(indexed).unionByName(hot)
 
 
 def _remove(batches, as_text):
     for b in batches:
-        texts, spans = b.column(b.schema.get_field_index("_text")).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist()
+        texts, spans, passages = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_text", "_spans", "_passages"))
         kept, merged = [], []
-        for text, found in zip(texts, spans, strict=True):
+        for text, found, of_words in zip(texts, spans, passages, strict=True):
             data, rest, joined, at = (text or "").encode("utf-8", "surrogatepass"), [], [], 0
-            for s in sorted((s["start"], s["stop"]) for s in found or ()):
+            cuts = [(s["start"], s["stop"]) for s in found or ()]
+            if of_words:
+                first, after = word_places(np.frombuffer(data, np.uint8))
+                cuts += [(int(first[s["start"]]), int(after[s["stop"] - 1])) for s in of_words]
+            for s in sorted(cuts):
                 if joined and s[0] <= joined[-1][1]:
                     joined[-1][1] = max(joined[-1][1], s[1])
                 else:
@@ -277,19 +327,24 @@ def _remove(batches, as_text):
             left = b"".join([*rest, data[at:]])
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             merged.append([{"start": s, "stop": e} for s, e in joined])
-        names = [n for n in b.schema.names if n not in ("_text", "_spans")]
+        names = [n for n in b.schema.names if n not in ("_text", "_spans", "_passages")]
         columns = [b.column(b.schema.get_field_index(n)) for n in names]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(merged, kind)], [*names, "kept_text" if as_text else "kept_bytes", "removed"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", as_text: bool = False, words: int | None = None) -> DataFrame:
     """``docs`` with kept_bytes (binary) and removed (array of start, stop in bytes) in place of the text column; with
-    ``as_text`` kept_text, without the characters of which only a part is left."""
-    mine = {"kept_bytes", "kept_text", "removed", "_doc", "_text", "_spans"}
+    ``as_text`` kept_text, without the characters of which only a part is left; with ``words`` (2 to 1000) passages of so many
+    words that also start anywhere else go as well."""
+    mine = {"kept_bytes", "kept_text", "removed", "_doc", "_text", "_spans", "_passages"}
     key = F.xxhash64(F.col(doc_id), F.col(text)).alias("doc")
-    spans = repeated_spans(docs.select(key, F.col(text).alias("text")))
-    per_doc = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    keyed = docs.select(key, F.col(text).alias("text"))
+    spans = repeated_spans(keyed).withColumn("in_words", F.lit(False))
+    if words is not None:
+        spans = spans.unionByName(repeated_spans(keyed, words).withColumn("in_words", F.lit(True)))
+    found = [F.collect_set(F.when(F.col("in_words") == side, F.struct("start", "stop"))).alias(name) for name, side in (("_spans", False), ("_passages", True))]
+    per_doc = spans.groupBy("doc").agg(*found)
     names = [c for c in docs.columns if c not in mine]
     rows = docs.select(*[F.col(f"`{c}`") for c in names if c != text], F.col(text).alias("_text"), key)
     joined = rows.join(per_doc, "doc", "left").drop("doc")
