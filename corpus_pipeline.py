@@ -18,6 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.5
 #: Passages of over 50 words that repeat are cut out.
 PASSAGE_WORDS = 51
+#: Texts are near copies from this percentage of common word shingles on.
+NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, and documents without an id."""
     prepare(spark)
-    kept = neardup.near_duplicates(docs, 85).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, NEAR_PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 

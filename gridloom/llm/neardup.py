@@ -8,7 +8,8 @@ leave a task.  So a bucket of thousands of linked near copies costs about one co
 first agree in its signature, then on the full sets; for each text the most similar leader is confirmed first, and others
 only if they still would join two components.  (5) Components by alternating large-star and small-star.
 
-With 25 bands of 5 minima a pair at similarity 0.85 is missed with probability 4e-7, and less above.
+Bands and the least agreement of signatures follow from the percentage (``plan``): a pair just at it is missed by either with
+probability under 6e-7, and less above.  At 85 that makes 25 bands of 5 minima, at 80 28 bands of 4.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; fewer words than
 a shingle make one shingle; a row without an id takes no part (component null, kept); repeated ids share a component; very
@@ -17,6 +18,10 @@ long texts are used whole; an empty table gives an empty result; other columns d
 
 from __future__ import annotations
 
+import functools
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,16 +32,47 @@ from gridloom.llm.common import cut
 from gridloom.llm.components import components
 
 WORDS = 5
-BANDS, BAND_ROWS = 25, 5
-#: Parts of a signature that must agree: at similarity 0.85 agreement falls below with probability under 1e-7.
-AGREE = 0.68
+#: Minima of a signature, unless the least percentages need more.
+MOST_MINIMA = 125
+#: Probability that the bands, or the agreement of signatures, miss a pair just at the percentage.
+MISS = 6e-7
 LEADER_ROUNDS = 2
 #: Rows of a bucket that are compared with each other, or with another block, in one task.
 BLOCK_ROWS = 1000
 #: Bits of the filter that picks the texts whose sets are needed (4 MB).
 FILTER_BITS = 1 << 25
-_MULTIPLIERS = np.random.default_rng(20240501).integers(1, 2**63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
 _PLACES = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
+
+
+class Plan(NamedTuple):
+    """Bands of a signature, minima of a band, and the share of minima that must agree."""
+
+    bands: int
+    rows: int
+    agree: float
+
+
+@functools.cache
+def plan(percent: int) -> Plan:
+    """The longest bands that MOST_MINIMA minima can give within MISS, and the largest share of them within MISS."""
+    p = min(max(percent, 1), 99) / 100
+
+    def needed(rows: int) -> int:
+        return math.ceil(math.log(MISS) / math.log1p(-(p**rows)))
+
+    rows = max((r for r in range(1, 32) if r * needed(r) <= MOST_MINIMA), default=1)
+    n = rows * needed(rows)
+    least, below = 0, 0.0
+    while (below := below + math.comb(n, least) * p**least * (1 - p) ** (n - least)) < MISS:
+        least += 1
+    return Plan(needed(rows), rows, least / n)
+
+
+@functools.cache
+def _multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(20240501).integers(1, 2**63, size=(2, n), dtype=np.uint64)
+
+
 SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
 
 
@@ -73,40 +109,44 @@ class shingler:
         return np.unique(mix(total))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Minima of the universal hashes a * x + b, upper 32 bits."""
-    a, b = _MULTIPLIERS[0][:, None] | np.uint64(1), _MULTIPLIERS[1][:, None]
-    least = np.full(BANDS * BAND_ROWS, np.uint64(2**64 - 1))
+def signature(s: np.ndarray, n: int) -> np.ndarray:
+    """``n`` minima of the universal hashes a * x + b, upper 32 bits."""
+    a, b = _multipliers(n)[0][:, None] | np.uint64(1), _multipliers(n)[1][:, None]
+    least = np.full(n, np.uint64(2**64 - 1))
     for at in range(0, len(s), 2048):
         np.minimum(least, (s[None, at : at + 2048] * a + b).min(axis=1), out=least)
     return (least >> np.uint64(32)).astype("<u4")
 
 
-def _sketch(batches):
-    make = shingler()
-    for b in batches:
-        rows = [[], [], [], [], [], []]
-        for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            s = make(text)
-            sig = signature(s) if len(s) else np.empty(0, "<u4")
-            keys = []
-            if len(s):
-                grid = sig.reshape(BANDS, BAND_ROWS).astype(np.uint64)
-                key = np.arange(BANDS, dtype=np.uint64)
-                for k in range(BAND_ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, k])
-                keys = key.view(np.int64).tolist()
-            x, y = (s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else (np.uint64(0), np.uint64(0))
-            for column, value in zip(rows, (ident, len(s), x.astype(np.int64), y.astype(np.int64), sig.tobytes(), keys), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(np.array(rows[2], np.int64)), pa.array(np.array(rows[3], np.int64)), pa.array(rows[4], pa.binary()), pa.array(rows[5], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
-        )
-
-
-def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_sketch, SCHEMA)
+def _sketch(bands: int, band_rows: int):
+    def run(batches):
+        make = shingler()
+        for b in batches:
+            rows = [[], [], [], [], [], []]
+            for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = make(text)
+                sig = signature(s, bands * band_rows) if len(s) else np.empty(0, "<u4")
+                keys = []
+                if len(s):
+                    grid = sig.reshape(bands, band_rows).astype(np.uint64)
+                    key = np.arange(bands, dtype=np.uint64)
+                    for k in range(band_rows):
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, k])
+                    keys = key.view(np.int64).tolist()
+                x, y = (s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else (np.uint64(0), np.uint64(0))
+                for column, value in zip(rows, (ident, len(s), x.astype(np.int64), y.astype(np.int64), sig.tobytes(), keys), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(np.array(rows[2], np.int64)), pa.array(np.array(rows[3], np.int64)), pa.array(rows[4], pa.binary()), pa.array(rows[5], pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
+            )
+
+    return run
+
+
+def sketches(docs: DataFrame, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    own = plan(percent)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_sketch(own.bands, own.rows), SCHEMA)
 
 
 def id_filters(pairs: DataFrame, columns: tuple[str, ...]) -> list[np.ndarray]:
@@ -172,7 +212,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, percent: i
     sc = docs.sparkSession.sparkContext
     sides = [signatures.select(F.col("id").alias(c), F.col("signature").alias("s" + c)) for c in "ab"]
     signed = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
-    likely = cut(signed.mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= AGREE))
+    likely = cut(signed.mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= plan(percent).agree))
     filters = [sc.broadcast(bits) for bits in id_filters(likely, ("a", "b"))]
     sets = _sets_of(docs, *filters)
     right = likely.select("a", "b").join(sets.where("in_b").select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -183,6 +223,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, percent: i
 def _compare(percent: int):
     """Links between different components in a block, or between two blocks of a bucket: signatures first, then full sets through
     the block's own index of shingles.  For each text one link to each other component leaves the task."""
+    agree = plan(percent).agree
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
@@ -203,7 +244,7 @@ def _compare(percent: int):
             if same:
                 near &= i_id[rows, None] < j_id[None, :]
             some = np.flatnonzero(near.any(axis=0))
-            likely = near[:, some] & ((s[rows][:, None, :] == t[some][None, :, :]).mean(axis=2) >= AGREE)
+            likely = near[:, some] & ((s[rows][:, None, :] == t[some][None, :, :]).mean(axis=2) >= agree)
             for i in np.flatnonzero(likely.any(axis=1)):
                 mine = _unpack(left["set"].iloc[at + i])
                 lo, hi = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
@@ -262,7 +303,7 @@ def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    all_rows = cut(sketches(docs, text, doc_id))
+    all_rows = cut(sketches(docs, percent, text, doc_id))
     ids = all_rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(ids.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")))
     rep = ids.join(classes.select("set_a", "set_b", F.col("id").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")

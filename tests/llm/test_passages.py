@@ -4,7 +4,8 @@ import random
 
 import corpus_pipeline
 
-from gridloom.llm import repeats
+from gridloom.llm import neardup, repeats
+from tests.llm.test_texts import brute_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +52,29 @@ def test_passages_against_brute_force(spark):
     for r in repeats.repeated_spans(frame(spark, texts).selectExpr("doc_id AS doc", "text"), 51).collect():
         got[r.doc][r.start : r.stop] = [True] * (r.stop - r.start)
     assert got == brute_passages(texts, 51)
+
+
+def test_near_copies_at_80_to_85(spark):
+    """Pairs between the two percentages are linked, those below are not."""
+    rng = random.Random(80)
+    texts, similarity = [], []
+    for k in range(40):
+        base = words(rng, 304)  # 300 shingles; each change takes 5 of them out and 5 in
+        changed = list(base)
+        for i in range(6 + k % 4):  # 0.82, 0.79, 0.76 and 0.74
+            changed[10 + 25 * i] = f"new{k}x{i}"
+        texts += [" ".join(base), " ".join(changed)]
+        similarity.append((300 - 5 * (6 + k % 4)) / (300 + 5 * (6 + k % 4)))
+    assert min(similarity) < 0.75 and 0.8 < max(similarity) < 0.85
+    want, _ = brute_components(texts, 80)
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, frame(spark, texts), "").collect()) == [k for k, c in enumerate(want) if c == k]
+    assert len(set(want)) == 70
+
+
+def test_bands_follow_the_percentage():
+    assert neardup.plan(85) == (25, 5, 0.68)
+    for percent in (1, 30, 50, 70, 80, 85, 90, 95, 100):
+        own = neardup.plan(percent)
+        p = min(percent, 99) / 100
+        assert (1 - p**own.rows) ** own.bands <= neardup.MISS and 0 <= own.agree < p
