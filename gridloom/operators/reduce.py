@@ -51,11 +51,15 @@ def transmittance(cells: DataFrame, along: str, keys: list[str], alpha: Column)
     return shaded.withColumn("through", through).withColumn("light", F.col("through") * F.col("_a")).drop("_a")
 
 
-def categories(cells: DataFrame, index: Column, n: int, most: int = 20) -> list[float]:
-    """Distinct values (1e-5 apart) of a stride sample of about 2000 cells, ascending; empty unless there are 2 to ``most``."""
-    step = max(n // 2000, 1)
-    sample = cells.where(index % step == 0).where(finite(F.col("v")).isNotNull())
-    found = [r.v for r in sample.select(F.round("v", 5).alias("v")).distinct().orderBy("v").limit(10 * most).collect()]
+def category_counts(cells: DataFrame) -> DataFrame:
+    """Each value (rounded to 1e-5) and the number of its cells, over all cells; missing cells under null."""
+    return cells.groupBy(F.round(finite(F.col("v")), 5).alias("v")).agg(F.count("*").alias("n"))
+
+
+def categories(cells: DataFrame, most: int = 20) -> list[float]:
+    """Distinct values (1e-5 apart) of all cells, ascending; empty unless there are 2 to ``most``."""
+    # Of rounded values at least every other one is kept, so the limit only tells that there are more than ``most``.
+    found = [r.v for r in category_counts(cells).where("v IS NOT NULL").select("v").orderBy("v").limit(10 * most).collect()]
     kept: list[float] = []
     for v in found:
         if not kept or v - kept[-1] > 1e-5:

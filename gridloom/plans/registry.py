@@ -254,10 +254,8 @@ def transmittance(spark, d):
 
 @query("SELECT v, sum(n)::BIGINT AS n FROM (SELECT p_size::DOUBLE % 7 AS v, count(*) AS n FROM part GROUP BY 1) GROUP BY v")
 def categories(spark, d):
-    """Category values found on a stride sample, and the cells of each over the whole array."""
-    cells = views.table(spark, d, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") % 7).cast("double").alias("v"))
-    found = reduce.categories(cells, F.col("i"), cells.count())
-    return cells.where(F.col("v").isin(found)).groupBy("v").agg(F.count("*").alias("n"))
+    """Category values and the cells of each over the whole array."""
+    return reduce.category_counts(views.table(spark, d, "part").select((F.col("p_size") % 7).cast("double").alias("v")))
 
 
 @query(sql("E", f"SELECT b, round({LOW} + (b + 0.5) * 0.05, 6) AS centre, count(*) AS n FROM (SELECT least(greatest(floor((v - {LOW}) / 0.05), 0), 9)::BIGINT AS b FROM E) GROUP BY b"))
