@@ -9,13 +9,13 @@ backslash after its first character (``<|end|>`` becomes ``<\\|end|>``), which :
 already hold such backslashes survive too.
 
 Defined results: a null text is an empty text and a null role an empty role; parts of an unknown type count as text; turns
-with equal numbers are ordered by role and text and all kept; null turns come first; a null conversation id is a
-conversation of its own; an empty table gives an empty result; other columns are ignored.
+with equal numbers are ordered by role and content and all kept; null turns come first; a null conversation id is a
+conversation of its own; a conversation is one row, so it has to fit a task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
@@ -58,10 +58,13 @@ def flatten_parts(content: Column, first: Column) -> Column:
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "content", loss_roles=("assistant",)) -> DataFrame:
     """One row per conversation: formatted text, loss spans (start and length in code points of the formatted text), attachments and their expanded tokens."""
     rows = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(content).alias("content"))
-    # Attachments are numbered within a message here and within the conversation below.
-    sized = rows.withColumn("flat", flatten_parts(F.col("content"), F.lit(0)))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("flat.body").alias("body"), F.col("flat.attachments").alias("attachments"))))
-    chats = sized.groupBy("conv_id").agg(turns.alias("turns"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    attached = F.size(F.filter(F.coalesce("content", F.array().cast(f"array<{PART}>")), lambda p: p["type"].isin(*ATTACHMENTS)))
+    before = F.coalesce(F.sum(attached).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.select("conv_id", "role", "content", F.row_number().over(order).alias("place"), before.alias("before"))
+    visited = placed.withColumn("flat", flatten_parts(F.col("content"), F.col("before")))
+    turns = F.array_sort(F.collect_list(F.struct("place", "role", F.col("flat.body").alias("body"), F.col("flat.attachments").alias("attachments"))))
+    chats = visited.groupBy("conv_id").agg(turns.alias("turns"))
     head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY))
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), t["body"].alias("body"), t["role"].isin(*loss_roles).alias("loss"), t["attachments"].alias("attachments")))
     laid = chats.select("conv_id", pieces.alias("pieces"))
@@ -84,10 +87,10 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """Read a formatted conversation back: its turns (role and text) and the unescaped text under the loss mask."""
     parts = F.filter(F.split("formatted", r"<\|turn\|>"), lambda p: p != "")
-    parsed = formatted.withColumn("_parts", parts)
+    parsed = formatted.withColumn("__gl_parts", parts)
     turn = lambda p: F.struct(
         unescape(F.substring_index(p, BODY, 1)).alias("role"),
         unescape(F.substring_index(F.substring_index(p, BODY, -1), END, 1)).alias("text"),
     )
     masked = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"])))
-    return parsed.withColumn("turns", F.transform("_parts", turn)).withColumn("loss_text", F.concat_ws("", masked)).drop("_parts")
+    return parsed.withColumn("turns", F.transform("__gl_parts", turn)).withColumn("loss_text", F.concat_ws("", masked)).drop("__gl_parts")

@@ -50,60 +50,130 @@ OUTSIDE_WORDS = set(
 )
 INSIDE_WORDS = set("article content post entry story text main maintext body hentry".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
+class tokens:
+    """The mark-up of a page, one call a token.  No place is looked at twice for the same reason, so hostile pages stay linear."""
+
+    def __init__(self, html: str):
+        self.html, self.failed = html, set()
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+
+    def _end(self, at: int) -> int:
+        """Place after the ``>`` that ends a tag, outside quotes; -1 if there is none."""
+        passed = []
+        while at <= max(self.last.values()):
+            at = SPECIAL.search(self.html, at).start()
+            if at in self.failed:
+                break
+            if self.html[at] == ">":
+                return at + 1
+            passed.append(at)
+            if at >= self.last[self.html[at]]:
+                break
+            at = self.html.index(self.html[at], at + 1) + 1
+        self.failed.update(passed)
+        return -1
+
+    def __call__(self, at: int) -> tuple[int, int, re.Match | None]:
+        """The next token from ``at`` on: its start and end and, of a tag, its name; start -1 if there is none."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), None
+            if html.startswith(("<!", "<?"), start):
+                if start < self.last[">"]:
+                    return start, html.index(">", start) + 1, None
+            elif (name := NAME.match(html, start + 1)) and (end := self._end(name.end())) >= 0:
+                return start, end, name
+            at = start + 1
+        return -1, len(html), None
+
+
+class opened:
+    """The open elements, with the places of those that a search looks for."""
+
+    def __init__(self):
+        self.nodes, self.tags, self.at, self.blocks, self.barriers = [0], ["#"], {}, [], []
+
+    def push(self, node: int, tag: str) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.at.setdefault(tag, []).append(place)
+        if tag in BLOCK:
+            self.blocks.append(place)
+        if tag in BARRIER:
+            self.barriers.append(place)
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.at[self.tags.pop()].pop()
+        for places in (self.blocks, self.barriers):
+            while places and places[-1] >= place:
+                places.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost element of its name, not beyond a barrier."""
+        own = self.at.get(tag)
+        free = tag in BARRIER or tag in ("tr", "tbody", "thead", "tfoot")
+        if own and (free or not self.barriers or own[-1] >= self.barriers[-1]):
+            self.close(own[-1])
+
+    def start(self, tag: str) -> None:
+        """A start tag ends what can't hold it; inline elements and paragraphs in between don't matter."""
+        for place in reversed(self.blocks):
+            if tag in ENDED_BY.get(self.tags[place], ()):
+                return self.close(place)
+            if self.tags[place] != "p":
+                return None
+
+
 class Page:
     """Elements in document order (parent before child) and pieces of text (element, block, text)."""
 
     def __init__(self, html: str):
         self.tags, self.parents, self.words = ["#"], [-1], [frozenset()]
         self.pieces: list[tuple[int, int, str]] = []
-        stack, block, at, size = [0], 0, 0, len(html)
-        while at < size:
-            m = TOKEN.search(html, at)
-            if m is None:
-                self._text(stack[-1], block, html[at:])
+        stack, token, block, at = opened(), tokens(html), 0, 0
+        while at < len(html):
+            start, after, name = token(at)
+            if start < 0:
+                self._text(stack.nodes[-1], block, html[at:])
                 break
-            if m.start() > at:
-                self._text(stack[-1], block, html[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            if start > at:
+                self._text(stack.nodes[-1], block, html[at:start])
+            at = after
+            if name is None:
                 continue
-            tag = m[2].lower()
+            tag, attributes = name[2].lower(), html[name.end() : after - 1]
             block += tag in BLOCK
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        del stack[k:]
-                        break
-                    if self.tags[stack[k]] in BARRIER and tag not in BARRIER and tag not in ("tr", "tbody", "thead", "tfoot"):
-                        break
+            if name[1]:
+                stack.end(tag)
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                open_ = self.tags[stack[k]]
-                if tag in ENDED_BY.get(open_, ()):
-                    del stack[k:]
-                    break
-                if open_ in BLOCK and open_ != "p":
-                    break
+            stack.start(tag)
             if tag == "br":
-                self.pieces.append((stack[-1], block, " "))
+                self.pieces.append((stack.nodes[-1], block, " "))
+            node = len(self.tags)
             self.tags.append(tag)
-            self.parents.append(stack[-1])
-            self.words.append(self._words(m[3]) if m[3] else frozenset())
+            self.parents.append(stack.nodes[-1])
+            self.words.append(self._words(attributes) if attributes else frozenset())
             if tag in RAW:
                 end = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
                 if tag == "textarea" or tag == "title":
-                    self._text(len(self.tags) - 1, block, html[at : end.start() if end else size])
-                at = end.end() if end else size
+                    self._text(node, block, html[at : end.start() if end else len(html)])
+                at = end.end() if end else len(html)
                 block += tag in BLOCK
-            elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-                stack.append(len(self.tags) - 1)
+            elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
+                stack.push(node, tag)
 
     def _text(self, node: int, block: int, raw: str) -> None:
         self.pieces.append((node, block, unescape(raw) if "&" in raw else raw))

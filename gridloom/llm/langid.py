@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Buckets of hashed trigrams.
 BUCKETS = 1 << 16
-#: More labels than this are taken for an error in the label column.
-MOST_LANGUAGES = 400
 SMOOTHING = 0.5
 STEPS = 6
 #: Weight of one more language against the log likelihood, in units of log(number of words) / 2.
@@ -77,8 +75,6 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
     counted = rows.mapInArrow(_tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} labels; a language column is expected")
     counts = np.zeros((BUCKETS, len(languages)))
     for k, name in enumerate(languages):
         own = counted[counted["lang"] == name]
@@ -128,11 +124,12 @@ def mixtures(texts: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def _predict(model: Model, names: list[str]):
+def _predict(shared, names: list[str]):
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-    size = max(1000, SLICE_CHARS // max(1, len(model.languages)))
 
     def run(batches):
+        model = shared.value
+        size = max(1000, SLICE_CHARS // max(1, len(model.languages)))
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             at = 0
@@ -162,8 +159,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "mixture")]
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in names)
-    rows = docs.select(F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in names])
-    return rows.mapInArrow(_predict(model, names), f"{schema}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    rows = docs.select(F.col(text).alias("__gl_text"), *[F.col(f"`{c}`") for c in names])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
+    return rows.mapInArrow(_predict(shared, names), f"{schema}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -126,15 +126,15 @@ def place(pieces: DataFrame, patterns: list[tuple[dict[int, int], int]]) -> Data
     """``pieces`` with sequence_id and offset."""
     lookup = _slots(patterns)
     bins = width(pieces.sparkSession)
-    salted = pieces.withColumn("_salt", salt(bins, "doc_id", "piece"))
-    starts = bin_starts(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), ["length"])
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1).join(starts.drop("n"), ["length", "_salt"]).withColumn("_rank", F.col("_start") + F.col("_rank")).drop("_salt", "_start")
-    names = [c for c in ranked.columns if c != "_rank"]
+    salted = pieces.withColumn("__gl_salt", salt(bins, "doc_id", "piece"))
+    starts = bin_starts(salted.groupBy("length", "__gl_salt").agg(F.count("*").alias("n")), ["length"])
+    order = Window.partitionBy("length", "__gl_salt").orderBy("doc_id", "piece")
+    ranked = salted.withColumn("__gl_rank", F.row_number().over(order) - 1).join(starts.drop("n"), ["length", "__gl_salt"]).withColumn("__gl_rank", F.col("__gl_start") + F.col("__gl_rank")).drop("__gl_salt", "__gl_start")
+    names = [c for c in ranked.columns if c != "__gl_rank"]
 
     def seat(batches):
         for b in batches:
-            lengths, ranks = b.column(b.schema.get_field_index("length")).to_numpy(), b.column(b.schema.get_field_index("_rank")).to_numpy()
+            lengths, ranks = b.column(b.schema.get_field_index("length")).to_numpy(), b.column(b.schema.get_field_index("__gl_rank")).to_numpy()
             seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for n in np.unique(lengths):
                 own = lengths == n
@@ -144,7 +144,7 @@ def place(pieces: DataFrame, patterns: list[tuple[dict[int, int], int]]) -> Data
             columns = [b.column(b.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "_rank")
+    schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "__gl_rank")
     return ranked.mapInArrow(seat, f"{schema}, sequence_id long, offset long")
 
 

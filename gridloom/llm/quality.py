@@ -57,27 +57,27 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     # Steps in separate projections: an array that several expressions read is built once.
     split = docs.select(
         *kept,
-        F.filter(F.split(t, SPACE), lambda w: w != "").alias("_words"),
-        F.filter(F.split(t, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-        t.alias("_t"),
+        F.filter(F.split(t, SPACE), lambda w: w != "").alias("__gl_words"),
+        F.filter(F.split(t, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("__gl_lines"),
+        t.alias("__gl_text"),
     )
-    hashed = split.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+    hashed = split.withColumn("__gl_grams", F.transform("__gl_words", lambda w: F.xxhash64(w)))
     # Hash of every 8-word window by doubling: pairs, fours, eights.
     mix = lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))
     shifted = lambda c, k: F.slice(F.col(c), k + 1, F.greatest(F.size(c) - k, F.lit(0)))
     short = lambda c, k: F.slice(F.col(c), 1, F.greatest(F.size(c) - k, F.lit(0)))
     grams = hashed
     for k in (1, 2, 4):
-        grams = grams.withColumn("_h", F.when(F.size("_h") > k, F.zip_with(short("_h", k), shifted("_h", k), mix)).otherwise(F.array().cast("array<bigint>")))
+        grams = grams.withColumn("__gl_grams", F.when(F.size("__gl_grams") > k, F.zip_with(short("__gl_grams", k), shifted("__gl_grams", k), mix)).otherwise(F.array().cast("array<bigint>")))
     measured = grams.select(
         *kept,
-        F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
-        _symbols(F.col("_t")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_words", lambda w: w.isin(stop_forms()))).cast("long").alias("n_stop"),
-        F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0).cast("long")).otherwise(_covered(F.col("_h"))).alias("n_repeat_words"),
+        F.size("__gl_words").cast("long").alias("n_words"),
+        F.aggregate("__gl_words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
+        _symbols(F.col("__gl_text")).cast("long").alias("n_symbols"),
+        (F.size("__gl_lines") - F.size(F.array_distinct("__gl_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("__gl_lines").cast("long").alias("n_lines"),
+        F.size(F.filter("__gl_words", lambda w: w.isin(stop_forms()))).cast("long").alias("n_stop"),
+        F.when(F.size(F.array_distinct("__gl_grams")) == F.size("__gl_grams"), F.lit(0).cast("long")).otherwise(_covered(F.col("__gl_grams"))).alias("n_repeat_words"),
     )
     return measured
 
@@ -135,4 +135,4 @@ def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     push a filter below the projections and copy all measures, and what they are made of, into it."""
     judged = quality_rules(docs, text, rules)
     names = [c for c in docs.columns if c in judged.columns]
-    return judged.select(*[F.col(f"`{c}`") for c in names], F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_kept")).select(*[F.col(f"`{c}`") for c in names])
+    return judged.select(*[F.col(f"`{c}`") for c in names], F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("__gl_kept")).select(*[F.col(f"`{c}`") for c in names])

@@ -50,7 +50,7 @@ def _counts(slim: DataFrame, key: str, probes: list[int]) -> list[tuple[int, int
         hit = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit]), pa.array(rows[hit])], ["slot", "bytes", "rows"])
 
-    tallied = slim.select(key, "_size").mapInArrow(tally, "slot long, bytes long, rows long")
+    tallied = slim.select(key, "__gl_size").mapInArrow(tally, "slot long, bytes long, rows long")
     per = np.zeros((len(edges) + 1, 2), dtype=np.int64)
     for r in tallied.groupBy("slot").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("n")).collect():
         per[r.slot] = r.b, r.n
@@ -90,20 +90,20 @@ def _refine(slim: DataFrame, key: str, goals: list[int], rows: int, tolerance: i
 
 def find_splitters(slim: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """The n_shards - 1 boundaries (hash, doc_id); a row goes to the shard of the boundaries at or below its key."""
-    total, rows = slim.agg(F.sum("_size"), F.count("*")).first()
+    total, rows = slim.agg(F.sum("__gl_size"), F.count("*")).first()
     if not total:
         return []
     allowed = max(int(tolerance * total / n_shards), total // rows)  # no closer than a mean row
     goals = [total * k // n_shards for k in range(1, n_shards)]
-    found = _refine(slim, "_h", goals, rows, allowed)
+    found = _refine(slim, "__gl_h", goals, rows, allowed)
     splitters = [(h, LOWEST) for h, _ in found]
     off = {k: goals[k] - below for k, (_, below) in enumerate(found) if abs(goals[k] - below) > allowed}
     # Splitters that fall inside the rows of one text go on over doc_id; single rows can't be split.
-    large = {r["_h"]: r["n"] for r in slim.where(F.col("_h").isin([found[k][0] for k in off])).groupBy("_h").agg(F.count("*").alias("n")).collect()} if off else {}
+    large = {r["__gl_h"]: r["n"] for r in slim.where(F.col("__gl_h").isin([found[k][0] for k in off])).groupBy("__gl_h").agg(F.count("*").alias("n")).collect()} if off else {}
     for h in sorted(h for h, n in large.items() if n > 1):
         own = [k for k in off if found[k][0] == h and off[k] > 0]
         if own:
-            for k, (doc, _) in zip(own, _refine(slim.where(F.col("_h") == h), "_id", [off[k] for k in own], large[h], allowed), strict=True):
+            for k, (doc, _) in zip(own, _refine(slim.where(F.col("__gl_h") == h), "__gl_id", [off[k] for k in own], large[h], allowed), strict=True):
                 splitters[k] = (h, doc)
     return sorted(splitters)
 
@@ -116,16 +116,16 @@ def assign(splitters: list[tuple[int, int]], h: Column, doc: Column) -> Column:
 def shard_by_bytes(docs: DataFrame, n_shards: int, text: str = "text", doc_id: str = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with size, shard and slot (gapless from 0 within the shard), exchanged once by (shard, bin)."""
     spark = docs.sparkSession
-    mine = {"size", "shard", "slot", "_h", "_id", "_size", "_salt", "_start"}
+    mine = {"size", "shard", "slot"}
     h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
-    slim = cut(docs.select(h.alias("_h"), ident.alias("_id"), text_size(F.col(text)).alias("_size")))
+    slim = cut(docs.select(h.alias("__gl_h"), ident.alias("__gl_id"), text_size(F.col(text)).alias("__gl_size")))
     splitters = find_splitters(slim, n_shards, tolerance)
     bins = width(spark)
-    place = [assign(splitters, F.col("_h"), F.col("_id")).alias("shard"), salt(bins, "_id", "_h").alias("_salt")]
-    starts = bin_starts(slim.select(*place).groupBy("shard", "_salt").agg(F.count("*").alias("n")), ["shard"])
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in mine], text_size(F.col(text)).alias("size"), h.alias("_h"), ident.alias("_id"))
-    moved = keyed.select("*", *place).repartition(max(n_shards, bins), "shard", "_salt")
-    order = Window.partitionBy("shard", "_salt").orderBy("_h", "_id")
-    placed = moved.withColumn("_rank", F.row_number().over(order) - 1).join(starts.drop("n"), ["shard", "_salt"])
-    return placed.withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long")).drop("_h", "_id", "_salt", "_start", "_rank")
+    place = [assign(splitters, F.col("__gl_h"), F.col("__gl_id")).alias("shard"), salt(bins, "__gl_id", "__gl_h").alias("__gl_salt")]
+    starts = bin_starts(slim.select(*place).groupBy("shard", "__gl_salt").agg(F.count("*").alias("n")), ["shard"])
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in mine], text_size(F.col(text)).alias("size"), h.alias("__gl_h"), ident.alias("__gl_id"))
+    moved = keyed.select("*", *place).repartition(max(n_shards, bins), "shard", "__gl_salt")
+    order = Window.partitionBy("shard", "__gl_salt").orderBy("__gl_h", "__gl_id")
+    placed = moved.withColumn("__gl_rank", F.row_number().over(order) - 1).join(starts.drop("n"), ["shard", "__gl_salt"])
+    return placed.withColumn("slot", (F.col("__gl_start") + F.col("__gl_rank")).cast("long")).drop("__gl_h", "__gl_id", "__gl_salt", "__gl_start", "__gl_rank")

@@ -108,8 +108,8 @@ def test_typed_parts(spark):
     parts = "array<struct<type:string,text:string,ref:string,tokens:long>>"
     rows = [(1, 0, "user", [("text", "look <|x|>", None, None), ("image", None, "s3://a", 576), ("text", " and ", None, None), ("audio", None, "b", 30)]), (1, 1, "assistant", [("document", None, "d", None), ("odd", "as text", None, None)]), (1, 2, "user", None)]
     r = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content {parts}")).first()
-    assert "look <\\|x|><|image:0|> and <|audio:1|>" in r.formatted and "<|document:0|>as text" in r.formatted
-    assert [(a.turn_no, a.no, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, 0, "image", "s3://a", 576), (0, 1, "audio", "b", 30), (1, 0, "document", "d", 0)]
+    assert "look <\\|x|><|image:0|> and <|audio:1|>" in r.formatted and "<|document:2|>as text" in r.formatted
+    assert [(a.turn_no, a.no, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, 0, "image", "s3://a", 576), (0, 1, "audio", "b", 30), (1, 2, "document", "d", 0)]
     assert r.attachment_tokens == 606
 
 
