@@ -32,21 +32,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (tests)."""
+    """The folder that driver and executors share; one of our own only where none is configured and all run in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        root = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later jobs neither recompute it nor need the executors that made it."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: later jobs neither recompute it nor need the executors that made it.
+    ``parts``: files at most, for tables known to be small."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the folders of tables from ``cut`` that no later plan reads."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys with more than one row in so many are joined by broadcast; there can be no more keys of this kind than that.
+HOT_SHARE = 200
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: str | list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) with ``side``, a written table with one row a key and its number of rows in ``count``.
+    The few keys with a large share of all rows go by broadcast, so that their rows stay where they are; the rest by shuffle."""
+    bound = (side.agg(F.sum(count)).first()[0] or 0) // HOT_SHARE
+    cold = rows.join(side.where(F.col(count) <= bound), on, how)
+    if side.where(F.col(count) > bound).isEmpty():
+        return cold
+    return cold.unionByName(rows.join(F.broadcast(side.where(F.col(count) > bound)), on, how))
 
 
 def width(spark: SparkSession) -> int:
@@ -58,7 +84,7 @@ def salt(n: int, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def bin_starts(counts: DataFrame, keys: list[str], count: str = "n", bin_col: str = "_salt", out: str = "_start") -> DataFrame:
+def bin_starts(counts: DataFrame, keys: list[str], count: str = "n", bin_col: str = "__gl_salt", out: str = "__gl_start") -> DataFrame:
     """Running total of ``count`` before each bin of a key.  ``counts`` has one row per key and bin."""
     before = Window.partitionBy(*keys).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(count).over(before), F.lit(0).cast("long")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,20 @@ def _is_final(state: DataFrame) -> bool:
     return nodes.where("up > 1 OR (up = 1 AND least = 0)").isEmpty()
 
 
+#: Edges of a task: small tables stay in few files, however many partitions a shuffle has.
+EDGES_A_TASK = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v: long, u <> v) to ``id``, ``component`` (smallest id reachable); ids without an edge have no row.
-    The steps end when all trees are stars."""
-    state = cut(_small_star(_large_star(edges)))
-    while not _is_final(state):
-        state = cut(_small_star(_large_star(state)))
-    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    """``edges`` (u, v: long, u <> v) to a written table of ``id``, ``component`` (smallest id reachable); ids without an edge
+    have no row.  Edges are computed once; the steps end when all trees are stars."""
+    state = cut(edges)
+    parts = 1 + state.count() // EDGES_A_TASK
+    done = False
+    while not done:
+        before, state = state, cut(_small_star(_large_star(state.coalesce(parts)).coalesce(parts)), parts)
+        discard(before)
+        done = _is_final(state)
+    out = cut(state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), parts)
+    discard(state)
+    return out

@@ -1,19 +1,20 @@
 """MinHash near-duplicates: many universal hash minima, banding, signature verification, exact confirmation, components.
 
-Steps.  (1) Every text becomes its set of word shingles, a signature of minima and the keys of its bands.  (2) Equal sets
-form a class and only its smallest id goes on.  (3) Texts that share a band bucket are candidates.  A bucket is searched by
-leaders, not by pairs: its smallest member meets all others, and a bucket is left as soon as all its members are in one
-component; what two leader rounds leave open is searched in full between its components, block by block, and only links
-leave a task.  So a bucket of thousands of linked near copies costs about one comparison a member.  (4) A candidate must
-first agree in its signature, then on the full sets; for each text the most similar leader is confirmed first, and others
-only if they still would join two components.  (5) Components by alternating large-star and small-star.
+Steps.  (1) Every text becomes its set of word shingles and the keys of its bands of minima.  (2) Equal sets form a class and
+only its smallest id goes on.  (3) Texts that share a band bucket are candidates.  A bucket is searched by its leader, not by
+pairs: its smallest member meets all others.  (4) A candidate must first agree in its signature, then on the full sets of
+64-bit shingle hashes.  (5) Components by alternating large-star and small-star.  (6) Buckets whose members are not all in one
+component by then are open and are compared in one task, between components only.  Open buckets too large for one task are
+first dealt anew by a prefix filter: with all shingles in one order, rare ones first, two texts at the percentage share one of
+their first few, so such a bucket costs by rare shingles in common and not by pairs.  Only links leave a task.
 
 Bands and the least agreement of signatures follow from the percentage (``plan``): a pair just at it is missed by either with
 probability under 6e-7, and less above.  At 85 that makes 25 bands of 5 minima, at 80 28 bands of 4.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; fewer words than
-a shingle make one shingle; a row without an id takes no part (component null, kept); repeated ids share a component; very
-long texts are used whole; an empty table gives an empty result; other columns do not take part.
+a shingle make one shingle; a row without an id takes no part (component null, kept); rows that share an id are one document,
+linked by whatever links one of their texts; very long texts are used whole; an empty table gives an empty result; other
+columns do not take part.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, discard, join_hot
 from gridloom.llm.components import components
 
 WORDS = 5
@@ -36,11 +37,14 @@ WORDS = 5
 MOST_MINIMA = 125
 #: Probability that the bands, or the agreement of signatures, miss a pair just at the percentage.
 MISS = 6e-7
-LEADER_ROUNDS = 2
-#: Rows of a bucket that are compared with each other, or with another block, in one task.
+#: Rows of a group that are compared with each other, or with another block, in one task.
 BLOCK_ROWS = 1000
+#: Rows of an open bucket up to which it is compared as it is; larger ones are dealt anew by prefix.
+BUCKET_ROWS = 64
 #: Bits of the filter that picks the texts whose sets are needed (4 MB).
 FILTER_BITS = 1 << 25
+#: Counters of the table that orders shingles by how often they occur (2 MB).
+ORDER_SLOTS = 1 << 18
 _PLACES = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -70,10 +74,7 @@ def plan(percent: int) -> Plan:
 
 @functools.cache
 def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(20240501).integers(1, 2**63, size=(2, n), dtype=np.uint64)
-
-
-SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
+    return np.random.default_rng(20240501).integers(1, 2**32, size=(2, n), dtype=np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class shingler:
-    """Distinct shingle hashes of texts; word hashes are remembered within a task."""
+    """Distinct shingle hashes of texts, ascending; word hashes are remembered within a task."""
 
     def __init__(self, n_words: int = WORDS, most: int = 150_000):
         import xxhash
@@ -110,36 +111,38 @@ class shingler:
 
 
 def signature(s: np.ndarray, n: int) -> np.ndarray:
-    """``n`` minima of the universal hashes a * x + b, upper 32 bits."""
-    a, b = _multipliers(n)[0][:, None] | np.uint64(1), _multipliers(n)[1][:, None]
-    least = np.full(n, np.uint64(2**64 - 1))
-    for at in range(0, len(s), 2048):
-        np.minimum(least, (s[None, at : at + 2048] * a + b).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    """``n`` minima of the universal hashes a * x + b modulo 2**32 over the upper halves x of the shingle hashes."""
+    a, b = _multipliers(n)[0][:, None] | np.uint32(1), _multipliers(n)[1][:, None]
+    x, least = (s >> np.uint64(32)).astype(np.uint32), np.full(n, np.uint32(2**32 - 1))
+    for at in range(0, len(x), 2048):
+        np.minimum(least, (x[None, at : at + 2048] * a + b).min(axis=1), out=least)
+    return least
+
+
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+
+
+SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _sketch(bands: int, band_rows: int):
     def run(batches):
         make = shingler()
         for b in batches:
-            rows = [[], [], [], [], [], []]
+            columns = [[], [], [], [], []]
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = make(text)
-                sig = signature(s, bands * band_rows) if len(s) else np.empty(0, "<u4")
-                keys = []
+                s, keys = make(text), []
                 if len(s):
-                    grid = sig.reshape(bands, band_rows).astype(np.uint64)
+                    grid = signature(s, bands * band_rows).reshape(bands, band_rows).astype(np.uint64)
                     key = np.arange(bands, dtype=np.uint64)
                     for k in range(band_rows):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, k])
-                    keys = key.view(np.int64).tolist()
-                x, y = (s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else (np.uint64(0), np.uint64(0))
-                for column, value in zip(rows, (ident, len(s), x.astype(np.int64), y.astype(np.int64), sig.tobytes(), keys), strict=True):
+                    keys = key.view(np.int64)
+                for column, value in zip(columns, (ident, len(s), *set_key(s), keys), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(np.array(rows[2], np.int64)), pa.array(np.array(rows[3], np.int64)), pa.array(rows[4], pa.binary()), pa.array(rows[5], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
-            )
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
@@ -149,195 +152,224 @@ def sketches(docs: DataFrame, percent: int, text: str = "text", doc_id: str = "d
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_sketch(own.bands, own.rows), SCHEMA)
 
 
-def id_filters(pairs: DataFrame, columns: tuple[str, ...]) -> list[np.ndarray]:
-    """For each column, bits set at the hashes of its ids: Bloom filters of fixed size, so they may go to every task; more ids only let more rows pass."""
-    ids = pairs.select(F.posexplode(F.array(*columns)).alias("side", "id")).select("side", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    words = ids.select("side", F.floor(F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b")).groupBy("side", "w").agg(F.bit_or("b").alias("b"))
-    found, out = words.toPandas(), []
-    for k in range(len(columns)):
-        own, bits = found[found["side"] == k], np.zeros(FILTER_BITS // 64, np.int64)
-        bits[own["w"].to_numpy()] = own["b"].to_numpy()
-        out.append(bits)
-    return out
+def id_filter(rows: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of the ids: a Bloom filter of fixed size, so it may go to every task; more ids only let more rows pass."""
+    bit = rows.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    words = bit.select(F.floor(F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found, bits = words.toPandas(), np.zeros(FILTER_BITS // 64, np.int64)  # at most FILTER_BITS / 64 rows
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    return bits
 
 
-def _sets(in_a, in_b):
-    """Sets as 40-bit hashes (the upper 32 bits of all, then the next 8) of the texts that pass one of the filters; an id goes out once a task."""
+def _sets(wanted, minima: int):
+    """Sets and signatures (the lower byte of each minimum, which can only agree more often than the whole) of the texts that pass the filter."""
 
     def run(batches):
-        make, seen = shingler(), set()
+        make = shingler()
         for b in batches:
             bit = b.column(2).to_numpy()
-            word, place = bit // 64, bit % 64
-            a, z = ((bits.value[word] >> place) & 1 == 1 for bits in (in_a, in_b))
-            rows = [k for k, i in zip(np.flatnonzero(a | z).tolist(), b.column(0).take(np.flatnonzero(a | z)).to_pylist(), strict=True) if i not in seen and not seen.add(i)]
-            out = []
-            for text in b.column(1).take(pa.array(rows, pa.int64())).to_pylist():
+            at = pa.array(np.flatnonzero((wanted.value[bit // 64] >> (bit % 64)) & 1 == 1))
+            columns = [[], [], [], []]
+            for text in b.column(1).take(at).to_pylist():
                 s = make(text)
-                out.append((s >> np.uint64(32)).astype("<u4").tobytes() + (s >> np.uint64(24)).astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary()), pa.array(a[rows]), pa.array(z[rows])], ["id", "set", "in_a", "in_b"])
+                for column, value in zip(columns, (set_key(s)[0], len(s), signature(s, minima).astype("u1").tobytes(), s.astype("<u8").tobytes()), strict=True):
+                    column.append(value)
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", "tag", "n", "signature", "set"])
 
     return run
 
 
-def _unpack(x: bytes) -> np.ndarray:
-    n = len(x) // 5
-    return np.frombuffer(x, "<u4", n).astype(np.uint64) << np.uint64(8) | np.frombuffer(x, "u1", n, 4 * n)
+def _agree(least: float):
+    def run(batches):
+        for b in batches:
+            share = [(np.frombuffer(x, "u1") == np.frombuffer(y, "u1")).mean() for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            at = pa.array(np.flatnonzero(np.array(share) >= least))
+            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in range(4)], ["a", "tag_a", "b", "tag_b"])
 
+    return run
 
-def _agreement(batches):
-    for b in batches:
-        share = [float((np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")).mean()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share, pa.float64())], ["a", "b", "agree"])
+
+def shared_size(left: np.ndarray, right: np.ndarray) -> int:
+    """Number of common members of two ascending sets."""
+    return len(np.intersect1d(left, right, assume_unique=True))
+
+
+def members_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An inverted index: all members of the sets in order, and whose they are."""
+    owners, members = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    order = np.argsort(members, kind="stable")
+    return members[order], owners[order]
+
+
+def shared_sizes(mine: np.ndarray, members: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Number of members that each of the ``n`` indexed sets shares with ``mine``."""
+    lo, hi = np.searchsorted(members, mine, "left"), np.searchsorted(members, mine, "right")
+    size = hi - lo
+    places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+    return np.bincount(owners[places], minlength=n)
 
 
 def _confirm(percent: int):
-    def check(batches):
+    def run(batches):
         for b in batches:
-            keep, last, left = [], None, None
+            keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x is not last:
-                    last, left = x, _unpack(x)
-                right = _unpack(y)
-                both = len(left) + len(right) - len(np.union1d(left, right))
+                left, right = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = shared_size(left, right)
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            at = np.flatnonzero(keep)
+            at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["u", "v"])
 
-    return check
+    return run
+
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, tag_a, b, tag_b) that agree in their signatures and then on the full sets, as edges u, v."""
 
-def _linked(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that agree in their signatures and then on the full sets, as edges u, v."""
-    sc = docs.sparkSession.sparkContext
-    sides = [signatures.select(F.col("id").alias(c), F.col("signature").alias("s" + c)) for c in "ab"]
-    signed = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
-    likely = cut(signed.mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= plan(percent).agree))
-    filters = [sc.broadcast(bits) for bits in id_filters(likely, ("a", "b"))]
-    sets = _sets_of(docs, *filters)
-    right = likely.select("a", "b").join(sets.where("in_b").select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    full = right.join(sets.where("in_a").select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-    return full.mapInArrow(_confirm(percent), "u long, v long")
+    def beside(rows: DataFrame, column: str) -> DataFrame:
+        for c in ("b", "a"):  # the side with few rows an id first; the other is a plain join, which adaptive execution can split
+            rows = rows.join(sets.select(F.col("id").alias(c), F.col("tag").alias("tag_" + c), F.col(column).alias(f"{column}_{c}")), [c, "tag_" + c])
+        return rows
+
+    signed = beside(pairs, "signature").select("a", "tag_a", "b", "tag_b", "signature_a", "signature_b")
+    likely = cut(signed.mapInArrow(_agree(plan(percent).agree), "a long, tag_a long, b long, tag_b long"))
+    return beside(likely, "set").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long")
+
+
+def _occurrences(batches):
+    for b in batches:
+        found = np.zeros(ORDER_SLOTS, np.int64)
+        for x in b.column(0).to_pylist():
+            found += np.bincount((np.frombuffer(x, "<u8") >> np.uint64(20)).astype(np.int64) % ORDER_SLOTS, minlength=ORDER_SLOTS)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["slot", "n"])
+
+
+def prefix(s: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order (count of the slot, hash): sets at the percentage have one of them in common."""
+    n = len(s) - -(-percent * len(s) // 100) + 1
+    return s[np.lexsort((s, count[(s >> np.uint64(20)).astype(np.int64) % ORDER_SLOTS]))[:n]]
+
+
+def _prefixes(count, percent: int):
+    def run(batches):
+        for b in batches:
+            found = [prefix(np.frombuffer(x, "<u8"), count.value, percent) for x in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64))
+            shingles = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in (0, 1, 3)), pa.array(shingles)], ["id", "tag", "comp", "key"])
+
+    return run
 
 
 def _compare(percent: int):
-    """Links between different components in a block, or between two blocks of a bucket: signatures first, then full sets through
-    the block's own index of shingles.  For each text one link to each other component leaves the task."""
+    """Links between different components in a block, or between two blocks of a group: signatures first, then full sets.
+    For each text one link to each other component leaves the task."""
     agree = plan(percent).agree
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
         pdf = pdf.sort_values("id")
         left, right = (pdf, pdf) if same else (pdf[pdf["block"] == pdf["lo"]], pdf[pdf["block"] == pdf["hi"]])
-        # The lower 16 bits of each minimum can only agree more often than the whole.
-        s, t = (np.frombuffer(b"".join(x["signature"]), "<u4").reshape(len(x), -1).astype(np.uint16) for x in (left, right))
+        s, t = (np.frombuffer(b"".join(x["signature"]), "u1").reshape(len(x), -1) for x in (left, right))
         i_id, j_id, i_comp, j_comp, i_n, j_n = (x[c].to_numpy() for c in ("id", "comp", "n") for x in (left, right))
-        sets = [_unpack(x) for x in right["set"]]
-        owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        order = np.argsort(shingles, kind="stable")
-        shingles, owners = shingles[order], owners[order]
-        found = set()
-        for at in range(0, len(s), 32):
-            rows = slice(at, at + 32)
-            near = (i_comp[rows, None] != j_comp[None, :]) & (100 * np.minimum(i_n[rows, None], j_n[None, :]) >= percent * np.maximum(i_n[rows, None], j_n[None, :]))
+        i_set, j_set = ([np.frombuffer(v, "<u8") for v in x["set"]] for x in (left, right))
+        index, found = None, set()
+        for i in range(len(s)):
+            near = (j_comp != i_comp[i]) & (100 * np.minimum(i_n[i], j_n) >= percent * np.maximum(i_n[i], j_n))
             if same:
-                near &= i_id[rows, None] < j_id[None, :]
-            some = np.flatnonzero(near.any(axis=0))
-            likely = near[:, some] & ((s[rows][:, None, :] == t[some][None, :, :]).mean(axis=2) >= agree)
-            for i in np.flatnonzero(likely.any(axis=1)):
-                mine = _unpack(left["set"].iloc[at + i])
-                lo, hi = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
-                size = hi - lo
-                places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-                j = some[likely[i]]
-                both = np.bincount(owners[places], minlength=len(sets))[j]
-                linked = j[100 * both >= percent * (i_n[at + i] + j_n[j] - both)]
-                _, first = np.unique(j_comp[linked], return_index=True)
-                found.update((int(i_id[at + i]), int(j_id[k])) for k in linked[first])
+                near &= i_id[i] < j_id
+            js = np.flatnonzero(near)
+            js = js[(t[js] == s[i]).sum(axis=1) >= agree * s.shape[1]] if len(js) else js
+            if len(js) > 8:
+                index = index or members_of(j_set)
+                both = shared_sizes(i_set[i], *index, len(j_set))[js]
+            else:
+                both = np.array([shared_size(i_set[i], j_set[j]) for j in js], np.int64)
+            js = js[100 * both >= percent * (i_n[i] + j_n[js] - both)]
+            found.update((int(i_id[i]), int(j_id[j])) for j in js[np.unique(j_comp[js], return_index=True)[1]])
         return pd.DataFrame(sorted(found), columns=["u", "v"]).astype("int64")
 
     return run
 
 
-def _between(rows: DataFrame, texts: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Links u, v between different components over whole buckets (key, id, n, comp), in blocks of BLOCK_ROWS rows."""
-    wanted = texts.sparkSession.sparkContext.broadcast(id_filters(rows, ("id",))[0])
-    sets = _sets_of(texts, wanted, wanted).select("id", "set").join(signatures, "id").dropDuplicates(["id"])
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "id")
-    paired = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "comp", "signature", "set")
-    return paired.groupBy("key", "lo", "hi").applyInPandas(_compare(percent), "u long, v long").distinct()
-
-
-def _sets_of(texts: DataFrame, in_a, in_b) -> DataFrame:
-    keyed = texts.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    return cut(keyed.mapInArrow(_sets(in_a, in_b), "id long, set binary, in_a boolean, in_b boolean"))
-
-
-def _candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a leader a and a member b with the number of buckets they share, from open buckets (key, id, n, comp), and the bucket rows without the leaders."""
-    near = (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")) & (F.col("comp") != F.col("lcomp"))
-    leader = rows.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("lead"))
-    met = rows.join(leader, "key").where(F.col("id") != F.col("lead.id")).select("key", "id", "n", "comp", F.col("lead.id").alias("lid"), F.col("lead.n").alias("ln"), F.col("lead.comp").alias("lcomp"))
-    return met.where(near).groupBy(F.col("lid").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), met.select("key", "id", "n")
-
-
-def _apart(rows: DataFrame, comps: DataFrame | None, *ids: str) -> DataFrame:
-    """``rows`` with the component of each id column as comp_<column>."""
-    for c in ids:
-        if comps is None:
-            rows = rows.withColumn("comp_" + c, F.col(c))
-        else:
-            rows = rows.join(comps.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn("comp_" + c, F.coalesce("_c", c)).drop("_c")
-    return rows
-
-
-def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Bucket rows (key, id, n) with their component, of the buckets with two or more components."""
-    named = _apart(rows, comps, "id").withColumnRenamed("comp_id", "comp")
-    split = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return named.join(split, "key", "left_semi").select("key", "id", "n", "comp")
+def _by_prefix(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The texts of buckets (id, tag, comp) dealt anew (key, id, tag, comp): by the shingles of their prefixes."""
+    known = cut(sets.select("id", "tag", "set").join(rows.select("id", "tag", "comp").distinct(), ["id", "tag"]))
+    slots = known.select("set").mapInArrow(_occurrences, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most ORDER_SLOTS rows
+    count = np.zeros(ORDER_SLOTS, np.int64)
+    count[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    dealt = cut(known.mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(count), percent), "id long, tag long, comp long, key long").select("key", "id", "tag", "comp"))
+    discard(known)
+    return dealt
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The keys of rows (key, id, tag, comp) with two or more components and their number of rows, written."""
+    return cut(rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x < y").select("key", "rows"))
+
+
+def _between(rows: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between different components of the buckets (key, id, tag, comp; ``keys``: key, rows), written.  Up to
+    BUCKET_ROWS rows a bucket is compared at once; larger ones are first dealt anew by prefix."""
+    small = join_hot(rows, keys, "key", "rows")
+    large = cut(small.where(F.col("rows") > BUCKET_ROWS).drop("rows"))
+    small = small.where(F.col("rows") <= BUCKET_ROWS).withColumn("blocks", F.lit(1))
+    dealt = groups = None
+    if not large.isEmpty():
+        dealt = _by_prefix(large, sets, percent)
+        groups = _open(dealt)
+        placed = join_hot(dealt, groups, "key", "rows").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+        small = small.unionByName(placed)
+    small = small.withColumn("block", F.pmod(F.xxhash64("id", "tag"), F.col("blocks")).cast("int"))
+    met = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "tag", "comp")
+    links = cut(paired.join(sets, ["id", "tag"]).groupBy("key", "lo", "hi").applyInPandas(_compare(percent), "u long, v long").distinct())
+    discard(large, dealt, groups)
+    return links
+
+
+def _components(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Components (id, component) of the texts in ``docs`` (id, text) that share buckets: ``members`` (key, id, tag, n, lead)."""
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(members))
+    own = plan(percent)
+    keyed = docs.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    found = keyed.mapInArrow(_sets(wanted, own.bands * own.rows), "id long, tag long, n long, signature binary, set binary")
+    sets = cut(found.where("n > 0").dropDuplicates(["id", "tag"]))
+    near = (F.col("id") != F.col("lead.id")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
+    pairs = members.where(near).select(F.col("lead.id").alias("a"), F.col("lead.tag").alias("tag_a"), F.col("id").alias("b"), F.col("tag").alias("tag_b")).distinct()
+    comps = components(_linked(pairs, sets, percent))
+    # The leader of a bucket has met all others; the bucket is open where these are in two or more components.
+    rest = members.where("id <> lead.id").select("key", "id", "tag").join(comps, "id", "left").select("key", "id", "tag", F.coalesce("component", "id").alias("comp"))
+    rest = cut(rest)
+    keys = _open(rest)
+    if not keys.isEmpty():
+        links = _between(rest, keys, sets, percent)
+        kept = comps.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+        before, comps = comps, components(kept.unionByName(links))
+        discard(before, links)
+    discard(sets, rest, keys)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     all_rows = cut(sketches(docs, percent, text, doc_id))
     ids = all_rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = cut(ids.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")))
-    rep = ids.join(classes.select("set_a", "set_b", F.col("id").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
-    banded = rep.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
-    rows = cut(banded.join(shared, "key", "left_semi"))
-    signatures = cut(rep.select(F.col("doc_id").alias("id"), "signature").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-
-    edges, comps = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        live = cut(_open(rows, comps))
-        if live.isEmpty():
-            break
-        if turn == LEADER_ROUNDS:
-            edges = edges.unionByName(_between(live, texts, signatures, percent))
-            comps = components(edges)
-            break
-        pairs, rows = _candidates(live, percent)
-        pairs = cut(pairs)
-        # First each text's leader with most buckets in common; then the others, where they would still join two components.
-        tried = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        for last in (False, True):
-            if last:
-                rest = _apart(pairs.join(tried, ["a", "b"], "left_anti"), comps, "a", "b").where("comp_a <> comp_b").select("a", "b")
-                tried = cut(rest)
-                if tried.isEmpty():
-                    continue
-            linked = _linked(tried, texts, signatures, percent)
-            edges = linked if edges is None else edges.unionByName(linked)
-            comps = components(edges)
-            edges = comps.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-    placed = all_rows.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.withColumnRenamed("id", "rep"), ["set_a", "set_b"], "left")
-    placed = placed.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
-    if comps is not None:
-        placed = placed.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    return placed.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
+    classes = cut(ids.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
+    rep = ids.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
+    banded = rep.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("set_a").alias("tag"), F.col("n_shingles").alias("n"))
+    buckets = cut(banded.groupBy("key").agg(F.min(F.struct("id", "tag", "n")).alias("lead"), F.max("id").alias("last"), F.count("*").alias("rows")).where("lead.id < last").drop("last"))
+    members = cut(join_hot(banded, buckets, "key", "rows"))
+
+    if members.isEmpty():
+        groups = classes.select("set_a", "set_b", F.col("rep").alias("component"))
+    else:
+        comps = _components(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), members, percent)
+        known = comps.select(F.col("id").alias("rep"), "component")
+        groups = classes.join(known, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    placed = all_rows.select("doc_id", "n_shingles", "set_a", "set_b").join(cut(groups), ["set_a", "set_b"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    discard(buckets, members, classes)
+    return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
