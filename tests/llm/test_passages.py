@@ -49,7 +49,7 @@ def test_passages_against_brute_force(spark):
     long = words(rng, repeats._WORD_PIECE + 5000)
     texts += ["", " \n", "ein Wort", " ".join(long), " ".join(long[repeats._WORD_PIECE - 100 : repeats._WORD_PIECE + 100])]
     got = [[False] * len(t.split()) for t in texts]
-    for r in repeats.repeated_spans(frame(spark, texts).selectExpr("doc_id AS doc", "text"), 51).collect():
+    for r in repeats.repeated_spans(frame(spark, texts).selectExpr("doc_id AS doc", "text"), repeats.measures(400, 51)).where("words").collect():
         got[r.doc][r.start : r.stop] = [True] * (r.stop - r.start)
     assert got == brute_passages(texts, 51)
 

@@ -1,18 +1,20 @@
 """The corpus pipeline stage by stage against plain Python on the smallest documents table."""
 
+import re
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
 from gridloom.llm import quality
 from gridloom.llm.common import cut, table
-from tests.llm.test_texts import brute_components, brute_repeats
+from tests.llm.test_passages import brute_passages
+from tests.llm.test_texts import brute_components
 
 SF = "/root/testdata/sf0.001"
 
 
 def keeps(text):
-    from collections import Counter
-
     ws = (text or "").split()
     n = len(ws)
     grams = Counter(tuple(ws[i : i + 8]) for i in range(n - 7))
@@ -24,6 +26,27 @@ def keeps(text):
     return 2.5 <= sum(map(len, ws)) / n <= 10 and sum(c in quality.SYMBOLS for c in text) / n <= 0.1 and sum(w in forms for w in ws) / n >= 0.05 and (len(lines) - len(set(lines))) / len(lines) <= 0.5
 
 
+def brute_left(texts):
+    """Texts without the bytes of repeated 400-byte strings and of repeated passages of 51 words."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[k : k + 400] for d in data for k in range(len(d) - 399))
+    out = []
+    for d, words in zip(data, brute_passages([t or "" for t in texts], 51), strict=True):
+        gone = bytearray(len(d))
+        for k in range(len(d) - 399):
+            if seen[d[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        for k, w in enumerate(words):
+            if w:  # the white space between two words of a passage goes with them
+                gone[places[k][0] : places[k][1]] = b"\1" * (places[k][1] - places[k][0])
+        starts = {k for k in range(len(words) - 50) if all(words[k : k + 51])}
+        for k in starts:
+            gone[places[k][0] : places[k + 50][1]] = b"\1" * (places[k + 50][1] - places[k][0])
+        out.append(bytes(b for b, g in zip(d, gone, strict=True) if not g).decode("utf-8", "ignore"))
+    return out
+
+
 def test_stages(spark):
     docs = table(spark, SF, "documents").select(*corpus_pipeline.COLUMNS)
     extra = spark.createDataFrame([(None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, "1 " * 40, None, None, None)], docs.schema)
@@ -41,12 +64,12 @@ def test_stages(spark):
 
     third = cut(stages["near duplicates"](spark, second, SF))
     ids = sorted({r.doc_id for r in second.collect()})
-    want, _ = brute_components([texts[k] for k in ids], 85)
+    want, _ = brute_components([texts[k] for k in ids], corpus_pipeline.NEAR_PERCENT)
     assert sorted(r.doc_id for r in third.collect()) == [ids[k] for k, c in enumerate(want) if c == k]
 
     fourth = cut(stages["repeated strings"](spark, third, SF))
     left = sorted(r.doc_id for r in third.collect())
-    cut_texts = dict(zip(left, (b.decode("utf-8", "ignore") for b, _ in brute_repeats([texts[k] for k in left], 400)), strict=True))
+    cut_texts = dict(zip(left, brute_left([texts[k] for k in left]), strict=True))
     assert {r.doc_id: r.text for r in fourth.collect()} == cut_texts
     assert all(r.n_chars == len(r.text) for r in fourth.collect())
 
@@ -56,6 +79,14 @@ def test_stages(spark):
     assert fifth["sequence_id"].nunique() <= -(-fifth["length"].sum() // 2048) + 1
 
 
+def test_near_duplicates_lose_no_text_of_a_repeated_id(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, one, "en", "s", 0), (1, two, "en", "s", 0), (1, two, "en", "s", 0), (2, two + " end", "en", "s", 0), (None, one, None, None, None), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, SF).collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(1, one), (1, two), (0, one), (3, "")])
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0

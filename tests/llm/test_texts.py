@@ -195,24 +195,30 @@ def test_long_text_in_pieces(spark, monkeypatch):
     assert got == dict(enumerate(want))
 
 
-def test_mark_repeats_on_repetitive_texts():
+def test_index_on_repetitive_texts():
     rng = random.Random(11)
-    for _ in range(15):
-        parts = [bytes(rng.choices(b"ab", k=rng.randint(100, 700))) for _ in range(4)]
+    for k in range(30):
+        length = rng.choice([3, 50, 400])
+        parts = [bytes(rng.choices(b"ab", k=rng.randint(1, 700))) for _ in range(4)]
         texts = [b"".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(6)]
-        want = []
-        seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
-        for t in texts:
-            mask = np.zeros(len(t), bool)
-            for k in range(len(t) - 399):
-                if seen[t[k : k + 400]] > 1:
-                    mask[k : k + 400] = True
-            want.append(mask)
-        for t, spans, mask in zip(texts, repeats.mark_repeats(texts), want, strict=True):
-            got = np.zeros(len(t), bool)
+        seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+        index = repeats.build_index([np.frombuffer(t, np.uint8).astype(np.uint8 if k % 2 else np.uint64) for t in texts])
+        assert len(index.heads) < sum(map(len, texts))
+        for t, spans in zip(texts, repeats.stream(index, length), strict=True):
+            want, got = np.zeros((2, len(t)), bool)
+            for k in range(len(t) - length + 1):
+                if seen[t[k : k + length]] > 1:
+                    want[k : k + length] = True
             for s, e in spans:
                 got[s:e] = True
-            assert (got == mask).all()
+            assert (got == want).all()
+
+
+def test_repeats_with_clashing_columns(spark):
+    twin = "x" * 450
+    df = spark.createDataFrame([(1, twin, "d", "h", "k", 7), (2, twin + "y", "e", "i", "l", 8)], "doc_id long, text string, doc string, row string, kept_text string, start int")
+    got = sorted(repeats.remove_repeats(df).collect())
+    assert [(r.doc_id, r.doc, r.row, r.start, r.kept_text) for r in got] == [(1, "d", "h", 7, ""), (2, "e", "i", 8, "y")]
 
 
 def test_language(spark, docs):
