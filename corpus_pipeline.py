@@ -23,13 +23,14 @@ NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what passes the quality rules."""
+    """Keeps what passes the quality rules; null and empty texts do not.  Repeated rows are judged one by one."""
     prepare(spark)
     return quality.keep(docs).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts with a language that makes up at least half of them; learns from the stage's own labelled documents."""
+    """Keeps texts with a language that makes up at least half of them; learns from the stage's own labelled documents.
+    Null texts and texts without letters go; repeated rows are judged one by one."""
     prepare(spark)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model)
@@ -37,22 +38,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies, and documents without an id."""
+    """Keeps the document with the smallest id of each group of near copies, and documents without an id.  Rows that share an id
+    are one document: they stay together, each text of it once.  Texts without words are no one's copies and stay."""
     prepare(spark)
     kept = neardup.near_duplicates(docs, NEAR_PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings and passages out of the texts; every document stays.  A character of which a byte went goes too."""
+    """Cuts repeated strings and passages out of the texts; every document stays, a null text as an empty one.  A character of
+    which a byte went goes too; rows that repeat each other lose what they share."""
     prepare(spark)
-    done = repeats.remove_repeats(docs, as_text=True, words=PASSAGE_WORDS)
+    done = repeats.remove_repeats(docs, words=PASSAGE_WORDS)
     return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences."""
+    """Packs the texts into sequences; a null text is an empty one, and repeated rows are packed each."""
     import public_tokenizers
 
     prepare(spark)
