@@ -157,3 +157,27 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize(("rows", "fan"), [(mtree.PAGE, mtree.FAN), (16, 4)])
+def test_tree_of_several_levels(spark, rows, fan, monkeypatch):
+    """Deep trees, equal vectors beyond a page, ties, and rows that take no part."""
+    monkeypatch.setattr(mtree, "PAGE", rows)
+    monkeypatch.setattr(mtree, "FAN", fan)
+    rng = np.random.default_rng(3)
+    vectors = [[round(float(x), 2) for x in rng.normal(size=4)] for _ in range(300)] + [[0.5, 0.25, 1.0, 0.0]] * 60
+    table = [(k, v) for k, v in enumerate(vectors)] + [(1000, None), (1010, [1.0, None, 1.0, 1.0]), (1020, [float("nan")] * 4), (None, [1.0] * 4)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)
+    whole = [[int(np.floor(1024 * x)) for x in v] for v in vectors]
+    want = set()
+    for q in range(0, len(vectors), 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], x, strict=True)), k) for k, x in enumerate(whole) if k != q)
+        want |= {(q, place + 1, k, -score) for place, (score, k) in enumerate(scores[:7])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(df, F.col("id") % 20 == 0, 7).collect()} == want
+
+
+def test_scores_beyond_the_digits_of_doubles(spark):
+    big = [[2.0**21, 2.0**-10], [2.0**21, 3 * 2.0**-10], [2.0**21, 4 * 2.0**-10]]
+    df = spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in mtree.top_k(df, F.col("id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(1, 2, 2**62 + 4), (2, 1, 2**62 + 3)]
