@@ -1,12 +1,12 @@
 """BPE encoding and decoding through a distinct-word table.
 
-(1) Blocks.  Each task cuts its texts into words (a run of white space and the run of other characters after it, where the
-byte-level vocabulary always cuts too) and keeps, for a block of texts, its distinct words and each text as positions in that
-list.  (2) Word table.  A block's distinct words go to buckets by their hash, packed into one row per block and bucket, so
-that equal words of all blocks meet in one place, where each is encoded once.  (3) Join.  The ids go back, packed the same
-way, to the block they came from and meet its positions: a join of one row per block and bucket, never of occurrences.  Ids
-of a text are its words' ids in order of position.  Decoding looks every id up in the id-to-piece table, whose size is that of
-the vocabulary file, and joins the pieces.
+(1) Words.  Spark cuts every text into an array of words (a run of white space and the run of other characters after it, where the
+byte-level vocabulary always cuts too).  (2) Blocks.  A block of texts becomes its distinct words and each text as positions in that
+list.  (3) Word table.  A block's distinct words go to buckets by their hash, packed into one row per block and bucket, so that
+equal words of all blocks meet in one place, where each is encoded once.  (4) Join.  The ids go back, packed the same way, to the
+block they came from and meet its positions: a join of one row per block and bucket, never of occurrences.  Ids of a text are its
+words' ids in order of position.  Decoding looks every id up in the id-to-piece table, whose size is that of the vocabulary file,
+inside the task, and joins the pieces.
 
 The blocks are derived twice from the same scan, once for their words and once for their positions, because that costs less
 disk than keeping them; a block's key is a hash of its texts, and a block that does not find its words fails loudly.
@@ -23,38 +23,54 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import width
-from gridloom.llm.words import BARE, CHUNK, encode_words, load
+from gridloom.llm.words import WHITE, encode_words, load
 
-#: Characters of text in a block, about.
-BLOCK_CHARS = 10_000_000
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 10_000_000
 
 
-def _blocks(batches):
-    """Lists (doc_id, text) of about BLOCK_CHARS characters, over the batches of a task."""
-    rows, size = [], 0
-    for b in batches:
-        for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows.append((ident, text or ""))
-            size += len(rows[-1][1])
-            if size >= BLOCK_CHARS:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+class block:
+    """Texts as an array of ids, an array of all their words and the number of words of each."""
+
+    def __init__(self, ids: list[pa.Array], words: list[pa.Array]):
+        self.ids = pa.concat_arrays(ids)
+        self.words = pa.concat_arrays([w.flatten() for w in words])
+        self.sizes = np.concatenate([np.diff(w.offsets.to_numpy()) for w in words])
 
+    def key(self) -> int:
+        import xxhash
 
-def _key(rows) -> int:
-    import xxhash
+        h = xxhash.xxh3_64(repr(self.ids.to_pylist()))
+        h.update(self.sizes.astype("<i8").tobytes())
+        for x in (pc.binary_length(self.words), self.words):  # concatenated anew, so the buffers hold no more than these words
+            h.update(x.buffers()[-1])
+        return int(np.uint64(h.intdigest()).astype(np.int64))
 
-    h = xxhash.xxh3_64()
-    for ident, text in rows:
-        h.update(f"{ident}\0{len(text)}\0")
-        h.update(text.encode("utf-8", "surrogatepass"))
-    return int(np.uint64(h.intdigest()).astype(np.int64))
+
+def _blocks(batches):
+    """Blocks of about BLOCK_BYTES, over the batches (doc_id, words) of a task."""
+    ids, words, size = [], [], 0
+    for b in batches:
+        lists = b.column(1)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy())])
+        at = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]  # bytes before each text of the batch
+        begin = 0
+        while begin < b.num_rows:
+            end = min(b.num_rows, max(begin + 1, int(np.searchsorted(at, at[begin] + BLOCK_BYTES - size, "right")) - 1))
+            ids.append(b.column(0).slice(begin, end - begin))
+            words.append(lists.slice(begin, end - begin))
+            size += int(at[end] - at[begin])
+            begin = end
+            if size >= BLOCK_BYTES or begin < b.num_rows:
+                yield block(ids, words)
+                ids, words, size = [], [], 0
+    if ids:
+        yield block(ids, words)
 
 
 def _pack(*arrays) -> bytes:
@@ -69,26 +85,21 @@ def _unpack(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
-def _cut(rows, lead: bool, buckets: int):
+def _coded(own: block, buckets: int):
     """Distinct words in order of their bucket, the first of each bucket, and the texts as positions in that order."""
-    find = CHUNK.findall if lead else BARE.findall
-    cut = [find(text) for _, text in rows]
-    sizes = [len(w) for w in cut]
-    words = pa.chunked_array([pa.array(w, pa.string()) for w in cut], pa.string()).combine_chunks()
-    coded = words.dictionary_encode()
+    coded = own.words.dictionary_encode()
     bucket = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), "<u4")
     rank[order] = np.arange(len(order), dtype="<u4")
     starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return coded.dictionary.take(pa.array(order)), starts, rank[coded.indices.to_numpy(zero_copy_only=False)], sizes
+    return coded.dictionary.take(pa.array(order)), starts, rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def _word_lists(lead: bool, buckets: int):
+def _word_lists(buckets: int):
     def run(batches):
-        for rows in _blocks(batches):
-            key = _key(rows)
-            words, starts, _, _ = _cut(rows, lead, buckets)
+        for own in _blocks(batches):
+            words, starts, _ = _coded(own, buckets)
             if not len(words):
                 continue
             ends = np.frombuffer(words.buffers()[1], "<i4")[: len(words) + 1]
@@ -96,39 +107,35 @@ def _word_lists(lead: bool, buckets: int):
             full = [k for k in range(buckets) if starts[k + 1] > starts[k]]
             packed = [_pack(sizes[starts[k] : starts[k + 1]].tobytes(), data.slice(int(ends[starts[k]]), int(ends[starts[k + 1]] - ends[starts[k]]))) for k in full]
             counts = [int(starts[k + 1] - starts[k]) for k in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([key] * len(full), pa.int64()), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([own.key()] * len(full), pa.int64()), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block", "n", "words"])
 
     return run
 
 
-def _positions(lead: bool, buckets: int):
+def _positions(buckets: int):
     def run(batches):
-        for rows in _blocks(batches):
-            words, _, codes, sizes = _cut(rows, lead, buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([_pack(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())], pa.binary())],
-                ["block", "doc_ids", "sizes", "n", "codes"],
-            )
+        for own in _blocks(batches):
+            words, _, codes = _coded(own, buckets)
+            planes = _pack(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())
+            columns = [pa.array([own.key()], pa.int64()), pa.array([own.ids.to_pylist()], pa.list_(pa.int64())), pa.array([own.sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()), pa.array([planes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "n", "codes"])
 
     return run
 
 
-#: Words that a task of the word table remembers at once; a bucket holds fewer unless partitions are far too few.
-TABLE_WORDS = 1_500_000
-
-
 def _encode(path: str):
     """Rows of one bucket stand together: every distinct word of a bucket is encoded once."""
 
     def run(batches):
         known: dict[str, bytes] = {}
+        bucket = None
         for b in batches:
             for at in range(b.num_rows):
+                if b.column(0)[at].as_py() != bucket:
+                    bucket, known = b.column(0)[at].as_py(), {}
                 n, raw = b.column(2)[at].as_py(), _unpack(b.column(3)[at].as_py())
                 ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n))]).astype("<i4")
                 words = pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 * n :])).to_pylist()
-                if len(known) > TABLE_WORDS:
-                    known = {}
                 new = list(set(words).difference(known))
                 known.update(zip(new, encode_words(path, new), strict=True))
                 ids = [known[w] for w in words]
@@ -197,17 +204,22 @@ def _out(columns):
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.string())], ["doc_id", "ids", "decoded"])
 
 
-def coded_blocks(docs: DataFrame, tokenizer_file: str, text: str, doc_id: str, lead: bool) -> DataFrame:
-    """Blocks of texts with the ids of their distinct words, for :func:`texts_of`.  ``lead``: white space before a word counts."""
+def words_of(text: Column) -> Column:
+    """The words of a text, cut by Spark: together they are the whole text."""
+    return F.split(F.coalesce(text, F.lit("")), f"(?=[{WHITE}])(?<=[^{WHITE}])")
+
+
+def coded_blocks(docs: DataFrame, tokenizer_file: str, text: str, doc_id: str) -> DataFrame:
+    """Blocks of texts with the ids of their distinct words, for :func:`texts_of`."""
     buckets = width(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lists = rows.mapInArrow(_word_lists(lead, buckets), "bucket int, block long, n int, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_of(F.col(text)).alias("words"))
+    lists = rows.mapInArrow(_word_lists(buckets), "bucket int, block long, n int, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     table = lists.mapInArrow(_encode(tokenizer_file), "bucket int, block long, n int, ids binary")
     coded = table.groupBy("block").agg(F.array_sort(F.collect_set(F.struct("bucket", "n", "ids"))).alias("coded"))
-    positions = rows.mapInArrow(_positions(lead, buckets), "block long, doc_ids array<long>, sizes array<int>, n int, codes binary")
+    positions = rows.mapInArrow(_positions(buckets), "block long, doc_ids array<long>, sizes array<int>, n int, codes binary")
     return positions.join(coded, "block", "left")
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: doc_id, ids (binary: little-endian unsigned 32-bit), decoded."""
-    return coded_blocks(docs, tokenizer_file, text, doc_id, True).mapInArrow(_decode(tokenizer_file), "doc_id long, ids binary, decoded string")
+    return coded_blocks(docs, tokenizer_file, text, doc_id).mapInArrow(_decode(tokenizer_file), "doc_id long, ids binary, decoded string")

@@ -16,7 +16,6 @@ import numpy as np
 
 # The code points with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 @lru_cache(maxsize=4)
