@@ -91,21 +91,33 @@ def ang2pix(nside: int, lon: Column, lat: Column) -> Column:
     return let(lambda s: _long(F.when(F.abs(s["z"]) <= 2.0 / 3.0, belt(s)).otherwise(polar(s))), **point)
 
 
-def interleave(x: Column, y: Column, bits: int = 29) -> Column:
-    """Bits of x at even and of y at odd places."""
+#: For each byte: its bits at even places of 16, and its bits at even places together in 4.
+SPREAD = [sum((v >> k & 1) << 2 * k for k in range(8)) for v in range(256)]
+GATHER = [sum((v >> 2 * k & 1) << k for k in range(4)) for v in range(256)]
+
+
+def _by_byte(table: list[int], c: Column, n: int, step: int) -> Column:
+    """The table's entries for the ``n`` lowest bytes of c, ``step`` bits apart."""
+    entries = F.array(*[F.lit(v).cast("long") for v in table])
     out = F.lit(0).cast("long")
-    for k in range(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftright(_long(x), k).bitwiseAND(1), 2 * k)).bitwiseOR(F.shiftleft(F.shiftright(_long(y), k).bitwiseAND(1), 2 * k + 1))
+    for k in range(n):
+        byte = F.shiftright(c, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")
+        out = out.bitwiseOR(F.shiftleft(F.get(entries, byte), step * k))
     return out
 
 
+def interleave(x: Column, y: Column, bits: int = 29) -> Column:
+    """The lower ``bits`` bits of x at even and of y at odd places."""
+    low, n = F.lit((1 << bits) - 1), -(-bits // 8)
+    both = lambda s: _by_byte(SPREAD, s["x"], n, 16).bitwiseOR(F.shiftleft(_by_byte(SPREAD, s["y"], n, 16), 1))
+    return let(both, x=_long(x).bitwiseAND(low), y=_long(y).bitwiseAND(low))
+
+
 def deinterleave(m: Column, bits: int = 29) -> Column:
     """struct<x, y> of :func:`interleave`."""
-    x, y = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for k in range(bits):
-        x = x.bitwiseOR(F.shiftleft(F.shiftright(_long(m), 2 * k).bitwiseAND(1), k))
-        y = y.bitwiseOR(F.shiftleft(F.shiftright(_long(m), 2 * k + 1).bitwiseAND(1), k))
-    return F.struct(x.alias("x"), y.alias("y"))
+    n = -(-bits // 4)
+    parts = lambda s: F.struct(_by_byte(GATHER, s["m"], n, 4).alias("x"), _by_byte(GATHER, F.shiftright(s["m"], 1), n, 4).alias("y"))
+    return let(parts, m=_long(m).bitwiseAND(F.lit((1 << 2 * bits) - 1)))
 
 
 def _of_face(table: list[int], face: Column) -> Column:
@@ -133,24 +145,29 @@ def nest2ring(nside: int, pix: Column) -> Column:
 
 
 def ring2nest(nside: int, pix: Column) -> Column:
-    """Nested-order pixel of a ring-order pixel: the twelve faces are tried as an array, the one that holds the pixel wins."""
+    """Nested-order pixel of a ring-order pixel.
+
+    On a face, x + y falls with the ring and x - y grows with the longitude.  In a polar cap the quarter of the ring says the face; in
+    the belt the two diagonal coordinates, taken over all faces at once, count faces in multiples of nside."""
     bits = max(1, nside.bit_length() - 1)
-    faces = F.array(*[F.struct(F.lit(f).alias("face"), F.lit(FACE_RING[f]).alias("ring"), F.lit(FACE_PHI[f]).alias("phi"), F.lit(turn).alias("turn")) for f in range(12) for turn in (0, 1, -1)])
 
     def placed(s: Column) -> Column:
-        ring, ip = s["at"]["ring"], s["at"]["index"] + 1
-        n = F.least(F.least(ring, 4 * nside - ring), F.lit(nside))
-        shift = F.when((ring < nside) | (ring > 3 * nside), 0).otherwise(F.pmod(ring - nside, F.lit(2)))
-        return let(tried, ring=ring, ip=ip, n=n, shift=shift)
-
-    def tried(s: Column) -> Column:
-        def on_face(t: Column) -> Column:
-            total = t["ring"] * nside - 1 - s["ring"]
-            diff = 2 * (s["ip"] + t["turn"] * 4 * s["n"]) - t["phi"] * s["n"] - 1 - s["shift"]
-            return F.struct(t["face"].alias("face"), ((total + diff) / 2).alias("x"), ((total - diff) / 2).alias("y"))
-
-        holds = lambda q: (q["x"] >= 0) & (q["x"] < nside) & (q["y"] >= 0) & (q["y"] < nside) & (F.floor(q["x"]) == q["x"])
-        hit = F.element_at(F.filter(F.transform(faces, on_face), holds), 1)
-        return let(lambda h: h["face"] * (nside * nside) + interleave(h["x"], h["y"], bits), face=hit["face"], x=hit["x"], y=hit["y"])
+        ring, i = s["at"]["ring"], s["at"]["index"]
+        south = ring > 3 * nside
+        edge = F.least(ring, 4 * nside - ring)
+        quarter = _long(F.floor(i / edge))
+        turn = 2 * (i - quarter * edge) + 1 - edge  # x - y in a cap
+        height = F.when(south, 4 * nside - 1 - ring).otherwise(2 * nside - 1 - ring)  # x + y there
+        cap_face = quarter + F.when(south, 8).otherwise(0)
+        u = 2 * i + 1 - F.pmod(ring - nside, F.lit(2))
+        a, b = u - ring - 1 + nside, -u - ring - 1 + nside  # twice x and y, but for whole faces
+        kx, ky = -_long(F.floor(a / (2 * nside))), -_long(F.floor(b / (2 * nside)))
+        row = kx + ky + 1  # 2, 3, 4: the ring of faces
+        column = F.pmod(ky - kx, F.lit(8))
+        belt_face = 4 * (row - 2) + _long(F.floor(column / 2))
+        in_cap = (ring < nside) | south
+        x = F.when(in_cap, (height + turn) / 2).otherwise(F.pmod(a, F.lit(2 * nside)) / 2)
+        y = F.when(in_cap, (height - turn) / 2).otherwise(F.pmod(b, F.lit(2 * nside)) / 2)
+        return F.when(in_cap, cap_face).otherwise(belt_face) * (nside * nside) + interleave(x, y, bits)
 
     return _long(let(placed, at=pix2ring(nside, pix)))

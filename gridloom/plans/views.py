@@ -1,6 +1,7 @@
 """Array views of the relational tables, as DataFrames and as SQL for the comparison engine.
 
-E(y, x, v): the embedding matrix.  V(d, h, k, v): events by day, hour and type, missing cells null.  L(s, l, v): line items by
+E(y, x, v): the embedding matrix.  V(d, h, k, v): events of the first 30 days by day,
+hour and type, missing cells null.  L(s, l, v): line items by
 supplier and line number.  P(id, lon, lat): a point for every event.
 """
 
@@ -33,14 +34,15 @@ def matrix(spark: SparkSession, sf_dir: str, x=None) -> DataFrame:
     return rows_to_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", x)
 
 
-def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+def volume(spark: SparkSession, sf_dir: str, days: int = DAYS) -> DataFrame:
+    """The array of the first ``days`` days from EPOCH; events of other days and types are outside its domain."""
     t = seconds("ts") - EPOCH
     events = table(spark, sf_dir, "events").select(
         F.floor(t / 86400).cast("long").alias("d"), F.pmod(F.floor(t / 3600), F.lit(24)).cast("long").alias("h"), (F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1).cast("long").alias("k"), "value"
     )
-    filled = events.groupBy("d", "h", "k").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("v"))
+    filled = events.where(F.col("d").between(0, days - 1)).groupBy("d", "h", "k").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("v"))
     # The frame of the grid has a fixed size; the sums above are all that is shuffled.
-    frame = spark.range(DAYS * HOURS * KINDS).select(F.floor(F.col("id") / (HOURS * KINDS)).alias("d"), F.floor(F.col("id") / KINDS).cast("long").alias("_h"), (F.col("id") % KINDS).alias("k"))
+    frame = spark.range(days * HOURS * KINDS).select(F.floor(F.col("id") / (HOURS * KINDS)).alias("d"), F.floor(F.col("id") / KINDS).cast("long").alias("_h"), (F.col("id") % KINDS).alias("k"))
     frame = frame.select("d", (F.col("_h") % HOURS).alias("h"), "k")
     return frame.join(filled, ["d", "h", "k"], "left")
 
