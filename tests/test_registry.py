@@ -7,6 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+import gridloom.plans.relations  # noqa: F401  (registers its queries)
 from gridloom.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
