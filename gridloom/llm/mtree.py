@@ -118,7 +118,7 @@ def _to_nearest(m: space):
 def grow(vectors: DataFrame, n: int, m: space) -> tuple[DataFrame, list[DataFrame]]:
     """The rows with their leaf (id, v, node, d: distance to its routing object; node 0 is the root, its object the zero vector) and
     the children by level: node, child, v, to_parent, radius over all rows below."""
-    placed, levels, reached = vectors.select("id", "v", F.lit(0).cast("long").alias("node"), F.sqrt("norm2").alias("d")), [], PAGE
+    placed, levels, reached = vectors.select("id", "v", "node", F.sqrt("norm2").alias("d")), [], PAGE
     while reached < n:
         level, reached = len(levels) + 1, reached * FAN // 2
         sizes = cut(placed.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > PAGE))
@@ -234,7 +234,7 @@ QUEUE = "id long, v binary, floor long, s double, bound double, node long"
 
 def _descend(queries: DataFrame, levels: list[DataFrame], leaves: DataFrame, m: space, nearest: bool) -> DataFrame:
     """From the root down: rows of QUEUE at leaves."""
-    here = queries.select("id", "v", "floor", F.lit(0.0).alias("s"), F.lit(0.0).alias("bound"), F.lit(0).cast("long").alias("node"))
+    here = queries.select("id", "v", "floor", F.lit(0.0).alias("s"), F.lit(0.0).alias("bound"), "node")
     done = [here.join(leaves, "node", "left_semi").select(*here.columns)]
     for level in levels:
         sizes = here.groupBy("node").agg(F.count("*").alias("rows"))
@@ -284,20 +284,20 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
     """query_id, rank (from 1), vec_id, score: the k highest inner products of every query with all rows but its own.
     ``is_query`` is a condition on the column ``id``, the id as long."""
     spark = rows.sparkSession
-    vectors = cut(scaled(rows, vec_id, vector))
+    vectors = cut(scaled(rows, vec_id, vector).withColumn("node", F.lit(0).cast("long")))  # all start at the root
     n, largest2, size = vectors.agg(F.count("*"), F.max("norm2"), F.max(F.octet_length("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     m = space(size // 8, float(np.sqrt(largest2)))
     placed, levels = grow(vectors, n, m)
     leaves = cut(placed.groupBy("node").agg(F.count("*").alias("rows")))
-    root = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.lit(bytes(size)).alias("v"))
+    root = spark.range(1).select(F.col("id").alias("node"), F.lit(bytes(size)).alias("v"))
     routers = reduce(DataFrame.unionByName, [x.select(F.col("child").alias("node"), "v") for x in levels], root).join(leaves.select("node"), "node", "left_semi")
     dealt = _blocks(placed, leaves, PAGE, "id").groupBy("node", "part")
     pages = cut(dealt.cogroup(_every_part(routers, leaves, PAGE).groupBy("node", "part")).applyInPandas(_build_page(m), PAGES))
     parts = pages.select("node", "part")
 
-    queries = cut(vectors.where(is_query).dropDuplicates(["id", "v"]).select("id", "v", "norm2", F.lit(NONE).alias("floor")))
+    queries = cut(vectors.where(is_query).dropDuplicates(["id", "v"]).select("id", "v", "norm2", "node", F.lit(NONE).alias("floor")))
     first = cut(_descend(queries, levels, leaves, m, True).join(parts.groupBy("node").agg(F.min("part").alias("part")), "node"))
     hits = cut(_best(_ask(first, pages, m, k), k).drop("rank"))
     known = queries.drop("floor").join(_floors(hits, k), "id", "left").withColumn("floor", F.coalesce("least", F.lit(NONE)))
