@@ -119,3 +119,22 @@ def ancestors(path: Column) -> Column:
     """The group itself and all groups above it, the root as an empty string, nearest first."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+#: A space that does not break a line.
+HARD_SPACE = "\u00a0"
+
+
+def coordinate_label(dim: Column, v: Column) -> Column:
+    """Dimension and value with two decimals: east or west, north or south, metres or hectopascals by the dimension's name."""
+    low = F.lower(dim)
+    has = lambda *names: F.lit(False) if not names else F.regexp_like(low, F.lit("|".join(names)))
+    degrees = lambda up, down: F.concat(fixed(F.abs(v), 2), F.when(v >= 0, up).otherwise(down))
+    text = (
+        F.when(has("lon"), degrees("°E", "°W"))
+        .when(has("lat"), degrees("°N", "°S"))
+        .when(has("depth", "height", "alt"), F.concat(fixed(v, 2), F.lit(HARD_SPACE + "m")))
+        .when(has("lev", "pressure"), F.concat(fixed(v, 2), F.lit(HARD_SPACE + "hPa")))
+        .otherwise(fixed(v, 2))
+    )
+    return F.concat(dim, F.lit(":" + HARD_SPACE), text)

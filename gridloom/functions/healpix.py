@@ -180,3 +180,13 @@ def ring2nest(nside: int, pix: Column) -> Column:
         return let(lambda f: f["face"] * (nside * nside) + _interleave_by_byte(f["x"], f["y"], bits), face=face, x=x, y=y)
 
     return _long(let(placed, at=pix2ring(nside, pix)))
+
+
+def pix2ang_nested(nside: int, pix: Column) -> Column:
+    """struct<lon, lat> of a nested-order pixel's centre."""
+    return pix2ang(nside, nest2ring(nside, pix))
+
+
+def ang2pix_nested(nside: int, lon: Column, lat: Column) -> Column:
+    """Pixel that holds a point, nested order."""
+    return ring2nest(nside, ang2pix(nside, lon, lat))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,37 @@ def cache_summary(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("source", "variable").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def lru_survivors(blocks: DataFrame, most: int, *keys: str) -> DataFrame:
-    """Blocks that stay when the least recently used go until at most ``most`` bytes are left, within each cache."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("last_access"), F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("held", F.sum("bytes").over(w)).where(F.col("held") <= most)
+def bytes_by(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Blocks and bytes by each key alone, in one pass: a row has a value under its own key and null under the others."""
+    return blocks.groupingSets([[F.col(k)] for k in keys], *keys).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def lru_survivors(blocks: DataFrame, most: int, *keys: str, bins: int = 256) -> DataFrame:
+    """Blocks that stay when the least recently used go until at most ``most`` bytes are left, within each cache.
+
+    Accesses are cut into ``bins`` spans with about as many blocks each; totals of spans say where each span starts, spans that
+    start beyond ``most`` go unsorted, and only the blocks of one span of one cache are sorted together.  Bytes are not negative."""
+    edges = blocks.agg(F.percentile_approx("last_access", [k / bins for k in range(1, bins)], 10 * bins)).first()[0] or []
+    edges = sorted(set(edges))
+    span = F.lit(0) if not edges else F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + (e >= F.col("last_access")).cast("int"))
+    placed = blocks.withColumn("_span", span)  # 0 is the latest
+    sums = placed.groupBy(*keys, "_span").agg(F.sum("bytes").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where(F.col("_start") <= most).drop("_sum")
+    inside = Window.partitionBy(*keys, "_span").orderBy(F.desc("last_access"), F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
+    held = placed.join(starts, [*keys, "_span"]).withColumn("held", F.col("_start") + F.sum("bytes").over(inside))
+    return held.where(F.col("held") <= most).drop("_span", "_start")
+
+
+def union_catalogs(catalogs: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Entries of several catalogues with the name of their own under ``catalog``; columns that one lacks are null."""
+    named = [c.withColumn("catalog", F.lit(name)).select(*[x if x in c.columns else F.lit(None).alias(x) for x in columns], "catalog") for name, c in catalogs.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def first_match(rows: DataFrame, keys: list[str], order: str, hit: Column, value: Column) -> DataFrame:
+    """Per key ``value`` of the first row in ``order`` where ``hit`` holds; null where none does."""
+    return rows.groupBy(*keys).agg(F.min_by(value, F.when(hit, F.col(order))).alias("first"))
 
 
 def uncached(requests: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:

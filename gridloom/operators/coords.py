@@ -19,19 +19,20 @@ def attach(cells: DataFrame, coords: DataFrame, dim: str, name: str = "coordinat
 
 
 def nearest(points: DataFrame, value: str, axis: DataFrame, slots: int = 4096) -> DataFrame:
-    """Add ``idx``, the nearest place on an axis (idx, value, ascending); ties go to the lower, points outside to the ends.
+    """Add ``idx``, the nearest place on an axis (idx, value, ascending, idx without gaps); ties go to the lower, points outside to
+    the ends.
 
     Points meet the axis by slot: each interval between neighbours is listed in the slots it touches, and a point joins only
     its own slot's intervals, so neither side is crossed with the other whatever the length of the axis."""
-    low, high, n = axis.agg(F.min("value"), F.max("value"), F.count("*")).first()
+    low, high, n, end = axis.agg(F.min("value"), F.max("value"), F.count("*"), F.max("idx")).first()
     width = max((high - low) / min(slots, max(1, 4 * n)), 1e-12)
     slot = lambda c: F.floor((c - low) / width).cast("long")
-    order = Window.orderBy("idx")  # one axis, never the points
-    spans = axis.select("idx", F.col("value").alias("a"), F.lead("value").over(order).alias("b")).withColumn("b", F.coalesce("b", F.col("a")))
+    following = axis.select((F.col("idx") - 1).alias("idx"), F.col("value").alias("b"))
+    spans = axis.select("idx", F.col("value").alias("a")).join(following, "idx", "left").withColumn("b", F.coalesce("b", F.col("a")))
     table = spans.withColumn("_slot", F.explode(F.sequence(slot(F.col("a")), slot(F.col("b")))))
     inside = F.greatest(F.lit(low), F.least(F.lit(high), F.col(value)))
     keyed = points.withColumn("_p", inside).withColumn("_slot", slot(F.col("_p")))
-    last = F.lit(n - 1)
+    last = F.lit(end)
     met = keyed.join(table.withColumnRenamed("idx", "_i"), "_slot").where((F.col("_p") >= F.col("a")) & ((F.col("_p") < F.col("b")) | (F.col("_i") == last)))
     return met.withColumn("idx", F.when(F.col("_p") - F.col("a") <= F.col("b") - F.col("_p"), F.col("_i")).otherwise(F.least(F.col("_i") + 1, last))).drop("_slot", "_p", "_i", "a", "b")
 

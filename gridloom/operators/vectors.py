@@ -25,3 +25,9 @@ def split_antimeridian(parts: DataFrame) -> DataFrame:
     a, b, c, d = (F.col(x) for x in ("lon1", "lat1", "lon2", "lat2"))
     both = F.when(far & (reach + F.abs(side + c) > 0), F.array(part(0, a, b, side, lat), part(1, -side, lat, c, d))).otherwise(F.array(part(0, a, b, c, d)))
     return parts.withColumn("_p", F.explode(both)).select(*[x for x in parts.columns if x not in ("lon1", "lat1", "lon2", "lat2")], "_p.*")
+
+
+def crop(parts: DataFrame, west: float, east: float, south: float, north: float) -> DataFrame:
+    """Segments with both ends inside a domain."""
+    inside = lambda k: F.col(f"lon{k}").between(west, east) & F.col(f"lat{k}").between(south, north)
+    return parts.where(inside(1) & inside(2))

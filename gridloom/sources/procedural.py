@@ -56,3 +56,13 @@ def stretched(n: int, low: float, high: float, power: float = 1.5) -> list[float
     """Points that lie closer together at the middle of the range."""
     mid, half = (low + high) / 2, (high - low) / 2
     return [mid + half * math.copysign(abs(u) ** power, u) for u in (2 * k / (n - 1) - 1 for k in range(n))]
+
+
+def sphere_temperature(lon: Column, lat: Column, t: Column, layer: Column) -> Column:
+    """A warm belt with four waves that travel with the steps; each layer is 6.5 colder.  Radians."""
+    cos, sin = F.cos(lat), F.sin(lat)
+    return 285.0 + 35.0 * cos - 15.0 * sin * sin + 18.0 * F.cos(4.0 * lon - t * 0.3) * cos * cos * F.sin(2.0 * lat) - layer * 6.5
+
+
+def sphere_pressure(lon: Column, lat: Column, t: Column) -> Column:
+    return 1013.25 + 25.0 * F.cos(4.0 * lon - t * 0.3) * F.cos(lat) * F.cos(lat) - 15.0 * F.sin(lat)

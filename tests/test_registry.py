@@ -7,7 +7,8 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-import gridloom.plans.relations  # noqa: F401  (registers its queries)
+import gridloom.plans.gridquery  # noqa: F401  (registers its queries)
+import gridloom.plans.relations  # noqa: F401
 from gridloom.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
