@@ -24,3 +24,14 @@ def ship(spark) -> None:
                     z.write(path, os.path.join("gridloom", os.path.relpath(path, here)))
     sc.addPyFile(archive)
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share; one of our own only where none is configured and all run in one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root

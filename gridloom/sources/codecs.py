@@ -39,6 +39,27 @@ def decode(data: bytes, codecs: list[dict], itemsize: int) -> bytes:
     return data
 
 
+def encode(data: bytes, codecs: list[dict], itemsize: int) -> bytes:
+    """Apply ``codecs`` in order; the inverse of :func:`decode` for those that it can undo and that keep every bit."""
+    for codec in codecs:
+        name, size = codec["name"], codec.get("configuration", {}).get("elementsize", itemsize)
+        if name == "bytes":
+            continue
+        if name == "gzip":
+            data = gzip.compress(data, mtime=0)
+        elif name == "zlib":
+            data = zlib.compress(data)
+        elif name == "zstd":
+            import zstandard
+
+            data = zstandard.ZstdCompressor().compress(data)
+        elif name == "shuffle":
+            data = np.frombuffer(data, np.uint8).reshape(-1, size).T.tobytes() if size > 1 else data
+        else:
+            raise UnsupportedCodec(name)
+    return data
+
+
 def packbits(data: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(data):

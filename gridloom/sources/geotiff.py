@@ -63,8 +63,9 @@ def _unpack(raw: bytes, tags: dict, order: str, height: int, width: int, samples
     return unpredict(out if predictor == 3 else out.astype(dtype.newbyteorder("=")), predictor).astype(np.float64)
 
 
-def tiles_of(data: bytes, level: int):
-    """band, y, x and values of each tile or strip of a directory; fill becomes NaN, palettes three bands."""
+def tiles_of(data: bytes, level: int, band: int | None = None, window: tuple[int, int, int, int] | None = None):
+    """band, y, x and values of each tile or strip of a directory; fill becomes NaN, palettes three bands.  Tiles outside the window
+    and planes of other bands are not decoded."""
     order, all_tags = directories(data)
     tags = all_tags[level]
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, [1])[0]
@@ -74,19 +75,23 @@ def tiles_of(data: bytes, level: int):
     across, down = -(-width // tw), -(-height // th)
     nodata = float(tags[NODATA]) if tags.get(NODATA, "").strip() else None
     offsets, sizes = tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES]
-    for k, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
+    for k, (at, length) in enumerate(zip(offsets, sizes, strict=True)):
         plane, place = divmod(k, across * down)
         y, x = place // across * th, place % across * tw
         h, w = min(th, height - y), min(tw, width - x)
-        block = _unpack(data[at : at + n], tags, order, th if tiled else h, tw, 1 if planar else samples)[:h, :w]
+        if (planar and band is not None and plane != band) or (window is not None and (y >= window[1] or y + h <= window[0] or x >= window[3] or x + w <= window[2])):
+            continue
+        block = _unpack(data[at : at + length], tags, order, th if tiled else h, tw, 1 if planar else samples)[:h, :w]
         bands = [(plane, block[:, :, 0])] if planar else [(s, block[:, :, s]) for s in range(block.shape[2])]
         if tags.get(PHOTOMETRIC, [1])[0] == 3 and PALETTE in tags:
             table = np.array(tags[PALETTE], float).reshape(3, -1) / 65535 * 255
             bands = [(c, table[c][bands[0][1].astype(int)]) for c in range(3)]
-        for band, v in bands:
+        for n, v in bands:
+            if band is not None and n != band:
+                continue
             if nodata is not None:
                 v = np.where(np.abs(v - nodata) <= max(1e-5 * abs(nodata), 1e-6), np.nan, v)
-            yield band, y, x, v
+            yield n, y, x, v
 
 
 def tiles(spark: SparkSession, paths: str | list[str], level: int = 0, band: int | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -96,7 +101,7 @@ def tiles(spark: SparkSession, paths: str | list[str], level: int = 0, band: int
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(path, n, [y, x], list(v.shape), v.ravel().astype("f4")) for n, y, x, v in tiles_of(content, level) if (band is None or n == band) and (window is None or (y < window[1] and y + v.shape[0] > window[0] and x < window[3] and x + v.shape[1] > window[2]))]
+                rows = [(path, n, [y, x], list(v.shape), v.ravel().astype("f4")) for n, y, x, v in tiles_of(content, level, band, window)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 types = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float32())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["path", "band", "origin", "shape", "values"])

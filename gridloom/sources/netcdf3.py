@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import ship
+from gridloom.operators.select import Index, Range
 from gridloom.sources.zarr import _number, calibrated
 
 # Fixed values of the format: element types by number.
@@ -65,15 +66,19 @@ class Header:
         record = bool(shape) and shape[0] == 0
         return {"name": name, "dims": [self.dims[d][0] for d in dims], "shape": ([self.records] + shape[1:]) if record else shape, "attributes": attributes, "kind": TYPES[kind], "size": size, "begin": begin, "record": record}
 
-    def read(self, v: dict) -> np.ndarray:
+    def read(self, v: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Values of places start to stop of the leading dimension; a variable without dimensions is read whole."""
         kind = np.dtype("u1" if v["kind"] == "S1" else v["kind"])
+        if not v["shape"]:
+            return np.frombuffer(self.data, kind, 1, v["begin"]).reshape(())
+        one, last = int(np.prod(v["shape"][1:], dtype=np.int64)), v["shape"][0] if stop is None else min(stop, v["shape"][0])
+        shape = [max(last - start, 0), *v["shape"][1:]]
         if not v["record"]:
-            n = int(np.prod(v["shape"], dtype=np.int64))
-            return np.frombuffer(self.data, kind, n, v["begin"]).reshape(v["shape"])
-        one = int(np.prod(v["shape"][1:], dtype=np.int64))
+            return np.frombuffer(self.data, kind, shape[0] * one, v["begin"] + start * one * kind.itemsize).reshape(shape)
         together = [x for x in self.variables.values() if x["record"]]
         step = one * kind.itemsize if len(together) == 1 else sum(x["size"] for x in together)
-        return np.stack([np.frombuffer(self.data, kind, one, v["begin"] + k * step) for k in range(v["shape"][0])]).reshape(v["shape"]) if v["shape"][0] else np.empty(v["shape"], kind)
+        parts = [np.frombuffer(self.data, kind, one, v["begin"] + k * step) for k in range(start, last)]
+        return np.stack(parts).reshape(shape) if parts else np.empty(shape, kind)
 
 
 def variables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -89,8 +94,9 @@ def variables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, name string, data_type string, shape array<long>, dims array<string>, attributes map<string,string>")
 
 
-def chunks(spark: SparkSession, paths: str | list[str], variable: str) -> DataFrame:
-    """path, origin, shape and calibrated values; one chunk for each step of the leading dimension."""
+def chunks(spark: SparkSession, paths: str | list[str], variable: str, steps: Range | Index | None = None) -> DataFrame:
+    """path, origin, shape and calibrated values; one chunk for each step of the leading dimension, of a 1-D variable one in all.
+    Steps outside the selection are not read; steps leave a task one by one."""
     ship(spark)
 
     def run(batches):
@@ -99,11 +105,15 @@ def chunks(spark: SparkSession, paths: str | list[str], variable: str) -> DataFr
                 head = Header(content)
                 v = head.variables[variable]
                 a = {k: _number(v["attributes"].get(k)) for k in ("scale_factor", "add_offset", "valid_min", "valid_max", "_FillValue", "missing_value")}
-                data = calibrated(head.read(v).astype(np.float64), a["_FillValue"] if a["_FillValue"] is not None else a["missing_value"], a["scale_factor"], a["add_offset"], a["valid_min"], a["valid_max"])
-                parts = [([k] + [0] * (data.ndim - 1), data[k : k + 1]) for k in range(len(data))] if data.ndim > 1 else [([0] * data.ndim, data)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(parts)), pa.array([o for o, _ in parts], pa.list_(pa.int64())), pa.array([list(p.shape) for _, p in parts], pa.list_(pa.int64())), pa.array([p.ravel().astype("f4") for _, p in parts], pa.list_(pa.float32()))], ["path", "origin", "shape", "values"]
-                )
+                fill = a["_FillValue"] if a["_FillValue"] is not None else a["missing_value"]
+                first, last = (0, v["shape"][0] if v["shape"] else 1) if steps is None else steps.bounds()
+                last = min(last, v["shape"][0] if v["shape"] else 1)
+                for k in range(first, last) if len(v["shape"]) > 1 else [first]:
+                    raw = head.read(v, k, k + 1 if len(v["shape"]) > 1 else last)
+                    data = calibrated(raw.astype(np.float64), fill, a["scale_factor"], a["add_offset"], a["valid_min"], a["valid_max"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path]), pa.array([[k] + [0] * (data.ndim - 1) if data.ndim else []], pa.list_(pa.int64())), pa.array([list(data.shape)], pa.list_(pa.int64())), pa.array([data.ravel().astype("f4")], pa.list_(pa.float32()))], ["path", "origin", "shape", "values"]
+                    )
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, origin array<long>, shape array<long>, values array<float>")
 

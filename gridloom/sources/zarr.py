@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom import ship
 from gridloom.operators.select import Range, chunk_range, clamp_request
-from gridloom.sources.codecs import decode
+from gridloom.sources.codecs import decode, encode
 
 VARIABLES = "name string, data_type string, shape array<long>, dims array<string>, chunk_shape array<long>, units string, long_name string, attributes map<string,string>, meta string"
 
@@ -191,3 +191,58 @@ def cells(table: DataFrame, dims: list[str], **selections) -> DataFrame:
         start, stop = s.bounds()
         result = result.where((F.col(d) >= start) & (F.col(d) < stop))
     return result
+
+
+def write(table: DataFrame, store: str, variable: str, dims: list[str], shape: list[int], chunk_shape: list[int], attributes: dict | None = None, codecs: list[str] | None = None, version: int = 3, data_type: str = "<f4") -> None:
+    """Write chunk rows (c_<dim>, shape, values; row-major) as an array of a Zarr store, a file a chunk.
+
+    A file is named by its chunk alone and written whole, so a task that runs twice leaves the same store.  Chunks at the upper
+    edges are padded with missing values (integers: the attribute _FillValue).  Values are those that are stored: packed ones
+    have to be packed before.  Chunks without a row get no file."""
+    ship(table.sparkSession)
+    kind, codecs, attributes = np.dtype(data_type), codecs or [], attributes or {}
+    fill = attributes.get("_FillValue", 0) if kind.kind != "f" else "NaN"
+    chain = [{"name": c, "configuration": {"elementsize": kind.itemsize} if c == "shuffle" else {"level": 3, "checksum": False} if c == "zstd" else {"level": 5} if c == "gzip" else {}} for c in codecs]
+    folder = f"{store.rstrip('/')}/{variable}"
+    if version == 3:
+        front = {"name": "bytes", "configuration": {"endian": "big" if data_type.startswith(">") else "little"}}
+        meta = {"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": kind.newbyteorder("=").name, "dimension_names": dims, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunk_shape}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill, "codecs": [front, *chain], "attributes": attributes}
+        documents, prefix, sep = {"zarr.json": meta}, "c/", "/"
+    else:
+        ids = [{"id": c["name"], **c["configuration"]} for c in chain]
+        meta = {"zarr_format": 2, "shape": shape, "chunks": chunk_shape, "dtype": data_type, "fill_value": fill, "order": "C", "filters": ids[:-1] or None, "compressor": ids[-1] if ids else None}
+        documents, prefix, sep = {".zarray": meta, ".zattrs": {**attributes, "_ARRAY_DIMENSIONS": dims}}, "", "."
+    names = [f"c_{d}" for d in dims]
+
+    def run(batches):
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            places = list(zip(*[b.column(k).to_pylist() for k in range(len(dims))], strict=True))
+            for place, size, values in zip(places, b.column(len(dims)).to_pylist(), b.column(len(dims) + 1), strict=True):
+                data = np.full(chunk_shape, np.nan if kind.kind == "f" else fill, kind)
+                data[tuple(slice(0, n) for n in size)] = values.values.to_numpy(zero_copy_only=False).reshape(size)
+                target = f"{folder}/{prefix}{sep.join(map(str, place))}"
+                fs, path = FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else FileSystem.from_uri(f"file://{target}")
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write(encode(data.tobytes(), chain, kind.itemsize))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    table.select(*names, "shape", "values").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    jvm = table.sparkSession.sparkContext._jvm
+    for name, document in documents.items():
+        file = jvm.org.apache.hadoop.fs.Path(folder, name)
+        out = file.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(file, True)
+        out.write(bytearray(json.dumps(document).encode()))
+        out.close()
+
+
+def chunk_rows(rows: DataFrame, index: str, array: str, width: int, size: int, dims: tuple[str, str] = ("y", "x")) -> DataFrame:
+    """Rows that hold one line of an array each (index, array of ``width``), as chunks of ``size`` lines; absent lines are NaN up to
+    the last line of the chunk."""
+    at = F.col(index).cast("long")
+    chunks = rows.groupBy(F.floor(at / size).cast("long").alias(f"c_{dims[0]}")).agg(F.map_from_entries(F.collect_list(F.struct((at % size).alias("k"), F.col(array).alias("v")))).alias("_m"), F.max(at % size).alias("_last"))
+    blank = F.array_repeat(F.lit(float("nan")), width)
+    values = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last")), lambda k: F.coalesce(F.try_element_at("_m", k).cast("array<double>"), blank)))
+    return chunks.select(f"c_{dims[0]}", F.lit(0).cast("long").alias(f"c_{dims[1]}"), F.array(F.col("_last") + 1, F.lit(width).cast("long")).alias("shape"), values.alias("values"))

@@ -9,6 +9,7 @@ import pytest
 
 import gridloom.plans.gridquery  # noqa: F401  (registers its queries)
 import gridloom.plans.relations  # noqa: F401
+import gridloom.plans.sourcequery  # noqa: F401
 from gridloom.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
