@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom import ship
+from gridloom import shared_dir, ship
 
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -31,17 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured and all run in one process (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root
-
-
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later jobs neither recompute it nor need the executors that made it.
     ``parts``: files at most, for tables known to be small."""
