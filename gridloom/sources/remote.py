@@ -27,7 +27,7 @@ def parse(url: Column) -> Column:
     region = F.lit(REGION)
     own = F.concat(F.when(bare.startswith("http://"), "http").otherwise("https"), F.lit("://"), host)
     return (
-        F.when(F.size(parts) == 0, F.lit(None))
+        F.when(url.isNull() | (F.size(parts) == 0), F.lit(None))
         .when(scheme != "", entry(host, joined(rest), region, none, False))
         .when(F.regexp_like(host, F.lit(amazon)), entry(F.regexp_extract(host, amazon, 1), joined(rest), F.regexp_extract(host, amazon, 2), none, False))
         .when((host == COOPERATIVE) & (F.size(rest) == 0), F.lit(None))
