@@ -28,10 +28,10 @@ def _stored(rows, array, **how):
 
 @query(sql("E", "SELECT y, x, v FROM E WHERE y >= 100 AND y < 300 AND x >= 8 AND x < 24"))
 def zarr_hyperslab(spark, d):
-    """Version 3, zstd: a hyperslab opens the files of its chunks only."""
-    store = _stored(views.table(spark, d, "embeddings"), F.col("embedding"), codecs=["zstd"])
+    """Version 3, zstd and a checksum: a hyperslab opens the files of its chunks only."""
+    store = _stored(views.table(spark, d, "embeddings"), F.col("embedding"), codecs=["zstd", "crc32c"])
     box = {"y": Range(100, 300), "x": Range(8, 24)}
-    return zarr.cells(zarr.chunks(spark, store, "data/matrix", **box), ["y", "x"], **box)
+    return zarr.cells(zarr.chunks(spark, store, "data/matrix", verify=True, **box), ["y", "x"], **box)
 
 
 @query(sql("E", "SELECT y, x, CASE WHEN (y + x) % 7 <> 0 THEN round(10 + floor(v * 10000) / 10000, 4) END AS v FROM E"))

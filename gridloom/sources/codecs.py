@@ -16,8 +16,61 @@ def _unshuffle(data: bytes, size: int) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.tobytes() if size > 1 else data
 
 
-def decode(data: bytes, codecs: list[dict], itemsize: int) -> bytes:
-    """Undo ``codecs`` (name, configuration), listed in the order in which they were applied."""
+class DamagedChunk(ValueError):
+    """The checksum of a chunk does not fit its bytes."""
+
+
+# Fixed value: the reversed Castagnoli polynomial.
+CASTAGNOLI = 0x82F63B78
+
+
+def _byte_steps() -> np.ndarray:
+    state = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        state = np.where(state & 1, state >> 1 ^ np.uint32(CASTAGNOLI), state >> 1)
+    return state
+
+
+_STEP = _byte_steps()
+
+
+def _apply(columns: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """A linear map, given by what it makes of each of the 32 bits."""
+    bits = states[:, None] >> np.arange(32, dtype=np.uint32) & 1
+    return np.bitwise_xor.reduce(np.where(bits == 1, columns[None, :], np.uint32(0)), axis=1)
+
+
+def crc32c(data: bytes) -> int:
+    """CRC-32C, over many stretches of the bytes at once: the checksum is linear, so those of neighbours combine."""
+    raw = np.frombuffer(data, np.uint8)
+    head = np.zeros(max(4, len(raw)), np.uint8)
+    if len(raw) < 4:  # too short for the start value to be folded into the bytes
+        state = 0xFFFFFFFF
+        for byte in raw.tolist():
+            state = int(_STEP[(state ^ byte) & 255]) ^ state >> 8
+        return state ^ 0xFFFFFFFF
+    head[:] = raw
+    head[:4] ^= 255
+    lanes = 1 << (len(head).bit_length() // 2)
+    length = -(-len(head) // lanes)
+    grid = np.concatenate([np.zeros(lanes * length - len(head), np.uint8), head]).reshape(lanes, length)
+    state = np.zeros(lanes, np.uint32)
+    for column in grid.T:
+        state = _STEP[(state ^ column) & 255] ^ state >> 8
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    zero, far, n = _STEP[bits & 255] ^ bits >> 8, bits, length  # one zero byte; ``length`` of them
+    while n:
+        if n & 1:
+            far = _apply(zero, far)
+        zero, n = _apply(zero, zero), n >> 1
+    while len(state) > 1:
+        state, far = _apply(far, state[::2]) ^ state[1::2], _apply(far, far)
+    return int(state[0]) ^ 0xFFFFFFFF
+
+
+def decode(data: bytes, codecs: list[dict], itemsize: int, verify: bool = False) -> bytes:
+    """Undo ``codecs`` (name, configuration), listed in the order in which they were applied; ``verify`` compares checksums, which
+    are cut off otherwise."""
     for codec in reversed(codecs):
         name = codec["name"].removeprefix("numcodecs.")
         if name in ("bytes", "bitround"):
@@ -33,6 +86,8 @@ def decode(data: bytes, codecs: list[dict], itemsize: int) -> bytes:
         elif name == "shuffle":
             data = _unshuffle(data, codec.get("configuration", {}).get("elementsize", itemsize))
         elif name == "crc32c":
+            if verify and crc32c(data[:-4]) != int.from_bytes(data[-4:], "little"):
+                raise DamagedChunk("crc32c")
             data = data[:-4]
         else:
             raise UnsupportedCodec(name)
@@ -55,6 +110,8 @@ def encode(data: bytes, codecs: list[dict], itemsize: int) -> bytes:
             data = zstandard.ZstdCompressor().compress(data)
         elif name == "shuffle":
             data = np.frombuffer(data, np.uint8).reshape(-1, size).T.tobytes() if size > 1 else data
+        elif name == "crc32c":
+            data += crc32c(data).to_bytes(4, "little")
         else:
             raise UnsupportedCodec(name)
     return data

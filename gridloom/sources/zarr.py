@@ -116,9 +116,10 @@ def _number(x, default=None):
         return default
 
 
-def chunks(spark: SparkSession, store: str, variable: str, calibrate: bool = True, **selections) -> DataFrame:
+def chunks(spark: SparkSession, store: str, variable: str, calibrate: bool = True, verify: bool = False, **selections) -> DataFrame:
     """c_<dim> columns, origin, shape and values (row-major floats) of the chunks that the selections touch.  A chunk without a
-    file holds the fill value; the list of wanted chunks is as long as the selection is wide."""
+    file holds the fill value; the list of wanted chunks is as long as the selection is wide.  With ``verify`` a chunk whose
+    checksum does not fit its bytes fails the query."""
     ship(spark)
     info = variables(spark, store).where(F.col("name") == variable).first()
     if info is None:
@@ -153,7 +154,7 @@ def chunks(spark: SparkSession, store: str, variable: str, calibrate: bool = Tru
                 if content is None:
                     data = np.full(size, default)
                 else:
-                    raw = np.frombuffer(decode(content, codecs, kind.itemsize), kind).reshape(sizes, order=order)
+                    raw = np.frombuffer(decode(content, codecs, kind.itemsize, verify), kind).reshape(sizes, order=order)
                     data = raw[tuple(slice(0, n) for n in size)].astype(np.float64)
                 if kind.kind == "b":
                     data = (data != 0).astype(np.float64)

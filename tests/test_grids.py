@@ -74,7 +74,7 @@ def test_nearest_on_axes_of_one_and_two_places(spark):
     assert "SinglePartition" not in coords.nearest(points, "p", two)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("version,data_type,chain", [(3, "<f4", []), (3, ">f8", ["gzip"]), (3, "<f8", ["zstd"]), (2, "<f4", ["shuffle", "zlib"])])
+@pytest.mark.parametrize("version,data_type,chain", [(3, "<f4", []), (3, ">f8", ["gzip"]), (3, "<f8", ["zstd", "crc32c"]), (2, "<f4", ["shuffle", "zlib"])])
 def test_written_arrays_are_read_back(spark, tmp_path, version, data_type, chain):
     data = np.arange(7 * 3, dtype="f8").reshape(7, 3)
     rows = spark.createDataFrame([(k, data[k].tolist()) for k in (0, 1, 3, 6)], "y long, a array<double>")  # chunk 4 to 5 has no row
@@ -87,6 +87,22 @@ def test_written_arrays_are_read_back(spark, tmp_path, version, data_type, chain
     assert np.array_equal(got, data, equal_nan=True)
 
 
+def test_checksums():
+    assert codecs.crc32c(b"123456789") == 0xE3069283 and codecs.crc32c(b"") == 0 and codecs.crc32c(bytes(32)) == 0x8A9136AA
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 4, 5, 255, 256, 1000, 70001):
+        data, state = rng.integers(0, 256, n, np.uint8).tobytes(), 0xFFFFFFFF
+        for byte in data:
+            state ^= byte
+            for _ in range(8):
+                state = state >> 1 ^ (0x82F63B78 if state & 1 else 0)
+        assert codecs.crc32c(data) == state ^ 0xFFFFFFFF
+    chain = [{"name": "crc32c"}]
+    assert codecs.decode(codecs.encode(b"chunk", chain, 1), chain, 1, verify=True) == b"chunk"
+    with pytest.raises(codecs.DamagedChunk):
+        codecs.decode(b"chunk\0\0\0\0", chain, 1, verify=True)
+
+
 def test_unwritable_codec_is_an_error():
     with pytest.raises(codecs.UnsupportedCodec):
         codecs.encode(b"", [{"name": "blosc"}], 1)
