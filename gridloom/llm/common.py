@@ -63,6 +63,11 @@ def join_hot(rows: DataFrame, side: DataFrame, on: str | list[str], count: str,
     return cold.unionByName(rows.join(F.broadcast(side.where(F.col(count) > bound)), on, how))
 
 
+def finite_vector(name: str) -> Column:
+    """True where the vector is there and all its components are finite numbers."""
+    return F.col(name).isNotNull() & F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session; the number of salts follows the cluster's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, html, langid, mtree, neardup, packing, quality, repeats, sharding
+from gridloom.llm import bpe, chat, fmquality, html, langid, mtree, neardup, packing, quality, repeats, sharding, vectorcode, whitening
 from gridloom.llm.common import table
 
 SHARDS = 24
@@ -103,7 +103,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_mtree_top_k, op4_best_fit_packing, op5_quality_rules, op6_html_extraction, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting, op10_suffix_array_dedup)}
+def op11_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").where(~fmquality.held_out(F.col("doc_id")))
+    model = fmquality.train(docs, labels, metadata=["n_chars"])
+    return fmquality.score(docs, model).select("doc_id", fmquality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op12_equal_average_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    long = rows.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"))
+    return long.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_mtree_top_k, op4_best_fit_packing, op5_quality_rules, op6_html_extraction, op7_minhash_near_dedup, op8_histogram_sharding, op9_chat_formatting, op10_suffix_array_dedup, op11_factorisation_quality, op12_equal_average_codes, op13_block_whitening)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.stop_forms())
 ORACLE = {
@@ -144,3 +161,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
 }
+
+
+def _codes_sql() -> str:
+    """op12 in SQL: its rounds follow each other as common table expressions."""
+    parts, entries, rounds = vectorcode.PARTS, vectorcode.ENTRIES, vectorcode.ROUNDS
+    steps = [f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor({vectorcode.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, part, list_slice(x, part * (len(x) // {parts}) + 1, (part + 1) * (len(x) // {parts})) AS x FROM v, range({parts}) AS t(part)),
+b0 AS (SELECT part, rid - 1 AS k, x FROM p WHERE rid <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT rid, p.part, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {entries} + k) AS m FROM p JOIN b{r} b ON b.part = p.part GROUP BY rid, p.part)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT part, k, j, sum(c)::BIGINT AS s, count(*) AS n FROM (SELECT p.part, m % {entries} AS k, unnest(range(len(x))) AS j, unnest(x) AS c FROM p JOIN a{r} a ON a.rid = p.rid AND a.part = p.part) GROUP BY part, k, j),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.k, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN (SELECT part, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM s{r} GROUP BY part, k) n ON n.part = b.part AND n.k = b.k)""")
+    return ",".join(steps) + f""",
+c AS (SELECT rid, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (rid), h"""
+
+
+ORACLE["op12_equal_average_codes"] = _codes_sql()
