@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, by DataFrame functions only.
 
 A message's content is an array of parts ``struct<type, text, ref, tokens>``.  A visitor flattens the parts in order:
-text is escaped and copied, and an image, audio or document part leaves a placeholder ``<|image:0|>`` numbered within the
+neighbouring texts are joined, escaped as one (a control string may begin in one part and end in the next) and copied, and an image, audio or document part leaves a placeholder ``<|image:0|>`` numbered within the
 conversation, whose reference and expanded token count are recorded.
 
 Template, per turn: ``<|turn|>role<|body|>content<|end|>\\n``.  Inside texts and roles, a control string gets one more
@@ -40,7 +40,7 @@ def text_part(text: Column) -> Column:
 
 def flatten_parts(content: Column, first: Column) -> Column:
     """Visit parts in order: struct of the body and the attachments, numbered from ``first``."""
-    state = F.struct(F.lit("").alias("body"), F.array().cast("array<struct<type:string,ref:string,tokens:bigint,no:int>>").alias("attachments"))
+    state = F.struct(F.lit("").alias("body"), F.lit("").alias("text"), F.array().cast("array<struct<type:string,ref:string,tokens:bigint,no:int>>").alias("attachments"))
 
     def visit(acc: Column, part: Column) -> Column:
         no = (first + F.size(acc["attachments"])).cast("int")
@@ -48,11 +48,15 @@ def flatten_parts(content: Column, first: Column) -> Column:
         mark = F.concat(F.lit("<|"), part["type"], F.lit(":"), no.cast("string"), F.lit("|>"))
         entry = F.struct(part["type"].alias("type"), part["ref"].alias("ref"), F.coalesce(part["tokens"], F.lit(0).cast("long")).alias("tokens"), no.alias("no"))
         return F.struct(
-            F.concat(acc["body"], F.when(attached, mark).otherwise(escape(F.coalesce(part["text"], F.lit(""))))).alias("body"),
+            F.when(attached, F.concat(acc["body"], escape(acc["text"]), mark)).otherwise(acc["body"]).alias("body"),
+            F.when(attached, F.lit("")).otherwise(F.concat(acc["text"], F.coalesce(part["text"], F.lit("")))).alias("text"),
             F.when(attached, F.concat(acc["attachments"], F.array(entry))).otherwise(acc["attachments"]).alias("attachments"),
         )
 
-    return F.aggregate(F.coalesce(content, F.array().cast(f"array<{PART}>")), state, visit)
+    def finish(acc: Column) -> Column:
+        return F.struct(F.concat(acc["body"], escape(acc["text"])).alias("body"), acc["attachments"].alias("attachments"))
+
+    return F.aggregate(F.coalesce(content, F.array().cast(f"array<{PART}>")), state, visit, finish)
 
 
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "content", loss_roles=("assistant",)) -> DataFrame:

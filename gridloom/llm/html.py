@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 2000
+#: Pages that may hold an element which names the article.
+LABELLED = r"(?i)<(article|main)[\s/>]"
 
 # Fixed values of HTML: elements without content, elements whose content is raw text, and elements that start a new block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -331,10 +333,11 @@ def extract(html: str, model: Model) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def train(pages: DataFrame, page_id: str = "page_id", html: str = "html", most: int = TRAIN_PAGES) -> Model:
-    """Potentials from a sample of about ``most`` pages by a hash of their id."""
-    every = -(-pages.count() // most) or 1
-    sample = pages.where(F.col(html).isNotNull() & (F.pmod(F.xxhash64(page_id), F.lit(every)) == 0)).select(html)
+def train(pages: DataFrame, html: str = "html", most: int = TRAIN_PAGES) -> Model:
+    """Potentials from the labelled pages, each distinct one once: the ``most`` of them with the smallest hashes, where there are more."""
+    labelled = pages.where(F.col(html).rlike(LABELLED)).select(F.col(html).alias("html"), F.xxhash64(html).alias("h"))
+    last = labelled.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    sample = labelled.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("html").alias("html")).select("html")
     counted = sample.mapInArrow(_count, "part string, name string, value string, label int, n long").groupBy("part", "name", "value", "label").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in counted.collect()])
 

@@ -13,7 +13,6 @@ to the smaller name; an empty table gives an empty result; other columns do not
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +29,6 @@ PENALTY = 6.0
 #: Characters handled at once by a task, divided by the number of languages.
 SLICE_CHARS = 6_000_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 # Bytes that end a word: ASCII other than letters.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -83,6 +81,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)) if languages else Model([], np.zeros((BUCKETS, 0), np.float32))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of one of the Unicode letter categories is in the text; numerals like ½ are none."""
+    return any(map(str.isalpha, text))
+
+
 def _fit(p: np.ndarray, top: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (documents x languages) of the allowed languages and the log likelihood."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
@@ -141,7 +144,7 @@ def _predict(shared, names: list[str]):
                 part = texts[at:end]
                 langs, scores, tops = [], [], []
                 for t, s in zip(part, mixtures(part, model), strict=True):
-                    if not s.any() or not _LETTER.search(t):
+                    if not s.any() or not has_letter(t):
                         langs.append(UNKNOWN), scores.append(0.0), tops.append([])
                         continue
                     k = int(np.argmax(s))

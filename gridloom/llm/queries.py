@@ -86,12 +86,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The text that op10 shows as left is also without repeated passages of over 50 words; they may have fewer than 400 bytes.
-PASSAGE_WORDS = 51
-
-
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, words=PASSAGE_WORDS)
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
     return done.select(
         "doc_id",

@@ -319,13 +319,16 @@ def _stream(batches):
 
 
 def _cut_runs(kinds: list[Measure]):
-    """Runs out of documents: (doc, text, runs: array of h, at, single, hot) to rows."""
+    """Runs out of documents: (doc, text, runs: array of h, at, single, hot) to rows.  Copies of a row that follow each other give theirs once."""
 
     def run(batches):
+        last = None
         for b in batches:
             rows = [[], [], [], [], [], []]
             for doc, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                units = {}
+                if doc == last:
+                    continue
+                last, units = doc, {}
                 for r in runs:
                     words = r["h"] & 1
                     if words not in units:
