@@ -127,3 +127,11 @@ def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> list[Column]:
         return F.round(255 * F.when(light <= 0.0031308, 12.92 * light).otherwise(1.055 * F.pow(light, F.lit(1 / 2.4)) - 0.055))
 
     return [channel(c), channel(m), channel(y)]
+
+
+def slot_of(value: Column, edges: list) -> Column:
+    """How many of the ascending ``edges`` are below ``value``: a tree of comparisons, as deep as the logarithm of their number, that is compiled."""
+    if not edges:
+        return F.lit(0)
+    tree = lambda lo, hi: F.lit(lo) if lo == hi else F.when(value > edges[(lo + hi) // 2], tree((lo + hi) // 2 + 1, hi)).otherwise(tree(lo, (lo + hi) // 2))
+    return tree(0, len(edges))

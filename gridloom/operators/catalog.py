@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.fmt import ancestors, group_path, leaf
+from gridloom.functions.scale import slot_of
 
 
 def contains(text: Column, query: str) -> Column:
@@ -56,15 +57,14 @@ def bytes_by(blocks: DataFrame, *keys: str) -> DataFrame:
     return blocks.groupingSets([[F.col(k)] for k in keys], *keys).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def lru_survivors(blocks: DataFrame, most: int, *keys: str, bins: int = 256) -> DataFrame:
+def lru_survivors(blocks: DataFrame, most: int, *keys: str, bins: int = 32) -> DataFrame:
     """Blocks that stay when the least recently used go until at most ``most`` bytes are left, within each cache.
 
     Accesses are cut into ``bins`` spans with about as many blocks each; totals of spans say where each span starts, spans that
     start beyond ``most`` go unsorted, and only the blocks of one span of one cache are sorted together.  Bytes are not negative."""
     edges = blocks.agg(F.percentile_approx("last_access", [k / bins for k in range(1, bins)], 10 * bins)).first()[0] or []
     edges = sorted(set(edges))
-    span = F.lit(0) if not edges else F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + (e >= F.col("last_access")).cast("int"))
-    placed = blocks.withColumn("_span", span)  # 0 is the latest
+    placed = blocks.withColumn("_span", len(edges) - slot_of(F.col("last_access"), edges))  # 0 is the latest
     sums = placed.groupBy(*keys, "_span").agg(F.sum("bytes").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where(F.col("_start") <= most).drop("_sum")

@@ -68,9 +68,9 @@ def plane_transposed(spark, d):
     return select.transpose(views.matrix(spark, d))
 
 
-@query(sql("V", "SELECT 29 - d AS y, h AS x, v FROM V WHERE k = 2"))
+@query(sql("V", "SELECT days - 1 - d AS y, h AS x, v FROM V, V_N WHERE k = 2"))
 def plane_flip_y(spark, d):
-    return select.flip(plane_yx(spark, d), "y", views.DAYS)
+    return select.flip(plane_yx(spark, d), "y", views.volume_shape(spark, d)["d"])
 
 
 @query(sql("E", "SELECT y, 63 - x AS x, v FROM E"))
@@ -134,9 +134,9 @@ def visible_mask(spark, d):
     return views.volume(spark, d).select("d", "h", "k", select.visible(F.col("v"), 20.0, 300.0, show_high=True).alias("shown"))
 
 
-@query(sql("V", "SELECT d - 3 AS y, h - 6 AS x, v FROM V WHERE k = 2 AND h >= 6 AND h < 18 AND d >= 3 AND d < 27"))
+@query(sql("V", "SELECT d - floor(days / 10)::BIGINT AS y, h - 6 AS x, v FROM V, V_N WHERE k = 2 AND h >= 6 AND h < 18 AND d >= floor(days / 10) AND d < ceil(days * 9 / 10)"))
 def roi_crop(spark, d):
-    return select.crop(plane_yx(spark, d), 24, 30, 0.25, 0.1, 0.75, 0.9)
+    return select.crop(plane_yx(spark, d), 24, views.volume_shape(spark, d)["d"], 0.25, 0.1, 0.75, 0.9)
 
 
 @query(sql("E", "SELECT y, x, v FROM E WHERE y >= 100 AND y < 180 AND x >= 16 AND x < 48"))
@@ -239,11 +239,11 @@ def first_hit(spark, d):
 
 @query(
     sql("V", "").rstrip()
-    + """, W AS (SELECT h, k, d, v, v * exp(-2.0 * sum(least(greatest(v / 400, 0), 1)) OVER (PARTITION BY h, k ORDER BY d) / 30) AS w FROM V WHERE v IS NOT NULL)
+    + """, W AS (SELECT h, k, d, v, v * exp(-2.0 * sum(least(greatest(v / 400, 0), 1)) OVER (PARTITION BY h, k ORDER BY d) / days) AS w FROM V, V_N WHERE v IS NOT NULL)
 SELECT h, k, arg_max(v, (round(w, 9), -d)) AS v FROM W GROUP BY h, k"""
 )
 def mip_attenuated(spark, d):
-    return reduce.attenuated_max(views.volume(spark, d), "d", ["h", "k"], scale.scale(F.col("v"), VLOW, VHIGH), 2.0, 30)
+    return reduce.attenuated_max(views.volume(spark, d), "d", ["h", "k"], scale.scale(F.col("v"), VLOW, VHIGH), 2.0, views.volume_shape(spark, d)["d"])
 
 
 @query(sql("V", "SELECT d, h, k, round(t, 9) AS through, round(t * a, 9) AS light FROM (SELECT d, h, k, a, exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY h, k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM (SELECT *, coalesce(least(greatest(v / 400, 0), 1), 0) * 0.3 AS a FROM V))"))
@@ -296,9 +296,9 @@ def nearest_coord(spark, d):
     return coords.nearest(at, "p", _axis(spark, d)).select("id", "idx")
 
 
-@query(sql("V", "SELECT d, h, k, round(-180 + h * (360.0 / 23), 6) AS lon, round(90 - d * (180.0 / 29), 6) AS lat FROM V"))
+@query(sql("V", "SELECT d, h, k, round(-180 + h * (360.0 / 23), 6) AS lon, round(90 - d * (180.0 / (days - 1)), 6) AS lat FROM V, V_N"))
 def interp_coord(spark, d):
-    return views.volume(spark, d).select("d", "h", "k", _r(coords.interpolated(F.col("h"), 24, -180.0, 180.0)).alias("lon"), _r(coords.interpolated(F.col("d"), 30, 90.0, -90.0)).alias("lat"))
+    return views.volume(spark, d).select("d", "h", "k", _r(coords.interpolated(F.col("h"), 24, -180.0, 180.0)).alias("lon"), _r(coords.interpolated(F.col("d"), views.volume_shape(spark, d)["d"], 90.0, -90.0)).alias("lat"))
 
 
 @query("WITH A AS (SELECT c_nationkey::BIGINT AS g, c_custkey AS idx, c_custkey * 1.0 + (c_custkey % 3) * 0.01 AS value FROM customer), S AS (SELECT g, abs(value - lag(value) OVER (PARTITION BY g ORDER BY idx)) AS s FROM A) SELECT g, round((max(s) - min(s)) / avg(s), 6) AS spread, (max(s) - min(s)) / avg(s) > 0.0005 AS irregular FROM S WHERE s > 1e-7 GROUP BY g")
@@ -571,10 +571,11 @@ def covering_blocks(spark, d):
     return catalog.covered(views.requests(spark, d), views.blocks(spark, d), ["source", "variable"], chunk=8)
 
 
-@query("SELECT user_id, day // 7 * 7 AS start, least(day // 7 * 7 + 7, 30) AS stop, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT user_id, value, floor((epoch(ts)::DOUBLE - 1704067200) / 86400)::BIGINT AS day FROM events) GROUP BY 1, 2, 3")
+@query("SELECT user_id, day // 7 * 7 AS start, least(day // 7 * 7 + 7, (SELECT max(floor(epoch(ts)::DOUBLE / 86400)) - min(floor(epoch(ts)::DOUBLE / 86400)) + 1 FROM events)::BIGINT) AS stop, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT user_id, value, (floor(epoch(ts)::DOUBLE / 86400) - (SELECT min(floor(epoch(ts)::DOUBLE / 86400)) FROM events))::BIGINT AS day FROM events) GROUP BY 1, 2, 3")
 def window_tumbling(spark, d):
-    day = F.floor((views.seconds("ts") - views.EPOCH) / 86400)
-    e = views.table(spark, d, "events").select("user_id", "value", catalog.tumbling(day, 7, 30).alias("w"))
+    events = views.table(spark, d, "events").select("user_id", "value", F.floor(views.seconds("ts") / 86400).alias("day"))
+    first, last = events.agg(F.min("day"), F.max("day")).first()
+    e = events.select("user_id", "value", catalog.tumbling(F.col("day") - (first or 0), 7, (last or 0) - (first or 0) + 1).alias("w"))
     return e.groupBy("user_id", F.col("w.start").alias("start"), F.col("w.stop").alias("stop")).agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 

@@ -93,7 +93,7 @@ _O = "(SELECT unnest([-1, 0, 1]) AS {0})"
 
 @query(sql("V", f"""SELECT T.d, T.h, T.k, round(sum(-i * (CASE j WHEN 0 THEN 2 ELSE 1 END) * (CASE l WHEN 0 THEN 2 ELSE 1 END) * coalesce(N.v, 0)), 4) AS g_d,
   round(sum(-j * (CASE i WHEN 0 THEN 2 ELSE 1 END) * (CASE l WHEN 0 THEN 2 ELSE 1 END) * coalesce(N.v, 0)), 4) AS g_h, round(sum(-l * (CASE i WHEN 0 THEN 2 ELSE 1 END) * (CASE j WHEN 0 THEN 2 ELSE 1 END) * coalesce(N.v, 0)), 4) AS g_k
-  FROM V T CROSS JOIN {_O.format('i')} CROSS JOIN {_O.format('j')} CROSS JOIN {_O.format('l')} JOIN V N ON N.d = least(greatest(T.d + i, 0), 29) AND N.h = least(greatest(T.h + j, 0), 23) AND N.k = least(greatest(T.k + l, 0), 4) GROUP BY 1, 2, 3"""))
+  FROM V T CROSS JOIN {_O.format('i')} CROSS JOIN {_O.format('j')} CROSS JOIN {_O.format('l')} CROSS JOIN V_N JOIN V N ON N.d = least(greatest(T.d + i, 0), days - 1) AND N.h = least(greatest(T.h + j, 0), 23) AND N.k = least(greatest(T.k + l, 0), kinds - 1) GROUP BY 1, 2, 3"""))
 def sobel_gradient(spark, d):
-    g = relate.sobel(views.volume(spark, d), {"d": views.DAYS, "h": views.HOURS, "k": views.KINDS})
+    g = relate.sobel(views.volume(spark, d), views.volume_shape(spark, d))
     return g.select("d", "h", "k", *[(F.round(c, 4) + 0.0).alias(c) for c in ("g_d", "g_h", "g_k")])

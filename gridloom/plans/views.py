@@ -1,7 +1,7 @@
 """Array views of the relational tables, as DataFrames and as SQL for the comparison engine.
 
-E(y, x, v): the embedding matrix.  V(d, h, k, v): events of the first 30 days by day,
-hour and type, missing cells null.  L(s, l, v): line items by
+E(y, x, v): the embedding matrix.  V(d, h, k, v): events by day (from the first to the last), hour
+and type (in alphabetical order), missing cells null.  L(s, l, v): line items by
 supplier and line number.  P(id, lon, lat): a point for every event.
 """
 
@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 from gridloom import ship
 from gridloom.operators.select import rows_to_cells
 
-# Event types in the order of their index.
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-#: 2024-01-01 UTC, the first day of the event grid.
-EPOCH = 1_704_067_200
-DAYS, HOURS, KINDS = 30, 24, 5
+HOURS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,17 +30,30 @@ def matrix(spark: SparkSession, sf_dir: str, x=None) -> DataFrame:
     return rows_to_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", x)
 
 
-def volume(spark: SparkSession, sf_dir: str, days: int = DAYS) -> DataFrame:
-    """The array of the first ``days`` days from EPOCH; events of other days and types are outside its domain."""
-    t = seconds("ts") - EPOCH
-    events = table(spark, sf_dir, "events").select(
-        F.floor(t / 86400).cast("long").alias("d"), F.pmod(F.floor(t / 3600), F.lit(24)).cast("long").alias("h"), (F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1).cast("long").alias("k"), "value"
-    )
-    filled = events.where(F.col("d").between(0, days - 1)).groupBy("d", "h", "k").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("v"))
-    # The frame of the grid has a fixed size; the sums above are all that is shuffled.
-    frame = spark.range(days * HOURS * KINDS).select(F.floor(F.col("id") / (HOURS * KINDS)).alias("d"), F.floor(F.col("id") / KINDS).cast("long").alias("_h"), (F.col("id") % KINDS).alias("k"))
-    frame = frame.select("d", (F.col("_h") % HOURS).alias("h"), "k")
-    return frame.join(filled, ["d", "h", "k"], "left")
+def _domain(events: DataFrame) -> DataFrame:
+    """One row: first and last day (since 1970) and the types of all events."""
+    return events.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.sort_array(F.collect_set("event_type")).alias("types"))
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where("ts IS NOT NULL AND event_type IS NOT NULL")
+    return events.select(F.floor(seconds("ts") / 86400).cast("int").alias("day"), F.hour("ts").cast("long").alias("h"), "event_type", "value")
+
+
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array of all days, hours and types between the first event and the last; it is as large as that domain, however many events there are."""
+    events = _days(spark, sf_dir)
+    filled = events.groupBy("day", "h", "event_type").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("v"))
+    days = _domain(events).where("first IS NOT NULL").select("first", "types", F.explode(F.sequence("first", "last")).alias("day"))
+    hours = days.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))))
+    frame = hours.select((F.col("day") - F.col("first")).cast("long").alias("d"), "day", "h", F.posexplode("types").alias("k", "event_type"))
+    return frame.join(filled, ["day", "h", "event_type"], "left").select("d", "h", F.col("k").cast("long").alias("k"), "v")
+
+
+def volume_shape(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Length of each dimension of the volume."""
+    r = _domain(_days(spark, sf_dir)).first()
+    return {"d": 0 if r["first"] is None else r["last"] - r["first"] + 1, "h": HOURS, "k": len(r["types"])}
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +97,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "E": "E AS (SELECT vec_id AS y, unnest(range(0, len(embedding))) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings)",
-    "V": f"""G AS (SELECT floor((epoch(ts)::DOUBLE - {EPOCH}) / 86400)::BIGINT AS d, (floor((epoch(ts)::DOUBLE - {EPOCH}) / 3600)::BIGINT % 24) AS h, list_position({EVENT_TYPES}, event_type) - 1 AS k, sum(value::DECIMAL(18,4))::DOUBLE AS v FROM events GROUP BY 1, 2, 3),
-V AS (SELECT d, h, k, v FROM (SELECT unnest(range(0, 30)) AS d) CROSS JOIN (SELECT unnest(range(0, 24)) AS h) CROSS JOIN (SELECT unnest(range(0, 5)) AS k) LEFT JOIN G USING (d, h, k))""",
+    "V": """V_D AS (SELECT floor(epoch(ts)::DOUBLE / 86400)::BIGINT AS day, hour(ts)::BIGINT AS h, event_type AS t, value FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+V_G AS (SELECT day, h, t, sum(value::DECIMAL(18,4))::DOUBLE AS v FROM V_D GROUP BY 1, 2, 3),
+V_T AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k FROM (SELECT DISTINCT t FROM V_D)),
+V AS (SELECT day - (SELECT min(day) FROM V_D) AS d, h, k, v FROM (SELECT unnest(range((SELECT min(day) FROM V_D), (SELECT max(day) + 1 FROM V_D))) AS day) CROSS JOIN (SELECT unnest(range(0, 24)) AS h) CROSS JOIN V_T LEFT JOIN V_G USING (day, h, t)),
+V_N AS (SELECT max(d) + 1 AS days, max(k) + 1 AS kinds FROM V)""",
     "L": "L AS (SELECT l_suppkey AS s, l_linenumber::BIGINT AS l, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)",
     "P": "P AS (SELECT event_id AS id, (event_id * 37 % 3600) / 10.0::DOUBLE AS lon, (event_id * 53 % 1799) / 10.0::DOUBLE - 89.9 AS lat FROM events)",
     "VAR": "VAR AS (SELECT lower(p_type) || '/' || replace(lower(p_brand), '#', '') || '/' || replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_name AS long_name, CASE p_size % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'm/s' END AS units, p_partkey AS pos, p_size::BIGINT AS size, p_retailprice AS price, lower(p_type) || '/' || replace(lower(p_brand), '#', '') AS grp FROM part)",

@@ -1,14 +1,13 @@
 """Zarr stores (versions 2 and 3) as tables of variables and chunks.
 
-Files are read by Spark's own binary reader, so every file system that Spark knows serves as a store, and a selection prunes
-chunk files by their path before any is opened.
+A store's one document of metadata is all that is opened to know its arrays, where it has one.  Chunks are addressed by number, never
+listed: the scan is the data source of ``datasource``.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from gridloom import ship
 from gridloom.operators.select import Range, chunk_range, clamp_request
 from gridloom.sources.codecs import decode, encode
+from gridloom.sources.ranged import put, read_whole
 
 VARIABLES = "name string, data_type string, shape array<long>, dims array<string>, chunk_shape array<long>, units string, long_name string, attributes map<string,string>, meta string"
 
@@ -52,13 +52,35 @@ def _row(path, kind, shape, chunks, dims, attributes, info) -> tuple:
     return (path, kind, [int(n) for n in shape], dims, [int(n) for n in chunks], texts.get("units"), texts.get("long_name"), texts, json.dumps(info))
 
 
-def _metadata(spark: SparkSession, store: str) -> dict[str, dict]:
-    """Metadata documents by path.  Only groups are walked, never the folders of chunks; Spark's readers pass over files with a
-    leading dot, so the file system that they use is asked directly."""
+#: Documents that hold the metadata of a whole store: version 2's, and the root group of version 3.
+CONSOLIDATED = (".zmetadata", "zarr.json")
+
+
+def consolidated(store: str) -> dict[str, dict] | None:
+    """Metadata documents by path out of the store's one document; None where it has none."""
+    for name in CONSOLIDATED:
+        raw = read_whole(f"{store.rstrip('/')}/{name}")
+        if raw is None:
+            continue
+        root = json.loads(raw)
+        if name == ".zmetadata":
+            return root.get("metadata", {})
+        inner = (root.get("consolidated_metadata") or {}).get("metadata")
+        if inner is not None:
+            return {name: root} | {f"{path}/{name}".lstrip("/"): doc for path, doc in inner.items()}
+    return None
+
+
+def _documents(spark: SparkSession, store: str) -> dict[str, dict]:
+    """Metadata documents by path: the store's one document where there is one, else those of its groups and arrays.  Folders of chunks are
+    never walked; Spark's readers pass over files with a leading dot, so the file system that they use is asked directly."""
+    found = consolidated(store)
+    if found is not None:
+        return found
+    found = {}
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(store)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[str, dict] = {}
 
     def load(folder, path: str, name: str) -> bool:
         file = jvm.org.apache.hadoop.fs.Path(folder, name)
@@ -85,26 +107,63 @@ def _metadata(spark: SparkSession, store: str) -> dict[str, dict]:
     return found
 
 
+def _described(path: str, documents: dict[str, dict]) -> tuple | None:
+    """The row of ``variables`` of the array at a path; its attributes are those of the groups above it too, the nearest wins."""
+    attributes, parts = {}, path.split("/") if path else []
+    for k in range(len(parts) + 1):
+        above = "/".join(parts[:k])
+        attributes |= documents.get(f"{above}/.zattrs".lstrip("/"), {}) | documents.get(f"{above}/zarr.json".lstrip("/"), {}).get("attributes", {})
+    for name, read in ((f"meta/root/{path}.array.json" if path else "meta/root.array.json", _early_v3), (f"{path}/zarr.json".lstrip("/"), _v3), (f"{path}/.zarray".lstrip("/"), _v2)):
+        meta = documents.get(name)
+        if meta is not None and (read is not _v3 or meta.get("node_type") == "array"):
+            return read(path, meta, attributes | (meta.get("attributes", {}) if read is _early_v3 else {}))
+    return None
+
+
+def _early_v3(path: str, meta: dict, attributes: dict) -> tuple:
+    """The form that version 3 had before it was final: documents below meta/root, chunks below data/root, one compressor."""
+    grid = meta["chunk_grid"]
+    codecs = [{"name": (c := meta["compressor"]).get("codec", "").rstrip("/").split("/")[-2 if "/" in c.get("codec", "") else -1], "configuration": c.get("configuration", {})}] if meta.get("compressor") else []
+    sep = grid.get("separator", "/")
+    info = {"dtype": np.dtype(meta["data_type"]).str, "codecs": codecs, "fill": meta.get("fill_value"), "sep": sep, "prefix": "c", "order": meta.get("chunk_memory_layout", "C")}
+    return _row(path, np.dtype(meta["data_type"]).name, meta["shape"], grid["chunk_shape"], meta.get("dimension_names") or attributes.get("_ARRAY_DIMENSIONS"), attributes, info)
+
+
+def open_array(store: str, variable: str) -> tuple:
+    """The row of ``variables`` of one array, from the store's one document or else from the first of the array's possible documents that is
+    there, and those of the groups above it; nothing is listed."""
+    path, store = variable.strip("/"), store.rstrip("/")
+    found = consolidated(store)
+    if found is None or _described(path, found) is None:
+        parts = path.split("/") if path else []
+        keys = [f"meta/root/{path}.array.json" if path else "meta/root.array.json"]
+        for k in range(len(parts) + 1):
+            above = "/".join(parts[:k])
+            keys += [f"{above}/{name}".lstrip("/") for name in ("zarr.json", ".zattrs")]
+        keys.append(f"{path}/.zarray".lstrip("/"))
+        found = {k: json.loads(raw) for k in keys if (raw := read_whole(f"{store}/{k}")) is not None}
+    row = _described(path, found)
+    if row is None:
+        raise KeyError(variable)
+    return row
+
+
 def variables(spark: SparkSession, store: str) -> DataFrame:
     """One row per array of the store, with the attributes of the groups above it; the nearest wins."""
-    found = _metadata(spark, store)
-    groups = {k.rpartition("/")[0]: v for k, v in found.items() if k.endswith(".zattrs")}
-    groups |= {k.rpartition("/")[0]: v.get("attributes", {}) for k, v in found.items() if k.endswith("zarr.json")}
-
-    def attributes(path: str) -> dict:
-        out, parts = {}, path.split("/") if path else []
-        for k in range(len(parts) + 1):  # the nearest wins
-            out |= groups.get("/".join(parts[:k]), {})
-        return out
-
-    rows = []
-    for key, meta in sorted(found.items()):
-        path = key.rpartition("/")[0]
-        if key.endswith(".zarray"):
-            rows.append(_v2(path, meta, attributes(path)))
-        elif key.endswith("zarr.json") and meta.get("node_type") == "array":
-            rows.append(_v3(path, meta, attributes(path)))
-    return spark.createDataFrame(rows, VARIABLES)
+    found = _documents(spark, store)
+    ends = ("/zarr.json", "/.zarray")
+    paths = sorted({f"/{k}".rpartition("/")[0].lstrip("/") for k in found if f"/{k}".endswith(ends)})
+    return spark.createDataFrame([row for p in paths if (row := _described(p, found))], VARIABLES)
+
+
+def consolidate(spark: SparkSession, store: str, documents: dict[str, dict], version: int = 3) -> None:
+    """Write the store's one document of all its metadata (by path below the store)."""
+    if version == 2:
+        put(f"{store.rstrip('/')}/.zmetadata", json.dumps({"zarr_consolidated_format": 1, "metadata": documents}).encode())
+        return
+    inner = {k.removesuffix("zarr.json").rstrip("/"): v for k, v in documents.items() if k != "zarr.json"}
+    root = {"zarr_format": 3, "node_type": "group", "attributes": documents.get("zarr.json", {}).get("attributes", {}), "consolidated_metadata": {"kind": "inline", "must_understand": False, "metadata": inner}}
+    put(f"{store.rstrip('/')}/zarr.json", json.dumps(root).encode())
 
 
 def _number(x, default=None):
@@ -116,55 +175,47 @@ def _number(x, default=None):
         return default
 
 
+class Layout:
+    """Where the chunks of an array are and what their bytes mean; made from a row of ``variables``."""
+
+    def __init__(self, row):
+        _, _, self.shape, self.dims, self.sizes, _, _, attributes, meta = row
+        info = json.loads(meta)
+        self.kind, self.order, self.codecs, self.sep, self.prefix = np.dtype(info["dtype"]), info["order"], info["codecs"], info["sep"], info["prefix"]
+        self.default = _number(info["fill"], math.nan if self.kind.kind == "f" else 0.0)
+        self.scaling = [_number(attributes.get(k)) for k in ("scale_factor", "add_offset", "valid_min", "valid_max")]
+        self.fill = _number(attributes.get("_FillValue"), _number(attributes.get("missing_value")))
+
+    def key(self, place) -> str:
+        """Path of a chunk below the array; an array without dimensions has one chunk."""
+        return self.prefix + self.sep.join(map(str, place)) if self.dims else (self.prefix.rstrip(self.sep) or "0")
+
+    def values(self, content: bytes | None, place, calibrate: bool = True, verify: bool = False) -> np.ndarray:
+        """Values of the part of a chunk that is inside the array; the fill value where there is no content."""
+        size = [min(c, n - p * c) for p, c, n in zip(place, self.sizes, self.shape, strict=True)]
+        if content is None:
+            data = np.full(size, self.default)
+        else:
+            raw = np.frombuffer(decode(content, self.codecs, self.kind.itemsize, verify), self.kind).reshape(self.sizes, order=self.order)
+            data = raw[tuple(slice(0, n) for n in size)].astype(np.float64)
+        if self.kind.kind == "b":
+            return (data != 0).astype(np.float64)
+        return calibrated(data, self.fill, *self.scaling) if calibrate else data
+
+
 def chunks(spark: SparkSession, store: str, variable: str, calibrate: bool = True, verify: bool = False, **selections) -> DataFrame:
     """c_<dim> columns, origin, shape and values (row-major floats) of the chunks that the selections touch.  A chunk without a
-    file holds the fill value; the list of wanted chunks is as long as the selection is wide.  With ``verify`` a chunk whose
-    checksum does not fit its bytes fails the query."""
-    ship(spark)
-    info = variables(spark, store).where(F.col("name") == variable).first()
-    if info is None:
-        raise KeyError(variable)
-    meta, dims, shape, sizes = json.loads(info.meta), info.dims, info.shape, info.chunk_shape
-    box = [chunk_range(clamp_request(selections.get(d, Range(0, n)), n), c) for d, n, c in zip(dims, shape, sizes, strict=True)]
-    attrs = {k: v for k, v in info.attributes.items()}
-    calibration = [_number(attrs.get(k)) for k in ("scale_factor", "add_offset", "valid_min", "valid_max")]
-    fill = _number(attrs.get("_FillValue"), _number(attrs.get("missing_value")))
-    folder = f"{store.rstrip('/')}/{variable}" if variable else store
-    sep, prefix = re.escape(meta["sep"]), re.escape(meta["prefix"])
-    pattern = "/" + prefix + sep.join(["([0-9]+)"] * len(dims)) + "$"
-    index = [F.regexp_extract("_metadata.file_path", pattern, k + 1) for k in range(len(dims))]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    wanted = files.where(F.regexp_like("_metadata.file_path", F.lit(pattern)))
-    for c, (first, last) in zip(index, box, strict=True):
-        wanted = wanted.where(c.cast("int").between(first, last))
-    names = [f"c_{d}" for d in dims]
-    read = wanted.select(*[c.cast("long").alias(n) for c, n in zip(index, names, strict=True)], "content")
-    grid = spark.range(1)
-    for n, (first, last) in zip(names, box, strict=True):
-        grid = grid.withColumn(n, F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
-    whole = grid.drop("id").join(read, names, "left")
-    kind, order, codecs, default = np.dtype(meta["dtype"]), meta["order"], meta["codecs"], _number(meta["fill"], math.nan if np.dtype(meta["dtype"]).kind == "f" else 0.0)
+    file holds the fill value.  With ``verify`` a chunk whose checksum does not fit its bytes fails the query.  Partitions are planned
+    from the array's shape (``datasource``); no folder is listed."""
+    from gridloom.sources import datasource
 
-    def run(batches):
-        for b in batches:
-            places = list(zip(*[b.column(k).to_pylist() for k in range(len(dims))], strict=True)) if dims else [()] * b.num_rows
-            rows = [[], [], []]
-            for place, content in zip(places, b.column(len(dims)).to_pylist(), strict=True):
-                size = [min(c, n - p * c) for p, c, n in zip(place, sizes, shape, strict=True)]
-                if content is None:
-                    data = np.full(size, default)
-                else:
-                    raw = np.frombuffer(decode(content, codecs, kind.itemsize, verify), kind).reshape(sizes, order=order)
-                    data = raw[tuple(slice(0, n) for n in size)].astype(np.float64)
-                if kind.kind == "b":
-                    data = (data != 0).astype(np.float64)
-                elif calibrate:
-                    data = calibrated(data, fill, *calibration)
-                for column, value in zip(rows, ([p * c for p, c in zip(place, sizes, strict=True)], size, data.ravel().astype("f4")), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(dims))], pa.array(rows[0], pa.list_(pa.int64())), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.float32()))], [*names, "origin", "shape", "values"])
-
-    return whole.mapInArrow(run, ", ".join(f"`{n}` long" for n in names) + ", origin array<long>, shape array<long>, values array<float>")
+    table = datasource.scan(spark, store, variable, rows="chunks", calibrate=calibrate, verify=verify)
+    layout = Layout(open_array(store, variable))
+    for d, n, c in zip(layout.dims, layout.shape, layout.sizes, strict=True):
+        if d in selections:
+            first, last = chunk_range(clamp_request(selections[d], n), c)
+            table = table.where((F.col(f"c_{d}") >= first) & (F.col(f"c_{d}") <= last))
+    return table
 
 
 def calibrated(data: np.ndarray, fill, factor, offset, low, high) -> np.ndarray:
@@ -216,27 +267,17 @@ def write(table: DataFrame, store: str, variable: str, dims: list[str], shape: l
     names = [f"c_{d}" for d in dims]
 
     def run(batches):
-        from pyarrow.fs import FileSystem
-
         for b in batches:
             places = list(zip(*[b.column(k).to_pylist() for k in range(len(dims))], strict=True))
             for place, size, values in zip(places, b.column(len(dims)).to_pylist(), b.column(len(dims) + 1), strict=True):
                 data = np.full(chunk_shape, np.nan if kind.kind == "f" else fill, kind)
                 data[tuple(slice(0, n) for n in size)] = values.values.to_numpy(zero_copy_only=False).reshape(size)
-                target = f"{folder}/{prefix}{sep.join(map(str, place))}"
-                fs, path = FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else FileSystem.from_uri(f"file://{target}")
-                fs.create_dir(path.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(path) as out:
-                    out.write(encode(data.tobytes(), chain, kind.itemsize))
+                put(f"{folder}/{prefix}{sep.join(map(str, place))}", encode(data.tobytes(), chain, kind.itemsize))
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     table.select(*names, "shape", "values").mapInArrow(run, "n long").agg(F.sum("n")).collect()
-    jvm = table.sparkSession.sparkContext._jvm
     for name, document in documents.items():
-        file = jvm.org.apache.hadoop.fs.Path(folder, name)
-        out = file.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(file, True)
-        out.write(bytearray(json.dumps(document).encode()))
-        out.close()
+        put(f"{folder}/{name}", json.dumps(document).encode())
 
 
 def chunk_rows(rows: DataFrame, index: str, array: str, width: int, size: int, dims: tuple[str, str] = ("y", "x")) -> DataFrame:
