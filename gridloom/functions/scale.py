@@ -129,9 +129,9 @@ def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> list[Column]:
     return [channel(c), channel(m), channel(y)]
 
 
-def slot_of(value: Column, edges: list) -> Column:
-    """How many of the ascending ``edges`` are below ``value``: a tree of comparisons, as deep as the logarithm of their number, that is compiled."""
-    if not edges:
-        return F.lit(0)
-    tree = lambda lo, hi: F.lit(lo) if lo == hi else F.when(value > edges[(lo + hi) // 2], tree((lo + hi) // 2 + 1, hi)).otherwise(tree(lo, (lo + hi) // 2))
-    return tree(0, len(edges))
+def slot_of(value: Column, edges: list, inclusive: bool = False) -> Column:
+    """How many of the ascending ``edges`` are below ``value`` (or equal to it, when ``inclusive``): a tree of comparisons, as deep as the logarithm of
+    their number, that is compiled.  Null for a null value."""
+    above = (lambda e: value >= e) if inclusive else (lambda e: value > e)
+    tree = lambda lo, hi: F.lit(lo) if lo == hi else F.when(above(edges[(lo + hi) // 2]), tree((lo + hi) // 2 + 1, hi)).otherwise(tree(lo, (lo + hi) // 2))
+    return F.when(value.isNotNull(), tree(0, len(edges)))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.scale import slot_of
+
 
 def interpolated(index: Column, size: int, first: float, last: float) -> Column:
     """Coordinate of an index where only the ends are known."""
@@ -18,23 +20,74 @@ def attach(cells: DataFrame, coords: DataFrame, dim: str, name: str = "coordinat
     return cells.join(coords.select(F.col("idx").alias(dim), F.col("value").alias(name)), dim, "left")
 
 
-def nearest(points: DataFrame, value: str, axis: DataFrame, slots: int = 4096) -> DataFrame:
-    """Add ``idx``, the nearest place on an axis (idx, value, ascending, idx without gaps); ties go to the lower, points outside to
-    the ends.
-
-    Points meet the axis by slot: each interval between neighbours is listed in the slots it touches, and a point joins only
-    its own slot's intervals, so neither side is crossed with the other whatever the length of the axis."""
-    low, high, n, end = axis.agg(F.min("value"), F.max("value"), F.count("*"), F.max("idx")).first()
-    width = max((high - low) / min(slots, max(1, 4 * n)), 1e-12)
-    slot = lambda c: F.floor((c - low) / width).cast("long")
-    following = axis.select((F.col("idx") - 1).alias("idx"), F.col("value").alias("b"))
-    spans = axis.select("idx", F.col("value").alias("a")).join(following, "idx", "left").withColumn("b", F.coalesce("b", F.col("a")))
-    table = spans.withColumn("_slot", F.explode(F.sequence(slot(F.col("a")), slot(F.col("b")))))
-    inside = F.greatest(F.lit(low), F.least(F.lit(high), F.col(value)))
-    keyed = points.withColumn("_p", inside).withColumn("_slot", slot(F.col("_p")))
-    last = F.lit(end)
-    met = keyed.join(table.withColumnRenamed("idx", "_i"), "_slot").where((F.col("_p") >= F.col("a")) & ((F.col("_p") < F.col("b")) | (F.col("_i") == last)))
-    return met.withColumn("idx", F.when(F.col("_p") - F.col("a") <= F.col("b") - F.col("_p"), F.col("_i")).otherwise(F.least(F.col("_i") + 1, last))).drop("_slot", "_p", "_i", "a", "b")
+def numbered(rows: DataFrame, order: str, name: str = "idx", slots: int = 256) -> DataFrame:
+    """``rows`` with their places (from 0) in ascending order of a number, as a long: rows are numbered within the ranges between quantiles, and each range
+    starts where the ones before it end.  Rows without a number are last."""
+    edges = sorted(set(rows.agg(F.percentile_approx(order, [k / slots for k in range(1, slots)], 20 * slots)).first()[0] or []))
+    placed = rows.withColumn("_slot", F.coalesce(slot_of(F.col(order), edges), F.lit(len(edges) + 1)))
+    counts = {r[0]: r[1] for r in placed.groupBy("_slot").count().collect()}  # one number a range
+    starts = [sum(n for s, n in counts.items() if s < k) for k in range(len(edges) + 2)]
+    inside = F.row_number().over(Window.partitionBy("_slot").orderBy(order)) - 1
+    return placed.withColumn(name, F.element_at(F.array(*[F.lit(n).cast("long") for n in starts]), F.col("_slot") + 1) + inside).drop("_slot")
+
+
+#: Axes of so many places at most are compared within the rows' own tasks.
+SHORT = 512
+
+
+def nearest(points: DataFrame, value: str, axis: DataFrame, slots: int = 256, period: float | None = None, short: int = SHORT) -> DataFrame:
+    """Add ``idx``, the nearest place on an axis (idx, value, ascending); ties go to the lower, points outside to the ends, points without a
+    value get none.  With a ``period`` (360 for longitudes) the axis goes round: points are turned into it, and its last place has the first after it.
+
+    A short axis goes with the expression, as a tree of comparisons.  Beyond that both sides are cut at quantiles of both, so no slot is much larger
+    than the others whatever the spacing; a slot that still has many points (equal ones) is dealt on, with its stretch of the axis.  Inside a slot both
+    are sorted together and each point takes the last place before it; the last place of the slots before is handed over."""
+    ends = axis.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last")).first()
+    if not ends.n:
+        return points.withColumn("idx", F.lit(None).cast("long"))
+    p = F.col(value).cast("double")
+    turned = F.lit(float(ends.low)) + F.pmod(p - float(ends.low), F.lit(float(period))) if period else F.greatest(F.lit(float(ends.low)), F.least(F.lit(float(ends.high)), p))
+    keyed = points.withColumn("_p", F.when(p.isNotNull() & ~F.isnan(p), turned))
+    pick = lambda a, ia, b, ib: F.when(F.col("_p").isNotNull(), F.when(F.col("_p") - a <= b - F.col("_p"), ia).otherwise(ib))
+    after_last = (float(ends.low) + period, ends.first) if period else (float(ends.high), ends.last)
+    if ends.n <= short:
+        rows = sorted((float(r.value), r.idx) for r in axis.select("value", "idx").collect())
+        values, ids = [v for v, _ in rows], [i for _, i in rows]
+        # Edges at or below the point count, so that a point on a place finds it.
+        at = slot_of(F.col("_p"), values, inclusive=True)
+        nth = lambda items, kind, k: F.element_at(F.array(*[F.lit(x).cast(kind) for x in items]), k)
+        here = keyed.withColumn("_k", F.greatest(at, F.lit(1)))
+        out = here.withColumn("idx", pick(nth(values, "double", F.col("_k")), nth(ids, "long", F.col("_k")), nth([*values[1:], after_last[0]], "double", F.col("_k")), nth([*ids[1:], after_last[1]], "long", F.col("_k"))))
+        return out.drop("_p", "_k")
+
+    following = axis.select((F.col("idx") - 1).alias("idx"), F.col("value").cast("double").alias("b"), F.col("idx").alias("ib"))
+    places = axis.select("idx", F.col("value").cast("double").alias("a")).join(following, "idx", "left")
+    places = places.select("a", F.struct("a", F.col("idx").alias("ia"), F.coalesce("b", F.lit(after_last[0])).alias("b"), F.coalesce("ib", F.lit(after_last[1])).alias("ib")).alias("place"))
+    both = axis.select(F.col("value").cast("double").alias("x")).unionByName(keyed.select(F.col("_p").alias("x")))
+    edges = sorted(set(both.agg(F.percentile_approx("x", [k / slots for k in range(1, slots)], 20 * slots)).first()[0] or []))
+    placed = places.withColumn("_slot", slot_of(F.col("a"), edges))
+    dealt = keyed.withColumn("_slot", F.coalesce(slot_of(F.col("_p"), edges), F.lit(-1)))
+    counts = {r[0]: r[1] for r in dealt.groupBy("_slot").count().collect()}  # one number a slot
+    each = max(1, 2 * sum(counts.values()) // (len(edges) + 1))
+    parts = F.element_at(F.array(*[F.lit(-(-counts.get(s, 0) // each) or 1) for s in range(-1, len(edges) + 1)]), F.col("_slot") + 2)
+    # The last place of each slot is handed to the slots after it.
+    lasts = {r["_slot"]: r["place"] for r in placed.groupBy("_slot").agg(F.max_by("place", F.struct("a", "place.ia")).alias("place")).collect()}
+    handed, held = [], None
+    for s in range(len(edges) + 1):
+        if held is not None:
+            handed.append((held["a"], tuple(held), s))
+        held = lasts.get(s, held)
+    given = points.sparkSession.createDataFrame(handed, placed.schema)
+    spread = placed.unionByName(given).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    own = dealt.withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts.cast("long")).cast("int"))
+    row = F.struct(*[F.col(f"`{c}`") for c in points.columns])
+    kind = own.select(row.alias("row")).schema["row"].dataType
+    left = spread.select("_slot", "_part", F.col("a").alias("_x"), F.lit(0).alias("_kind"), "place", F.lit(None).cast(kind).alias("row"))
+    right = own.select("_slot", "_part", F.col("_p").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast(placed.schema["place"].dataType).alias("place"), row.alias("row"))
+    before = Window.partitionBy("_slot", "_part").orderBy("_x", "_kind", "place.ia").rowsBetween(Window.unboundedPreceding, 0)
+    met = left.unionByName(right).withColumn("_q", F.last("place", ignorenulls=True).over(before)).where("_kind = 1")
+    found = met.select("row.*", F.col("_x").alias("_p"), "_q").withColumn("idx", pick(F.col("_q.a"), F.col("_q.ia"), F.col("_q.b"), F.col("_q.ib")))
+    return found.drop("_p", "_q")
 
 
 def irregularity(axis: DataFrame, *keys: str) -> DataFrame:

@@ -51,6 +51,29 @@ def transmittance(cells: DataFrame, along: str, keys: list[str], alpha: Column)
     return shaded.withColumn("through", through).withColumn("light", F.col("through") * F.col("_a")).drop("_a")
 
 
+def composite(cells: DataFrame, along: str, keys: list[str], colour: dict[str, Column], alpha: Column, slab: int, least: float = 1e-12) -> DataFrame:
+    """Light of each ray by front-to-back compositing: ``colour``'s channels (weighed by alpha) and ``alpha`` of the whole ray.
+
+    A ray is cut into slabs of ``slab`` places.  Each slab is reduced alone, cell by cell from the front, to its light and the part that it
+    lets through, and takes no further cells once that is less than ``least``; slabs then merge in order by the operator "over", which is
+    associative, so a long ray is not one task's work.  Missing cells (alpha null) let everything through."""
+    names = list(colour)
+    state = "struct<" + ",".join(f"c{k}:double" for k in range(len(names))) + ",t:double>"
+    clear = F.struct(*[F.lit(0.0).alias(f"c{k}") for k in range(len(names))], F.lit(1.0).alias("t")).cast(state)
+    samples = cells.select(*keys, F.floor(F.col(along) / slab).cast("long").alias("_slab"), F.struct(F.col(along).alias("_z"), alpha.alias("a"), *[c.alias(f"c{k}") for k, c in enumerate(colour.values())]).alias("_s")).where("_s.a IS NOT NULL")
+
+    def over(acc: Column, lit: list[Column], through: Column) -> Column:
+        return F.struct(*[(acc[f"c{k}"] + acc["t"] * c).alias(f"c{k}") for k, c in enumerate(lit)], (acc["t"] * through).alias("t"))
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(acc["t"] < least, acc).otherwise(over(acc, [s["a"] * F.coalesce(s[f"c{k}"], F.lit(0.0)) for k in range(len(names))], 1 - s["a"]))
+
+    slabs = samples.groupBy(*keys, "_slab").agg(F.array_sort(F.collect_list("_s")).alias("_s")).select(*keys, "_slab", F.aggregate("_s", clear, step).alias("light"))
+    rays = slabs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slab", "light"))).alias("_r"))
+    light = F.aggregate("_r", clear, lambda acc, r: over(acc, [r["light"][f"c{k}"] for k in range(len(names))], r["light"]["t"]))
+    return rays.select(*keys, light.alias("_l")).select(*keys, *[F.col(f"_l.c{k}").alias(n) for k, n in enumerate(names)], (1 - F.col("_l.t")).alias("alpha"))
+
+
 def category_counts(cells: DataFrame) -> DataFrame:
     """Each value (rounded to 1e-5) and the number of its cells, over all cells; missing cells under null."""
     return cells.groupBy(F.round(finite(F.col("v")), 5).alias("v")).agg(F.count("*").alias("n"))

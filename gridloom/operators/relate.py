@@ -1,9 +1,8 @@
-"""Lookups between tables: names in scopes, chunks in manifests, nearest series, requests in groups, stencils over neighbours."""
+"""Lookups between tables: names in scopes, chunks in manifests, nearest series, requests in groups."""
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,15 +75,3 @@ def ease(t: Column) -> Column:
     """Cubic ease from 0 to 1, slow at both ends."""
     u = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
     return F.when(u < 0.5, 4 * u * u * u).otherwise(1 - 4 * (1 - u) * (1 - u) * (1 - u))
-
-
-def sobel(cells: DataFrame, axes: dict[str, int], value: str = "v") -> DataFrame:
-    """Gradient of a 3-D array by Sobel's stencil: g_<axis> for every cell; beyond an edge its cells repeat, missing cells count as 0."""
-    names = list(axes)
-    weight = lambda o: [-o[k] * 2 ** sum(o[j] == 0 for j in range(3) if j != k) for k in range(3)]
-    stencil = F.array(*[F.struct(*[F.lit(x).alias(f"o{k}") for k, x in enumerate(o)], *[F.lit(float(x)).alias(f"w{k}") for k, x in enumerate(weight(o))]) for o in product((-1, 0, 1), repeat=3) if any(o)])
-    met = cells.select(*names, F.explode(stencil).alias("s"))
-    near = [F.least(F.greatest(F.col(c) + F.col(f"s.o{k}"), F.lit(0)), F.lit(n - 1)).alias(f"n{k}") for k, (c, n) in enumerate(axes.items())]
-    seen = cells.select(*[F.col(c).alias(f"n{k}") for k, c in enumerate(names)], F.coalesce(F.col(value), F.lit(0.0)).alias("_v"))
-    joined = met.select(*names, "s", *near).join(seen, ["n0", "n1", "n2"])
-    return joined.groupBy(*names).agg(*[F.sum(F.col(f"s.w{k}") * F.col("_v")).alias(f"g_{c}") for k, c in enumerate(names)])

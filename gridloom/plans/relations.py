@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import relate
+from gridloom.operators import coords, reduce, relate, stencil
 from gridloom.plans import views
 from gridloom.plans.registry import query
 from gridloom.plans.views import sql
@@ -95,5 +95,49 @@ _O = "(SELECT unnest([-1, 0, 1]) AS {0})"
   round(sum(-j * (CASE i WHEN 0 THEN 2 ELSE 1 END) * (CASE l WHEN 0 THEN 2 ELSE 1 END) * coalesce(N.v, 0)), 4) AS g_h, round(sum(-l * (CASE i WHEN 0 THEN 2 ELSE 1 END) * (CASE j WHEN 0 THEN 2 ELSE 1 END) * coalesce(N.v, 0)), 4) AS g_k
   FROM V T CROSS JOIN {_O.format('i')} CROSS JOIN {_O.format('j')} CROSS JOIN {_O.format('l')} CROSS JOIN V_N JOIN V N ON N.d = least(greatest(T.d + i, 0), days - 1) AND N.h = least(greatest(T.h + j, 0), 23) AND N.k = least(greatest(T.k + l, 0), kinds - 1) GROUP BY 1, 2, 3"""))
 def sobel_gradient(spark, d):
-    g = relate.sobel(views.volume(spark, d), views.volume_shape(spark, d))
+    """The volume in chunks of 8 days, 10 hours and 3 types; chunks exchange their border layers only."""
+    axes, sizes = views.volume_shape(spark, d), {"d": 8, "h": 10, "k": 3}
+    chunks = stencil.to_chunks(views.volume(spark, d), axes, sizes)
+    g = stencil.to_cells(stencil.gradient(chunks, {c: -(-n // sizes[c]) for c, n in axes.items()}, sizes), ["d", "h", "k"], ["g_d", "g_h", "g_k"])
     return g.select("d", "h", "k", *[(F.round(c, 4) + 0.0).alias(c) for c in ("g_d", "g_h", "g_k")])
+
+
+_AXIS = """A AS (SELECT row_number() OVER (ORDER BY value) - 1 AS idx, value FROM (SELECT DISTINCT CASE WHEN s_suppkey % 1000 = 1 THEN 1e9 ELSE s_acctbal END AS value FROM supplier)),
+NB AS (SELECT idx, value AS a, coalesce(lead(value) OVER (ORDER BY idx), value) AS b, coalesce(lead(idx) OVER (ORDER BY idx), idx) AS nxt FROM A)"""
+
+
+@query(f"""WITH {_AXIS}, O AS (SELECT o_orderkey AS id, o_totalprice / 20 - 3000 AS p FROM orders),
+Q AS (SELECT id, greatest(least(p, (SELECT max(value) FROM A)), (SELECT min(value) FROM A)) AS p FROM O)
+SELECT id, CASE WHEN p - a <= b - p THEN idx ELSE nxt END AS idx FROM Q ASOF JOIN NB ON p >= a""")
+def nearest_sorted(spark, d):
+    """Orders on the axis of the suppliers' balances, which has an outlier at 10^9: both sides in sorted ranges."""
+    s = views.table(spark, d, "supplier")
+    places = s.select(F.when(F.col("s_suppkey") % 1000 == 1, 1e9).otherwise(F.col("s_acctbal")).alias("value")).distinct()
+    axis = coords.numbered(places, "value")
+    points = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 20 - 3000).alias("p"))
+    return coords.nearest(points, "p", axis, short=0).select("id", "idx")
+
+
+@query("""WITH A AS (SELECT i AS idx, i * i / 100.0::DOUBLE AS value FROM (SELECT unnest(range(0, 189)) AS i)), P AS (SELECT event_id AS id, (event_id * 37 % 7200) / 10.0::DOUBLE - 360 AS lon FROM events),
+Q AS (SELECT id, lon - 360 * floor(lon / 360) AS lon FROM P), M AS (SELECT id, lon, max(idx) AS i FROM Q JOIN A ON value <= lon GROUP BY 1, 2)
+SELECT id, CASE WHEN lon - a.value <= coalesce(b.value, 360) - lon THEN i ELSE coalesce(b.idx, 0) END AS idx FROM M JOIN A a ON a.idx = i LEFT JOIN A b ON b.idx = i + 1""")
+def nearest_turned(spark, d):
+    """Longitudes from -360 to 360 on an irregular axis that goes round at 360."""
+    axis = spark.range(189).select(F.col("id").alias("idx"), (F.col("id") * F.col("id") / 100.0).alias("value"))
+    e = F.col("event_id")
+    points = views.table(spark, d, "events").select(e.alias("id"), ((e * 37 % 7200) / 10.0 - 360).alias("lon"))
+    return coords.nearest(points, "lon", axis, period=360.0).select("id", "idx")
+
+
+@query(
+    sql("V", "").rstrip()
+    + """, S AS (SELECT h, k, row_number() OVER (PARTITION BY h, k ORDER BY d) AS i, least(greatest(v / 400, 0), 1) AS u FROM V WHERE v IS NOT NULL),
+R AS (SELECT h, k, i, u, 1 - least(u * 1.2, 0.95) AS through FROM S),
+L AS (SELECT h, k, u, 1 - through AS a, coalesce(product(through) OVER (PARTITION BY h, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS t FROM R)
+SELECT h, k, round(sum(t * a * u), 6) AS red, round(sum(t * a * (1 - u)), 6) AS green, round(sum(t * a * u * u), 6) AS blue, round(sum(t * a), 6) AS alpha FROM L GROUP BY h, k"""
+)
+def composite_rays(spark, d):
+    """Colour and opacity of each ray along the days, in slabs of a week."""
+    u = F.least(F.greatest(F.col("v") / 400, F.lit(0.0)), F.lit(1.0))
+    rays = reduce.composite(views.volume(spark, d), "d", ["h", "k"], {"red": u, "green": 1 - u, "blue": u * u}, F.least(u * 1.2, F.lit(0.95)), 7)
+    return rays.select("h", "k", *[F.round(c, 6).alias(c) for c in ("red", "green", "blue", "alpha")])
