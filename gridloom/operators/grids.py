@@ -20,8 +20,6 @@ DGGS_ATTRIBUTES = {
     "indexing_scheme": ["dggs_indexing_scheme", "dggs:indexing_scheme", "indexing_scheme", "healpix_order", "ordering"],
     "coordinate": ["dggs_coordinate", "dggs:coordinate", "coordinate"],
 }
-#: Fields of the DGGS metadata that are kept.
-DGGS = "name string, refinement_level long, spatial_dimension string, indexing_scheme string, coordinate string, compression string"
 
 # A step may differ from the mean by this share; spans of longitude and latitude that cover the globe; the most
 # western start of an axis that counts from 0 to 360; values at or over the limit count as missing in corner means.
@@ -55,18 +53,28 @@ def _whole(text: Column) -> Column:
 
 
 def dggs(attributes: Column) -> Column:
-    """DGGS metadata (struct of ``DGGS``) of a map of attributes: the object under ``dggs``, the bare word healpix there, or single
-    attributes; null where there are none."""
+    """DGGS metadata (struct of name, refinement_level, spatial_dimension, indexing_scheme, coordinate and compression) of a map of attributes; null where there are none.
+
+    All three ways of writing them are brought to one map of texts by field: a JSON object under ``dggs``, the bare word healpix there, and
+    attributes of their own (``DGGS_ATTRIBUTES``).  The first that has a name is read."""
     text = _attribute(attributes, "dggs")
-    read = F.from_json(text, DGGS)
-    none = F.lit(None).cast("string")
-    entry = lambda name, level, space, scheme, coordinate, packing: F.struct(name.alias("name"), level.alias("refinement_level"), space.alias("spatial_dimension"), scheme.alias("indexing_scheme"), coordinate.alias("coordinate"), packing.alias("compression"))
-    single = {k: _attribute(attributes, *names) for k, names in DGGS_ATTRIBUTES.items()}
-    return (
-        F.when(read["name"].isNotNull(), entry(read["name"], read["refinement_level"], F.coalesce(read["spatial_dimension"], F.lit("")), read["indexing_scheme"], read["coordinate"], read["compression"]))
-        .when(F.lower(text) == "healpix", entry(F.lit("healpix"), F.lit(None).cast("long"), F.lit(""), none, none, none))
-        .when(single["name"].isNotNull(), entry(F.lower(single["name"]), _whole(single["refinement_level"]), F.coalesce(single["spatial_dimension"], F.lit("cells")), single["indexing_scheme"], single["coordinate"], _attribute(attributes, "compression")))
+    fields = [*DGGS_ATTRIBUTES, "compression"]
+    own = F.map_filter(
+        F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[_attribute(attributes, *DGGS_ATTRIBUTES.get(f, [f])) for f in fields])),
+        lambda _, v: v.isNotNull(),
     )
+    lower_name = lambda said: F.transform_values(said, lambda k, v: F.when(k == "name", F.lower(v)).otherwise(v))
+    # A default stands where the map lacks the field.
+    ways = [
+        (F.from_json(text, "map<string,string>"), ""),
+        (F.when(F.lower(text) == "healpix", F.create_map(F.lit("name"), F.lower(text))), ""),
+        (lower_name(own), "cells"),
+    ]
+    said = F.coalesce(*[F.when(F.try_element_at(m, F.lit("name")).isNotNull(), F.struct(m.alias("m"), F.lit(space).alias("space"))) for m, space in ways])
+    field = lambda name: F.try_element_at(said["m"], F.lit(name))
+    values = {f: field(f) for f in ("name", "refinement_level", "spatial_dimension", "indexing_scheme", "coordinate", "compression")}
+    values |= {"refinement_level": _whole(values["refinement_level"]), "spatial_dimension": F.coalesce(values["spatial_dimension"], said["space"])}
+    return F.when(said.isNotNull(), F.struct(*[v.alias(f) for f, v in values.items()]))
 
 
 def is_healpix(meta: Column) -> Column:
@@ -85,13 +93,16 @@ def nside(meta: Column, size: Column) -> Column:
     return F.coalesce(F.pow(F.lit(2.0), level).cast("long"), healpix.nside_of(size))
 
 
+# What says that pixels are in nested order, in the scheme of HEALPix metadata and in attributes.
+NESTED_SIGNS = [("indexing_scheme", r"^(nested|nest)$|uniq"), ("healpix_nest", r"^(true|1)$"), ("healpix_order", r"^nested$"), ("ordering", r"^nested$"), ("grid_type", r"nested")]
+
+
 def ordering(attributes: Column, meta: Column) -> Column:
-    """nested or ring: by HEALPix metadata where there are any, else by single attributes."""
-    scheme = F.lower(F.coalesce(meta["indexing_scheme"], F.lit("")))
-    said = scheme.isin("nested", "nest") | scheme.contains("uniq")
-    has = lambda name, *values: F.coalesce(F.lower(_attribute(attributes, name)).isin(*values), F.lit(False))
-    alone = has("healpix_nest", "true", "1") | has("healpix_order", "nested") | has("ordering", "nested") | F.coalesce(F.lower(_attribute(attributes, "grid_type")).contains("nested"), F.lit(False))
-    return F.when(F.when(is_healpix(meta), said).otherwise(alone), "nested").otherwise("ring")
+    """nested or ring: by the first of ``NESTED_SIGNS`` where there are HEALPix metadata, by any of the others where there are none."""
+    texts = [meta["indexing_scheme"], *[_attribute(attributes, name) for name, _ in NESTED_SIGNS[1:]]]
+    signs = F.array(*[F.coalesce(F.regexp_like(F.lower(t), F.lit(pattern)), F.lit(False)) for t, (_, pattern) in zip(texts, NESTED_SIGNS, strict=True)])
+    asked = F.when(is_healpix(meta), F.slice(signs, 1, 1)).otherwise(F.slice(signs, 2, len(NESTED_SIGNS) - 1))
+    return F.when(F.array_contains(asked, True), "nested").otherwise("ring")
 
 
 # --- Grids of pairs of axes --------------------------------------------------------------------------------------------
@@ -182,18 +193,31 @@ def value_at(points: DataFrame, cells: DataFrame, u: Column, v: Column, width: i
 
 
 def pixel_outline(nside: int, pix: Column) -> Column:
-    """array<struct<lon, lat>> of a ring-order pixel: north, east, south and west corners of a diamond around its centre (radians)."""
-    tall = min(math.pi / (4 * nside), math.pi / 4)
-    inside = lambda lat: F.greatest(F.lit(-math.pi / 2), F.least(lat, F.lit(math.pi / 2)))
+    """array<struct<lon, lat>> of a ring-order pixel: its exact north, east, south and west corners (radians).
+
+    In HEALPix's own plane rings are evenly spaced and a pixel is a square on its corner, one ring high to either side.  A ring has 4 m pixels,
+    where m grows by one a ring from a pole until it is nside; from ring to ring, longitudes measured from the middle of the quarter turn stretch
+    as m does.  At a pole, where m is 0, that middle is taken."""
     around = lambda lon: F.pmod(lon, F.lit(2 * math.pi))
-    corner = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    quarter = math.pi / 2
 
-    def outline(s: Column) -> Column:
-        lon, lat = s["c"]["lon"], s["c"]["lat"]
-        wide = F.least(math.pi / (2 * nside) / F.greatest(F.abs(F.cos(lat)), F.lit(0.1)), F.lit(math.pi))
-        return F.array(corner(lon, inside(lat + tall)), corner(around(lon + wide), lat), corner(lon, inside(lat - tall)), corner(around(lon - wide), lat))
+    def width(ring: Column) -> Column:
+        return F.least(ring, F.lit(nside), 4 * nside - ring)
+
+    def lat(ring: Column) -> Column:
+        belt = 2.0 * (2 * nside - ring) / (3.0 * nside)
+        cap = F.signum((2 * nside - ring).cast("double")) * (1 - width(ring) * width(ring) / (3.0 * nside * nside))
+        return F.asin(F.when(ring.between(nside, 3 * nside), belt).otherwise(cap))
 
-    return healpix.let(outline, c=healpix.pix2ang(nside, pix))
+    def outline(s: Column) -> Column:
+        ring, lon = s["at"]["ring"], s["c"]["lon"]
+        middle = (F.floor(lon / quarter) + 0.5) * quarter
+        # The ring over or under the pixel's; the pole itself for the first and the last.
+        beside = lambda r: F.struct(around(middle + F.when(width(r) > 0, (lon - middle) * width(ring) / width(r)).otherwise(0.0)).alias("lon"), lat(r).alias("lat"))
+        abreast = lambda way: F.struct(around(lon + way * (math.pi / 4) / width(ring)).alias("lon"), lat(ring).alias("lat"))
+        return F.array(beside(ring - 1), abreast(1), beside(ring + 1), abreast(-1))
+
+    return healpix.let(outline, at=healpix.pix2ring(nside, pix), c=healpix.pix2ang(nside, pix))
 
 
 def corner_means(cells: DataFrame, nside: int) -> DataFrame:

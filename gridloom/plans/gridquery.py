@@ -93,6 +93,28 @@ def grid_detected(spark, d):
     return _grids(spark, d).select("o", *_WAY)
 
 
+_PX = "-20.0 + p_partkey % 33 + (340 + p_partkey % 21) * (i / 9.0 + p_size * 2e-5 * i * i / 81.0 - p_size * 2e-5 * i / 9.0)"
+_PY = "-85.0 + (150 + p_partkey % 20) * (i / 9.0)"
+
+
+@query(f"""WITH C AS (SELECT p_partkey, unnest(range(0, 10)) AS i, p_size FROM part), A AS (SELECT p_partkey, i, ({_PX.replace('2e-5', '2e-5::DOUBLE').replace('.0', '.0::DOUBLE')})::DOUBLE AS x, ({_PY.replace('.0', '.0::DOUBLE')})::DOUBLE AS y FROM C),
+S AS (SELECT *, abs(x - lag(x) OVER w) AS sx, abs(y - lag(y) OVER w) AS sy FROM A WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+G AS (SELECT p_partkey, min(x) AS west, max(x) AS east, min(y) AS south, max(y) AS north, (max(sx) - min(sx)) / avg(sx) > 0.0005 OR (max(sy) - min(sy)) / avg(sy) > 0.0005 AS uneven FROM S GROUP BY 1),
+K AS (SELECT *, p_partkey % 4 < 2 AS named, CASE WHEN uneven THEN 'irregular' WHEN p_partkey % 4 < 2 AND east - west >= 350 AND north - south >= 160 AND west < -5 THEN 'global' WHEN p_partkey % 4 < 3 THEN 'regional' ELSE 'global' END AS kind FROM G)
+SELECT p_partkey AS pos, kind, round(CASE kind WHEN 'global' THEN -180 ELSE west END, 6) AS west, round(CASE kind WHEN 'global' THEN 180 ELSE east END, 6) AS east, round(CASE kind WHEN 'global' THEN -90 ELSE south END, 6) AS south,
+  round(CASE kind WHEN 'global' THEN 90 ELSE north END, 6) AS north, kind = 'global' OR (east - west >= 350 AND north - south >= 160) AS is_global FROM K""")
+def grid_thresholds(spark, d):
+    """Axes whose steps, spans and starts lie on both sides of every threshold; the comparison computes steps, spreads and spans itself."""
+    both = views.table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    double = lambda text: text.replace("2e-5", "2e-5D").replace(".0", ".0D")
+    both = both.select("p_partkey", "i", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.expr(double(_PX)).alias("value")), F.struct(F.lit("y").alias("axis"), F.expr(double(_PY)).alias("value")))).alias("a"))
+    kind = F.col("p_partkey") % 4
+    dim = F.when(kind < 2, F.when(F.col("a.axis") == "x", "lon").otherwise("lat")).when(kind == 2, F.when(F.col("a.axis") == "x", "col").otherwise("b")).otherwise(F.col("a.axis").substr(2, 1))
+    axes = both.select("p_partkey", F.col("a.axis").alias("axis"), dim.alias("dim"), F.lit(10).cast("long").alias("size"), F.col("i").alias("idx"), F.col("a.value").alias("value"))
+    found = grids.properties(grids.detect(axes, "p_partkey"), F.lit(True))
+    return found.select(F.col("p_partkey").alias("pos"), "kind", *[_r(c).alias(c) for c in ("west", "east", "south", "north")], "is_global")
+
+
 @query("""SELECT a.o_orderkey AS o, b.o_orderkey - a.o_orderkey AS step, CASE WHEN b.o_orderkey - a.o_orderkey = 6 THEN a.o_orderkey % 6 <> 4 ELSE a.o_orderkey % 6 IN (0, 5) END AS same
 FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 6 OR b.o_orderkey = a.o_orderkey + 1""")
 def grid_same_geometry(spark, d):
@@ -144,12 +166,21 @@ _RAD = f"""RD AS (SELECT id, pix, ring, i, cap, CASE WHEN cap < {NSIDE} THEN (i
   asin(CASE WHEN cap < {NSIDE} THEN CASE WHEN ring < {NSIDE} THEN 1 ELSE -1 END * (1 - cap * cap / {3.0 * NSIDE * NSIDE}) ELSE 2 * ({2 * NSIDE} - ring) / {3.0 * NSIDE} END) AS lat FROM Q2)"""
 
 
-@query(f"""WITH {registry._H}, {registry._RING}, {_RAD}, W AS (SELECT *, pi() / {2 * NSIDE} / greatest(abs(cos(lat)), 0.1) AS wide FROM RD)
-SELECT id, pix, round(least(lat + pi() / {4 * NSIDE}, pi() / 2), 6) AS top, round(greatest(lat - pi() / {4 * NSIDE}, -pi() / 2), 6) AS bottom, round((lon + wide) % (2 * pi()), 6) AS east_lon, round((lon - wide + 2 * pi()) % (2 * pi()), 6) AS west_lon, round(lat, 6) AS lat FROM W""")
+_Z = f"asin(CASE WHEN {{0}} < {NSIDE} THEN 1 - pow({{0}}, 2) / {3.0 * NSIDE * NSIDE} WHEN {{0}} > {3 * NSIDE} THEN pow({4 * NSIDE} - {{0}}, 2) / {3.0 * NSIDE * NSIDE} - 1 ELSE 2 * ({2 * NSIDE} - {{0}}) / {3.0 * NSIDE} END)"
+_M = f"least({{0}}, {NSIDE}, {4 * NSIDE} - {{0}})"
+_BESIDE = f"round((mid + CASE WHEN {_M.format('({0})')} = 0 THEN 0 ELSE (lon - mid) * {_M.format('ring')} / {_M.format('({0})')} END) % (2 * pi()), 6) % 6.283185::DOUBLE + 0.0"
+
+
+@query(f"""WITH {registry._H}, {registry._RING}, {_RAD}, W AS (SELECT *, (floor(lon / (pi() / 2)) + 0.5) * pi() / 2 AS mid, pi() / 4 / {_M.format('ring')} AS half FROM RD)
+SELECT id, pix, round({_Z.format('(ring - 1)')}, 6) AS top, round({_Z.format('(ring + 1)')}, 6) AS bottom, {_BESIDE.format('ring - 1')} AS top_lon, {_BESIDE.format('ring + 1')} AS bottom_lon,
+  round((lon + half) % (2 * pi()), 6) % 6.283185::DOUBLE + 0.0 AS east_lon, round((lon - half + 2 * pi()) % (2 * pi()), 6) % 6.283185::DOUBLE + 0.0 AS west_lon, round(lat, 6) AS lat FROM W""")
 def pixel_outlines(spark, d):
     rows = registry._pixels(spark, d).withColumn("c", grids.pixel_outline(NSIDE, F.col("pix")))
     c = lambda k, part: _r(F.get("c", F.lit(k))[part])
-    return rows.select("id", "pix", c(0, "lat").alias("top"), c(2, "lat").alias("bottom"), c(1, "lon").alias("east_lon"), c(3, "lon").alias("west_lon"), c(1, "lat").alias("lat"))
+    places = {"top": c(0, "lat"), "bottom": c(2, "lat"), "lat": c(1, "lat")}
+    turns = {"top_lon": c(0, "lon"), "bottom_lon": c(2, "lon"), "east_lon": c(1, "lon"), "west_lon": c(3, "lon")}
+    # A whole turn, rounded, is no turn.
+    return rows.select("id", "pix", *[v.alias(k) for k, v in places.items()], *[(v % 6.283185 + 0.0).alias(k) for k, v in turns.items()])
 
 
 _NEST = f"WITH {registry._H}, {registry._N2R.format(source='H')}"

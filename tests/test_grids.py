@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import healpix
 from gridloom.operators import catalog, coords, grids
 from gridloom.operators.select import Index, Range
 from gridloom.sources import codecs, netcdf3, remote, zarr
@@ -114,3 +115,20 @@ def test_steps_of_netcdf(spark, tmp_path):
     pick = lambda s: sorted(tuple(r.origin) for r in netcdf3.chunks(spark, str(tmp_path), "temp", s).collect())
     assert pick(Index(1)) == [(1, 0, 0)] and pick(Range(0, 9)) == [(0, 0, 0), (1, 0, 0)] and pick(Range(5, 9)) == []
     assert netcdf3.chunks(spark, str(tmp_path), "lat").first().shape == [2]
+
+
+@pytest.mark.parametrize("nside", [1, 2, 4, 5, 8])
+def test_corners_enclose_the_pixel(spark, nside):
+    """A point most of the way from a pixel's centre to any of its corners lies in that pixel, and corners are shared by the pixels that meet there."""
+    c = healpix.pix2ang(nside, F.col("id"))
+    rows = spark.range(12 * nside * nside).select(F.col("id").alias("pix"), c["lon"].alias("lon"), c["lat"].alias("lat"), F.posexplode(grids.pixel_outline(nside, F.col("id"))).alias("k", "c"))
+    near = F.col("lon") + 0.9 * (F.pmod(F.col("c.lon") - F.col("lon") + math.pi, F.lit(2 * math.pi)) - math.pi)
+    z = F.sin("lat") + 0.9 * (F.sin("c.lat") - F.sin("lat"))
+    got = rows.select("pix", "k", "c.*", healpix.ang2pix(nside, near, F.asin(z)).alias("found")).collect()
+    assert all(r.pix == r.found for r in got)
+    shared = {}
+    for r in got:
+        key = (0 if abs(abs(r[3]) - math.pi / 2) < 1e-6 else round(math.cos(r[2]), 5), 0 if abs(abs(r[3]) - math.pi / 2) < 1e-6 else round(math.sin(r[2]), 5), round(r[3], 5))
+        shared.setdefault(key, set()).add(r.pix)
+    assert len(shared) == 12 * nside * nside + 2  # as many corners as a sphere cut into such squares has
+    assert all(len(v) in (3, 4) for v in shared.values())
