@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import coords, reduce, relate, stencil
+from gridloom.operators import coords, reduce, relate, stencil, vectors
 from gridloom.plans import views
 from gridloom.plans.registry import query
 from gridloom.plans.views import sql
@@ -141,3 +142,40 @@ def composite_rays(spark, d):
     u = F.least(F.greatest(F.col("v") / 400, F.lit(0.0)), F.lit(1.0))
     rays = reduce.composite(views.volume(spark, d), "d", ["h", "k"], {"red": u, "green": 1 - u, "blue": u * u}, F.least(u * 1.2, F.lit(0.95)), 7)
     return rays.select("h", "k", *[F.round(c, 6).alias(c) for c in ("red", "green", "blue", "alpha")])
+
+
+_TRACK = "TR AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, (event_id * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (event_id * 53 % 1799) / 10.0::DOUBLE - 89.9 AS lat FROM events)"
+
+
+def _tracks(spark, d):
+    """A GeoJSON text for each user: the places of their events as one line, or as lines of ten for every third user."""
+    e = F.col("event_id")
+    place = F.array((e * 37 % 3600) / 10.0 - 180, (e * 53 % 1799) / 10.0 - 89.9)
+    path = F.transform(F.array_sort(F.collect_list(F.struct("event_id", place.alias("p")))), lambda s: s["p"])
+    users = views.table(spark, d, "events").groupBy("user_id").agg(path.alias("path"))
+    tens = F.transform(F.sequence(F.lit(0), F.floor((F.size("path") - 1) / 10).cast("int")), lambda k: F.slice("path", k * 10 + 1, 10))
+    many = F.col("user_id") % 3 == 0
+    coordinates = F.when(many, F.to_json(tens)).otherwise(F.to_json("path"))
+    feature = F.concat(F.lit('{"type": "Feature", "geometry": {"type": "'), F.when(many, "MultiLineString").otherwise("LineString"), F.lit('", "coordinates": '), coordinates, F.lit('}, "properties": {"scalerank": 1}}'))
+    other = F.lit('{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}}, {"type": "Feature", "geometry": null}, ')
+    return users.select("user_id", F.when(F.col("user_id") % 2 == 0, feature).otherwise(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), other, feature, F.lit("]}"))).alias("text"))
+
+
+@query(f"WITH {_TRACK} SELECT user_id, (CASE WHEN user_id % 2 = 0 THEN 0 ELSE 2 END)::INTEGER AS feature, (CASE WHEN user_id % 3 = 0 THEN pos // 10 ELSE 0 END)::INTEGER AS part, (CASE WHEN user_id % 3 = 0 THEN pos % 10 ELSE pos END)::INTEGER AS pos, round(lon, 6) AS lon, round(lat, 6) AS lat FROM TR")
+def geojson_vertices(spark, d):
+    v = vectors.geojson_vertices(_tracks(spark, d), "text", "user_id")
+    return v.select("user_id", "feature", "part", "pos", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(f"""WITH {_TRACK}, SG AS (SELECT user_id, pos, lon AS x, lat AS y, lead(lon) OVER w - lon AS dx, lead(lat) OVER w - lat AS dy FROM TR WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+T AS (SELECT *, greatest(0, least((-60 - x) / dx, (75 - x) / dx), least((-30 - y) / dy, (45 - y) / dy)) AS t0, least(1, greatest((-60 - x) / dx, (75 - x) / dx), greatest((-30 - y) / dy, (45 - y) / dy)) AS t1 FROM SG WHERE dx <> 0 AND dy <> 0
+  UNION ALL SELECT *, greatest(0, least((-30 - y) / dy, (45 - y) / dy)), least(1, greatest((-30 - y) / dy, (45 - y) / dy)) FROM SG WHERE dx = 0 AND dy <> 0 AND x BETWEEN -60 AND 75
+  UNION ALL SELECT *, greatest(0, least((-60 - x) / dx, (75 - x) / dx)), least(1, greatest((-60 - x) / dx, (75 - x) / dx)) FROM SG WHERE dy = 0 AND dx <> 0 AND y BETWEEN -30 AND 45)
+SELECT user_id, pos, round(x + t0 * dx, 6) + 0.0 AS lon1, round(y + t0 * dy, 6) + 0.0 AS lat1, round(x + t1 * dx, 6) + 0.0 AS lon2, round(y + t1 * dy, 6) + 0.0 AS lat2 FROM T WHERE t0 < t1""")
+def polyline_cut(spark, d):
+    """The users' tracks inside a box, their segments cut at its edge."""
+    e = F.col("event_id")
+    track = views.table(spark, d, "events").select("user_id", "event_id", ((e * 37 % 3600) / 10.0 - 180).alias("lon"), ((e * 53 % 1799) / 10.0 - 89.9).alias("lat"))
+    numbered = track.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long") - 1)
+    parts = vectors.cut(vectors.segments(numbered, "user_id", "pos"), -60.0, 75.0, -30.0, 45.0)
+    return parts.select("user_id", "pos", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lon1", "lat1", "lon2", "lat2")])
