@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridloom import shared_dir
+from gridloom.operators import pyramid
 from gridloom.operators.select import Range
 from gridloom.plans import views
 from gridloom.plans.registry import _r, query
@@ -112,3 +113,26 @@ def netcdf_hyperslab(spark, d):
     found = netcdf3.extents(spark, folder, "v", y=Range(6, 18), x=Range(1, 4)).where("lead >= 5 AND lead < 20")
     chunks = netcdf3.read_chunks(found).withColumn("origin", F.array(F.col("lead").cast("long"), F.element_at("origin", 2), F.element_at("origin", 3)))
     return zarr.cells(chunks, ["t", "y", "x"])
+
+
+def _levels_sql(last: int) -> str:
+    steps = ["P0 AS (SELECT h AS how, y, x, v FROM E, (SELECT unnest(['mean', 'max', 'min', 'nearest']) AS h))"]
+    for k in range(last):
+        box = "how, y // 2 AS y, x // 2 AS x"
+        steps.append(f"P{k + 1} AS (SELECT {box}, CASE how WHEN 'mean' THEN avg(v) WHEN 'max' THEN max(v) ELSE min(v) END AS v FROM P{k} WHERE how <> 'nearest' GROUP BY how, y // 2, x // 2 UNION ALL SELECT {box}, v FROM P{k} WHERE how = 'nearest' AND y % 2 = 0 AND x % 2 = 0)")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT how, {k} AS level, y, x, round(v, 6) AS v FROM P{k}" for k in range(2, last + 1))
+
+
+@query(sql("E", "").rstrip() + ", " + _levels_sql(8))
+def pyramid_stored(spark, d):
+    """All levels of the matrix from its chunks of 16 by 16, read once: four of a chunk itself, the rest from one cell a chunk."""
+    rows = views.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    lines = zarr.chunk_rows(rows, "vec_id", "a", WIDTH, 16)
+    # A line of chunks to its chunks.
+    square = lines.select(F.col("c_y"), F.element_at("shape", 1).alias("n"), "values", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH // 16 - 1).cast("long"))).alias("c_x"))
+    own = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.slice("values", (k * WIDTH + F.col("c_x") * 16 + 1).cast("int"), 16)))
+    chunks = square.select("c_y", "c_x", F.array(F.col("n"), F.lit(16).cast("long")).alias("shape"), own.alias("values"))
+    found = pyramid.store(chunks, f"{shared_dir(spark)}/pyramid-{uuid.uuid4().hex}", 16, 9).where("level >= 2")
+    flat = found.select("how", "level", "origin", "shape", F.posexplode("values").alias("p", "v"))
+    y, x = (F.element_at("origin", k + 1) + at for k, at in enumerate((F.floor(F.col("p") / F.element_at("shape", 2)), F.col("p") % F.element_at("shape", 2))))
+    return flat.select("how", "level", y.cast("long").alias("y"), x.cast("long").alias("x"), _r(F.when(~F.isnan("v"), F.col("v"))).alias("v"))
