@@ -6,7 +6,8 @@ pairs: its smallest member meets all others.  (4) A candidate must first agree i
 64-bit shingle hashes.  (5) Components by alternating large-star and small-star.  (6) Buckets whose members are not all in one
 component by then are open and are compared in one task, between components only.  Open buckets too large for one task are
 first dealt anew by a prefix filter: with all shingles in one order, rare ones first, two texts at the percentage share one of
-their first few, so such a bucket costs by rare shingles in common and not by pairs.  Only links leave a task.
+their first few, so such a bucket costs by rare shingles in common and not by pairs.  What a rare shingle still brings together in numbers is dealt
+once more by pairs of shingles: a prefix longer by one holds two that both texts share.  Only links leave a task.
 
 Bands and the least agreement of signatures follow from the percentage (``plan``): a pair just at it is missed by either with
 probability under 6e-7, and less above.  At 85 that makes 25 bands of 5 minima, at 80 28 bands of 4.
@@ -43,8 +44,8 @@ BLOCK_ROWS = 1000
 BUCKET_ROWS = 64
 #: Bits of the filter that picks the texts whose sets are needed (4 MB).
 FILTER_BITS = 1 << 25
-#: Counters of the table that orders shingles by how often they occur (2 MB).
-ORDER_SLOTS = 1 << 18
+#: Counters of the table that orders shingles by how often they occur: about four a text, within these bounds (2 to 32 MB).
+ORDER_SLOTS = 1 << 18, 1 << 22
 _PLACES = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -237,19 +238,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return beside(likely, "set").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long")
 
 
-def _occurrences(batches):
-    for b in batches:
-        found = np.zeros(ORDER_SLOTS, np.int64)
-        for x in b.column(0).to_pylist():
-            found += np.bincount((np.frombuffer(x, "<u8") >> np.uint64(20)).astype(np.int64) % ORDER_SLOTS, minlength=ORDER_SLOTS)
+def _slots(s: np.ndarray, n: int) -> np.ndarray:
+    return (s >> np.uint64(20)).astype(np.int64) % n
+
+
+def _occurrences(slots: int):
+    def run(batches):
+        found = np.zeros(slots, np.int64)
+        for b in batches:
+            texts = [np.frombuffer(x, "<u8") for x in b.column(0).to_pylist()]
+            found += np.bincount(_slots(np.concatenate([np.empty(0, np.uint64), *texts]), slots), minlength=slots)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["slot", "n"])
 
+    return run
+
 
-def prefix(s: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the order (count of the slot, hash): sets at the percentage have one of them in common."""
-    n = len(s) - -(-percent * len(s) // 100) + 1
-    return s[np.lexsort((s, count[(s >> np.uint64(20)).astype(np.int64) % ORDER_SLOTS]))[:n]]
+def prefix(s: np.ndarray, count: np.ndarray, percent: int, common: int = 1) -> np.ndarray:
+    """The first shingles of a set in the order (count of the slot, hash): sets at the percentage have their first ``common`` shared ones in
+    both prefixes, if they have to share so many."""
+    n = len(s) - -(-percent * len(s) // 100) + common
+    return s[np.lexsort((s, count[_slots(s, len(count))]))[:n]]
 
 
 def _prefixes(count, percent: int):
@@ -263,6 +272,27 @@ def _prefixes(count, percent: int):
     return run
 
 
+def _further(count, percent: int):
+    """Rows key (a shingle), id, tag, comp, set to rows dealt by that shingle and each other one of the prefix that holds two shared ones."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for key, x in zip(b.column(0).to_numpy().view(np.uint64), b.column(4).to_pylist(), strict=True):
+                s = np.frombuffer(x, "<u8")
+                other = prefix(s, count.value, percent, 2)
+                other = other[other != key]
+                if percent * len(s) <= 100:  # may share one shingle only, with a set as small
+                    other = np.append(other, np.uint64(0))
+                with np.errstate(over="ignore"):
+                    found.append(mix(key * _PLACES[0] + other))
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64))
+            keys = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(k).take(at) for k in (1, 2, 3))], ["key", "id", "tag", "comp"])
+
+    return run
+
+
 def _compare(percent: int):
     """Links between different components in a block, or between two blocks of a group: signatures first, then full sets.
     For each text one link to each other component leaves the task."""
@@ -294,15 +324,27 @@ def _compare(percent: int):
     return run
 
 
-def _by_prefix(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The texts of buckets (id, tag, comp) dealt anew (key, id, tag, comp): by the shingles of their prefixes."""
+def _by_prefix(rows: DataFrame, sets: DataFrame, percent: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The texts of buckets (id, tag, comp) dealt anew, with the keys that are open (key, rows), all written: by the shingles of their prefixes, and what
+    has over BLOCK_ROWS rows under one shingle by pairs of shingles."""
     known = cut(sets.select("id", "tag", "set").join(rows.select("id", "tag", "comp").distinct(), ["id", "tag"]))
-    slots = known.select("set").mapInArrow(_occurrences, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most ORDER_SLOTS rows
-    count = np.zeros(ORDER_SLOTS, np.int64)
+    size = min(ORDER_SLOTS[1], max(ORDER_SLOTS[0], 1 << (4 * known.count()).bit_length()))
+    slots = known.select("set").mapInArrow(_occurrences(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most ``size`` rows
+    count = np.zeros(size, np.int64)
     count[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    dealt = cut(known.mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(count), percent), "id long, tag long, comp long, key long").select("key", "id", "tag", "comp"))
+    shared = rows.sparkSession.sparkContext.broadcast(count)
+    one = cut(known.mapInArrow(_prefixes(shared, percent), "id long, tag long, comp long, key long").select("key", "id", "tag", "comp"))
+    keys = _open(one)
+    many = keys.where(F.col("rows") > BLOCK_ROWS)
+    found = [(one, keys)]
+    if not many.isEmpty():
+        full = join_hot(one, many, "key", "rows").select("key", "id", "tag", "comp").join(known.select("id", "tag", "set"), ["id", "tag"])
+        two = cut(full.select("key", "id", "tag", "comp", "set").mapInArrow(_further(shared, percent), "key long, id long, tag long, comp long"))
+        few = cut(keys.where(F.col("rows") <= BLOCK_ROWS))
+        discard(keys)
+        found = [(one, few), (two, _open(two))]
     discard(known)
-    return dealt
+    return found
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -316,17 +358,17 @@ def _between(rows: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) ->
     small = join_hot(rows, keys, "key", "rows")
     large = cut(small.where(F.col("rows") > BUCKET_ROWS).drop("rows"))
     small = small.where(F.col("rows") <= BUCKET_ROWS).withColumn("blocks", F.lit(1))
-    dealt = groups = None
+    written = [large]
     if not large.isEmpty():
-        dealt = _by_prefix(large, sets, percent)
-        groups = _open(dealt)
-        placed = join_hot(dealt, groups, "key", "rows").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
-        small = small.unionByName(placed)
+        for dealt, groups in _by_prefix(large, sets, percent):
+            placed = join_hot(dealt, groups, "key", "rows").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+            small = small.unionByName(placed)
+            written += [dealt, groups]
     small = small.withColumn("block", F.pmod(F.xxhash64("id", "tag"), F.col("blocks")).cast("int"))
     met = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "tag", "comp")
     links = cut(paired.join(sets, ["id", "tag"]).groupBy("key", "lo", "hi").applyInPandas(_compare(percent), "u long, v long").distinct())
-    discard(large, dealt, groups)
+    discard(*written)
     return links
 
 
