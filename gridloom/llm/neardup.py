@@ -40,6 +40,9 @@ MOST_MINIMA = 125
 MISS = 6e-7
 #: Rows of a group that are compared with each other, or with another block, in one task.
 BLOCK_ROWS = 1000
+#: Rows of a shingle from which its texts are dealt by pairs of shingles.  That copies a row once for each other shingle of its prefix, where blocks copy
+#: it once for each other block: below so many blocks these are fewer.
+PAIR_ROWS = 16 * BLOCK_ROWS
 #: Rows of an open bucket up to which it is compared as it is; larger ones are dealt anew by prefix.
 BUCKET_ROWS = 64
 #: Bits of the filter that picks the texts whose sets are needed (4 MB).
@@ -326,7 +329,7 @@ def _compare(percent: int):
 
 def _by_prefix(rows: DataFrame, sets: DataFrame, percent: int) -> list[tuple[DataFrame, DataFrame]]:
     """The texts of buckets (id, tag, comp) dealt anew, with the keys that are open (key, rows), all written: by the shingles of their prefixes, and what
-    has over BLOCK_ROWS rows under one shingle by pairs of shingles."""
+    has over PAIR_ROWS rows under one shingle by pairs of shingles."""
     known = cut(sets.select("id", "tag", "set").join(rows.select("id", "tag", "comp").distinct(), ["id", "tag"]))
     size = min(ORDER_SLOTS[1], max(ORDER_SLOTS[0], 1 << (4 * known.count()).bit_length()))
     slots = known.select("set").mapInArrow(_occurrences(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most ``size`` rows
@@ -335,12 +338,12 @@ def _by_prefix(rows: DataFrame, sets: DataFrame, percent: int) -> list[tuple[Dat
     shared = rows.sparkSession.sparkContext.broadcast(count)
     one = cut(known.mapInArrow(_prefixes(shared, percent), "id long, tag long, comp long, key long").select("key", "id", "tag", "comp"))
     keys = _open(one)
-    many = keys.where(F.col("rows") > BLOCK_ROWS)
+    many = keys.where(F.col("rows") > PAIR_ROWS)
     found = [(one, keys)]
     if not many.isEmpty():
         full = join_hot(one, many, "key", "rows").select("key", "id", "tag", "comp").join(known.select("id", "tag", "set"), ["id", "tag"])
         two = cut(full.select("key", "id", "tag", "comp", "set").mapInArrow(_further(shared, percent), "key long, id long, tag long, comp long"))
-        few = cut(keys.where(F.col("rows") <= BLOCK_ROWS))
+        few = cut(keys.where(F.col("rows") <= PAIR_ROWS))
         discard(keys)
         found = [(one, few), (two, _open(two))]
     discard(known)

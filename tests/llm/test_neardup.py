@@ -29,6 +29,7 @@ def alike(rng, n, changes):
 def test_open_buckets(spark, bucket, block, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neardup, "PAIR_ROWS", 2 * block)
     texts = alike(random.Random(4), 150, 3)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want, _ = brute_components(texts, 85)
@@ -75,7 +76,8 @@ def test_prefixes_of_linked_sets_meet():
 
 def test_a_shingle_of_very_many_texts_is_dealt_by_pairs(spark, monkeypatch):
     """Texts of one template that share all but a few words, in blocks so small that its shingles are dealt by pairs."""
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(neardup, "PAIR_ROWS", 40)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     texts = []
