@@ -129,9 +129,11 @@ def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> list[Column]:
     return [channel(c), channel(m), channel(y)]
 
 
-def slot_of(value: Column, edges: list, inclusive: bool = False) -> Column:
-    """How many of the ascending ``edges`` are below ``value`` (or equal to it, when ``inclusive``): a tree of comparisons, as deep as the logarithm of
-    their number, that is compiled.  Null for a null value."""
-    above = (lambda e: value >= e) if inclusive else (lambda e: value > e)
-    tree = lambda lo, hi: F.lit(lo) if lo == hi else F.when(above(edges[(lo + hi) // 2]), tree((lo + hi) // 2 + 1, hi)).otherwise(tree(lo, (lo + hi) // 2))
-    return F.when(value.isNotNull(), tree(0, len(edges)))
+def slot_of(column: str, edges: list[float] | list[int], inclusive: bool = False) -> Column:
+    """How many of the ascending numbers ``edges`` are below a column (or equal to it, when ``inclusive``): a tree of comparisons, as deep as the logarithm
+    of their number, that is compiled.  Null for a null value."""
+    sign, name = ">=" if inclusive else ">", f"`{column}`"
+    literal = lambda e: f"{e!r}D" if isinstance(e, float) else f"{e}L"
+    # As one text: a column made node by node is a call to the JVM for each.
+    tree = lambda lo, hi: str(lo) if lo == hi else f"CASE WHEN {name} {sign} {literal(edges[(lo + hi) // 2])} THEN {tree((lo + hi) // 2 + 1, hi)} ELSE {tree(lo, (lo + hi) // 2)} END"
+    return F.expr(f"CASE WHEN {name} IS NOT NULL THEN {tree(0, len(edges))} END")

@@ -64,7 +64,7 @@ def lru_survivors(blocks: DataFrame, most: int, *keys: str, bins: int = 32) -> D
     start beyond ``most`` go unsorted, and only the blocks of one span of one cache are sorted together.  Bytes are not negative."""
     edges = blocks.agg(F.percentile_approx("last_access", [k / bins for k in range(1, bins)], 10 * bins)).first()[0] or []
     edges = sorted(set(edges))
-    placed = blocks.withColumn("_span", len(edges) - slot_of(F.col("last_access"), edges))  # 0 is the latest
+    placed = blocks.withColumn("_span", len(edges) - slot_of("last_access", edges))  # 0 is the latest
     sums = placed.groupBy(*keys, "_span").agg(F.sum("bytes").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where(F.col("_start") <= most).drop("_sum")

@@ -24,7 +24,7 @@ def numbered(rows: DataFrame, order: str, name: str = "idx", slots: int = 256) -
     """``rows`` with their places (from 0) in ascending order of a number, as a long: rows are numbered within the ranges between quantiles, and each range
     starts where the ones before it end.  Rows without a number are last."""
     edges = sorted(set(rows.agg(F.percentile_approx(order, [k / slots for k in range(1, slots)], 20 * slots)).first()[0] or []))
-    placed = rows.withColumn("_slot", F.coalesce(slot_of(F.col(order), edges), F.lit(len(edges) + 1)))
+    placed = rows.withColumn("_slot", F.coalesce(slot_of(order, edges), F.lit(len(edges) + 1)))
     counts = {r[0]: r[1] for r in placed.groupBy("_slot").count().collect()}  # one number a range
     starts = [sum(n for s, n in counts.items() if s < k) for k in range(len(edges) + 2)]
     inside = F.row_number().over(Window.partitionBy("_slot").orderBy(order)) - 1
@@ -35,7 +35,7 @@ def numbered(rows: DataFrame, order: str, name: str = "idx", slots: int = 256) -
 SHORT = 512
 
 
-def nearest(points: DataFrame, value: str, axis: DataFrame, slots: int = 256, period: float | None = None, short: int = SHORT) -> DataFrame:
+def nearest(points: DataFrame, value: str, axis: DataFrame, slots: int | None = None, period: float | None = None, short: int = SHORT) -> DataFrame:
     """Add ``idx``, the nearest place on an axis (idx, value, ascending); ties go to the lower, points outside to the ends, points without a
     value get none.  With a ``period`` (360 for longitudes) the axis goes round: points are turned into it, and its last place has the first after it.
 
@@ -54,19 +54,21 @@ def nearest(points: DataFrame, value: str, axis: DataFrame, slots: int = 256, pe
         rows = sorted((float(r.value), r.idx) for r in axis.select("value", "idx").collect())
         values, ids = [v for v, _ in rows], [i for _, i in rows]
         # Edges at or below the point count, so that a point on a place finds it.
-        at = slot_of(F.col("_p"), values, inclusive=True)
-        nth = lambda items, kind, k: F.element_at(F.array(*[F.lit(x).cast(kind) for x in items]), k)
+        at = slot_of("_p", values, inclusive=True)
+        nth = lambda items, kind: F.expr(f"element_at(array({', '.join(f'{x!r}{'D' if kind == 'double' else 'L'}' for x in items)}), _k)")
         here = keyed.withColumn("_k", F.greatest(at, F.lit(1)))
-        out = here.withColumn("idx", pick(nth(values, "double", F.col("_k")), nth(ids, "long", F.col("_k")), nth([*values[1:], after_last[0]], "double", F.col("_k")), nth([*ids[1:], after_last[1]], "long", F.col("_k"))))
+        out = here.withColumn("idx", pick(nth(values, "double"), nth(ids, "long"), nth([*values[1:], after_last[0]], "double"), nth([*ids[1:], after_last[1]], "long")))
         return out.drop("_p", "_k")
 
+    # As many ranges as keep the session's tasks busy.
+    slots = slots or min(256, 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     following = axis.select((F.col("idx") - 1).alias("idx"), F.col("value").cast("double").alias("b"), F.col("idx").alias("ib"))
     places = axis.select("idx", F.col("value").cast("double").alias("a")).join(following, "idx", "left")
     places = places.select("a", F.struct("a", F.col("idx").alias("ia"), F.coalesce("b", F.lit(after_last[0])).alias("b"), F.coalesce("ib", F.lit(after_last[1])).alias("ib")).alias("place"))
     both = axis.select(F.col("value").cast("double").alias("x")).unionByName(keyed.select(F.col("_p").alias("x")))
     edges = sorted(set(both.agg(F.percentile_approx("x", [k / slots for k in range(1, slots)], 20 * slots)).first()[0] or []))
-    placed = places.withColumn("_slot", slot_of(F.col("a"), edges))
-    dealt = keyed.withColumn("_slot", F.coalesce(slot_of(F.col("_p"), edges), F.lit(-1)))
+    placed = places.withColumn("_slot", slot_of("a", edges))
+    dealt = keyed.withColumn("_slot", F.coalesce(slot_of("_p", edges), F.lit(-1)))
     counts = {r[0]: r[1] for r in dealt.groupBy("_slot").count().collect()}  # one number a slot
     each = max(1, 2 * sum(counts.values()) // (len(edges) + 1))
     parts = F.element_at(F.array(*[F.lit(-(-counts.get(s, 0) // each) or 1) for s in range(-1, len(edges) + 1)]), F.col("_slot") + 2)
