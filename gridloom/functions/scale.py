@@ -52,18 +52,15 @@ def scale(v: Column, low: float, high: float, kind: int = LINEAR, param: float =
     return unit
 
 
-def unscale(t: Column, low: float, high: float, kind: int = LINEAR, param: float = 0.0) -> Column:
-    """The value at place t of a colour axis."""
+def unscale(t: Column, low: float | Column, high: float | Column, kind: int = LINEAR, param: float = 0.0) -> Column:
+    """The value at place t of a colour axis, whose bounds are numbers or columns."""
     import math
 
-    t, width = clamp(t, 0.0, 1.0), max(high - low, 1e-30)
-    if kind == LOG and low >= -1e-15:
-        start = max(high * 0.001, 1e-12) if low <= 1e-15 else low
-        stop = max(high, start * 1.0001)
-        return F.exp(math.log(start) + F.pow(t, F.lit(1.0 / (param if param > 0 else 1.0))) * (math.log(stop) - math.log(start)))
+    t, low, high = clamp(t, 0.0, 1.0), *(b if isinstance(b, Column) else F.lit(float(b)) for b in (low, high))
+    width = F.greatest(high - low, F.lit(1e-30))
     if kind == SYMLOG:
-        c, safe = (param if param > 0 else 1.0), max(abs(width), 1e-6)
-        unit = c * (F.pow(F.lit(1.0 + safe / c), t) - 1.0) / safe
+        c, safe = (param if param > 0 else 1.0), F.greatest(width, F.lit(1e-6))
+        unit = c * (F.pow(1.0 + safe / c, t) - 1.0) / safe
     elif kind == SQRT:
         y = 2.0 * t - 1.0
         unit = 0.5 + 0.5 * F.signum(y) * y * y
@@ -72,7 +69,12 @@ def unscale(t: Column, low: float, high: float, kind: int = LINEAR, param: float
         unit = F.ln(1.0 + t * (math.exp(k) - 1.0)) / k
     else:
         unit = t
-    return low + clamp(unit, 0.0, 1.0) * width
+    value = low + clamp(unit, 0.0, 1.0) * width
+    if kind == LOG:
+        start = F.when(low <= 1e-15, F.greatest(high * 0.001, F.lit(1e-12))).otherwise(low)
+        stop = F.greatest(high, start * 1.0001)
+        value = F.when(low >= -1e-15, F.exp(F.ln(start) + F.pow(t, F.lit(1.0 / (param if param > 0 else 1.0))) * (F.ln(stop) - F.ln(start)))).otherwise(value)
+    return value
 
 
 def colormap(t: Column, name: str) -> Column:

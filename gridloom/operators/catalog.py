@@ -48,8 +48,24 @@ def filter_catalog(entries: DataFrame, query: str, columns: list[str], category:
     return entries.where(hit if category is None else hit & (F.col(category[0]) == category[1]))
 
 
+def variable_tree(variables: DataFrame) -> DataFrame:
+    """The groups of a store (path, name, parent, depth) with the variables in each (direct), at or below it (total), and the place (from 0) among
+    its siblings, which stand in the order in which variables (by ``pos``) first name them.  The root has an empty path and no parent.
+
+    Empty parts of a path do not count."""
+    clean = F.array_join(F.filter(F.split("name", "/"), lambda p: p != ""), "/")
+    own = group_path(clean)
+    named = variables.select(own.alias("_own"), "pos").groupBy("_own").agg(F.count("*").alias("_n"), F.min("pos").alias("_first"))
+    below = named.select(F.explode(ancestors(F.col("_own"))).alias("path"), "_own", "_n", "_first")
+    groups = below.groupBy("path").agg(F.sum(F.when(F.col("_own") == F.col("path"), F.col("_n")).otherwise(0)).alias("direct"), F.sum("_n").alias("total"), F.min("_first").alias("first"))
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    groups = groups.withColumns({"parent": F.when(F.col("path") != "", group_path(F.col("path"))), "name": leaf(F.col("path")), "depth": depth})
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy("first", "path")) - 1)
+
+
 def cache_summary(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("source", "variable").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    """Blocks and bytes of each variable of each source, ordered by variable, then source."""
+    return blocks.groupBy("source", "variable").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy("variable", "source")
 
 
 def bytes_by(blocks: DataFrame, *keys: str) -> DataFrame:

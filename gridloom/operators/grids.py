@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import healpix
-from gridloom.functions.scale import finite
+from gridloom.functions.scale import finite, slot_of
 
 # Names of a dimension of HEALPix cells.
 CELL_NAMES = ["cell", "cells", "pix", "pixels", "ncells"]
@@ -108,10 +108,26 @@ def ordering(attributes: Column, meta: Column) -> Column:
 # --- Grids of pairs of axes --------------------------------------------------------------------------------------------
 
 
-def detect(axes: DataFrame, *keys: str) -> DataFrame:
+# Attributes that alone say HEALPix where they are present, and those that say it by their text.
+HEALPIX_ATTRIBUTES, HEALPIX_TEXTS = ["healpix_zoom", "healpix_nest", "healpix_order"], {"grid_type": "healpix", "ordering": "nested"}
+
+
+def says_healpix(attributes: Column, meta: Column) -> Column:
+    """Whether the attributes of a variable speak of HEALPix, in DGGS metadata or in others."""
+    texts = [F.lower(_attribute(attributes, name)).contains(word) for name, word in HEALPIX_TEXTS.items()]
+    said = is_healpix(meta)
+    for sign in [*[F.map_contains_key(attributes, name) for name in HEALPIX_ATTRIBUTES], *texts]:
+        said = said | F.coalesce(sign, F.lit(False))
+    return said
+
+
+def detect(axes: DataFrame, *keys: str, blocks: DataFrame | None = None) -> DataFrame:
     """The grid of each pair of axes: kind (global, regional, irregular, healpix), nside, width, height, west, east, south, north, and
     for irregular ones the coordinates xs and ys.
 
+    ``blocks``: keys and attributes (a map of texts) of the variables that the axes belong to, one row each.  With them the metadata count too: they
+    may say HEALPix and nside where names of dimensions do not, and the result has ``ordering`` (nested or ring; null where not HEALPix).
+
     ``axes``: keys, axis ('x' or 'y'), dim (its name), size, idx and value; an axis without coordinates is one row whose value is
     null.  One axis of one grid is sorted in one task; it is as long as the dimension."""
     order = Window.partitionBy(*keys, "axis").orderBy("idx")
@@ -129,7 +145,16 @@ def detect(axes: DataFrame, *keys: str) -> DataFrame:
     both = one.groupBy(*keys).agg(side("x"), side("y"))
     x, y = F.col("x"), F.col("y")
     bounds = {"west": F.least(x["first"], x["last"]), "east": F.greatest(x["first"], x["last"]), "south": F.least(y["first"], y["last"]), "north": F.greatest(y["first"], y["last"])}
-    found = both.withColumns({"_nside": F.when(is_cell_name(x["dim"]) | is_cell_name(y["dim"]), healpix.nside_of(x["size"] * y["size"])), **{f"_{k}": v for k, v in bounds.items()}})
+    cells, pixels = is_cell_name(x["dim"]) | is_cell_name(y["dim"]), x["size"] * y["size"]
+    own = {"_nside": F.when(cells, healpix.nside_of(pixels))}
+    extra = []
+    if blocks is not None:
+        told = blocks.select(*keys, F.col("attributes").alias("_a"), dggs(F.col("attributes")).alias("_meta"))
+        both = both.join(told, list(keys), "left")
+        a, meta = F.col("_a"), F.col("_meta")
+        own = {"_nside": F.when(cells | says_healpix(a, meta), nside(meta, pixels)), "_ordering": ordering(a, meta)}
+        extra = [F.when(F.col("kind") == "healpix", F.col("_ordering")).alias("ordering")]
+    found = both.withColumns({**own, **{f"_{k}": v for k, v in bounds.items()}})
     spatial_x, spatial_y = is_x_name(x["dim"]), is_y_name(y["dim"])
     whole = spatial_x & spatial_y & (F.col("_east") - F.col("_west") >= GLOBAL_LON) & (F.col("_north") - F.col("_south") >= GLOBAL_LAT)
     kind = (
@@ -141,11 +166,11 @@ def detect(axes: DataFrame, *keys: str) -> DataFrame:
         .otherwise("global")
     )
     globe = {"west": F.when(F.col("kind") == "healpix", 0.0).otherwise(-180.0), "east": F.when(F.col("kind") == "healpix", 360.0).otherwise(180.0), "south": F.lit(-90.0), "north": F.lit(90.0)}
-    own = F.col("kind").isin("regional", "irregular")
+    placed = F.col("kind").isin("regional", "irregular")
     return found.withColumn("kind", kind).select(
         *keys, "kind", F.col("_nside").alias("nside"), x["size"].alias("width"), y["size"].alias("height"),
-        *[F.when(own, F.col(f"_{k}")).otherwise(v).alias(k) for k, v in globe.items()],
-        F.when(F.col("kind") == "irregular", x["values"]).alias("xs"), F.when(F.col("kind") == "irregular", y["values"]).alias("ys"),
+        *[F.when(placed, F.col(f"_{k}")).otherwise(v).alias(k) for k, v in globe.items()],
+        F.when(F.col("kind") == "irregular", x["values"]).alias("xs"), F.when(F.col("kind") == "irregular", y["values"]).alias("ys"), *extra,
     )
 
 
@@ -255,10 +280,11 @@ def chosen_bounds(recompute: Column, own: Column, block: Column) -> Column:
 COORDINATE_NAMES = ["lat", "latitude", "y", "lon", "longitude", "x", "time", "depth", "lev", "level", "height"]
 
 
-def coordinate_candidates(variables: DataFrame) -> DataFrame:
+def coordinate_candidates(variables: DataFrame, bins: int = 32) -> DataFrame:
     """candidate and rank (from 1): 1-D variables, then dimensions and DGGS coordinates of the variables in order, then usual names.
 
-    ``variables``: pos, name, shape, dims, attributes.  The names of a store, one row each, are numbered in one task."""
+    ``variables``: pos, name, shape, dims, attributes.  Ranks come from counts of ``bins`` spans of the variables with about as many of them each, and
+    from the order inside a span; only the counts, at most three for a span, are summed in one task."""
     clean = lambda c: F.regexp_replace(F.trim(c), "^/+", "")
     place = lambda step, name, at: F.struct(F.lit(step).alias("step"), F.col("pos").cast("long").alias("pos"), at.cast("long").alias("at"), clean(name).alias("name"))
     single = F.when((F.size("shape") == 1) & (F.get("shape", F.lit(0)) > 0), F.array(place(1, F.col("name"), F.lit(0))))
@@ -268,5 +294,11 @@ def coordinate_candidates(variables: DataFrame) -> DataFrame:
     empty = F.slice(usual, 1, 0)
     named = variables.select(F.explode(F.concat(F.coalesce(single, empty), F.coalesce(dims, empty), meta)).alias("c"))
     named = named.unionAll(variables.sparkSession.range(1).select(F.explode(usual).alias("c"))).where("c.name <> ''")
-    first = named.groupBy(F.col("c.name").alias("candidate")).agg(F.min(F.struct("c.step", "c.pos", "c.at")).alias("_at"))
-    return first.select("candidate", F.row_number().over(Window.orderBy("_at")).alias("rank"))
+    first = named.groupBy(F.col("c.name").alias("candidate")).agg(F.min(F.struct("c.step", "c.pos", "c.at")).alias("_at")).select("candidate", "_at.*")
+    edges = variables.agg(F.percentile_approx(F.col("pos").cast("long"), [k / bins for k in range(1, bins)], 10 * bins)).first()[0] or []
+    spans = first.withColumn("_span", F.coalesce(slot_of("pos", sorted(set(edges))), F.lit(-1)))
+    counts = spans.groupBy("step", "_span").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("step", "_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("step", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("step", "_span").orderBy("pos", "at", "candidate"))
+    return spans.join(starts, ["step", "_span"]).select("candidate", (F.col("_start") + inside).cast("int").alias("rank"))

@@ -28,6 +28,13 @@ def manifest_entries(chunks: DataFrame, manifest: DataFrame, on: list[str], prec
     return chunks.join(best, on, "left")
 
 
+def palette_colours(cells: DataFrame, palette: DataFrame, on: list[str], channels: list[str]) -> DataFrame:
+    """Cells with the colours that a palette (one row for each code) has for theirs; null where it has none.
+
+    Spark broadcasts the palette where its size is known to be small, and shuffles both sides where it is not."""
+    return cells.join(palette.select(*on, *channels), on, "left")
+
+
 def nearest_series(samples: DataFrame, place: list[str], series: str, value: str, at: Column) -> DataFrame:
     """Per place the series whose finite value is closest to ``at``; ties go to the first series, and places without a finite value
     to the first of all."""

@@ -201,6 +201,25 @@ def rasters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _files(spark, paths).mapInArrow(run, "path string, level int, width long, height long, bands int, west double, east double, south double, north double")
 
 
+def palettes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, code, and r, g, b (0 to 255) of the palettes of files, from the headers alone; for joins with codes."""
+
+    def run(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with Ranged(path) as data:
+                    order, found = directories(data)
+                    for tags in found[:1]:
+                        if tags.get(PHOTOMETRIC, [1])[0] != 3 or PALETTE not in tags:
+                            continue
+                        at, count = tags[PALETTE]
+                        table = np.frombuffer(data[at : at + 2 * count], order + "u2").astype(float).reshape(3, -1) / 65535 * 255
+                        n = table.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(n), pa.int32()), *map(pa.array, table)], ["path", "code", "r", "g", "b"])
+
+    return _files(spark, paths).mapInArrow(run, "path string, code int, r double, g double, b double")
+
+
 def encode(data: np.ndarray, tile: int, west: float = 0.0, north: float = 0.0) -> bytes:
     """A tiled, deflated little-endian TIFF of one band of 32-bit floats, with its place."""
     h, w = data.shape

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.select import Index, Range, clamp_projection
+
 
 def packet(t: Column, z: Column, y: Column, x: Column, shape: tuple[int, int, int, int], background: float = 5.0, amplitude: float = 50.0, swing: float = 30.0, sigma: float = 0.15, turns: float = 1.0) -> Column:
     """A Gaussian blob that circles in x and y while it rises in z over the steps."""
@@ -30,6 +32,16 @@ def grid(spark: SparkSession, **sizes: int) -> DataFrame:
     return spark.range(total).select(*[c.alias(d) for d, c in out.items()])
 
 
+def block(spark: SparkSession, sizes: dict[str, int], **wanted: Range | Index) -> DataFrame:
+    """The index tuples of a part of a dense array; dimensions that ``wanted`` does not name are whole, and ranges end where the array does.
+
+    Only the part is made, however large the array is."""
+    bounds = {dim: clamp_projection(wanted.get(dim, Range(0, n)), n).bounds() for dim, n in sizes.items()}
+    part = grid(spark, **{dim: max(stop - start, 1) for dim, (start, stop) in bounds.items()})
+    part = part.where(F.lit(all(stop > start for start, stop in bounds.values())))
+    return part.select(*[(F.col(dim) + start).alias(dim) for dim, (start, _) in bounds.items()])
+
+
 def packet_volume(spark: SparkSession, nt: int = 20, nz: int = 32, ny: int = 32, nx: int = 32) -> DataFrame:
     at = grid(spark, t=nt, z=nz, y=ny, x=nx)
     return at.withColumn("v", packet(F.col("t"), F.col("z"), F.col("y"), F.col("x"), (nt, nz, ny, nx)).cast("float"))

@@ -7,7 +7,8 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-import gridloom.plans.gridquery  # noqa: F401  (registers its queries)
+import gridloom.plans.axisquery  # noqa: F401  (register their queries)
+import gridloom.plans.gridquery  # noqa: F401
 import gridloom.plans.relations  # noqa: F401
 import gridloom.plans.sourcequery  # noqa: F401
 from gridloom.plans.registry import ORACLE, QUERIES
