@@ -5,8 +5,9 @@ byte-level vocabulary always cuts too).  (2) Blocks.  A block of texts becomes i
 list.  (3) Word table.  A block's distinct words go to buckets by their hash, packed into one row per block and bucket, so that
 equal words of all blocks meet in one place, where each is encoded once.  (4) Join.  The ids go back, packed the same way, to the
 block they came from and meet its positions: a join of one row per block and bucket, never of occurrences.  Ids of a text are its
-words' ids in order of position.  Decoding looks every id up in the id-to-piece table, whose size is that of the vocabulary file,
-inside the task, and joins the pieces.
+words' ids in order of position.  (5) Decoding.  What is encoded of a block in a bucket also names each of its ids once; these rows meet
+the id-to-piece table by a join, which is broadcast, as its size is that of the vocabulary file.  The pieces that a block uses come
+to it with its ids, and texts are put together from them.
 
 The blocks are derived twice from the same scan, once for their words and once for their positions, because that costs less
 disk than keeping them; a block's key is a hash of its texts, and a block that does not find its words fails loudly.
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import width
@@ -123,8 +124,9 @@ def _positions(buckets: int):
     return run
 
 
-def _encode(path: str):
-    """Rows of one bucket stand together: every distinct word of a bucket is encoded once."""
+def _encode(path: str, name_ids: bool = False):
+    """Rows of one bucket stand together: every distinct word of a bucket is encoded once.  With ``name_ids`` every row is followed by a row for each
+    of its distinct ids, with nothing but the block and the id."""
 
     def run(batches):
         known: dict[str, bytes] = {}
@@ -140,7 +142,15 @@ def _encode(path: str):
                 known.update(zip(new, encode_words(path, new), strict=True))
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), "<u4", n) // 4
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1), b.column(1).slice(at, 1), b.column(2).slice(at, 1), pa.array([_pack(sizes.astype("<u4").tobytes(), *ids)], pa.binary())], ["bucket", "block", "n", "ids"])
+                packed = pa.array([_pack(sizes.astype("<u4").tobytes(), *ids)], pa.binary())
+                if not name_ids:
+                    yield pa.RecordBatch.from_arrays([*[b.column(k).slice(at, 1) for k in range(3)], packed], ["bucket", "block", "n", "ids"])
+                    continue
+                used = np.unique(np.frombuffer(b"".join(ids), "<u4")).astype("i4")
+                after = pa.nulls(len(used), pa.int32())
+                rows = [b.column(0).slice(at, 1), b.column(1).slice(at, 1), b.column(2).slice(at, 1), packed, pa.nulls(1, pa.int32())]
+                more = [after, pa.array(np.full(len(used), b.column(1)[at].as_py(), "i8")), after, pa.nulls(len(used), pa.binary()), pa.array(used)]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(rows, more, strict=True)], ["bucket", "block", "n", "ids", "id"])
 
     return run
 
@@ -158,6 +168,18 @@ def piece_table(path: str) -> np.ndarray:
     return pieces
 
 
+def id_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece (bytes) of a vocabulary file: a row for each id."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                pieces = piece_table(path)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces.tolist(), pa.binary())], ["id", "piece"])
+
+    return spark.range(1).mapInArrow(run, "id int, piece binary")
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """flat[starts[c] : starts[c] + sizes[c]] for each c of codes, one after the other."""
     n = sizes[codes]
@@ -166,38 +188,45 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.nd
     return flat[np.repeat(starts[codes], n) + at]
 
 
+def block_texts(row: dict):
+    """doc_id and ids of every text of a block, from positions and packed ids (in order of their buckets)."""
+    planes = np.frombuffer(_unpack(row["codes"]), np.uint8).reshape(4, -1)  # the bytes of equal weight stand together
+    codes = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    parts = row["coded"] or []
+    if sum(p["n"] for p in parts) != row["n"]:
+        raise ValueError("a block of texts did not find its words: its scan did not repeat")
+    raw = [_unpack(p["ids"]) for p in parts]
+    width = np.concatenate([np.frombuffer(x, "<u4", p["n"]) for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")]).astype(np.int64)
+    flat = np.concatenate([np.frombuffer(x, "<u4", -1, 4 * p["n"]) if len(x) > 4 * p["n"] else np.empty(0, "<u4") for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")])
+    starts = np.cumsum(width) - width
+    at = 0
+    for ident, n in zip(row["doc_ids"], row["sizes"], strict=True):
+        yield ident, ragged(flat, starts, width, codes[at : at + n])
+        at += n
+
+
 def texts_of(batches):
-    """doc_id and ids of every text, block by block, from positions and packed ids (in order of their buckets)."""
+    """doc_id and ids of every text, block by block."""
     for b in batches:
         for row in b.to_pylist():
-            planes = np.frombuffer(_unpack(row["codes"]), np.uint8).reshape(4, -1)  # the bytes of equal weight stand together
-            codes = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-            parts = row["coded"] or []
-            if sum(p["n"] for p in parts) != row["n"]:
-                raise ValueError("a block of texts did not find its words: its scan did not repeat")
-            raw = [_unpack(p["ids"]) for p in parts]
-            width = np.concatenate([np.frombuffer(x, "<u4", p["n"]) for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")]).astype(np.int64)
-            flat = np.concatenate([np.frombuffer(x, "<u4", -1, 4 * p["n"]) if len(x) > 4 * p["n"] else np.empty(0, "<u4") for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")])
-            starts = np.cumsum(width) - width
-            at = 0
-            for ident, n in zip(row["doc_ids"], row["sizes"], strict=True):
-                yield ident, ragged(flat, starts, width, codes[at : at + n])
-                at += n
-
-
-def _decode(path: str):
-    def run(batches):
-        pieces = piece_table(path)
-        out = [[], [], []]
-        for ident, ids in texts_of(batches):
-            for column, value in zip(out, (ident, ids.tobytes(), b"".join(pieces[ids].tolist()).decode("utf-8", "replace")), strict=True):
-                column.append(value)
-            if len(out[0]) == 500:
-                yield _out(out)
-                out = [[], [], []]
-        yield _out(out)
+            yield from block_texts(row)
 
-    return run
+
+def _decode(batches):
+    out = [[], [], []]
+    for b in batches:
+        for row in b.to_pylist():
+            found = row["pieces"] or []
+            pieces = np.empty(max((p["id"] for p in found), default=-1) + 1, object)
+            for p in found:
+                pieces[p["id"]] = p["piece"]
+            for ident, ids in block_texts(row):
+                for column, value in zip(out, (ident, ids.tobytes(), b"".join(pieces[ids].tolist()).decode("utf-8", "replace")), strict=True):
+                    column.append(value)
+                if len(out[0]) == 500:
+                    yield _out(out)
+                    out = [[], [], []]
+    yield _out(out)
 
 
 def _out(columns):
@@ -209,17 +238,24 @@ def words_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), f"(?=[{WHITE}])(?<=[^{WHITE}])")
 
 
-def coded_blocks(docs: DataFrame, tokenizer_file: str, text: str, doc_id: str) -> DataFrame:
-    """Blocks of texts with the ids of their distinct words, for :func:`texts_of`."""
+def coded_blocks(docs: DataFrame, tokenizer_file: str, text: str, doc_id: str, pieces: DataFrame | None = None) -> DataFrame:
+    """Blocks of texts with the ids of their distinct words, for :func:`texts_of`; with ``pieces`` (of :func:`id_pieces`) also those of their ids."""
     buckets = width(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words_of(F.col(text)).alias("words"))
     lists = rows.mapInArrow(_word_lists(buckets), "bucket int, block long, n int, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    table = lists.mapInArrow(_encode(tokenizer_file), "bucket int, block long, n int, ids binary")
-    coded = table.groupBy("block").agg(F.array_sort(F.collect_set(F.struct("bucket", "n", "ids"))).alias("coded"))
+    schema = "bucket int, block long, n int, ids binary"
+    whole = F.struct("bucket", "n", "ids")
+    if pieces is None:
+        table, more = lists.mapInArrow(_encode(tokenizer_file), schema), []
+    else:
+        table = lists.mapInArrow(_encode(tokenizer_file, True), schema + ", id int").join(F.broadcast(pieces), "id", "left")
+        whole, more = F.when(F.col("ids").isNotNull(), whole), [F.collect_set(F.when(F.col("id").isNotNull(), F.struct("id", "piece"))).alias("pieces")]
+    coded = table.groupBy("block").agg(F.array_sort(F.collect_set(whole)).alias("coded"), *more)
     positions = rows.mapInArrow(_positions(buckets), "block long, doc_ids array<long>, sizes array<int>, n int, codes binary")
     return positions.join(coded, "block", "left")
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: doc_id, ids (binary: little-endian unsigned 32-bit), decoded."""
-    return coded_blocks(docs, tokenizer_file, text, doc_id).mapInArrow(_decode(tokenizer_file), "doc_id long, ids binary, decoded string")
+    pieces = id_pieces(docs.sparkSession, tokenizer_file)
+    return coded_blocks(docs, tokenizer_file, text, doc_id, pieces).mapInArrow(_decode, "doc_id long, ids binary, decoded string")
