@@ -5,8 +5,9 @@ byte-level vocabulary always cuts too).  (2) Blocks.  A block of texts becomes i
 list.  (3) Word table.  A block's distinct words go to buckets by their hash, packed into one row per block and bucket, so that
 equal words of all blocks meet in one place, where each is encoded once.  (4) Join.  The ids go back, packed the same way, to the
 block they came from and meet its positions: a join of one row per block and bucket, never of occurrences.  Ids of a text are its
-words' ids in order of position.  Decoding looks every id up in the id-to-piece table, whose size is that of the vocabulary file,
-inside the task, and joins the pieces.
+words' ids in order of position.  (5) Decoding.  Every block is preceded by a row for each of its distinct ids; these meet the id-to-piece table
+by a join, which is broadcast, as the table is as long as the vocabulary.  Such a join leaves rows where they are and in their order, so
+the pieces reach the block without a shuffle, and its texts are put together from them; a piece that is not there fails loudly.
 
 The blocks are derived twice from the same scan, once for their words and once for their positions, because that costs less
 disk than keeping them; a block's key is a hash of its texts, and a block that does not find its words fails loudly.
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import width
@@ -158,6 +159,18 @@ def piece_table(path: str) -> np.ndarray:
     return pieces
 
 
+def id_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece (bytes) of a vocabulary file: a row for each id."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                pieces = piece_table(path)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces.tolist(), pa.binary())], ["id", "piece"])
+
+    return spark.range(1).mapInArrow(run, "id int, piece binary")
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """flat[starts[c] : starts[c] + sizes[c]] for each c of codes, one after the other."""
     n = sizes[codes]
@@ -166,38 +179,66 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.nd
     return flat[np.repeat(starts[codes], n) + at]
 
 
+def _ids_of(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each word of a block, and all ids, from its packed ids in order of their buckets."""
+    raw = [(_unpack(p["ids"]), p["n"]) for p in parts]
+    sizes = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in raw] or [np.empty(0, "<u4")]).astype(np.int64)
+    return sizes, np.concatenate([np.frombuffer(x, "<u4", -1, 4 * n) if len(x) > 4 * n else np.empty(0, "<u4") for x, n in raw] or [np.empty(0, "<u4")])
+
+
+def block_texts(row: dict):
+    """doc_id and ids of every text of a block, from positions and packed ids."""
+    planes = np.frombuffer(_unpack(row["codes"]), np.uint8).reshape(4, -1)  # the bytes of equal weight stand together
+    codes = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    parts = row["coded"] or []
+    if sum(p["n"] for p in parts) != row["n"]:
+        raise ValueError("a block of texts did not find its words: its scan did not repeat")
+    width, flat = _ids_of(parts)
+    starts = np.cumsum(width) - width
+    at = 0
+    for ident, n in zip(row["doc_ids"], row["sizes"], strict=True):
+        yield ident, ragged(flat, starts, width, codes[at : at + n])
+        at += n
+
+
 def texts_of(batches):
-    """doc_id and ids of every text, block by block, from positions and packed ids (in order of their buckets)."""
+    """doc_id and ids of every text, block by block."""
     for b in batches:
         for row in b.to_pylist():
-            planes = np.frombuffer(_unpack(row["codes"]), np.uint8).reshape(4, -1)  # the bytes of equal weight stand together
-            codes = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-            parts = row["coded"] or []
-            if sum(p["n"] for p in parts) != row["n"]:
-                raise ValueError("a block of texts did not find its words: its scan did not repeat")
-            raw = [_unpack(p["ids"]) for p in parts]
-            width = np.concatenate([np.frombuffer(x, "<u4", p["n"]) for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")]).astype(np.int64)
-            flat = np.concatenate([np.frombuffer(x, "<u4", -1, 4 * p["n"]) if len(x) > 4 * p["n"] else np.empty(0, "<u4") for x, p in zip(raw, parts, strict=True)] or [np.empty(0, "<u4")])
-            starts = np.cumsum(width) - width
-            at = 0
-            for ident, n in zip(row["doc_ids"], row["sizes"], strict=True):
-                yield ident, ragged(flat, starts, width, codes[at : at + n])
-                at += n
-
-
-def _decode(path: str):
-    def run(batches):
-        pieces = piece_table(path)
-        out = [[], [], []]
-        for ident, ids in texts_of(batches):
-            for column, value in zip(out, (ident, ids.tobytes(), b"".join(pieces[ids].tolist()).decode("utf-8", "replace")), strict=True):
-                column.append(value)
-            if len(out[0]) == 500:
-                yield _out(out)
-                out = [[], [], []]
-        yield _out(out)
+            yield from block_texts(row)
 
-    return run
+
+BLOCK = "block long, doc_ids array<long>, sizes array<int>, n int, codes binary, coded array<struct<bucket:int,n:int,ids:binary>>"
+
+
+def _name_ids(batches):
+    """Every block after a row for each of its distinct ids."""
+    for b in batches:
+        for at in range(b.num_rows):
+            one = b.slice(at, 1)
+            used = np.unique(_ids_of(one.column("coded").to_pylist()[0] or [])[1]).astype("i4")
+            names = [*b.schema.names, "id"]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), f.type) for f in b.schema], pa.array(used)], names)
+            yield pa.RecordBatch.from_arrays([*one.columns, pa.nulls(1, pa.int32())], names)
+
+
+def _decode(batches):
+    pieces: dict[int, bytes] = {}  # of all blocks so far; no more than the vocabulary has
+    out = [[], [], []]
+    for b in batches:
+        named = pc.is_valid(b.column("id"))
+        told = b.filter(named)
+        pieces.update(zip(told.column("id").to_pylist(), told.column("piece").to_pylist(), strict=True))
+        for row in b.filter(pc.invert(named)).to_pylist():
+            table = np.empty(max(pieces, default=-1) + 1, object)
+            table[list(pieces)] = list(pieces.values())
+            for ident, ids in block_texts(row):
+                for column, value in zip(out, (ident, ids.tobytes(), b"".join(table[ids].tolist()).decode("utf-8", "replace")), strict=True):
+                    column.append(value)
+                if len(out[0]) == 500:
+                    yield _out(out)
+                    out = [[], [], []]
+    yield _out(out)
 
 
 def _out(columns):
@@ -222,4 +263,6 @@ def coded_blocks(docs: DataFrame, tokenizer_file: str, text: str, doc_id: str) -
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: doc_id, ids (binary: little-endian unsigned 32-bit), decoded."""
-    return coded_blocks(docs, tokenizer_file, text, doc_id).mapInArrow(_decode(tokenizer_file), "doc_id long, ids binary, decoded string")
+    named = coded_blocks(docs, tokenizer_file, text, doc_id).mapInArrow(_name_ids, f"{BLOCK}, id int")
+    pieced = named.join(F.broadcast(id_pieces(docs.sparkSession, tokenizer_file)), "id", "left")
+    return pieced.mapInArrow(_decode, "doc_id long, ids binary, decoded string")
