@@ -68,10 +68,10 @@ T AS (SELECT bar, greatest(least((log10(v) - a) / (b - a), 1), 0) AS "at", v AS
 Z AS (SELECT * FROM T UNION ALL SELECT bar, 0, lo, true FROM R WHERE b - a >= 0.8 AND NOT EXISTS (SELECT 1 FROM T WHERE T.bar = R.bar AND T."at" < 0.02)
 UNION ALL SELECT bar, 1, hi, true FROM R WHERE b - a >= 0.8 AND NOT EXISTS (SELECT 1 FROM T WHERE T.bar = R.bar AND T."at" > 0.98)
 UNION ALL SELECT bar, k / 20.0::DOUBLE, exp(ln(lo) + k / 20.0::DOUBLE * (ln(hi) - ln(lo))), k % 5 = 0 FROM R, (SELECT unnest(range(0, 21)) AS k) WHERE b - a < 0.8)
-SELECT bar, round(Z."at", 6) AS "at", round(value, 4) AS value, major FROM Z""")
+SELECT bar, round(Z."at", 6) AS "at", round(log10(value), 6) AS power, major FROM Z""")
 def bar_decades(spark, d):
-    """Ticks of a logarithmic colour bar for the prices of each order: by decades where they span enough."""
-    return axes.colorbar_ticks(_bars(spark, d), "lo", "hi", scale.LOG).select("bar", _r("at").alias("at"), _r("value", 4).alias("value"), "major")
+    """Ticks of a logarithmic colour bar for the prices of each order, their values as powers of ten: by decades where they span enough."""
+    return axes.colorbar_ticks(_bars(spark, d), "lo", "hi", scale.LOG).select("bar", _r("at").alias("at"), _r(F.log10("value")).alias("power"), "major")
 
 
 @query(f"WITH {_BARS} SELECT bar, k / 20.0::DOUBLE AS at, round(lo + greatest(hi - lo, 1e-30) * (0.5 + 0.5 * sign(k / 10.0::DOUBLE - 1) * pow(k / 10.0::DOUBLE - 1, 2)), 6) AS value, k % 5 = 0 AS major FROM B, (SELECT unnest(range(0, 21)) AS k)")
