@@ -43,6 +43,24 @@ def zarr_packed(spark, d):
     return zarr.cells(zarr.chunks(spark, store, "data/matrix"), ["y", "x"]).withColumn("v", _r("v", 4))
 
 
+@query(sql("E", "SELECT y, x, v FROM E WHERE y < 500 AND x >= 40"))
+def zarr_blosc(spark, d):
+    """Version 2 as most stores have it: Blosc with shuffled bytes."""
+    store = _stored(views.table(spark, d, "embeddings"), F.col("embedding"), codecs=["blosc"], version=2)
+    box = {"y": Range(0, 500), "x": Range(40, WIDTH)}
+    return zarr.cells(zarr.chunks(spark, store, "data/matrix", **box), ["y", "x"], **box)
+
+
+@query(sql("E", "SELECT y, x, v FROM E WHERE y >= 30 AND y < 400 AND x >= 20 AND x < 36"))
+def zarr_sharded(spark, d):
+    """Files of 64 lines that hold chunks of 8 by 16: the range of cells plans the chunks, which are read by range from few files."""
+    bits = {"name": "blosc", "configuration": {"cname": "zstd", "shuffle": "bitshuffle"}}
+    store = _stored(views.table(spark, d, "embeddings"), F.col("embedding"), codecs=[bits, "crc32c"], inner=[8, 16])
+    datasource.register(spark)
+    cells = spark.read.format(datasource.FORMAT).option("variable", "data/matrix").option("verify", "true").load(store)
+    return cells.where("y >= 30 AND y < 400 AND x >= 20 AND x < 36")
+
+
 @query(sql("V", "SELECT d AS t, h AS y, k AS x, v::FLOAT::DOUBLE AS v FROM V WHERE d >= 3 AND d < 9"))
 def zarr_steps(spark, d):
     """Version 3, gzip: a chunk a day; a range of days reads its own files."""

@@ -89,6 +89,10 @@ def decode(data: bytes, codecs: list[dict], itemsize: int, verify: bool = False)
             if verify and crc32c(data[:-4]) != int.from_bytes(data[-4:], "little"):
                 raise DamagedChunk("crc32c")
             data = data[:-4]
+        elif name == "blosc":
+            from gridloom.sources import blosc
+
+            data = blosc.decode(data)
         else:
             raise UnsupportedCodec(name)
     return data
@@ -112,6 +116,11 @@ def encode(data: bytes, codecs: list[dict], itemsize: int) -> bytes:
             data = np.frombuffer(data, np.uint8).reshape(-1, size).T.tobytes() if size > 1 else data
         elif name == "crc32c":
             data += crc32c(data).to_bytes(4, "little")
+        elif name == "blosc":
+            from gridloom.sources import blosc
+
+            how = codec.get("configuration", {})
+            data = blosc.encode(data, how.get("typesize", itemsize), how.get("cname", "lz4"), how.get("clevel", 5), how.get("shuffle", "shuffle"))
         else:
             raise UnsupportedCodec(name)
     return data

@@ -2,7 +2,7 @@
 
 The schema comes from one metadata document of the array.  Partitions are ranges of chunk numbers inside the box that the pushed
 filters leave: they are computed from the array's shape, no folder is ever listed, and a task opens the files of its own chunks
-only.  A chunk without a file holds the fill value.
+only.  Where files are shards, the chunks are those inside them, and a task reads an index and the ranges of its chunks.  A chunk without a file holds the fill value.
 
 Options: ``variable`` (path of the array in the store), ``rows`` (``cells``: one index column a dimension and v; ``chunks``: c_<dim>, origin,
 shape and values), ``calibrate`` and ``verify`` as for ``zarr.chunks``, ``bytes`` (decoded bytes a partition, about).  Filters on index columns
@@ -11,6 +11,7 @@ shape and values), ``calibrate`` and ``verify`` as for ``zarr.chunks``, ``bytes`
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -21,7 +22,6 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from gridloom.sources import zarr
-from gridloom.sources.ranged import read_whole
 
 FORMAT = "gridloom_zarr"
 BYTES = 64 << 20
@@ -83,12 +83,13 @@ class ChunkReader(DataSourceReader):
     def read(self, partition):
         lay = self.layout
         widths = [b - a for a, b in self.box]
+        index_of = functools.lru_cache(maxsize=64)(zarr.shard_index)  # chunks of a shard follow one another, and the store may change later
         for number in range(partition.first, partition.last):
             place, rest = [], number
             for (low, _), width in zip(reversed(self.box), reversed(widths), strict=True):
                 rest, at = divmod(rest, width)
                 place.insert(0, low + at)
-            data = lay.values(read_whole(f"{self.folder}/{lay.key(place)}"), place, self.calibrate, self.verify)
+            data = lay.values(lay.content(self.folder, place, self.verify, index_of), place, self.calibrate, self.verify)
             origin = [p * c for p, c in zip(place, lay.sizes, strict=True)]
             if self.cells:
                 at = np.indices(data.shape).reshape(data.ndim, -1)

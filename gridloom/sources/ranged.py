@@ -54,6 +54,13 @@ def read_range(address: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
+def length(address: str) -> int | None:
+    """Bytes of a file; None where there is none."""
+    fs, path = locate(address)
+    found = fs.get_file_info(path)
+    return found.size if found.is_file else None
+
+
 def read_whole(address: str) -> bytes | None:
     """A small document; None where there is none."""
     fs, path = locate(address)

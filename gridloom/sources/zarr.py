@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from gridloom import ship
 from gridloom.operators.select import Range, chunk_range, clamp_request
-from gridloom.sources.codecs import decode, encode
-from gridloom.sources.ranged import put, read_whole
+from gridloom.sources.codecs import DamagedChunk, UnsupportedCodec, decode, encode
+from gridloom.sources.ranged import length, put, read_range, read_whole
 
 VARIABLES = "name string, data_type string, shape array<long>, dims array<string>, chunk_shape array<long>, units string, long_name string, attributes map<string,string>, meta string"
 
@@ -36,13 +36,21 @@ def _v2(path: str, meta: dict, attributes: dict) -> tuple:
 
 
 def _v3(path: str, meta: dict, attributes: dict) -> tuple:
-    codecs = meta.get("codecs", [])
+    codecs, grid, shard = meta.get("codecs", []), meta["chunk_grid"]["configuration"]["chunk_shape"], None
+    if any(c["name"] == "sharding_indexed" for c in codecs):
+        if len(codecs) > 1:
+            raise UnsupportedCodec("codecs around shards")
+        how = codecs[0]["configuration"]
+        shard = {"shape": grid, "index": how["index_codecs"], "at": how.get("index_location", "end")}
+        codecs, grid = how["codecs"], how["chunk_shape"]
+        if any(c["name"] == "sharding_indexed" for c in codecs):
+            raise UnsupportedCodec("shards in shards")
     endian = next((c.get("configuration", {}).get("endian", "little") for c in codecs if c["name"] == "bytes"), "little")
     kind = np.dtype(meta["data_type"])
     key = meta.get("chunk_key_encoding", {"name": "default"})
     sep = key.get("configuration", {}).get("separator", "/" if key["name"] == "default" else ".")
-    info = {"dtype": kind.newbyteorder(">" if endian == "big" else "<").str, "codecs": codecs, "fill": meta.get("fill_value"), "sep": sep, "prefix": "c" + sep if key["name"] == "default" else "", "order": "C"}
-    return _row(path, kind.name, meta["shape"], meta["chunk_grid"]["configuration"]["chunk_shape"], meta.get("dimension_names"), attributes, info)
+    info = {"dtype": kind.newbyteorder(">" if endian == "big" else "<").str, "codecs": codecs, "fill": meta.get("fill_value"), "sep": sep, "prefix": "c" + sep if key["name"] == "default" else "", "order": "C", "shard": shard}
+    return _row(path, kind.name, meta["shape"], grid, meta.get("dimension_names"), attributes, info)
 
 
 def _row(path, kind, shape, chunks, dims, attributes, info) -> tuple:
@@ -175,6 +183,25 @@ def _number(x, default=None):
         return default
 
 
+#: What the index of a shard says of both place and length of a chunk that is not there.
+ABSENT = 2**64 - 1
+
+
+def shard_index(file: str, count: int, codecs: str, at: str, verify: bool) -> np.ndarray | None:
+    """Place and length of each of the ``count`` chunks in a shard, read by range; None where there is no shard."""
+    chain = json.loads(codecs)
+    size = count * 16
+    stored = size + 4 * sum(c["name"] == "crc32c" for c in chain)
+    total = length(file)
+    if total is None:
+        return None
+    if total < stored or any(c["name"] not in ("bytes", "crc32c") for c in chain):
+        raise DamagedChunk(file) if total < stored else UnsupportedCodec("codecs of a shard's index")
+    raw = decode(read_range(file, 0 if at == "start" else total - stored, stored), chain, 8, verify)
+    big = any(c.get("configuration", {}).get("endian") == "big" for c in chain)
+    return np.frombuffer(raw, ">u8" if big else "<u8").reshape(count, 2)
+
+
 class Layout:
     """Where the chunks of an array are and what their bytes mean; made from a row of ``variables``."""
 
@@ -182,6 +209,9 @@ class Layout:
         _, _, self.shape, self.dims, self.sizes, _, _, attributes, meta = row
         info = json.loads(meta)
         self.kind, self.order, self.codecs, self.sep, self.prefix = np.dtype(info["dtype"]), info["order"], info["codecs"], info["sep"], info["prefix"]
+        self.shard = info.get("shard")
+        self.turns = [c["configuration"]["order"] for c in self.codecs if c["name"] == "transpose"]
+        self.codecs = [c for c in self.codecs if c["name"] != "transpose"]
         self.default = _number(info["fill"], math.nan if self.kind.kind == "f" else 0.0)
         self.scaling = [_number(attributes.get(k)) for k in ("scale_factor", "add_offset", "valid_min", "valid_max")]
         self.fill = _number(attributes.get("_FillValue"), _number(attributes.get("missing_value")))
@@ -190,13 +220,31 @@ class Layout:
         """Path of a chunk below the array; an array without dimensions has one chunk."""
         return self.prefix + self.sep.join(map(str, place)) if self.dims else (self.prefix.rstrip(self.sep) or "0")
 
+    def content(self, folder: str, place, verify: bool = False, index_of=shard_index) -> bytes | None:
+        """Bytes of a chunk of the array in a folder: a file of its own, or a range of a shard's file; ``index_of`` may remember what
+        :func:`shard_index` gave."""
+        if not self.shard:
+            return read_whole(f"{folder}/{self.key(place)}")
+        counts = [s // c for s, c in zip(self.shard["shape"], self.sizes, strict=True)]
+        file = f"{folder}/{self.key([p // n for p, n in zip(place, counts, strict=True)])}"
+        index = index_of(file, math.prod(counts), json.dumps(self.shard["index"]), self.shard["at"], verify)
+        inner = int(np.ravel_multi_index([p % n for p, n in zip(place, counts, strict=True)], counts)) if counts else 0
+        if index is None or int(index[inner, 0]) == ABSENT:
+            return None
+        return read_range(file, int(index[inner, 0]), int(index[inner, 1]))
+
     def values(self, content: bytes | None, place, calibrate: bool = True, verify: bool = False) -> np.ndarray:
         """Values of the part of a chunk that is inside the array; the fill value where there is no content."""
         size = [min(c, n - p * c) for p, c, n in zip(place, self.sizes, self.shape, strict=True)]
         if content is None:
             data = np.full(size, self.default)
         else:
-            raw = np.frombuffer(decode(content, self.codecs, self.kind.itemsize, verify), self.kind).reshape(self.sizes, order=self.order)
+            shape = self.sizes
+            for turn in self.turns:
+                shape = [shape[k] for k in turn]
+            raw = np.frombuffer(decode(content, self.codecs, self.kind.itemsize, verify), self.kind).reshape(shape, order=self.order)
+            for turn in reversed(self.turns):
+                raw = raw.transpose(np.argsort(turn))
             data = raw[tuple(slice(0, n) for n in size)].astype(np.float64)
         if self.kind.kind == "b":
             return (data != 0).astype(np.float64)
@@ -245,20 +293,28 @@ def cells(table: DataFrame, dims: list[str], **selections) -> DataFrame:
     return result
 
 
-def write(table: DataFrame, store: str, variable: str, dims: list[str], shape: list[int], chunk_shape: list[int], attributes: dict | None = None, codecs: list[str] | None = None, version: int = 3, data_type: str = "<f4") -> None:
+def write(table: DataFrame, store: str, variable: str, dims: list[str], shape: list[int], chunk_shape: list[int], attributes: dict | None = None, codecs: list[str | dict] | None = None, version: int = 3, data_type: str = "<f4", inner: list[int] | None = None) -> None:
     """Write chunk rows (c_<dim>, shape, values; row-major) as an array of a Zarr store, a file a chunk.
 
     A file is named by its chunk alone and written whole, so a task that runs twice leaves the same store.  Chunks at the upper
     edges are padded with missing values (integers: the attribute _FillValue).  Values are those that are stored: packed ones
-    have to be packed before.  Chunks without a row get no file."""
+    have to be packed before.  Chunks without a row get no file.  With ``inner`` (version 3) a row is a shard: its file holds chunks of that
+    shape, which has to divide ``chunk_shape``, and an index of them at its end; those that lie outside the row's shape are left out.  A codec
+    is a name, or a dict of ``name`` and ``configuration``."""
     ship(table.sparkSession)
     kind, codecs, attributes = np.dtype(data_type), codecs or [], attributes or {}
     fill = attributes.get("_FillValue", 0) if kind.kind != "f" else "NaN"
-    chain = [{"name": c, "configuration": {"elementsize": kind.itemsize} if c == "shuffle" else {"level": 3, "checksum": False} if c == "zstd" else {"level": 5} if c == "gzip" else {}} for c in codecs]
+    if inner and (version != 3 or any(n % c for n, c in zip(chunk_shape, inner, strict=True))):
+        raise ValueError("shards need version 3 and a shape that their chunks divide")
+    usual = {"shuffle": {"elementsize": kind.itemsize}, "zstd": {"level": 3, "checksum": False}, "gzip": {"level": 5}, "blosc": {"typesize": kind.itemsize, "cname": "lz4", "clevel": 5, "shuffle": "shuffle" if version == 3 else 1, "blocksize": 0}}
+    chain = [{"name": c, "configuration": usual.get(c, {})} if isinstance(c, str) else {"name": c["name"], "configuration": usual.get(c["name"], {}) | c.get("configuration", {})} for c in codecs]
     folder = f"{store.rstrip('/')}/{variable}"
     if version == 3:
         front = {"name": "bytes", "configuration": {"endian": "big" if data_type.startswith(">") else "little"}}
-        meta = {"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": kind.newbyteorder("=").name, "dimension_names": dims, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunk_shape}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill, "codecs": [front, *chain], "attributes": attributes}
+        parts = [front, *chain]
+        if inner:
+            parts = [{"name": "sharding_indexed", "configuration": {"chunk_shape": inner, "codecs": parts, "index_codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}], "index_location": "end"}}]
+        meta = {"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": kind.newbyteorder("=").name, "dimension_names": dims, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunk_shape}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill, "codecs": parts, "attributes": attributes}
         documents, prefix, sep = {"zarr.json": meta}, "c/", "/"
     else:
         ids = [{"id": c["name"], **c["configuration"]} for c in chain]
@@ -266,13 +322,26 @@ def write(table: DataFrame, store: str, variable: str, dims: list[str], shape: l
         documents, prefix, sep = {".zarray": meta, ".zattrs": {**attributes, "_ARRAY_DIMENSIONS": dims}}, "", "."
     names = [f"c_{d}" for d in dims]
 
+    def packed(data: np.ndarray, size: list[int]) -> bytes:
+        if not inner:
+            return encode(data.tobytes(), chain, kind.itemsize)
+        counts = [n // c for n, c in zip(chunk_shape, inner, strict=True)]
+        index, body = np.full((*counts, 2), ABSENT, "<u8"), bytearray()
+        for at in np.ndindex(*counts):
+            low = [k * c for k, c in zip(at, inner, strict=True)]
+            if all(a < n for a, n in zip(low, size, strict=True)):
+                piece = encode(data[tuple(slice(a, a + c) for a, c in zip(low, inner, strict=True))].tobytes(), chain, kind.itemsize)
+                index[at] = len(body), len(piece)
+                body += piece
+        return bytes(body) + encode(index.tobytes(), [{"name": "crc32c"}], 8)
+
     def run(batches):
         for b in batches:
             places = list(zip(*[b.column(k).to_pylist() for k in range(len(dims))], strict=True))
             for place, size, values in zip(places, b.column(len(dims)).to_pylist(), b.column(len(dims) + 1), strict=True):
                 data = np.full(chunk_shape, np.nan if kind.kind == "f" else fill, kind)
                 data[tuple(slice(0, n) for n in size)] = values.values.to_numpy(zero_copy_only=False).reshape(size)
-                put(f"{folder}/{prefix}{sep.join(map(str, place))}", encode(data.tobytes(), chain, kind.itemsize))
+                put(f"{folder}/{prefix}{sep.join(map(str, place))}", packed(data, size))
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     table.select(*names, "shape", "values").mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -106,7 +106,7 @@ def test_checksums():
 
 def test_unwritable_codec_is_an_error():
     with pytest.raises(codecs.UnsupportedCodec):
-        codecs.encode(b"", [{"name": "blosc"}], 1)
+        codecs.encode(b"", [{"name": "pcodec"}], 1)
 
 
 def test_steps_of_netcdf(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
 
 from gridloom.operators.select import Index, Range
+from gridloom.sources import codecs as codecs_of
 from gridloom.sources import datasource, geotiff, netcdf3, ranged, zarr
 from tests.test_sources import as_array, netcdf_bytes, tiff_bytes, write_zarr2
 
@@ -28,7 +29,7 @@ def big_store(tmp_path, written=()):
 def opened(reader, monkeypatch):
     """Chunk files that a reader opens for all its partitions."""
     seen = []
-    monkeypatch.setattr(datasource, "read_whole", lambda address: seen.append(address.rpartition("/")[2]))
+    monkeypatch.setattr(zarr.Layout, "content", lambda self, folder, place, *_: seen.append(self.key(place)))
     for p in reader.partitions():
         list(reader.read(p))
     return seen
@@ -171,3 +172,89 @@ def test_damaged_headers_raise():
     for raw in (b"", b"XX*\0", b"II+\0"):
         with pytest.raises((ValueError, struct.error)):
             geotiff.directories(raw)
+
+
+def sharded(tmp_path, data, shard, inner, codecs, at="end", skip=(), turn=None):
+    """A store of version 3 with one array ``a`` in shards, written by the format's description."""
+    folder = tmp_path / "s.zarr" / "a"
+    chain = [{"name": "transpose", "configuration": {"order": turn}}] if turn else []
+    chain += [{"name": "bytes", "configuration": {"endian": "little"}}, *codecs]
+    how = {"chunk_shape": inner, "codecs": chain, "index_codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}], "index_location": at}
+    meta = {"zarr_format": 3, "node_type": "array", "shape": data.shape, "data_type": data.dtype.name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": shard}}, "chunk_key_encoding": {"name": "default"}, "fill_value": -5, "codecs": [{"name": "sharding_indexed", "configuration": how}], "dimension_names": ["y", "x"]}
+    folder.mkdir(parents=True)
+    (folder / "zarr.json").write_text(json.dumps(meta))
+    counts = [n // c for n, c in zip(shard, inner)]
+    for place in np.ndindex(*[-(-n // c) for n, c in zip(data.shape, shard)]):
+        index, body = b"", b""
+        first = 16 * counts[0] * counts[1] + 4 if at == "start" else 0
+        for k in np.ndindex(*counts):
+            low = [p * s + i * c for p, s, i, c in zip(place, shard, k, inner)]
+            if (place, k) in skip or low[0] >= data.shape[0] or low[1] >= data.shape[1]:
+                index += struct.pack("<QQ", 2**64 - 1, 2**64 - 1)
+                continue
+            block = np.zeros(inner, data.dtype)
+            part = data[low[0] : low[0] + inner[0], low[1] : low[1] + inner[1]]
+            block[: part.shape[0], : part.shape[1]] = part
+            piece = codecs_of.encode((block.transpose(turn) if turn else block).tobytes(), codecs, data.dtype.itemsize)
+            index += struct.pack("<QQ", first + len(body), len(piece))
+            body += piece
+        index += codecs_of.crc32c(index).to_bytes(4, "little")
+        path = folder / "c" / str(place[0]) / str(place[1])
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(index + body if at == "start" else body + index)
+    return str(tmp_path / "s.zarr")
+
+
+@pytest.mark.parametrize("at,turn,names", [("end", None, []), ("start", None, ["zstd", "crc32c"]), ("end", [1, 0], ["blosc"])])
+def test_shards(spark, tmp_path, at, turn, names):
+    data = np.arange(22 * 13, dtype="<i4").reshape(22, 13)
+    store = sharded(tmp_path, data, [8, 6], [2, 3], [{"name": n} for n in names], at, skip={((0, 0), (1, 1))}, turn=turn)
+    (tmp_path / "s.zarr" / "a" / "c" / "2" / "0").unlink()  # a shard that is not there
+    want = data.astype(float)
+    want[2:4, 3:6] = want[16:, :6] = -5
+    assert np.array_equal(as_array(datasource.scan(spark, store, "a", verify=True), ["y", "x"], data.shape), want)
+    some = datasource.scan(spark, store, "a").where("y >= 5 AND y < 11 AND x IN (2, 12)")
+    assert {(r.y, r.x): r.v for r in some.collect()} == {(y, x): want[y, x] for y in range(5, 11) for x in (2, 12)}
+
+
+def test_a_shard_is_read_by_ranges(tmp_path, monkeypatch):
+    data = np.arange(64 * 64, dtype="<i4").reshape(64, 64)
+    store = sharded(tmp_path, data, [32, 64], [4, 4], [])
+    reader = reader_of(store, [EqualTo(("y",), 33), LessThan(("x",), 8)])
+    seen, plain = [], ranged.read_range
+    monkeypatch.setattr(zarr, "read_range", lambda *a: seen.append(a[2]) or plain(*a))
+    rows = [b.num_rows for p in reader.partitions() for b in reader.read(p)]
+    # One index (128 chunks) for both chunks, and their own bytes.
+    assert rows == [16, 16] and seen == [128 * 16 + 4, 64, 64]
+
+
+def test_damaged_and_unknown_shards(tmp_path):
+    store = sharded(tmp_path, np.zeros((4, 4), "<i4"), [4, 4], [2, 2], [])
+    file = tmp_path / "s.zarr" / "a" / "c" / "0" / "0"
+    raw = bytearray(file.read_bytes())
+    raw[-9] ^= 1
+    file.write_bytes(raw)
+    reader = reader_of(store, [], verify="true")
+    with pytest.raises(codecs_of.DamagedChunk):
+        list(reader.read(reader.partitions()[0]))
+    file.write_bytes(b"abc")
+    reader = reader_of(store, [])
+    with pytest.raises(codecs_of.DamagedChunk):
+        list(reader.read(reader.partitions()[0]))
+    path = tmp_path / "s.zarr" / "a" / "zarr.json"
+    meta = json.loads(path.read_text())
+    meta["codecs"].append({"name": "gzip"})
+    path.write_text(json.dumps(meta))
+    with pytest.raises(codecs_of.UnsupportedCodec):
+        zarr.open_array(store, "a")
+
+
+def test_shards_written(spark, tmp_path):
+    data = np.random.default_rng(3).integers(-9, 9, (21, 12)).astype("f4")
+    rows = [(y, 0, [min(8, 21 - y * 8), 12], data[y * 8 : y * 8 + 8].ravel().tolist()) for y in range(3)]
+    table = spark.createDataFrame(rows, "c_y long, c_x long, shape array<long>, values array<float>")
+    blosc = {"name": "blosc", "configuration": {"cname": "zlib", "shuffle": "bitshuffle"}}
+    zarr.write(table, str(tmp_path / "w.zarr"), "m", ["y", "x"], [21, 12], [8, 12], codecs=[blosc], inner=[4, 6])
+    assert np.array_equal(as_array(datasource.scan(spark, str(tmp_path / "w.zarr"), "m", verify=True), ["y", "x"], data.shape), data)
+    with pytest.raises(ValueError):
+        zarr.write(table, str(tmp_path / "v.zarr"), "m", ["y", "x"], [21, 12], [8, 12], inner=[3, 6])

@@ -81,7 +81,7 @@ def test_zarr3_and_inherited_attributes(spark, tmp_path):
 
 def test_unknown_codec_is_an_error():
     with pytest.raises(codecs.UnsupportedCodec):
-        codecs.decode(b"", [{"name": "blosc"}], 4)
+        codecs.decode(b"", [{"name": "pcodec"}], 4)
     with pytest.raises(store.UnsupportedStore):
         store.kind_of("table.csv")
     assert [store.kind_of(t) for t in ("s3://b/x.zarr?v=1", "a.nc", "b.TIF", "/data/x.zarr/group")] == ["zarr", "netcdf", "geotiff", "zarr"]
