@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom import ship
 from gridloom.sources.codecs import UnsupportedCodec, lzw, packbits, unpredict
-from gridloom.sources.ranged import Ranged, put
+from gridloom.sources.ranged import Ranged, files, put
 
 # Fixed values of the format: bytes and struct letters of the field types, and the tags read here.
 FIELDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
@@ -126,12 +126,6 @@ def bands_of(data, plane: int | None, height: int, width: int, offset: int, leng
         yield n, v
 
 
-def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Paths only; the reader does not open files for them."""
-    ship(spark)
-    return spark.read.format("binaryFile").load(paths).select("path")
-
-
 def extents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Where the bytes of every tile of every level are, from the headers alone."""
     types = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 6, *[pa.float64()] * 4, pa.string()]
@@ -145,7 +139,7 @@ def extents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return _files(spark, paths).mapInArrow(run, EXTENTS)
+    return files(spark, paths).mapInArrow(run, EXTENTS)
 
 
 def read_tiles(found: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -198,7 +192,7 @@ def rasters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["path", "level", "width", "height", "bands", "west", "east", "south", "north"])
 
-    return _files(spark, paths).mapInArrow(run, "path string, level int, width long, height long, bands int, west double, east double, south double, north double")
+    return files(spark, paths).mapInArrow(run, "path string, level int, width long, height long, bands int, west double, east double, south double, north double")
 
 
 def palettes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -217,7 +211,7 @@ def palettes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                         n = table.shape[1]
                         yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(n), pa.int32()), *map(pa.array, table)], ["path", "code", "r", "g", "b"])
 
-    return _files(spark, paths).mapInArrow(run, "path string, code int, r double, g double, b double")
+    return files(spark, paths).mapInArrow(run, "path string, code int, r double, g double, b double")
 
 
 def encode(data: np.ndarray, tile: int, west: float = 0.0, north: float = 0.0) -> bytes:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom import ship
 from gridloom.operators.select import Index, Range
-from gridloom.sources.ranged import Ranged, put
+from gridloom.sources.ranged import Ranged, files, put
 from gridloom.sources.zarr import _number, calibrated
 
 # Fixed values of the format: element types by number.
@@ -127,12 +127,6 @@ def extents_of(head: Header, variable: str, selections: dict, steps: Range | Ind
             yield [k, *([row] if rest else []), *[b[0] for b in box[2:]]], [1, *([n] if rest else []), *[b[1] - b[0] for b in box[2:]]], v["begin"] + k * far + row * inner, n * inner, leads[k - first], json.dumps(layout)
 
 
-def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Paths only; the reader does not open files for them."""
-    ship(spark)
-    return spark.read.format("binaryFile").load(paths).select("path")
-
-
 def variables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -144,7 +138,7 @@ def variables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["path", "name", "data_type", "shape", "dims", "attributes"])
 
-    return _files(spark, paths).mapInArrow(run, "path string, name string, data_type string, shape array<long>, dims array<string>, attributes map<string,string>")
+    return files(spark, paths).mapInArrow(run, "path string, name string, data_type string, shape array<long>, dims array<string>, attributes map<string,string>")
 
 
 def extents(spark: SparkSession, paths: str | list[str], variable: str, steps: Range | Index | None = None, **selections: Range | Index) -> DataFrame:
@@ -160,7 +154,7 @@ def extents(spark: SparkSession, paths: str | list[str], variable: str, steps: R
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return _files(spark, paths).mapInArrow(run, EXTENTS)
+    return files(spark, paths).mapInArrow(run, EXTENTS)
 
 
 def values_of(raw: bytes, shape: list[int], layout: dict) -> np.ndarray:

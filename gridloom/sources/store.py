@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.ranged import locate
+from gridloom.sources.ranged import length, locate, on_web
 
 # Name endings of the kinds, the files or folders that mark a folder as one, and words in an address.
 ENDINGS = {
@@ -25,6 +25,9 @@ def marked_kind(target: str) -> str | None:
     """icechunk or zarr, by what a folder holds; None where it holds no marker or is no folder."""
     from pyarrow.fs import FileType
 
+    if on_web(target):
+        found = (kind for kind, names in MARKERS.items() if any("." in name and length(f"{target}/{name}") is not None for name in names))
+        return next(found, None)
     try:
         fs, path = locate(target)
     except ValueError:  # no address of a file system

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom import ship
 from gridloom.operators.select import Range, chunk_range, clamp_request
 from gridloom.sources.codecs import DamagedChunk, UnsupportedCodec, decode, encode
-from gridloom.sources.ranged import length, put, read_range, read_whole
+from gridloom.sources.ranged import length, on_web, put, read_range, read_whole
 
 VARIABLES = "name string, data_type string, shape array<long>, dims array<string>, chunk_shape array<long>, units string, long_name string, attributes map<string,string>, meta string"
 
@@ -85,6 +85,8 @@ def _documents(spark: SparkSession, store: str) -> dict[str, dict]:
     found = consolidated(store)
     if found is not None:
         return found
+    if on_web(store):
+        raise FileNotFoundError(f"{store} has no document of all its metadata, and folders on the web cannot be walked; open its arrays by name")
     found = {}
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(store)
