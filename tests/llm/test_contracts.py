@@ -4,12 +4,13 @@ import hashlib
 import os
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import pytest
 
-from gridloom.llm import queries
+from gridloom.llm import html, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,11 +87,72 @@ def test_op4(spark, texts):
     assert len(bins) <= -(-sum(w[1] for w in want.values()) // 2048) + 2
 
 
-def test_op6(spark):
-    rows = queries.op6_html_extraction(spark, SF).collect()
-    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
-    assert {r.page_id: r.url for r in rows} == pages and len(rows) == len(pages)
-    assert all(r.n_chars == len(r.text) and r.text == "\n".join(" ".join(b.split()) for b in r.text.split("\n")) for r in rows)
+class Article(HTMLParser):
+    """Blocks of what an article holds, for pages whose mark-up names it."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("article", "h1", "p", "footer", "div"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p", "footer", "div"):
+            self.blocks.append("")
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(b for b in (" ".join(b.split()) for b in self.blocks) if b)
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01"])
+def test_op6(spark, sf_dir):
+    """Every whole page against another parser."""
+    rows = queries.op6_html_extraction(spark, sf_dir).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert (r.url, r.text) == (pages[r.page_id].url, Article(pages[r.page_id].html or "").text()) and r.n_chars == len(r.text)
+
+
+def test_op6_marginals_of_whole_pages(spark):
+    """Of every element of real pages: the sum over all labellings in which it is content, by the sum over all; an upward pass each."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    model = html.train(pages)
+
+    def total(page, features, pairs, fixed):
+        n = len(page.tags)
+        up = np.zeros((n, 2))
+        for k in range(n - 1, -1, -1):
+            for name, *value in features[k]:
+                up[k] += model.node.get((name, repr(tuple(value))), [0, 0])
+            if k == 0 or page.tags[k] in html.SILENT:
+                up[k] = 0, -50
+            for c in range(k + 1, n):
+                if page.parents[c] == k:
+                    up[k] += [np.logaddexp(*(pairs[c][y] + up[c])) for y in (0, 1)]
+            if k == fixed:
+                up[k][0] = -np.inf
+        return np.logaddexp(*up[0])
+
+    for r in pages.orderBy("page_id").limit(6).collect():
+        page = html.Page(r.html)
+        features = page.features(False)
+        pairs = [np.array(model.pair.get(html._kind(f), model.pair[None])) for f in features]
+        whole = total(page, features, pairs, None)
+        want = [np.exp(total(page, features, pairs, k) - whole) for k in range(len(page.tags))]
+        assert np.allclose(model.marginals(page), want, atol=1e-9)
 
 
 def test_op10(spark, texts):
