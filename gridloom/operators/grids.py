@@ -211,6 +211,37 @@ def norm_pixel(nside: int, u: Column, v: Column, surface: bool = False) -> Colum
     return healpix.ang2pix(nside, turn * (2 * math.pi), (0.5 - _unit(v)) * math.pi)
 
 
+def norm_centre(x: Column, y: Column, width: int, height: int) -> Column:
+    """struct<u, v> of the middle of a cell of a regular grid, as shares of its width and height."""
+    return F.struct(((x + 0.5) / max(width, 1)).alias("u"), ((y + 0.5) / max(height, 1)).alias("v"))
+
+
+def pixel_centre(nside: int, pix: Column, nested: bool = False, surface: bool = False) -> Column:
+    """struct<u, v> of a pixel's centre, where :func:`norm_pixel` finds it again; the meridian opposite to longitude 0 is a map's right edge."""
+
+    def place(s: Column) -> Column:
+        turn = s["at"]["lon"] / (2 * math.pi)
+        u = turn if surface else F.when(turn > 0.5, turn - 0.5).otherwise(turn + 0.5)
+        return F.struct(_unit(u).alias("u"), _unit(0.5 - s["at"]["lat"] / math.pi).alias("v"))
+
+    return healpix.let(place, at=(healpix.pix2ang_nested if nested else healpix.pix2ang)(nside, pix))
+
+
+def surface_place(place: Column, aspect: float) -> Column:
+    """struct<x, z> of a place struct<u, v> on a surface that is 2 long and ``aspect`` times as wide, around its middle."""
+    return F.struct(((2 * place["u"] - 1) * aspect).alias("x"), (2 * place["v"] - 1).alias("z"))
+
+
+def axis_places(axis: DataFrame, *keys: str) -> DataFrame:
+    """Axes (keys, idx, value), with ``share``: how far each value is from the first to the last one, 0 to 1; an axis
+    that ends where it starts counts as one long.  An axis of one value has the middle; null keys are keys."""
+    ends = axis.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(F.min_by("value", "idx").alias("_a"), F.max_by("value", "idx").alias("_b"), F.count("*").alias("_n"))
+    span = F.when(F.abs(F.col("_b") - F.col("_a")) > 1e-6, F.col("_b") - F.col("_a")).otherwise(1.0)
+    share = F.when(F.col("_n") > 1, _unit((F.col("value") - F.col("_a")) / span)).otherwise(0.5)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
+    return axis.join(ends, same).withColumn("share", share).drop("_a", "_b", "_n", *[f"_k{n}" for n in range(len(keys))])
+
+
 def value_at(points: DataFrame, cells: DataFrame, u: Column, v: Column, width: int, height: int) -> DataFrame:
     """Points with the cell (x, y) under them and its value; points over cells that are not there have a null."""
     placed = points.withColumn("_c", norm_cell(u, v, width, height)).withColumns({"x": F.col("_c.x"), "y": F.col("_c.y")}).drop("_c")

@@ -166,6 +166,30 @@ _RAD = f"""RD AS (SELECT id, pix, ring, i, cap, CASE WHEN cap < {NSIDE} THEN (i
   asin(CASE WHEN cap < {NSIDE} THEN CASE WHEN ring < {NSIDE} THEN 1 ELSE -1 END * (1 - cap * cap / {3.0 * NSIDE * NSIDE}) ELSE 2 * ({2 * NSIDE} - ring) / {3.0 * NSIDE} END) AS lat FROM Q2)"""
 
 
+@query(f"""WITH {registry._H}, {registry._RING}, {_RAD}, T AS (SELECT *, lon / (2 * pi()) AS t, 0.5 - lat / pi() AS v FROM RD)
+SELECT id, pix, round(CASE WHEN t > 0.5 THEN t - 0.5 ELSE t + 0.5 END, 6) AS u, round(v, 6) AS v, round((2 * t - 1) * 1.5, 6) AS x, round(2 * v - 1, 6) AS z FROM T""")
+def pixel_places(spark, d):
+    """Centres of pixels on a map and on a surface."""
+    at = F.col("pix")
+    rows = registry._pixels(spark, d).withColumns({"m": grids.pixel_centre(NSIDE, at), "s": grids.surface_place(grids.pixel_centre(NSIDE, at, surface=True), 1.5)})
+    return rows.select("id", "pix", _r("m.u").alias("u"), _r("m.v").alias("v"), _r("s.x").alias("x"), _r("s.z").alias("z"))
+
+
+@query("""WITH A AS (SELECT c_nationkey::BIGINT AS g, c_custkey AS idx, c_acctbal::DOUBLE AS value FROM customer), B AS (SELECT g, arg_min(value, idx) AS a, arg_max(value, idx) AS b, count(*) AS n FROM A GROUP BY g)
+SELECT g, idx, round(CASE WHEN n = 1 THEN 0.5 ELSE least(greatest((value - a) / CASE WHEN abs(b - a) > 1e-6 THEN b - a ELSE 1 END, 0), 1) END, 6) AS share FROM A JOIN B USING (g)""")
+def axis_places(spark, d):
+    """How far along its axis each value of an irregular axis is."""
+    axis = views.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("g"), F.col("c_custkey").alias("idx"), F.col("c_acctbal").cast("double").alias("value"))
+    return grids.axis_places(axis, "g").select("g", "idx", _r("share").alias("share"))
+
+
+@query("SELECT s, l, round((l - 0.5) / 7, 6) AS u, round((s % 36 + 0.5) / 36, 6) AS v FROM (SELECT DISTINCT l_suppkey AS s, l_linenumber AS l FROM lineitem)")
+def cell_places(spark, d):
+    """Centres of cells of a regular grid as shares of its sides."""
+    at = views.lines(spark, d).select("s", "l", grids.norm_centre(F.col("l") - 1, F.col("s") % 36, 7, 36).alias("c"))
+    return at.select("s", "l", _r("c.u").alias("u"), _r("c.v").alias("v"))
+
+
 _Z = f"asin(CASE WHEN {{0}} < {NSIDE} THEN 1 - pow({{0}}, 2) / {3.0 * NSIDE * NSIDE} WHEN {{0}} > {3 * NSIDE} THEN pow({4 * NSIDE} - {{0}}, 2) / {3.0 * NSIDE * NSIDE} - 1 ELSE 2 * ({2 * NSIDE} - {{0}}) / {3.0 * NSIDE} END)"
 _M = f"least({{0}}, {NSIDE}, {4 * NSIDE} - {{0}})"
 _BESIDE = f"round((mid + CASE WHEN {_M.format('({0})')} = 0 THEN 0 ELSE (lon - mid) * {_M.format('ring')} / {_M.format('({0})')} END) % (2 * pi()), 6) % 6.283185::DOUBLE + 0.0"

@@ -132,3 +132,18 @@ def test_corners_enclose_the_pixel(spark, nside):
         shared.setdefault(key, set()).add(r.pix)
     assert len(shared) == 12 * nside * nside + 2  # as many corners as a sphere cut into such squares has
     assert all(len(v) in (3, 4) for v in shared.values())
+
+
+@pytest.mark.parametrize("nested", [False, True])
+@pytest.mark.parametrize("surface", [False, True])
+def test_a_pixel_is_found_at_its_centre(spark, nested, surface):
+    at = grids.pixel_centre(8, F.col("id"), nested, surface)
+    rows = spark.range(768).select("id", at.alias("c")).select("id", "c.*", grids.norm_pixel(8, F.col("c.u"), F.col("c.v"), surface).alias("ring"))
+    got = rows.withColumn("back", healpix.ring2nest(8, F.col("ring")) if nested else F.col("ring")).collect()
+    assert all(r.id == r.back and 0 <= r.u <= 1 and 0 <= r.v <= 1 for r in got)
+
+
+def test_places_on_axes(spark):
+    axis = spark.createDataFrame([("a", 0, 10.0), ("a", 1, 15.0), ("a", 2, 30.0), ("b", 0, 5.0), ("b", 1, 7.0), ("b", 2, 5.0), ("c", 4, 3.0), ("d", 0, 9.0), ("d", 1, 1.0), (None, 0, 1.0)], "g string, idx int, value double")
+    got = {(r.g, r.idx): r.share for r in grids.axis_places(axis, "g").collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0.25, ("a", 2): 1, ("b", 0): 0, ("b", 1): 1, ("b", 2): 0, ("c", 4): 0.5, ("d", 0): 0, ("d", 1): 1, (None, 0): 0.5}
