@@ -183,7 +183,7 @@ def axis_places(spark, d):
     return grids.axis_places(axis, "g").select("g", "idx", _r("share").alias("share"))
 
 
-@query("SELECT s, l, round((l - 0.5) / 7, 6) AS u, round((s % 36 + 0.5) / 36, 6) AS v FROM (SELECT DISTINCT l_suppkey AS s, l_linenumber AS l FROM lineitem)")
+@query("SELECT s, l, round((l - 0.5) / 7, 6) AS u, round((s % 36 + 0.5) / 36, 6) AS v FROM (SELECT DISTINCT l_suppkey AS s, l_linenumber::BIGINT AS l FROM lineitem)")
 def cell_places(spark, d):
     """Centres of cells of a regular grid as shares of its sides."""
     at = views.lines(spark, d).select("s", "l", grids.norm_centre(F.col("l") - 1, F.col("s") % 36, 7, 36).alias("c"))
