@@ -9,6 +9,8 @@ from gridloom.llm import bpe, chat, fmquality, html, langid, mtree, neardup, pac
 from gridloom.llm.common import table
 
 SHARDS = 24
+#: op10: kept_text is also without repeated passages of over 50 words, which are often shorter than its 400 bytes.
+PASSAGE_WORDS = 51
 
 
 def _tokenizer(name: str) -> str:
@@ -87,7 +89,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, words=PASSAGE_WORDS)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
     return done.select(
         "doc_id",
