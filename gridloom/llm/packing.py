@@ -82,30 +82,30 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return patterns
 
 
-def tokenise_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit).  Every distinct word of a task is encoded once."""
+def tokenise_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit; on request only), ids_crc32.  Every distinct word of a task is encoded once."""
+    kinds = {"doc_id": (pa.int64(), "long"), "piece": (pa.int32(), "int"), "start": (pa.int64(), "long"), "length": (pa.int64(), "long"), "ids": (pa.binary(), "binary"), "ids_crc32": (pa.int64(), "long")}
+    if not keep_ids:
+        del kinds["ids"]
 
     def pieces(batches):
         from gridloom.llm.words import lower_encoder
 
         encoder, end = lower_encoder(tokenizer_file), np.array([END_ID], dtype="<u4").tobytes()
         for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
-            out = [[], [], [], [], []]
-            for ident, ids in zip(b.column(0).to_pylist(), encoder.batch([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            out = {c: [] for c in kinds}
+            for ident, ids in zip(b.column(0).to_pylist(), encoder.batch(b.column(1)), strict=True):
                 ids += end
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, capacity)):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    for column, value in zip(out, (ident, k, at, len(part) // 4, part), strict=True):
-                        column.append(value)
-            yield _pieces(out)
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    for name, value in (("doc_id", ident), ("piece", k), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
+                        out[name].append(value)
+                    if keep_ids:
+                        out["ids"].append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, (kind, _) in kinds.items()], list(kinds))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary")
-
-
-def _pieces(out) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+    schema = ", ".join(f"{c} {sql}" for c, (_, sql) in kinds.items())
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
 
 
 def _slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple]:
@@ -150,8 +150,7 @@ def place(pieces: DataFrame, patterns: list[tuple[dict[int, int], int]]) -> Data
 
 def pack(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """Pieces with ids (or only their checksum), sequence_id and offset."""
-    pieces = tokenise_pieces(docs, tokenizer_file, text, doc_id, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = cut(pieces if keep_ids else pieces.drop("ids"))
+    pieces = cut(tokenise_pieces(docs, tokenizer_file, text, doc_id, capacity, keep_ids))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     return place(pieces, plan_patterns(histogram, capacity))
 

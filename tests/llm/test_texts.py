@@ -2,15 +2,19 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import bpe, langid, neardup, packing, quality, repeats, sharding
+from gridloom.llm import bpe, langid, neardup, packing, quality, repeats, sharding, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, kept string, mixture string, _h string"
 
@@ -80,6 +84,51 @@ def test_bpe_odd_white_space(spark):
             assert np.frombuffer(got[k], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, (name, t)
 
 
+def test_lower_encoder_equals_library():
+    """Latin-1 and other characters, marks after words and inside, control strings, all kinds of white space; batches of known words only."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(4)
+    parts = [*map(chr, range(256)), "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "e\u0301", "\u0130", "\u1e9e", "\u212a", "\ufb01", "漢", "###", "$$$", "&&&", "|||", "!?", "the", "Über"]
+    gaps = [" ", " ", " ", "\n", "  ", "\t", "\xa0", "\x85", "\u3000", "\u200b", "\r\n"]
+    texts = [None, "", " ", "\n"]
+    for k in range(3000):
+        letters = [*words.LETTERS, *words.MARKS[: k % 13], "A", "É"] if k % 2 else parts
+        texts.append("".join("".join(rng.choices(letters, k=rng.randint(0, 6))) + rng.choice(gaps[: 4 if k % 3 else None]) for _ in range(rng.randint(0, 10))))
+    texts += ["abc" + a + b for a in words.MARKS for b in words.MARKS + "x1"]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most in (400_000, 40):
+        encoder, column = words.lower_encoder(path, most), pa.array(texts)
+        for k in [*range(0, len(texts), 700)] * 2:
+            assert encoder.batch(column.slice(k, 700)) == want[k : k + 700]
+    assert encoder.batch(pa.array([], pa.string())) == [] and encoder.batch(pa.array([None, ""])) == [b"", b""]
+
+
+def test_spellings_are_merged_once():
+    """What precedes different marks is merged once, in every batch, and however many words there are."""
+    path, merged = public_tokenizers.path("word_bpe_49k.json"), []
+
+    class Model:
+        def tokenize(self, word):
+            merged.append(word)
+            return words.load(path).model.tokenize(word)
+
+    stems = ["".join(t) for t in product("abcdefg", repeat=3)]
+    encoder = words.lower_encoder(path, 400)
+    encoder.model = Model()
+    for mark in ["", ".", "###", "$$$", "&&&"]:
+        encoder.batch(pa.array([" ".join(w + mark for w in stems)]))
+    assert sorted(merged) == stems
+
+
+def test_pieces_without_ids(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.tokenise_pieces(docs, path).collect()
+    short = packing.tokenise_pieces(docs, path, keep_ids=False)
+    assert short.columns == ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(str, short.collect())) == sorted(str(Row(**{c: r[c] for c in short.columns})) for r in rows)
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+
+
 def test_packing(docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
