@@ -87,13 +87,15 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_IN_WORD = ~np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word, and the byte after it."""
-    inside = np.diff(np.concatenate([[0], (~_SPACE[data]).astype(np.int8), [0]]))
-    return np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IN_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 class Measure(NamedTuple):
@@ -189,21 +191,27 @@ def suffix_ranks(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]
     for k in range(first):
         key <<= bits
         letter = np.zeros(n, np.int64)
-        letter[: n - k] = x[k:]
+        letter[: max(0, n - k)] = x[k:]
         open_ &= letter > 0
         key |= np.where(open_, letter, 0)
     alone, levels = ~open_, []
-    while True:
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.concatenate([[False], (k[1:] != k[:-1]) | alone[order[1:]]])
-        ranks = np.empty(n, np.int32)
-        ranks[order] = np.cumsum(new)
-        levels.append((span, ranks))
-        if ranks[order[-1]] == n - 1:
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | alone[order[1:]]])
+    marked = np.flatnonzero(alone[order])
+    order[marked] = order[marked[np.lexsort((order[marked], key[marked]))]]
+    at, ranks = np.arange(n), np.empty(n, np.int32)
+    while True:  # at: the places in the order that are not settled; a group has the rank of its first place
+        ranks[order[at]] = np.maximum.accumulate(np.where(new, at, 0))
+        levels.append((span, ranks.copy()))
+        at = at[~(new & np.concatenate([new[1:], [True]]))]
+        if not len(at):
             return order, levels
-        key = ranks.astype(np.int64) * (n + 2)
-        key[: n - span] += ranks[span:] + 1
+        own = order[at]
+        key = ranks[own].astype(np.int64) * n + ranks[own + span]
+        by_key = np.argsort(key)
+        order[at], key = own[by_key], key[by_key]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         span *= 2
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from gridloom.llm import neardup, queries, repeats
 from tests.llm.test_texts import brute_components
@@ -55,6 +56,29 @@ def test_passages_against_brute_force(spark):
     assert got == brute_passages(texts, 51)
 
 
+def test_short_texts_in_an_index(spark):
+    """Windows of two bytes: an index may have fewer letters than the first step of sorting takes at once."""
+    texts = ["ab", "xab", "ab", "q"]
+    got = repeats.remove_repeats(frame(spark, texts).select("doc_id", "text"), length=2).collect()
+    assert {r.doc_id: r.kept_text for r in got} == {0: "", 1: "x", 2: "", 3: "q"}
+    assert repeats.build_index([np.array([0, 1], np.uint8), np.array([0], np.uint8)]).sizes.tolist() == [2, 1]
+
+
+def test_suffixes_in_order():
+    """Suffixes, marks by text, and ranks by the letters of each level, against plain sorting."""
+    rng = np.random.default_rng(5)
+    for k in range(40):
+        base = rng.integers(1, 4, 60)
+        parts = [base[s : s + rng.integers(1, 50)] for s in rng.integers(0, 40, 1 + k % 6)]
+        x = np.concatenate([np.append(p, 0) for p in [*parts, parts[0]]])
+        plain = [[(v, i * (v == 0)) for i, v in enumerate(x.tolist())][i:] for i in range(len(x))]
+        order, levels = repeats.suffix_ranks(x)
+        assert order.tolist() == sorted(range(len(x)), key=plain.__getitem__)
+        for span, ranks in levels:
+            for a, b in rng.integers(0, len(x), (60, 2)):
+                assert (ranks[a] == ranks[b]) == (a == b or plain[a][:span] == plain[b][:span])
+
+
 def test_op10_passages(spark, tmp_path):
     """Passages of over 50 words and under 400 bytes go from kept_text alone; a string of 400 bytes goes from all columns."""
     rng = random.Random(10)
