@@ -34,12 +34,20 @@ def fixed(v: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", v.cast("double"))
 
 
-def byte_size(n: Column) -> Column:
-    """1536 as ``1.5 KB``; whole numbers without a decimal."""
+def half_up(x: Column, digits: int) -> Column:
+    """x >= 0 to so many decimals as C's ``round`` does it on the double: scaled, halves up, scaled back.  ``format_string`` and ``F.round`` round
+    the shortest decimal text of x instead, which ends in 5 where the scaled double lies below a half."""
+    y = x * float(10**digits)
+    n = F.floor(y)
+    return F.when(y - n >= 0.5, n + 1).otherwise(n) / float(10**digits)
+
+
+def byte_size(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """1536 as ``1.5 KB``; whole numbers without a decimal; what is over the last unit is in that."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, name in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for k, name in enumerate(units, 1):
         x = n / float(1024**k)
-        text = F.concat(F.when(F.round((x - F.floor(x)) * 10) == 0, fixed(x, 0)).otherwise(fixed(x, 1)), F.lit(f" {name}"))
+        text = F.concat(F.when(F.round((x - F.floor(x)) * 10) == 0, fixed(x, 0)).otherwise(fixed(half_up(x, 1), 1)), F.lit(f" {name}"))
         out = F.when(n >= 1024**k, text).otherwise(out)
     return out
 
@@ -47,8 +55,8 @@ def byte_size(n: Column) -> Column:
 def count_metric(n: Column) -> Column:
     """6480000 as ``6.48M``, 500000 as ``500K``."""
     m, k = n / 1e6, n / 1e3
-    millions = F.concat(F.when(F.round((m - F.floor(m)) * 100) == 0, fixed(m, 0)).otherwise(fixed(m, 2)), F.lit("M"))
-    thousands = F.concat(F.when(F.round((k - F.floor(k)) * 10) == 0, fixed(k, 0)).otherwise(fixed(k, 1)), F.lit("K"))
+    millions = F.concat(F.when(F.round((m - F.floor(m)) * 100) == 0, fixed(m, 0)).otherwise(fixed(half_up(m, 2), 2)), F.lit("M"))
+    thousands = F.concat(F.when(F.round((k - F.floor(k)) * 10) == 0, fixed(k, 0)).otherwise(fixed(half_up(k, 1), 1)), F.lit("K"))
     return F.when(n >= 1_000_000, millions).when(n >= 1000, thousands).otherwise(n.cast("string"))
 
 
